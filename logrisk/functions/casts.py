@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,12 @@ def resource_struct(c) -> Column:
 
 def clipped_ratio(value, scale) -> Column:
     """value/scale held inside [0, 1]; 0 for a scale that is not positive."""
-    value, scale = _col(value), scale if isinstance(scale, Column) else F.lit(float(scale))
-    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double") / scale))
+    value = _col(value).cast("double")
+    if not isinstance(scale, Column):
+        if scale <= 0:
+            return F.lit(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value / F.lit(float(scale))))
+    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value / scale))
     return F.when(scale <= 0, F.lit(0.0)).otherwise(ratio)
 
 
@@ -56,21 +60,23 @@ def rounded(value, digits: int = 0) -> Column:
     x = _col(value).cast("double")
     scale = F.lit(float(10 ** digits))
     product = x * scale
-    below = F.floor(product).cast("double")
     spread = x * F.lit(134217729.0)
     high = spread - (spread - x)
     error = (high * scale - product) + (x - high) * scale
-    at_half = product - below == 0.5
-    whole = (
-        F.when(at_half & (error > 0), below + 1.0).when(at_half & (error < 0), below)
-        .otherwise(F.rint(product))
-    )
-    # Beyond 2^52 a double has no fraction left to round.
-    return F.when(F.abs(product) < 4.503599627370496e15, whole / scale).otherwise(x)
+    at_half = F.abs(product - F.rint(product)) == 0.5
+    corrected = F.when(at_half & (error != 0), product + F.signum(error) * F.lit(0.5))
+    return corrected.otherwise(F.rint(product)) / scale
 
 
-def rate(count, total, digits: int = 4) -> Column:
-    return rounded(_col(count) / F.greatest(_col(total), F.lit(1)), digits)
+def share(count, total) -> Column:
+    """count/total with a guard against no rows."""
+    return _col(count) / F.greatest(_col(total), F.lit(1))
+
+
+def rounded_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Rounds columns in place. They are plain references here, which keeps the
+    expression small: it mentions its value several times."""
+    return df.withColumns({name: rounded(F.col(name), n) for name, n in digits.items()})
 
 
 def flag(condition: Column) -> Column:

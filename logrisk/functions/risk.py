@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logrisk.config import EXPLANATION_SIZE, RISK_FEATURES, RISK_HIGH, RISK_MEDIUM
-from logrisk.functions.casts import clipped_ratio, flag, rounded
+from logrisk.functions.casts import clipped_ratio, flag
 
 # Fixed values: (feature, scale, weight) of the signal score.
 SIGNAL_WEIGHTS = [
@@ -96,9 +96,8 @@ def signal_probability() -> Column:
     capped = F.least(raised, cap)
 
     share = clipped_ratio(_c("failing_comp_hits"), F.greatest(_c("total_lines"), F.lit(1.0)))
-    discounted = F.greatest(F.lit(0.0), capped - F.lit(0.12) * share)
-    final = F.when(no_errors & (_c("total_lines") > 0), discounted).otherwise(capped)
-    return _clip(final, 0.02, 0.98)
+    discount = F.when(no_errors & (_c("total_lines") > 0), F.lit(0.12) * share).otherwise(0.0)
+    return _clip(F.greatest(F.lit(0.0), capped - discount), 0.02, 0.98)
 
 
 def failure_prior(tp, fn, tn, fp) -> Column:
@@ -151,13 +150,13 @@ def rule_probability() -> Column:
 
 
 def _reasons(order, idle_text: str, first: list[Column]) -> Column:
-    """Ranked reasons: nonzero features in the given order, `total_lines` always, five at most."""
+    """Ranked reasons: nonzero counts in the given order, `total_lines` always, five at most."""
     entries = list(first)
     for name, text in order:
         value = _c(name)
         listed = F.struct(
             F.lit(name).alias("feature"),
-            rounded(value, 4).alias("value"),
+            value.alias("value"),
             F.when(value != 0, text).otherwise(idle_text).alias("direction"),
         )
         entries.append(listed if name == "total_lines" else F.when(value != 0, listed))
@@ -168,10 +167,10 @@ def _reasons(order, idle_text: str, first: list[Column]) -> Column:
     return ranked.cast(f"array<{REASON}>")
 
 
-def signal_explanation(raw: Column) -> Column:
+def signal_explanation(rounded_raw: Column) -> Column:
     head = F.struct(
         F.lit("raw_model_probability").alias("feature"),
-        rounded(raw, 4).alias("value"),
+        rounded_raw.alias("value"),
         F.lit("raw model output before stream calibration").alias("direction"),
     )
     return _reasons(SIGNAL_REASONS, "no strong risk signal observed", [head])

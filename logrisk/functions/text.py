@@ -12,6 +12,8 @@ from logrisk.config import (
     BLOCK_PATTERN, COMPONENT_STAGES, LEVEL_KEYWORDS, LINE_PATTERN, STAGE_NAMES, STOP_MARKER,
 )
 
+BLANKS = " \t\n\r\f\v"
+
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """True when any word is a plain substring (byte search, cheaper than one pattern)."""
@@ -24,8 +26,7 @@ def parse_lines(raw: DataFrame, value: str = "value") -> DataFrame:
     One pattern check and one split per line: the split is shared by the six
     fields, which is cheaper than six group extractions.
     """
-    text = F.regexp_replace(F.col(value), r"^\s+|\s+$", "")
-    parts = F.split(text, r"\s+", 6)
+    parts = F.split(F.btrim(F.col(value), F.lit(BLANKS)), r"\s+", 6)
     others = [c for c in raw.columns if c != value]
     content = parts[5]
     return raw.where(F.col(value).rlike(LINE_PATTERN)).select(
@@ -118,8 +119,7 @@ def normalise_lines(lines: DataFrame, value: str, pid: str, stamp: Column) -> Da
     lines of a run share one process id made from the run's `pid`.
     """
     text = F.regexp_replace(F.col(value), r"\n+$", "")
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    parts = F.split(trimmed, r"\s+", 6)
+    parts = F.split(F.btrim(text, F.lit(BLANKS)), r"\s+", 6)
     blocks = F.regexp_extract(F.get(parts, F.lit(5)), BLOCK_PATTERN, 1)
     ready = F.coalesce(text.rlike(LINE_PATTERN) & (blocks != ""), F.lit(False))
     level = F.when(ready, F.upper(F.get(parts, F.lit(3)))).otherwise(detect_level(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logrisk.functions.casts import rounded
+from logrisk.functions.casts import rounded_columns
 from logrisk.config import ORDER_COLUMNS, USD_RATES
 from logrisk.operators.ordered import Limits, row_numbers
 
@@ -29,9 +29,9 @@ def curate(orders: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Amounts in USD with two digits and the partition they are written to."""
     currency = F.upper(F.coalesce(F.nullif(F.col("currency"), F.lit("")), F.lit("USD")))
     rates = F.create_map(*[F.lit(x) for item in USD_RATES.items() for x in item])
-    usd = rounded(_amount() * F.coalesce(F.try_element_at(rates, currency), F.lit(1.0)), 2)
+    usd = _amount() * F.coalesce(F.try_element_at(rates, currency), F.lit(1.0))
     out = orders.select(*ORDER_COLUMNS[:3], "status", *carry, usd.alias("amount_usd"))
-    return out.withColumn(
+    return rounded_columns(out, {"amount_usd": 2}).withColumn(
         "risk_partition", F.when(F.col("amount_usd") <= 0, "review").otherwise("clean"))
 
 
@@ -41,7 +41,7 @@ def expand_rows(orders: DataFrame, target: int, *, order: tuple[str, ...] = ("se
 
     Each row makes its own copies: row r of n gives positions r, r+n, r+2n, ...
     """
-    numbered = row_numbers(orders, [], list(order), "_rn", total="_count", limits=limits)
+    numbered = row_numbers(orders, [], list(order), "_rn", total="_count", limits=limits, bound=orders)
     start = F.col("_rn") - 1
     copies = F.when(start < target, F.sequence(start, F.lit(target - 1).cast("long"), F.col("_count")))
     ids = F.concat(F.coalesce(F.col("order_id"), F.lit("ORD")), F.lit("-"),
@@ -55,7 +55,7 @@ def expand_rows(orders: DataFrame, target: int, *, order: tuple[str, ...] = ("se
 def in_batches(rows: DataFrame, batches: int, *, order: tuple[str, ...] = ("seq",),
                limits: Limits = Limits()) -> DataFrame:
     """`batch` number from 0; every batch but the last has round(n/batches) rows."""
-    numbered = row_numbers(rows, [], list(order), "_rn", total="_count", limits=limits)
+    numbered = row_numbers(rows, [], list(order), "_rn", total="_count", limits=limits, bound=rows)
     wanted = F.greatest(F.lit(1), F.least(F.lit(batches), F.col("_count")))
     size = F.greatest(F.lit(1), F.bround(F.col("_count") / wanted).cast("long"))
     return numbered.withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logrisk.functions.casts import rounded
+from logrisk.functions.casts import rounded_columns
 from logrisk.operators.ordered import Limits, Run, running
 
 
@@ -31,14 +31,16 @@ def class_metrics(counts: DataFrame, digits: int = 4) -> DataFrame:
     """Adds accuracy, precision, recall, f1, mcc, specificity; 0 where undefined."""
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    return counts.withColumns({
-        "accuracy": rounded(_ratio(tp + tn, tp + tn + fp + fn), digits),
-        "precision": rounded(_ratio(tp, tp + fp), digits),
-        "recall": rounded(_ratio(tp, tp + fn), digits),
-        "f1": rounded(_ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn), digits),
-        "mcc": rounded(_ratio(tp * tn - fp * fn, spread), digits),
-        "specificity": rounded(_ratio(tn, tn + fp), digits),
+    out = counts.withColumns({
+        "accuracy": _ratio(tp + tn, tp + tn + fp + fn),
+        "precision": _ratio(tp, tp + fp),
+        "recall": _ratio(tp, tp + fn),
+        "f1": _ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn),
+        "mcc": _ratio(tp * tn - fp * fn, spread),
+        "specificity": _ratio(tn, tn + fp),
     })
+    return rounded_columns(out, {
+        m: digits for m in ("accuracy", "precision", "recall", "f1", "mcc", "specificity")})
 
 
 def class_report(counts: DataFrame, names: tuple[str, str] = ("Success", "Failure"),
@@ -72,11 +74,9 @@ def class_report(counts: DataFrame, names: tuple[str, str] = ("Success", "Failur
         a, b, average(3, "macro avg", half, half),
         average(4, "weighted avg", _ratio(a["support"], total), _ratio(b["support"], total)),
     )).alias("r"))
-    return rows.select(
-        "r.position", "r.class",
-        *[rounded(f"r.{m}", digits).alias(m) for m in ("precision", "recall", "f1")],
-        F.col("r.support").cast("long").alias("support"),
-    )
+    flat = rows.select("r.position", "r.class", "r.precision", "r.recall", "r.f1",
+                       F.col("r.support").cast("long").alias("support"))
+    return rounded_columns(flat, {m: digits for m in ("precision", "recall", "f1")})
 
 
 def log_loss(rows: DataFrame, *, label: str = "label", prob: str = "prob",
@@ -84,7 +84,7 @@ def log_loss(rows: DataFrame, *, label: str = "label", prob: str = "prob",
     tiny = 2.220446049250313e-16
     p = F.greatest(F.lit(tiny), F.least(F.lit(1.0 - tiny), F.col(prob)))
     loss = -F.avg(F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(F.lit(1.0) - p)))
-    return rows.agg(rounded(loss, digits).alias("log_loss"))
+    return rounded_columns(rows.agg(loss.alias("log_loss")), {"log_loss": digits})
 
 
 def by_score(rows: DataFrame, *, label: str = "label", prob: str = "prob") -> DataFrame:
@@ -114,10 +114,9 @@ def ranking_metrics(rows: DataFrame, *, label: str = "label", prob: str = "prob"
         F.max("n_all").cast("double").alias("n"),
     )
     p, n = F.coalesce("p", F.lit(0.0)), F.coalesce("n", F.lit(0.0))
-    return out.select(
-        rounded(_ratio(F.col("wins"), p * n), digits).alias("roc_auc"),
-        rounded(_ratio(F.col("steps"), p), digits).alias("pr_auc"),
-    )
+    areas = out.select(
+        _ratio(F.col("wins"), p * n).alias("roc_auc"), _ratio(F.col("steps"), p).alias("pr_auc"))
+    return rounded_columns(areas, {"roc_auc": digits, "pr_auc": digits})
 
 
 def roc_points(rows: DataFrame, *, label: str = "label", prob: str = "prob",
@@ -149,7 +148,8 @@ def score_histogram(rows: DataFrame, *, label: str = "label", prob: str = "prob"
 
 def top_importances(importances: DataFrame, top: int = 20) -> DataFrame:
     """The largest importances with the mean of all of them."""
-    mean = importances.agg(rounded(F.avg("importance"), 6).alias("mean_importance"))
+    mean = rounded_columns(importances.agg(F.avg("importance").alias("mean_importance")),
+                           {"mean_importance": 6})
     best = importances.orderBy(F.desc("importance"), "feature").limit(top)
     return best.crossJoin(F.broadcast(mean))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logrisk.config import (
     CRITICAL_KEYWORDS, ERROR_KEYWORDS, FAILING_COMPONENTS, LOG1P_COLUMNS, WARNING_KEYWORDS,
 )
-from logrisk.functions.casts import flag, rate, rounded
+from logrisk.functions.casts import flag, rounded_columns, share
 from logrisk.functions.text import contains_any, explode_blocks, line_seconds, parse_lines
 from logrisk.operators.ordered import Limits, Run, bursts, running
 
@@ -38,6 +38,8 @@ FEATURE_ORDER = [
     "task_count", "failed_task_count", "event_count",
     "err_x_retry", "has_exception", "has_fatal", "has_retry",
 ]
+# Whole seconds need no rounding, so the duration is not listed.
+RATES = {"error_rate": 4, "warn_rate": 4, "critical_rate": 4, "error_kw_rate": 4}
 
 
 def line_signals(raw: DataFrame) -> DataFrame:
@@ -46,10 +48,11 @@ def line_signals(raw: DataFrame) -> DataFrame:
     The signals are computed before the explode, once per line, and the message
     text does not travel through the shuffle.
     """
-    message = F.lower("content")
-    parsed = parse_lines(raw)
-    carried = [c for c in parsed.columns
-               if c not in ("date", "time", "pid", "level", "component", "content", "block_ids")]
+    fields = ("date", "time", "pid", "level", "component", "content", "block_ids")
+    carried = [c for c in raw.columns if c != "value"]
+    # A column of its own, so that the many searches share one lower-cased text.
+    parsed = parse_lines(raw).select(*carried, *fields, F.lower("content").alias("message"))
+    message = F.col("message")
     narrow = parsed.select(
         *carried,
         "level", "component", "pid", "block_ids",
@@ -87,10 +90,12 @@ def prefix_features(
     total: str | None = None,
     carry: tuple[str, ...] = (),
     limits: Limits = Limits(),
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Counters of every prefix of every history: one row per line, one shuffle.
 
     `carry` names columns of the line (stage, component, ...) to keep on its row.
+    `lines` are the unparsed lines: a process has at most that many.
     """
     marks = {"component": "first_component", "pid": "first_pid"}
     inputs = [c for c in SIGNALS if c not in marks.values()]
@@ -102,7 +107,7 @@ def prefix_features(
     counted = running(
         slim, list(keys), list(order),
         [first, *bursts(is_bad(), "total_lines", "max_error_burst")],
-        firsts=marks, total=total, limits=limits,
+        firsts=marks, total=total, limits=limits, bound=lines,
     )
     keep = [*keys, *order, *carry] + ([total] if total else [])
     return counted.select(
@@ -115,6 +120,7 @@ def history_features(
     keys: tuple[str, ...] = ("process_id",),
     order: tuple[str, ...] = ("seq",),
     limits: Limits = Limits(),
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Counters of whole histories: only run lengths and first marks need the order."""
     marks = {"component": "first_component", "pid": "first_pid"}
@@ -123,7 +129,7 @@ def history_features(
     placed = running(
         slim, list(keys), list(order),
         [[Run("n", "sum", F.lit(1).cast("long"))], *bursts(is_bad())],
-        firsts=marks, limits=limits,
+        firsts=marks, limits=limits, bound=lines,
     )
     return placed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_lines"),
@@ -138,18 +144,16 @@ def timing_columns() -> dict[str, Column]:
     """Duration, hour and weekend flag from the first and last second."""
     start = F.timestamp_seconds("_first_s")
     return {
-        "duration_s": F.coalesce(
-            rounded((F.col("_last_s") - F.col("_first_s")).cast("double"), 2), F.lit(0.0)),
+        "duration_s": F.coalesce((F.col("_last_s") - F.col("_first_s")).cast("double"), F.lit(0.0)),
         "hour_of_day": F.coalesce(F.hour(start), F.lit(0)),
         "is_weekend": flag(F.weekday(start) >= 5),
     }
 
 
-def log1p_columns(names=tuple(LOG1P_COLUMNS)) -> list[Column]:
-    return [
-        rounded(F.log1p(F.greatest(F.lit(0.0), F.col(c).cast("double"))), 6).alias(f"log1p_{c}")
-        for c in names
-    ]
+def with_log1p(features: DataFrame) -> DataFrame:
+    raw = features.withColumns({
+        f"log1p_{c}": F.log1p(F.greatest(F.lit(0.0), F.col(c).cast("double"))) for c in LOG1P_COLUMNS})
+    return rounded_columns(raw, {f"log1p_{c}": 6 for c in LOG1P_COLUMNS})
 
 
 def finish_log_features(counted: DataFrame, *, log1p: bool = True) -> DataFrame:
@@ -159,10 +163,10 @@ def finish_log_features(counted: DataFrame, *, log1p: bool = True) -> DataFrame:
     zero = F.lit(0)
     derived = counted.withColumns({
         **timing_columns(),
-        "error_rate": rate("error_count", "total_lines"),
-        "warn_rate": rate("warn_count", "total_lines"),
-        "critical_rate": rate("fatal_count", "total_lines"),
-        "error_kw_rate": rate("error_kw_hits", "total_lines"),
+        "error_rate": share("error_count", "total_lines"),
+        "warn_rate": share("warn_count", "total_lines"),
+        "critical_rate": share("fatal_count", "total_lines"),
+        "error_kw_rate": share("error_kw_hits", "total_lines"),
         "cpu_request": F.lit(0.0), "memory_request": F.lit(0.0), "disk_request": F.lit(0.0),
         "priority": zero, "scheduling_class": zero, "task_count": zero, "failed_task_count": zero,
         "event_count": F.col("total_lines"),
@@ -171,9 +175,10 @@ def finish_log_features(counted: DataFrame, *, log1p: bool = True) -> DataFrame:
         "has_fatal": flag(F.col("fatal_count") > 0),
         "has_retry": flag(F.col("retry_count") > 0),
     })
-    return derived.select(*others, *FEATURE_ORDER, *(log1p_columns() if log1p else []))
+    ready = rounded_columns(derived.select(*others, *FEATURE_ORDER), RATES)
+    return with_log1p(ready) if log1p else ready
 
 
 def log_features(raw: DataFrame, *, limits: Limits = Limits()) -> DataFrame:
     """Raw lines to the features of every process history."""
-    return finish_log_features(history_features(line_signals(raw), limits=limits))
+    return finish_log_features(history_features(line_signals(raw), limits=limits, lines=raw))

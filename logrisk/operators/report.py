@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logrisk.functions.casts import flag, rounded
+from logrisk.functions.casts import flag, rounded_columns
 from logrisk.functions.policy import default_recommendation
 from logrisk.operators.ordered import Limits, Run, running
 
@@ -38,7 +38,7 @@ def session_summary(alerts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         *[_risk_count(r).alias(r.lower() + "_risk") for r in reversed(RISKS)],
     )
     share = F.col("predicted_failures") * 100.0 / F.greatest("total_predictions", F.lit(1))
-    return out.withColumn("failure_percent", rounded(share, 1))
+    return rounded_columns(out.withColumn("failure_percent", share), {"failure_percent": 1})
 
 
 def session_state(alerts: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def stage_changes(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The lines at which a session enters another stage than that of the line before."""
     place = Run("_prev", "max_before", F.struct("seq", "stage"))
     out = running(lines.select("session_id", "seq", "stage"), ["session_id"], ["seq"], [[place]],
-                  limits=limits)
+                  limits=limits, bound=lines)
     changed = F.col("_prev").isNull() | (F.col("_prev.stage") != F.col("stage"))
     return out.where(changed).select("session_id", "seq", F.col("_prev.stage").alias("from_stage"),
                                      F.col("stage").alias("to_stage"))
@@ -170,13 +170,13 @@ def resource_summary(samples: DataFrame, by: tuple[str, ...] = ("session_id",))
     out = [
         F.count(F.lit(1)).alias("samples"),
         F.max("cpu_percent").alias("max_cpu_percent"),
-        rounded(F.avg("cpu_percent"), 2).alias("avg_cpu_percent"),
+        F.avg("cpu_percent").alias("avg_cpu_percent"),
         F.max("memory_rss_mb").alias("max_memory_rss_mb"),
         F.max("disk_used_percent").alias("max_disk_used_percent"),
     ]
     if "metrics_backend" in samples.columns:
         out.append(F.max_by("metrics_backend", "seq").alias("metrics_backend"))
-    return samples.groupBy(*by).agg(*out)
+    return rounded_columns(samples.groupBy(*by).agg(*out), {"avg_cpu_percent": 2})
 
 
 def lines_with_samples(lines: DataFrame, samples: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logrisk.config import COUNT_FEATURES, LOG1P_COLUMNS, METADATA, VALUE_FEATURES
-from logrisk.operators.logfeatures import log1p_columns
+from logrisk.operators.logfeatures import with_log1p
 
 BASE_FEATURES = COUNT_FEATURES + VALUE_FEATURES
 LOG1P_FEATURES = [f"log1p_{c}" for c in LOG1P_COLUMNS]
@@ -31,7 +31,7 @@ def align(features: DataFrame, source: str | None = None) -> DataFrame:
         *[number(c, "long") for c in COUNT_FEATURES],
         *[number(c, "double") for c in VALUE_FEATURES],
     )
-    return base.select(*METADATA, *BASE_FEATURES, *log1p_columns())
+    return with_log1p(base.select(*METADATA, *BASE_FEATURES))
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:

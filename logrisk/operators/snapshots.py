@@ -65,7 +65,7 @@ def triggers(prefixes: DataFrame, every: int = PREDICT_EVERY, *, n: str = "total
 
 def with_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts_s",
                   order: tuple[str, ...] = ("seq",), gap_s: int = FLUSH_SECONDS,
-                  limits: Limits = Limits()) -> DataFrame:
+                  limits: Limits = Limits(), bound: DataFrame | None = None) -> DataFrame:
     """Numbers the activity sessions of a key; a gap longer than `gap_s` starts a new one.
 
     The time before a row is the newest time seen so far, so a line that
@@ -75,7 +75,7 @@ def with_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts_s"
     out = running(
         lines, [key], list(order),
         [[Run("_seen", "max_before", F.col(ts))], [Run("session_no", "sum", starts)]],
-        limits=limits,
+        limits=limits, bound=bound,
     )
     return out.withColumn("session_no", F.col("session_no") + 1).drop("_seen")
 

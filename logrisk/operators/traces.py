@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from logrisk.config import (
     EVENT_COLUMNS_8, EVENT_COLUMNS_12, EVENT_NAMES, FAIL_EVENTS, FINISH_EVENT, SCHEDULE_EVENT,
 )
-from logrisk.functions.casts import flag, label_flag, rate, resource_struct, rounded, safe_double, safe_int
+from logrisk.functions.casts import (
+    flag, label_flag, resource_struct, rounded_columns, safe_double, safe_int, share,
+)
 from logrisk.operators.ordered import Limits, Run, bursts, running
 
 # ---------------------------------------------------------------- scheduler events
@@ -105,7 +107,7 @@ def ordered_events(events: DataFrame, *, order: str = "seq", total: str | None =
     out = running(
         events, ["job_id"], ["time", order],
         [[Run("n", "sum", F.lit(1).cast("long"))], [failed_before, *ok], burst],
-        firsts={"user": "first_user"}, total=total, limits=limits,
+        firsts={"user": "first_user"}, total=total, limits=limits, bound=events,
     )
     again = (F.col("event_type") == SCHEDULE_EVENT) & (F.col("_last_fail") == F.col("n") - 1)
     return out.withColumn("rescheduled", flag(again)).drop("_last_fail", "_last_ok")
@@ -142,14 +144,14 @@ def job_features(events: DataFrame, *, order: str = "seq", limits: Limits = Limi
     )
     # Spans above 1e9 are microseconds.
     span = F.when(F.col("_span") > 1e9, F.col("_span") / 1e6).otherwise(F.col("_span"))
-    return base.withColumn("_span", span).select(
+    out = base.withColumn("_span", span).select(
         F.col("job_id").alias("process_id"),
         "total_lines", "info_count", "warn_count", "error_count",
         F.lit(0).alias("debug_count"), "fatal_count",
-        rate("error_count", "total_lines").alias("error_rate"),
-        rate("warn_count", "total_lines").alias("warn_rate"),
-        rate("fatal_count", "total_lines").alias("critical_rate"),
-        rate("error_count", "total_lines").alias("error_kw_rate"),
+        share("error_count", "total_lines").alias("error_rate"),
+        share("warn_count", "total_lines").alias("warn_rate"),
+        share("fatal_count", "total_lines").alias("critical_rate"),
+        share("error_count", "total_lines").alias("error_kw_rate"),
         F.col("error_count").alias("error_kw_hits"),
         "warning_kw_hits",
         F.col("fatal_count").alias("critical_kw_hits"),
@@ -157,11 +159,11 @@ def job_features(events: DataFrame, *, order: str = "seq", limits: Limits = Limi
         F.col("error_count").alias("failing_comp_hits"),
         F.lit(1).alias("unique_pids"),
         "max_error_burst",
-        rounded("_span", 2).alias("duration_s"),
+        F.col("_span").alias("duration_s"),
         F.lit(0).alias("hour_of_day"), F.lit(0).alias("is_weekend"),
-        rounded("_cpu", 4).alias("cpu_request"),
-        rounded("_memory", 4).alias("memory_request"),
-        rounded("_disk", 4).alias("disk_request"),
+        F.col("_cpu").alias("cpu_request"),
+        F.col("_memory").alias("memory_request"),
+        F.col("_disk").alias("disk_request"),
         "priority", "scheduling_class",
         F.col("total_lines").alias("task_count"),
         F.col("error_count").alias("failed_task_count"),
@@ -173,6 +175,9 @@ def job_features(events: DataFrame, *, order: str = "seq", limits: Limits = Limi
         flag(F.col("_memory") > 0.80).alias("oom_signal"),
         flag(F.col("_span") > 14400).alias("timeout_signal"),
     )
+    return rounded_columns(out, {
+        "error_rate": 4, "warn_rate": 4, "critical_rate": 4, "error_kw_rate": 4, "duration_s": 2,
+        "cpu_request": 4, "memory_request": 4, "disk_request": 4})
 
 
 # ---------------------------------------------------------------- GPU jobs and tasks
@@ -266,23 +271,26 @@ def gpu_features(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
         known = (start != 0) & F.col(moment).isNotNull()
         return F.when(known, F.greatest(F.lit(0.0), F.col(moment) - start)).otherwise(0.0)
 
-    return joined.select(
+    out = joined.select(
         F.col("job_name").alias("process_id"),
         "label",
         F.col("_tasks").alias("total_lines"),
         F.col("_tasks").alias("info_count"),
         F.col("_names").alias("unique_components"),
         F.col("_instances").cast("long").alias("unique_pids"),
-        rounded(since_start("_max_start"), 2).alias("duration_s"),
-        rounded("_cpu", 4).alias("cpu_request"),
-        rounded("_memory", 4).alias("memory_request"),
-        rounded("_gpu", 4).alias("gpu_request"),
+        since_start("_max_start").alias("duration_s"),
+        F.col("_cpu").alias("cpu_request"),
+        F.col("_memory").alias("memory_request"),
+        F.col("_gpu").alias("gpu_request"),
         F.col("_tasks").alias("task_count"),
-        rounded("_instances", 4).alias("instance_count"),
+        F.col("_instances").alias("instance_count"),
         F.col("_tasks").alias("event_count"),
-        rounded(since_start("_min_start"), 4).alias("scheduling_delay_s"),
+        since_start("_min_start").alias("scheduling_delay_s"),
         flag(since_start("_max_start") > 14400).alias("timeout_signal"),
     )
+    return rounded_columns(out, {
+        "duration_s": 2, "cpu_request": 4, "memory_request": 4, "gpu_request": 4,
+        "instance_count": 4, "scheduling_delay_s": 4})
 
 
 # ---------------------------------------------------------------- instance rows
@@ -305,29 +313,26 @@ def borg_features(raw: DataFrame, order: str = "seq") -> DataFrame:
         collection.alias("group_id"),
         F.concat_ws(":", collection, instance, F.col(order).cast("string")).alias("process_id"),
         request.alias("req"), usage.alias("use"),
-        safe_double("assigned_memory").alias("_assigned"),
+        safe_double("assigned_memory").alias("assigned_memory"),
         *[safe_double(optional(c)).alias(c) for c in (
             "page_cache_memory", "cycles_per_instruction",
             "memory_accesses_per_instruction", "sample_rate")],
         *[safe_int(optional(c)).alias(c) for c in ("scheduling_class", "priority", "cluster")],
     ).where(F.col("label").isNotNull())
-    memory, used = safe_double("req.memory"), safe_double("use.memory")
+    typed = typed.withColumns({
+        "cpu_request": safe_double("req.cpus"), "memory_request": safe_double("req.memory"),
+        "cpu_usage_sample": safe_double("use.cpus"), "memory_usage_sample": safe_double("use.memory"),
+    }).drop("req", "use")
+    held = F.greatest("memory_request", "assigned_memory", F.lit(0.0))
     one = F.lit(1)
-    return typed.select(
+    values = ["cpu_usage_sample", "memory_usage_sample", "assigned_memory", "page_cache_memory",
+              "cycles_per_instruction", "memory_accesses_per_instruction", "sample_rate"]
+    out = typed.select(
         "process_id", "group_id", "label",
         one.alias("total_lines"), one.alias("info_count"),
         one.alias("unique_components"), one.alias("unique_pids"),
-        F.lit(0.0).alias("duration_s"),
-        rounded(safe_double("req.cpus"), 6).alias("cpu_request"),
-        rounded(memory, 6).alias("memory_request"),
-        "priority", "scheduling_class",
-        one.alias("task_count"), one.alias("event_count"),
-        flag(used > F.greatest(memory, F.col("_assigned"), F.lit(0.0))).alias("oom_signal"),
-        rounded(safe_double("use.cpus"), 6).alias("cpu_usage_sample"),
-        rounded(used, 6).alias("memory_usage_sample"),
-        rounded("_assigned", 6).alias("assigned_memory"),
-        *[rounded(c, 6).alias(c) for c in (
-            "page_cache_memory", "cycles_per_instruction",
-            "memory_accesses_per_instruction", "sample_rate")],
-        "cluster",
+        F.lit(0.0).alias("duration_s"), "cpu_request", "memory_request",
+        "priority", "scheduling_class", one.alias("task_count"), one.alias("event_count"),
+        flag(F.col("memory_usage_sample") > held).alias("oom_signal"), *values, "cluster",
     )
+    return rounded_columns(out, {"cpu_request": 6, "memory_request": 6, **{c: 6 for c in values}})

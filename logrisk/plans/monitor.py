@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logrisk.functions.casts import rounded
+from logrisk.functions.casts import rounded_columns
 from logrisk.config import PREDICT_EVERY
 from logrisk.functions import policy as rules
 from logrisk.functions import risk
@@ -34,25 +34,31 @@ def calibrate(scored: DataFrame, *, every: int = PREDICT_EVERY, prior: Column |
     """
     raw = F.col("raw_prob")
     if mode == "raw":
-        return scored.withColumns({"_p": raw}).withColumns({
-            "prediction": risk.prediction("_p"), "risk_level": risk.risk_band("_p"),
-            "failure_probability": rounded("_p", 4)}).drop("_p")
-    if mode == "rules":
-        out = scored.withColumn("_p", risk.rule_probability())
-        explanation, extra = risk.rule_explanation(), {}
+        out = scored.withColumn("_p", raw)
+        digits: dict[str, int] = {}
+    elif mode == "rules":
+        out = scored.withColumns({"_p": risk.rule_probability(), "raw_model_failure_probability": raw})
+        digits = {"raw_model_failure_probability": 4}
     elif mode == "stream":
         prior = prior if isinstance(prior, Column) else F.lit(float(prior))
-        out = scored.withColumn("_signal", risk.signal_probability()).withColumn(
-            "_p", risk.calibrated_probability(raw, F.col("_signal"), prior, every))
-        explanation = risk.signal_explanation(raw)
-        extra = {"signal_failure_probability": rounded("_signal", 4)}
+        signal = F.col("signal_failure_probability")
+        out = (
+            scored.withColumn("signal_failure_probability", risk.signal_probability())
+            .withColumns({"_p": risk.calibrated_probability(raw, signal, prior, every),
+                          "raw_model_failure_probability": raw})
+        )
+        digits = {"raw_model_failure_probability": 4, "signal_failure_probability": 4}
     else:
         raise ValueError(f"unknown mode {mode!r}; use stream, raw or rules")
-    return out.withColumns({
-        "raw_model_failure_probability": rounded(raw, 4), **extra,
+    banded = out.withColumns({
         "prediction": risk.prediction("_p"), "risk_level": risk.risk_band("_p"),
-        "failure_probability": rounded("_p", 4), "explanation": explanation,
-    }).drop("_p", "_signal")
+        "failure_probability": F.col("_p")}).drop("_p")
+    final = rounded_columns(banded, {**digits, "failure_probability": 4})
+    if mode == "raw":
+        return final
+    reasons = (risk.rule_explanation() if mode == "rules"
+               else risk.signal_explanation(F.col("raw_model_failure_probability")))
+    return final.withColumn("explanation", reasons)
 
 
 def decide(alerts: DataFrame, policy: str = "advise",
@@ -92,7 +98,7 @@ def monitor_batch(
     raw: `seq`, `value` and any further columns named in `keys` or `carry`.
     """
     signals = line_signals(raw)
-    prefixes = prefix_features(signals, keys=keys, total="total", carry=carry, limits=limits)
+    prefixes = prefix_features(signals, keys=keys, total="total", carry=carry, limits=limits, lines=raw)
     if final:
         fired = snapshots.triggers(prefixes, every)
     else:

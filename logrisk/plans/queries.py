@@ -41,6 +41,11 @@ def _signals(spark: SparkSession, folder: str) -> DataFrame:
     return logfeatures.line_signals(tables.log_raw(spark, folder))
 
 
+def _prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    raw = tables.log_raw(spark, folder)
+    return logfeatures.prefix_features(logfeatures.line_signals(raw), total="total", lines=raw)
+
+
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
     return logs.clean_labels(tables.block_labels(spark, folder), order=None)
 
@@ -108,7 +113,8 @@ def log_explode(spark, folder):
 @query
 def risk_every_n(spark, folder):
     """The flagship: features and signal risk at every 20th line of each process."""
-    prefixes = logfeatures.prefix_features(_signals(spark, folder))
+    raw = tables.log_raw(spark, folder)
+    prefixes = logfeatures.prefix_features(logfeatures.line_signals(raw), lines=raw)
     features = logfeatures.finish_log_features(snapshots.every_n(prefixes))
     scored = features.withColumn("_p", risk.signal_probability())
     return scored.select("process_id", "seq", *COUNTS, rounded("_p", 4).alias("signal_probability"),
@@ -133,7 +139,9 @@ def unlabelled_anti(spark, folder):
 
 @query
 def error_burst(spark, folder):
-    return logfeatures.history_features(_signals(spark, folder)).select("process_id", "max_error_burst")
+    raw = tables.log_raw(spark, folder)
+    counted = logfeatures.history_features(logfeatures.line_signals(raw), lines=raw)
+    return counted.select("process_id", "max_error_burst")
 
 
 @query
@@ -151,14 +159,14 @@ def dataset_counts(spark, folder):
 
 @query
 def early_warning(spark, folder):
-    prefixes = logfeatures.prefix_features(_signals(spark, folder), total="total")
+    prefixes = _prefixes(spark, folder)
     samples = snapshots.early_warning(prefixes)
     return logfeatures.finish_log_features(samples).select("process_id", "group_id", *COUNTS)
 
 
 @query
 def every_n_plus_final(spark, folder):
-    prefixes = logfeatures.prefix_features(_signals(spark, folder), total="total")
+    prefixes = _prefixes(spark, folder)
     return snapshots.triggers(prefixes).select(
         *KEY, "total_lines", "error_count", "max_error_burst", "unique_components")
 
@@ -171,8 +179,9 @@ def inactivity_sessions(spark, folder):
 
 @query
 def session_numbers(spark, folder):
-    lines = _signals(spark, folder).select("process_id", "seq", "ts_s")
-    return snapshots.with_sessions(lines, gap_s=6 * 3600).select("process_id", "seq", "session_no")
+    raw = tables.log_raw(spark, folder)
+    lines = logfeatures.line_signals(raw).select("process_id", "seq", "ts_s")
+    return snapshots.with_sessions(lines, gap_s=6 * 3600, bound=raw).select("process_id", "seq", "session_no")
 
 
 @query

@@ -51,3 +51,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deals the rows of a scan with very few splits out to all cores.
+
+    A small file is one split, and parsing it on one core takes longer than the
+    shuffle. Scans with enough splits, as any large table has, stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() * 4 > cores else scan.repartition(cores)
+
+
+def has_at_most(df: DataFrame, rows: int, small_bytes: int = 1 << 30) -> bool:
+    """True when a cheap count proves the bound; False when unknown or above.
+
+    Only inputs the optimizer estimates as small are counted.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= small_bytes and df.count() <= rows

@@ -55,14 +55,17 @@ class PrefixCounter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         process = key[0]
         state = self._load()
+        # Names met in this call need no second look at the state store.
+        known: set = set()
         # Rows of one process inside one micro-batch; the trigger options bound them.
         for row in sorted(rows, key=lambda r: r["seq"]):
             silent = self.gap_s is not None and state["seen_s"] is not None and row["ts_s"] is not None
             if silent and row["ts_s"] - state["seen_s"] > self.gap_s:
                 yield self._emit(process, "timeout", state)
                 self.names.clear()
+                known.clear()
                 state = self._fresh(state["session_no"] + 1)
-            self._add(state, row)
+            self._add(state, row, known)
             if state["total_lines"] % self.every == 0:
                 yield self._emit(process, "every_n", state)
         self.counters.update(tuple(state[f.name] for f in STATE.fields))
@@ -93,13 +96,16 @@ class PrefixCounter(StatefulProcessor):
             return self._fresh(1)
         return dict(zip([f.name for f in STATE.fields], self.counters.get()))
 
-    def _add(self, state: dict, row: Row) -> None:
+    def _add(self, state: dict, row: Row, known: set) -> None:
         state["seq"], state["component"] = row["seq"], row["component"]
         state["total_lines"] += 1
         for signal, counter in SUMMED.items():
             state[counter] += row[signal]
         for kind, counter in (("component", "unique_components"), ("pid", "unique_pids")):
             name = (kind, row[kind])
+            if name in known:
+                continue
+            known.add(name)
             if not self.names.containsKey(name):
                 self.names.updateValue(name, (True,))
                 state[counter] += 1
