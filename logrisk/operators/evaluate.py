@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logrisk.functions.casts import rounded_columns
 from logrisk.operators.ordered import Limits, Run, running
+from logrisk.session import checkpointed
 
 
 def _predicted(prob: str | None, pred: str | None, threshold: float) -> Column:
@@ -94,7 +95,11 @@ def by_score(rows: DataFrame, *, label: str = "label", prob: str = "prob") -> Da
 
 
 def cumulated(scores: DataFrame, *, limits: Limits = Limits()) -> DataFrame:
-    """Counts at or above each score, and the overall counts on every row."""
+    """Counts at or above each score, and the overall counts on every row.
+
+    The distinct scores are stored: they are counted, accumulated and summed.
+    """
+    scores = checkpointed(scores)
     runs = [Run("tp", "sum", F.col("pos")), Run("fp", "sum", F.col("neg"))]
     out = running(scores, [], [F.col("score").desc()], [runs], limits=limits)
     whole = scores.agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))

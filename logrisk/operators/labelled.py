@@ -9,7 +9,7 @@ from logrisk.operators import snapshots, traces
 from logrisk.operators.logfeatures import (
     finish_log_features, history_features, line_signals, prefix_features,
 )
-from logrisk.operators.ordered import Limits
+from logrisk.operators.ordered import Limits, row_numbers
 from logrisk.operators.schema import align
 
 
@@ -66,16 +66,44 @@ def event_prefixes(events: DataFrame, fractions=snapshots.FRACTIONS,
 
     Every event is repeated for the (at most `len(fractions)`) samples it is part of.
     """
-    from logrisk.operators.ordered import row_numbers
+    return _prefixes(events, "job_id", fractions, limits)
 
-    numbered = row_numbers(events, ["job_id"], ["seq"], "_n", total="_total", limits=limits, bound=events)
+
+def _prefixes(events: DataFrame, key: str, fractions, limits: Limits) -> DataFrame:
+    numbered = row_numbers(events, [key], ["seq"], "_n", total="_total", limits=limits, bound=events)
     sizes = F.array_distinct(F.array(*[
         F.greatest(F.lit(1), F.least(F.col("_total"), F.ceil(F.col("_total") * F.lit(f)))).cast("long")
         for f in snapshots.check_fractions(fractions)]))
     part_of = F.filter(sizes, lambda s: s >= F.col("_n"))
-    name = F.concat("job_id", F.lit("@"), F.col("_size").cast("string"), F.lit("_of_"),
+    name = F.concat(key, F.lit("@"), F.col("_size").cast("string"), F.lit("_of_"),
                     F.col("_total").cast("string"))
     return (
         numbered.withColumn("_size", F.explode(part_of))
-        .withColumn("job_id", name).drop("_n", "_total", "_size")
+        .withColumn(key, name).drop("_n", "_total", "_size")
     )
+
+
+def gpu_samples(jobs: DataFrame, tasks: DataFrame, *, early: bool = False,
+                fractions=snapshots.FRACTIONS, limits: Limits = Limits()) -> DataFrame:
+    """Canonical rows of GPU jobs; a prefix sample is the job's first tasks by `seq`."""
+    if not early:
+        return align(traces.gpu_features(jobs, tasks), "alibaba")
+    known = jobs.select(F.col("job_name").alias("group_id"), "label", "job_start_time")
+    own = traces.tasks_of(tasks, jobs).withColumn("group_id", F.col("job_name"))
+    prefixed = _prefixes(own, "job_name", fractions, limits)
+    samples = prefixed.select("group_id", "job_name").distinct().join(known, "group_id")
+    idle = known.join(own.select("group_id").distinct(), "group_id", "left_anti").withColumn(
+        "job_name", F.concat("group_id", F.lit("@1_of_1")))
+    every = samples.unionByName(idle)
+    features = traces.gpu_features(every, prefixed.drop("group_id"))
+    groups = every.select(F.col("job_name").alias("process_id"), "group_id")
+    return align(features.join(groups, "process_id"), "alibaba")
+
+
+def borg_samples(rows: DataFrame, *, early: bool = False) -> DataFrame:
+    """Canonical instance rows; as a prefix sample each row is its own group of one."""
+    features = traces.borg_features(rows)
+    if early:
+        features = features.withColumn("group_id", F.col("process_id")).withColumn(
+            "process_id", F.concat("process_id", F.lit("@1_of_1")))
+    return align(features, "google2019")

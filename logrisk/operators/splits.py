@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logrisk.functions.casts import rounded
 from logrisk.config import FOLDS, TEST_SHARE
 from logrisk.operators.ordered import Limits, row_numbers
+from logrisk.session import checkpointed
 
 
 def group_labels(rows: DataFrame, group: str = "group_id", label: str = "label") -> DataFrame:
@@ -27,7 +28,10 @@ def can_group_split(groups: DataFrame) -> DataFrame:
 
 
 def _shuffled(groups: DataFrame, group: str, limits: Limits) -> DataFrame:
-    """Numbers the groups of each label by the md5 of the group id."""
+    """Numbers the groups of each label by the md5 of the group id.
+
+    Expects stored groups: they are read once to count and once to number.
+    """
     hashed = groups.withColumn("_h", F.md5(F.col(group).cast("string")))
     out = row_numbers(hashed, ["label"], ["_h", group], "rn", total="in_label", limits=limits)
     return out.drop("_h")
@@ -36,7 +40,7 @@ def _shuffled(groups: DataFrame, group: str, limits: Limits) -> DataFrame:
 def group_holdout(groups: DataFrame, *, group: str = "group_id", share: float = TEST_SHARE,
                   limits: Limits = Limits()) -> DataFrame:
     """`is_test` for the first share of the groups of each label, in hash order."""
-    numbered = _shuffled(groups, group, limits)
+    numbered = _shuffled(checkpointed(groups), group, limits)
     test = F.col("rn") <= F.ceil(F.col("in_label") * F.lit(share))
     return numbered.select(group, "label", test.cast("int").alias("is_test"))
 
@@ -44,6 +48,7 @@ def group_holdout(groups: DataFrame, *, group: str = "group_id", share: float =
 def group_folds(groups: DataFrame, *, group: str = "group_id", folds: int = FOLDS,
                 limits: Limits = Limits()) -> DataFrame:
     """Stratified fold per group; the number of folds is at most the smallest class."""
+    groups = checkpointed(groups)
     numbered = _shuffled(groups, group, limits)
     smallest = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("_k"))
     k = F.least(F.lit(folds), F.col("_k"))

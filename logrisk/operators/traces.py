@@ -208,6 +208,7 @@ def gpu_jobs(raw: DataFrame, *, order: str = "seq", limit: int | None = None) ->
 def gpu_tasks(raw: DataFrame) -> DataFrame:
     """Typed tasks; planned cpu and gpu are percent of one unit."""
     return raw.select(
+        *[F.col(c) for c in ("seq",) if c in raw.columns],
         F.trim(F.col("job_name").cast("string")).alias("job_name"),
         F.coalesce(F.col("task_name"), F.lit("")).alias("task_name"),
         safe_double("start_time").alias("time"),

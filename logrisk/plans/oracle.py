@@ -453,6 +453,16 @@ def build() -> dict[str, str]:
         f"{job_runs('pre')} select process_id, total_lines, error_count, retry_count, max_error_burst, duration_s, "
         "cpu_request, oom_signal from job_feats")
     q["gpu_job_features"] = f"with {GPU}, {GPU_FEATS} select * from gpu_feats"
+    q["gpu_early_warning"] = (
+        f"with {GPU}, {GPU_FEATS}, num as (select *, row_number() over (partition by job_name order by task_name, cpu_request) as rn, "
+        "count(*) over (partition by job_name) as total from gpu_rows), "
+        f"sz as (select distinct job_name, total, unnest([{sizes}]) as size from num), "
+        "pre as (select s.job_name || '@' || s.size || '_of_' || s.total as process_id, n.* exclude (total) from num n join sz s "
+        "on n.job_name = s.job_name and n.rn <= s.size) "
+        "select process_id, any_value(job_name) as group_id, any_value(label) as label, count(*) as total_lines, "
+        "rnd(sum(instance_count), 4) as instance_count, rnd(greatest(0, max(time) - any_value(job_start_time)), 2) as duration_s, "
+        "rnd(max(cpu_request), 4) as cpu_request, rnd(greatest(0, min(time) - any_value(job_start_time)), 4) as scheduling_delay_s "
+        "from pre group by process_id")
     q["gpu_tasks_semi"] = (f"with {GPU} select job_name, task_name, time, instance_count, cpu_request, memory_request, gpu_request "
                            "from tasks where job_name in (select job_name from jobs)")
     q["jobs_with_tasks"] = (f"with {GPU}, {GPU_FEATS} select job_name, status, label, task_name, time, instance_count, cpu_request, "

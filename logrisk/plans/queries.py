@@ -17,7 +17,7 @@ from logrisk.operators import (
     etl, evaluate, labelled, logfeatures, ml, report, schema, snapshots, splits, traces,
 )
 from logrisk.plans import monitor, tables
-from logrisk.session import shared_folder
+from logrisk.session import checkpointed, shared_folder
 from logrisk.sources import logs
 from logrisk.sources.zipcsv import register_zip_csv
 from logrisk.streaming import monitor as live
@@ -258,6 +258,16 @@ def gpu_job_features(spark, folder):
     return traces.gpu_features(*_gpu(spark, folder))
 
 
+@query
+def gpu_early_warning(spark, folder):
+    jobs, _ = _gpu(spark, folder)
+    tasks = traces.gpu_tasks(tables.gpu_tasks(spark, folder).withColumn(
+        "seq", F.struct("task_name", "plan_cpu")))
+    return labelled.gpu_samples(jobs, tasks, early=True).select(
+        "process_id", "group_id", "label", "total_lines", "instance_count", "duration_s",
+        "cpu_request", "scheduling_delay_s")
+
+
 @query
 def gpu_tasks_semi(spark, folder):
     jobs, tasks = _gpu(spark, folder)
@@ -304,8 +314,8 @@ def _sources(spark, folder) -> list[DataFrame]:
     return [
         labelled.log_samples(tables.log_raw(spark, folder), _labels(spark, folder)),
         labelled.job_samples(_events(spark, folder)),
-        schema.align(traces.gpu_features(jobs, tasks), "alibaba"),
-        schema.align(traces.borg_features(tables.borg_rows(spark, folder)), "google2019"),
+        labelled.gpu_samples(jobs, tasks),
+        labelled.borg_samples(tables.borg_rows(spark, folder)),
     ]
 
 
@@ -606,13 +616,15 @@ def recent_alerts(spark, folder):
 
 @query
 def risk_timeline(spark, folder):
-    return report.timeline(_session_alerts(spark, folder)).select(
+    return report.timeline(
+        checkpointed(_session_alerts(spark, folder).drop("explanation", "recommendation"))).select(
         "session_id", *KEY, "prediction_no", "percent")
 
 
 @query
 def high_seen_before(spark, folder):
-    return report.high_seen_before(_session_alerts(spark, folder)).select("session_id", *KEY, "high_before")
+    alerts = checkpointed(_session_alerts(spark, folder).drop("explanation", "recommendation"))
+    return report.high_seen_before(alerts).select("session_id", *KEY, "high_before")
 
 
 @query
@@ -651,7 +663,8 @@ def line_resources(spark, folder):
 
 @query
 def session_report(spark, folder):
-    alerts = _session_alerts(spark, folder)
+    # The report reads its alerts several times, so they are stored first.
+    alerts = checkpointed(_session_alerts(spark, folder).drop("explanation", "recommendation"))
     lines = _signals(spark, folder).select("seq", "process_id", "level", "component").withColumns({
         "session_id": _session(), "stage": text.component_stage("component")})
     made = report.session_report(lines, alerts)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logrisk.functions.casts import flag
+from logrisk.session import checkpointed
+
+MAX_BROADCAST_SPLITS = 1_000_000
 
 
 def read_log(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
@@ -15,31 +18,36 @@ def read_log(spark: SparkSession, path: str | list[str], limit: int | None = Non
     input split (one row per split), and their running sum gives the offset of
     a split. Bytes that are no UTF-8 become the replacement character.
     """
-    here = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    splits = here.groupBy("file", "start").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("at").alias("first_at"))
-    # One row per input split (about 128 MB of text), so the unpartitioned window is small.
-    ordered = splits.selectExpr(
-        "file", "start", "first_at",
-        "coalesce(sum(lines) over (order by file, start rows between unbounded preceding"
-        " and 1 preceding), 0) as offset",
-    )
-    numbered = here.join(ordered, ["file", "start"]).select(
-        (F.col("offset") + F.col("at") - F.col("first_at")).alias("seq"),
-        F.col("value"),
-    )
+    numbered = numbered_rows(spark.read.text(path))
     return numbered if limit is None else numbered.where(F.col("seq") < limit)
 
 
+def numbered_rows(raw: DataFrame) -> DataFrame:
+    """Adds the dense row number `seq` from 0, in file order, to rows read from files."""
+    placed = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    splits = placed.groupBy("_file", "_start").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    # One row per input split (about 128 MB of text): an unpartitioned window is enough.
+    offsets = checkpointed(splits.selectExpr(
+        "_file", "_start", "_first",
+        "coalesce(sum(_rows) over (order by _file, _start rows between unbounded preceding"
+        " and 1 preceding), 0) as _before",
+    ))
+    # Broadcast, so that the text itself is not shuffled; beyond the bound an ordinary join.
+    if offsets.count() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    return placed.join(offsets, ["_file", "_start"]).select(
+        (F.col("_before") + F.col("_at") - F.col("_first")).alias("seq"), *raw.columns)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label file with either header spelling; `process_id`, `label`."""
-    raw = spark.read.option("header", True).csv(path)
-    return clean_labels(raw.withColumn("seq", F.monotonically_increasing_id()))
+    return clean_labels(numbered_rows(spark.read.option("header", True).csv(path)))
 
 
 def clean_labels(raw: DataFrame, order: str | None = "seq") -> DataFrame:

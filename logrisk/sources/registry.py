@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from logrisk.operators import labelled, traces
+from logrisk.operators import labelled
 from logrisk.operators.ordered import Limits
-from logrisk.operators.schema import align, union_sources
+from logrisk.operators.schema import union_sources
 from logrisk.sources import logs
 from logrisk.sources import traces as trace_files
 
@@ -42,11 +42,11 @@ def load_features(spark: SparkSession, source: str, *, early: bool = False,
         if name == "alibaba":
             bound = {} if limit is None else {"limit": limit}
             jobs, tasks = trace_files.read_gpu_trace(spark, paths["archive"], **bound)
-            return align(traces.gpu_features(jobs, tasks), name)
+            return labelled.gpu_samples(jobs, tasks, early=early, fractions=fractions, limits=limits)
         if name == "google2019":
             bound = {} if limit is None else {"limit": limit}
             rows = trace_files.read_borg(spark, paths["archive"], **bound)
-            return align(traces.borg_features(rows), name)
+            return labelled.borg_samples(rows, early=early)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):
             raise FileNotFoundError(f"input of source {name!r} not found: {paths}") from missing

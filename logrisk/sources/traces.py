@@ -6,37 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logrisk.operators import traces
+from logrisk.sources.logs import numbered_rows
 from logrisk.sources.zipcsv import register_zip_csv
 
 
-def with_row_order(raw: DataFrame) -> DataFrame:
-    """File order of CSV rows: file, split, and place inside the split."""
-    return raw.select(
-        "*",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("at"),
-        ).alias("seq"),
-    )
-
-
-def numbered_rows(raw: DataFrame) -> DataFrame:
-    """Dense row number from 0 in file order; counts the rows of each split first."""
-    placed = with_row_order(raw)
-    splits = placed.groupBy("seq.file", "seq.start").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("seq.at").alias("first_at"))
-    ordered = splits.selectExpr(
-        "file", "start", "first_at",
-        "coalesce(sum(rows) over (order by file, start rows between unbounded preceding"
-        " and 1 preceding), 0) as offset",
-    )
-    place = (F.col("p.seq.file") == F.col("o.file")) & (F.col("p.seq.start") == F.col("o.start"))
-    number = F.col("o.offset") + F.col("p.seq.at") - F.col("o.first_at")
-    return placed.alias("p").join(ordered.alias("o"), place).select(
-        number.alias("seq"), *[F.col(f"p.{c}") for c in raw.columns])
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, all columns text, quotes doubled inside quotes."""
     return spark.read.option("header", True).option("escape", '"').csv(path)

@@ -35,7 +35,10 @@ def _plain(value, digits: int):
     return str(value)
 
 
-def rows(columns, data, digits: int = 9):
+DIGITS = int(os.environ.get("COMPARE_DIGITS", "9"))
+
+
+def rows(columns, data, digits: int = DIGITS):
     place = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_plain(r[i], digits) for i in place) for r in data]
     return sorted(columns), sorted(out, key=repr)
