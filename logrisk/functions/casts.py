@@ -28,6 +28,17 @@ def safe_int(c, default: int = 0) -> Column:
     return F.coalesce(number.try_cast("int"), F.lit(default))
 
 
+def number(df: DataFrame, name: str, kind: str = "double") -> Column:
+    """A column as DOUBLE or INT, 0 where it holds no number.
+
+    Text is cast leniently; columns that are numbers already skip the way through text.
+    """
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        zero = F.lit(0).cast(kind)
+        return F.coalesce(F.col(name).try_cast(kind), zero)
+    return safe_double(name) if kind == "double" else safe_int(name)
+
+
 def label_flag(c) -> Column:
     """1, 0 or NULL for unknown text."""
     text = F.lower(F.trim(_col(c)))

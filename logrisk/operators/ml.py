@@ -117,7 +117,8 @@ def cross_validated_f1(pipeline: Pipeline | None, train: DataFrame, folds: int =
 
 
 def metrics_row(scored: DataFrame, name: str, cv: tuple[float, float]) -> DataFrame:
-    """All held-out metrics of one model in one row."""
+    """All held-out metrics of one model in one row; the rows are scored once."""
+    scored = checkpointed(scored.select("label", "raw_prob"))
     counts = evaluate.class_metrics(evaluate.confusion(scored, prob="raw_prob"))
     ranks = evaluate.ranking_metrics(scored, prob="raw_prob")
     loss = evaluate.log_loss(scored, prob="raw_prob")

@@ -64,14 +64,14 @@ def triggers(prefixes: DataFrame, every: int = PREDICT_EVERY, *, n: str = "total
 
 
 def with_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts_s",
-                  order: tuple[str, ...] = ("seq",), gap_s: int = FLUSH_SECONDS,
+                  order: tuple[str, ...] = ("seq",), gap: int = FLUSH_SECONDS,
                   limits: Limits = Limits(), bound: DataFrame | None = None) -> DataFrame:
-    """Numbers the activity sessions of a key; a gap longer than `gap_s` starts a new one.
+    """Numbers the activity sessions of a key; a gap longer than `gap` starts a new one.
 
-    The time before a row is the newest time seen so far, so a line that
-    arrives late never opens a session.
+    `gap` is in the unit of `ts`. The time before a row is the newest time seen
+    so far, so a line that arrives late never opens a session.
     """
-    starts = F.when(F.col(ts) - F.col("_seen") > gap_s, 1).otherwise(0)
+    starts = F.when(F.col(ts) - F.col("_seen") > gap, 1).otherwise(0)
     out = running(
         lines, [key], list(order),
         [[Run("_seen", "max_before", F.col(ts))], [Run("session_no", "sum", starts)]],
@@ -81,11 +81,17 @@ def with_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts_s"
 
 
 def inactivity_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts",
-                        gap: str = f"{FLUSH_SECONDS} seconds") -> DataFrame:
-    """Start, end and row count per activity session of a key."""
-    ended = lines.groupBy(key, F.session_window(ts, gap).alias("_w")).agg(
+                        order: tuple[str, ...] = ("seq",), gap_s: int = FLUSH_SECONDS,
+                        limits: Limits = Limits(), bound: DataFrame | None = None) -> DataFrame:
+    """Start, end and row count per activity session of a key.
+
+    Not by `session_window`, which merges all rows of a key in one task.
+    """
+    timed = lines.select(key, ts, *order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    numbered = with_sessions(timed, key=key, ts="_us", order=order, gap=gap_s * 1_000_000,
+                             limits=limits, bound=bound)
+    return numbered.groupBy(key, "session_no").agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_rows"))
-    return ended.drop("_w")
 
 
 def cut_after_first(rows: DataFrame, condition: Column, *, key: str, order: str,

@@ -9,7 +9,7 @@ from logrisk.config import (
     EVENT_COLUMNS_8, EVENT_COLUMNS_12, EVENT_NAMES, FAIL_EVENTS, FINISH_EVENT, SCHEDULE_EVENT,
 )
 from logrisk.functions.casts import (
-    flag, label_flag, resource_struct, rounded_columns, safe_double, safe_int, share,
+    flag, label_flag, number, resource_struct, rounded_columns, safe_double, share,
 )
 from logrisk.operators.ordered import Limits, Run, bursts, running
 
@@ -38,18 +38,24 @@ def clean_events(raw: DataFrame, order: str = "seq") -> DataFrame:
                 return F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
         return F.lit(default)
 
+    def measure(*names: str, kind: str = "double") -> Column:
+        for name in names:
+            if name in folded.columns:
+                return number(folded, name, kind)
+        return F.lit(0).cast(kind)
+
     code = pick("event_type", "type", default="-1").try_cast("double").try_cast("int")
     typed = folded.select(
         F.col(order),
-        safe_double(pick("time", "timestamp")).alias("time"),
+        measure("time", "timestamp").alias("time"),
         pick("job_id", "jobid").alias("job_id"),
         code.alias("event_type"),
         event_name(code).alias("event_name"),
-        safe_int(pick("scheduling_class")).alias("scheduling_class"),
-        safe_int(pick("priority")).alias("priority"),
-        safe_double(pick("cpu_request", "cpu")).alias("cpu_request"),
-        safe_double(pick("memory_request", "memory")).alias("memory_request"),
-        safe_double(pick("disk_space_request", "disk")).alias("disk_request"),
+        measure("scheduling_class", kind="int").alias("scheduling_class"),
+        measure("priority", kind="int").alias("priority"),
+        measure("cpu_request", "cpu").alias("cpu_request"),
+        measure("memory_request", "memory").alias("memory_request"),
+        measure("disk_space_request", "disk").alias("disk_request"),
         pick("user").alias("user"),
     )
     return typed.where((F.col("job_id") != "") & F.col("event_type").isNotNull())
@@ -192,9 +198,9 @@ def gpu_jobs(raw: DataFrame, *, order: str = "seq", limit: int | None = None) ->
     name = F.trim(F.col("job_name").cast("string"))
     kept = raw.select(
         order, name.alias("job_name"), status.alias("status"),
-        safe_double("start_time").alias("job_start_time"),
+        number(raw, "start_time").alias("job_start_time"),
         *[F.col(c) for c in ("user",) if c in raw.columns],
-        *[safe_double(c).alias("job_end_time") for c in ("end_time",) if c in raw.columns],
+        *[number(raw, c).alias("job_end_time") for c in ("end_time",) if c in raw.columns],
     ).where(status.isin("terminated", "failed") & (name != ""))
     if limit:
         seen = kept.groupBy("job_name").agg(F.min(order).alias("_first"))
@@ -211,11 +217,11 @@ def gpu_tasks(raw: DataFrame) -> DataFrame:
         *[F.col(c) for c in ("seq",) if c in raw.columns],
         F.trim(F.col("job_name").cast("string")).alias("job_name"),
         F.coalesce(F.col("task_name"), F.lit("")).alias("task_name"),
-        safe_double("start_time").alias("time"),
-        safe_double("inst_num").alias("instance_count"),
-        (safe_double("plan_cpu") / 100.0).alias("cpu_request"),
-        safe_double("plan_mem").alias("memory_request"),
-        (safe_double("plan_gpu") / 100.0).alias("gpu_request"),
+        number(raw, "start_time").alias("time"),
+        number(raw, "inst_num").alias("instance_count"),
+        (number(raw, "plan_cpu") / 100.0).alias("cpu_request"),
+        number(raw, "plan_mem").alias("memory_request"),
+        (number(raw, "plan_gpu") / 100.0).alias("gpu_request"),
     )
 
 
@@ -299,8 +305,8 @@ def gpu_features(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def borg_features(raw: DataFrame, order: str = "seq") -> DataFrame:
     """One feature row per labelled instance row; no end-time features."""
-    def optional(name: str) -> Column:
-        return F.col(name) if name in raw.columns else F.lit(None).cast("string")
+    def measure(name: str, kind: str = "double") -> Column:
+        return number(raw, name, kind) if name in raw.columns else F.lit(0).cast(kind)
 
     request = resource_struct("resource_request")
     usage = resource_struct("random_sample_usage")
@@ -314,11 +320,11 @@ def borg_features(raw: DataFrame, order: str = "seq") -> DataFrame:
         collection.alias("group_id"),
         F.concat_ws(":", collection, instance, F.col(order).cast("string")).alias("process_id"),
         request.alias("req"), usage.alias("use"),
-        safe_double("assigned_memory").alias("assigned_memory"),
-        *[safe_double(optional(c)).alias(c) for c in (
+        measure("assigned_memory").alias("assigned_memory"),
+        *[measure(c).alias(c) for c in (
             "page_cache_memory", "cycles_per_instruction",
             "memory_accesses_per_instruction", "sample_rate")],
-        *[safe_int(optional(c)).alias(c) for c in ("scheduling_class", "priority", "cluster")],
+        *[measure(c, "int").alias(c) for c in ("scheduling_class", "priority", "cluster")],
     ).where(F.col("label").isNotNull())
     typed = typed.withColumns({
         "cpu_request": safe_double("req.cpus"), "memory_request": safe_double("req.memory"),

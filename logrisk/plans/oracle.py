@@ -417,7 +417,7 @@ def build() -> dict[str, str]:
     q["inactivity_sessions"] = (
         "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour "
         "then 0 else 1 end as b from events), n as (select *, sum(b) over (partition by user_id order by ts) as s from g) "
-        "select user_id as process_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n_rows from n group by user_id, s")
+        "select user_id as process_id, cast(s as bigint) as session_no, min(ts) as first_ts, max(ts) as last_ts, count(*) as n_rows from n group by user_id, s")
     q["session_numbers"] = (
         f"with {LOG_RAW}, {PARSED}, {LINES}, g as (select process_id, seq, case when ts_s - max(ts_s) over (partition by process_id "
         "order by seq rows between unbounded preceding and 1 preceding) > 21600 then 1 else 0 end as b from lines) "

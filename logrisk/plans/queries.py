@@ -173,15 +173,16 @@ def every_n_plus_final(spark, folder):
 
 @query
 def inactivity_sessions(spark, folder):
-    events = tables.table(spark, folder, "events").select(F.col("user_id").alias("process_id"), "ts")
-    return snapshots.inactivity_sessions(events, gap="6 hours")
+    events = tables.table(spark, folder, "events").select(
+        F.col("user_id").alias("process_id"), "ts", F.col("event_id").alias("seq"))
+    return snapshots.inactivity_sessions(events, gap_s=6 * 3600, bound=events)
 
 
 @query
 def session_numbers(spark, folder):
     raw = tables.log_raw(spark, folder)
     lines = logfeatures.line_signals(raw).select("process_id", "seq", "ts_s")
-    return snapshots.with_sessions(lines, gap_s=6 * 3600, bound=raw).select("process_id", "seq", "session_no")
+    return snapshots.with_sessions(lines, gap=6 * 3600, bound=raw).select("process_id", "seq", "session_no")
 
 
 @query

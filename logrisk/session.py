@@ -17,8 +17,8 @@ def build_session(app: str = "logrisk", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        # Sessions of one key are merged inside each map task before the shuffle.
-        "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+        # Call sites of every column expression are costly to record for wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,

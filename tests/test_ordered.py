@@ -79,7 +79,7 @@ def test_hot_processes(spark):
     same(prefix_features(signals, total="total"), prefix_features(signals, total="total", limits=SPLIT))
     same(history_features(signals), history_features(signals, limits=SPLIT))
     lines = signals.select("process_id", "seq", "ts_s")
-    same(with_sessions(lines, gap_s=3600), with_sessions(lines, gap_s=3600, limits=SPLIT))
+    same(with_sessions(lines, gap=3600), with_sessions(lines, gap=3600, limits=SPLIT))
 
 
 def test_hot_jobs(spark):

@@ -1,6 +1,7 @@
 """The stream gives what the batch monitor gives, however the lines are cut into batches."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,45 @@ def test_silence_restarts_counting(spark, tmp_path):
     got = live.stream_alerts(spark, out).select("trigger", "seq", "lines_seen", "session_no").collect()
     # A gap of exactly 30 seconds goes on; 31 seconds end the process.
     assert sorted(map(tuple, got)) == [("every_n", 1, 2, 1), ("every_n", 3, 2, 2), ("timeout", 1, 2, 1)]
+
+
+def test_high_stops_the_query(spark, parts, tmp_path):
+    out = str(tmp_path / "out")
+    query = live.monitor_stream(stream(spark, parts), out, every=2, policy="auto_stop", stop_on_high=True,
+                                trigger={"processingTime": "0 seconds"})
+    assert not query.isActive
+    alerts = live.stream_alerts(spark, out)
+    assert alerts.where("action = 'AUTO_STOP'").count() > 0
+
+
+def test_silence_on_the_clock(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(i, f"260101 0000{i:02d} 1 INFO c: x blk_1") for i in range(3)]
+    spark.createDataFrame(rows, "seq long, value string").coalesce(1).write.parquet(folder)
+    query = live.monitor_stream(stream(spark, folder), out, every=2, timer_ms=500,
+                                trigger={"processingTime": "1 second"})
+    try:
+        deadline = time.time() + 90
+        found = 0
+        while time.time() < deadline and not found:
+            time.sleep(2)
+            if os.path.isdir(os.path.join(out, "alerts")):
+                found = live.stream_alerts(spark, out).where("trigger = 'timeout'").count()
+    finally:
+        query.stop()
+    row = live.stream_alerts(spark, out).where("trigger = 'timeout'").first()
+    assert (row["lines_seen"], row["seq"]) == (3, 2)
+
+
+def test_running_summary(spark, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = [("a", 1, 0.2, "LOW", 0), ("a", 2, 0.8, "HIGH", 1), ("b", 1, 0.5, "MEDIUM", 1)]
+    names = "process_id string, seq long, failure_probability double, risk_level string, prediction int"
+    spark.createDataFrame(rows, names).write.parquet(folder)
+    source = spark.readStream.schema(names).parquet(folder)
+    query = (live.session_counts(source).writeStream.outputMode("complete").format("memory").queryName("summary")
+             .option("checkpointLocation", target).trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = {r["process_id"]: r for r in spark.table("summary").collect()}
+    assert (got["a"]["total_predictions"], got["a"]["HIGH"], got["a"]["current_risk"], got["a"]["peak_probability"]) == (2, 1, "HIGH", 0.8)
+    assert got["b"]["MEDIUM"] == 1
