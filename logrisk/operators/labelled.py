@@ -11,6 +11,7 @@ from logrisk.operators.logfeatures import (
 )
 from logrisk.operators.ordered import Limits, row_numbers
 from logrisk.operators.schema import align
+from logrisk.session import checkpointed
 
 
 def with_labels(features: DataFrame, labels: DataFrame, key: str = "process_id") -> DataFrame:
@@ -88,13 +89,15 @@ def gpu_samples(jobs: DataFrame, tasks: DataFrame, *, early: bool = False,
     """Canonical rows of GPU jobs; a prefix sample is the job's first tasks by `seq`."""
     if not early:
         return align(traces.gpu_features(jobs, tasks), "alibaba")
+    # Jobs and prefixes are each read several times, so they are stored.
+    jobs = checkpointed(jobs)
     known = jobs.select(F.col("job_name").alias("group_id"), "label", "job_start_time")
     own = traces.tasks_of(tasks, jobs).withColumn("group_id", F.col("job_name"))
-    prefixed = _prefixes(own, "job_name", fractions, limits)
-    samples = prefixed.select("group_id", "job_name").distinct().join(known, "group_id")
-    idle = known.join(own.select("group_id").distinct(), "group_id", "left_anti").withColumn(
-        "job_name", F.concat("group_id", F.lit("@1_of_1")))
-    every = samples.unionByName(idle)
+    prefixed = checkpointed(_prefixes(own, "job_name", fractions, limits))
+    named = prefixed.select("group_id", "job_name").distinct()
+    # A job without tasks has one sample: its default task.
+    every = known.join(named, "group_id", "left").withColumn(
+        "job_name", F.coalesce("job_name", F.concat("group_id", F.lit("@1_of_1"))))
     features = traces.gpu_features(every, prefixed.drop("group_id"))
     groups = every.select(F.col("job_name").alias("process_id"), "group_id")
     return align(features.join(groups, "process_id"), "alibaba")
