@@ -531,6 +531,7 @@ def build() -> dict[str, str]:
         "select session_id, policy, high_risk_count, case when high_risk_count > 0 and policy = 'auto_stop' then 'pipeline_stopped' "
         f"when high_risk_count > 0 then 'operator_review_advised' else 'continue' end as decision from c, {POLICIES}")
     q["confusion"] = f"with {SCORED}, {CONFUSION} select * from cm"
+    q["failure_prior"] = (f"with {SCORED}, {CONFUSION} select greatest({D(0.05)}, least({D(0.35)}, (tp + fn) / cast(tp + fn + tn + fp as double))) as prior from cm")
     mcc_root = "sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn))"
     q["class_metrics"] = (
         f"with {SCORED}, {CONFUSION}, d as (select tp::double as tp, tn::double as tn, fp::double as fp, fn::double as fn from cm) "
@@ -581,6 +582,13 @@ def build() -> dict[str, str]:
         "when contains(component, 'Loader') then 'Load' else 'Monitor' end as stage, component, count(*) as n from parsed group by 1, 2")
     q["alert_text"] = (f"{WITH_ALERTS} select process_id, seq, trigger, '[' || risk_level || ']  ' || case when prediction = 1 then '[WARN] FAILURE PREDICTED' "
                        f"else '[OK] OK' end || '  | process: ' || process_id || '  | prob: ' || {PERCENT} || '  | lines seen: ' || total_lines as alert from alerts")
+    q["text_alerts"] = (
+        f"with {APP}, log_raw as (select seq, strftime(ts, '%y%m%d %H%M%S') || ' ' || cast(user_id as varchar) || ' ' || level || ' external.' || stage || ': ' "
+        "|| stage || ' stage event for ' || 'blk_-99' || lpad(cast(user_id as varchar), 8, '0') || ': ' || line as value from app_level), "
+        f"{PARSED}, {LINES}, {ISLANDS}, {PREFIX}, {FIRED}, {finished('fired', 'feats')}, {SCORES} "
+        "select process_id, seq, trigger, total_lines as lines_seen, failure_probability, risk_level, "
+        "case when trigger = 'final' then 'Monitor' else replace(component, 'external.', '') end as stage, "
+        "case when trigger = 'final' then 'pipeline.Monitor' else component end as component from alerts")
     q["etl_validate"] = f"with {ETL} select order_id, amount, currency from etl where amount <= 0"
     q["etl_missing"] = "select * from (values ('currency'), ('status')) as t(missing_column)"
     q["etl_curate"] = (f"with {ETL} select order_id, customer_id, order_date, status, amount_usd, "

@@ -425,6 +425,13 @@ def confusion(spark, folder):
     return evaluate.confusion(tables.scored(spark, folder), threshold=0.1)
 
 
+@query
+def failure_prior(spark, folder):
+    counts = confusion(spark, folder)
+    prior = risk.failure_prior(*[F.col(c) for c in ("tp", "fn", "tn", "fp")])
+    return counts.select(prior.alias("prior"))
+
+
 @query
 def class_metrics(spark, folder):
     return evaluate.class_metrics(confusion(spark, folder))
@@ -541,6 +548,14 @@ def alert_text(spark, folder):
     return _alerts(spark, folder).select(*KEY, risk.alert_text().alias("alert"))
 
 
+@query
+def text_alerts(spark, folder):
+    """Free-text lines through the adapter into the monitor, one process per run."""
+    alerts = monitor.monitor_text(tables.app_logs(spark, folder), value="line", pid="user_id",
+                                  stamp=text.line_stamp("ts"))
+    return alerts.select(*KEY, "lines_seen", "failure_probability", "risk_level", "stage", "component")
+
+
 # ------------------------------------------------------------------ order curation
 
 

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def write_curated(rows: DataFrame, folder: str, *, by_risk: bool = False) -> None:
@@ -23,6 +24,15 @@ def append_lines(lines: DataFrame, folder: str, column: str) -> None:
     lines.select(F.col(column).alias("value")).write.mode("append").text(folder)
 
 
+def append_stream(lines: DataFrame, folder: str, column: str, checkpoint: str) -> StreamingQuery:
+    """The streaming form of `append_lines`."""
+    text = lines.select(F.col(column).alias("value"))
+    return (
+        text.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def write_ranking(ranking: DataFrame, header: DataFrame, folder: str) -> None:
     """One row per model as CSV; the data-set header with the rows as JSON."""
     ranking.coalesce(1).write.mode("overwrite").option("header", True).csv(

@@ -15,6 +15,7 @@ from logrisk.functions.text import is_stop_marker
 from logrisk.operators.logfeatures import SIGNALS, finish_log_features, line_signals
 from logrisk.plans.monitor import Scorer, by_rules, calibrate, decide
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTERS = list(SIGNALS.values())
 SUMMED = {s: c for s, c in SIGNALS.items() if c not in ("unique_components", "unique_pids")}
 OUTPUT = T.StructType(
@@ -165,6 +166,8 @@ def monitor_stream(
     its own output. `on_alerts` is called with the alerts of each batch. With
     `stop_on_high` a HIGH alert ends the query after its batch.
     """
+    # Keyed processors need this state store; the default one cannot hold map state.
+    raw.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     rows = prefix_stream(raw.where(~is_stop_marker("value")), every=every, gap_s=gap_s, timer_ms=timer_ms)
     holder: dict[str, StreamingQuery] = {}
 

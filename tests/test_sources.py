@@ -139,3 +139,22 @@ def test_idle_session(spark):
     sessions = spark.createDataFrame([("s",)], "session_id string")
     row = report.with_idle_sessions(report.session_state(empty), sessions).first()
     assert (row["current_risk"], row["latest_probability"], row["total_predictions"]) == ("LOW", 0.0, 0)
+
+
+def test_tail_and_append_stream(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    os.makedirs(folder)
+    write(folder / "a.log", "one\ntwo\n")
+    sinks.append_stream(logs.tail_log(spark, str(folder)), out, "value", str(tmp_path / "cp")).awaitTermination()
+    write(folder / "b.log", "three\n")
+    sinks.append_stream(logs.tail_log(spark, str(folder)), out, "value", str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["value"] for r in spark.read.text(out).collect()) == ["one", "three", "two"]
+
+
+def test_ranking_files(spark, tmp_path):
+    ranking = spark.createDataFrame([("a", 0.5, 0.1, 0.2), ("b", 0.9, 0.1, 0.2)], "model string, f1 double, pr_auc double, recall double")
+    header = spark.createDataFrame([("x", 10)], "dataset string, samples long")
+    sinks.write_ranking(ranking, header, str(tmp_path))
+    body = stored.read_metrics(spark, str(tmp_path / "model_comparison_json")).first()
+    assert body["dataset"] == "x" and [m["model"] for m in body["ranking"]] == ["b", "a"]
+    assert stored.read_ranking(spark, str(tmp_path / "model_comparison_csv")).count() == 2

@@ -83,5 +83,5 @@ def test_normalise(spark):
     assert rows[0]["normalized_line"] == (
         "260101 000000 42 ERROR external.Load: Load stage event for blk_-9900000042: [ERROR] Load - failed")
     assert (rows[1]["process_id"], rows[1]["normalized_line"], rows[1]["stage"]) == (
-        "blk_5", "081109 203518 143 WARN pipeline.Loader: Loading blk_5", "Load") or rows[1]["stage"] == "External"
+        "blk_5", "081109 203518 143 WARN pipeline.Loader: Loading blk_5", "Load")
     assert rows[2]["process_id"] == "blk_-9900000042"
