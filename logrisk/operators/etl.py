@@ -17,6 +17,20 @@ def missing_columns(orders: DataFrame, required=tuple(ORDER_COLUMNS)) -> DataFra
     return spark.createDataFrame([(c,) for c in absent], "missing_column string")
 
 
+def column_check(orders: DataFrame, required=tuple(ORDER_COLUMNS)) -> DataFrame:
+    """Per required column: is it there, and in how many rows is it empty? One scan."""
+    def empty(name: str):
+        if name not in orders.columns:
+            return F.count(F.lit(1))
+        return F.count_if(F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) == "")
+
+    counted = orders.agg(*[empty(c).alias(c) for c in required])
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(int(c in orders.columns)).alias("present"),
+                 F.col(c).alias("n_empty")) for c in required])
+    return counted.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def _amount():
     return F.coalesce(F.col("amount").cast("string").try_cast("double"), F.lit(0.0))
 

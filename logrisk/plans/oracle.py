@@ -590,7 +590,10 @@ def build() -> dict[str, str]:
         "case when trigger = 'final' then 'Monitor' else replace(component, 'external.', '') end as stage, "
         "case when trigger = 'final' then 'pipeline.Monitor' else component end as component from alerts")
     q["etl_validate"] = f"with {ETL} select order_id, amount, currency from etl where amount <= 0"
-    q["etl_missing"] = "select * from (values ('currency'), ('status')) as t(missing_column)"
+    q["etl_missing"] = f"with {ETL} " + " union all ".join(
+        f"select '{c}' as column_name, {int(c != 'status')} as present, "
+        + ("count(*)" if c == "status" else f"count(*) filter (where coalesce(trim(cast({c} as varchar)), '') = '')")
+        + " as n_empty from etl" for c in ("order_id", "customer_id", "order_date", "amount", "currency", "status"))
     q["etl_curate"] = (f"with {ETL} select order_id, customer_id, order_date, status, amount_usd, "
                        "case when amount_usd <= 0 then 'review' else 'clean' end as risk_partition from curated")
     q["etl_expand"] = (

@@ -566,7 +566,7 @@ def etl_validate(spark, folder):
 
 @query
 def etl_missing(spark, folder):
-    return etl.missing_columns(tables.etl_orders(spark, folder).drop("currency", "status"))
+    return etl.column_check(tables.etl_orders(spark, folder).drop("status"))
 
 
 @query
