@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logrisk.llm import mixing, secrets, urls
+from logrisk.llm import exactdup, minhash, mixing, pieces, secrets, urls
 from logrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,32 @@ def query(run: Query) -> Query:
     return run
 
 
+def model_file() -> str:
+    """The piece vocabulary: LOGRISK_PIECES, or that of the public tokenizers."""
+    named = os.environ.get("LOGRISK_PIECES")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op2_exact_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return exactdup.dedup(table(spark, folder, "documents"))
+
+
+@query
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_digests(pieces.round_trip(table(spark, folder, "documents"), model_file()))
+
+
+def piece_digests(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op6_mix_pivotal(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents")).select(
@@ -37,6 +64,12 @@ def op7_secret_links(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_linked")
 
 
+@query
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op8_url_trees(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), RULES)
