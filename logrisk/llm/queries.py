@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logrisk.llm import exactdup, minhash, mixing, pieces, secrets, urls
+from logrisk.llm import exactdup, lines, minhash, mixing, pieces, secrets, urls
 from logrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,12 @@ def op7_secret_links(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_linked")
 
 
+@query
+def op9_line_edits(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
 @query
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents")).select(
