@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logrisk.llm import exactdup, lines, minhash, mixing, pieces, secrets, urls
+from logrisk.llm import exactdup, lines, minhash, mixing, pieces, secrets, toxicity, urls, vectors, warc
 from logrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,30 @@ def model_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op1_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op2_exact_hash(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.dedup(table(spark, folder, "documents"))
 
 
+@query
+def op3_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(pieces.round_trip(table(spark, folder, "documents"), model_file()))
