@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logrisk.functions.casts import rounded_columns
 from logrisk.config import ORDER_COLUMNS, USD_RATES
 from logrisk.operators.ordered import Limits, row_numbers
+from logrisk.session import written
 
 
 def missing_columns(orders: DataFrame, required=tuple(ORDER_COLUMNS)) -> DataFrame:
@@ -53,23 +54,26 @@ def expand_rows(orders: DataFrame, target: int, *, order: tuple[str, ...] = ("se
                 limits: Limits = Limits()) -> DataFrame:
     """The rows repeated in turn up to `target` rows, with ids `id-000001`.
 
-    Each row makes its own copies: row r of n gives positions r, r+n, r+2n, ...
+    The positions are a distributed range, each joined with the row whose turn
+    it is; few rows and very many copies are as many tasks as any range.
     """
-    numbered = row_numbers(orders, [], list(order), "_rn", total="_count", limits=limits, bound=orders)
-    start = F.col("_rn") - 1
-    copies = F.when(start < target, F.sequence(start, F.lit(target - 1).cast("long"), F.col("_count")))
+    numbered = row_numbers(orders, [], list(order), "_rn", limits=limits)
+    numbered = written(numbered, "numbered")
+    count = numbered.count()
+    if not count:
+        return numbered.select(*orders.columns, F.lit(0).cast("long").alias("row_index"))
+    spark = orders.sparkSession
+    places = spark.range(target).select(F.col("id").alias("row_index"), (F.col("id") % count + 1).alias("_rn"))
     ids = F.concat(F.coalesce(F.col("order_id"), F.lit("ORD")), F.lit("-"),
                    F.format_string("%06d", F.col("row_index") + 1))
-    return (
-        numbered.withColumn("row_index", F.explode(copies))
-        .withColumn("order_id", ids).drop("_rn", "_count")
-    )
+    return places.join(numbered, "_rn").select(
+        *[ids.alias(c) if c == "order_id" else F.col(c) for c in orders.columns], "row_index")
 
 
 def in_batches(rows: DataFrame, batches: int, *, order: tuple[str, ...] = ("seq",),
                limits: Limits = Limits()) -> DataFrame:
     """`batch` number from 0; every batch but the last has round(n/batches) rows."""
-    numbered = row_numbers(rows, [], list(order), "_rn", total="_count", limits=limits, bound=rows)
+    numbered = row_numbers(rows, [], list(order), "_rn", total="_count", limits=limits)
     wanted = F.greatest(F.lit(1), F.least(F.lit(batches), F.col("_count")))
     size = F.greatest(F.lit(1), F.bround(F.col("_count") / wanted).cast("long"))
     return numbered.withColumn(

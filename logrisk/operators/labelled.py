@@ -39,9 +39,9 @@ def log_samples(raw: DataFrame, labels: DataFrame, *, early: bool = False,
     """Canonical rows of labelled processes: whole histories or prefix samples."""
     signals = line_signals(raw)
     if not early:
-        features = finish_log_features(history_features(signals, limits=limits, lines=raw), log1p=False)
+        features = finish_log_features(history_features(signals, limits=limits), log1p=False)
         return align(with_labels(features, labels), "hdfs")
-    prefixes = prefix_features(signals, total="total", limits=limits, lines=raw)
+    prefixes = prefix_features(signals, total="total", limits=limits)
     samples = snapshots.early_warning(prefixes, fractions=fractions)
     named = labels.withColumnRenamed("process_id", "group_id")
     features = finish_log_features(samples, log1p=False)
@@ -71,7 +71,7 @@ def event_prefixes(events: DataFrame, fractions=snapshots.FRACTIONS,
 
 
 def _prefixes(events: DataFrame, key: str, fractions, limits: Limits) -> DataFrame:
-    numbered = row_numbers(events, [key], ["seq"], "_n", total="_total", limits=limits, bound=events)
+    numbered = row_numbers(events, [key], ["seq"], "_n", total="_total", limits=limits)
     sizes = F.array_distinct(F.array(*[
         F.greatest(F.lit(1), F.least(F.col("_total"), F.ceil(F.col("_total") * F.lit(f)))).cast("long")
         for f in snapshots.check_fractions(fractions)]))

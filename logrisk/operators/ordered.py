@@ -20,16 +20,20 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logrisk.session import checkpointed, has_at_most
+from logrisk.session import checkpointed
 
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Rows one task may sort: per group, and per chunk of a larger group."""
+    """Rows one task may sort: per group, and per chunk of a larger group.
 
-    hot_rows: int = 4_000_000
+    Groups are counted to find those above `hot_rows`. A caller who knows that
+    no group is large passes None and saves the count.
+    """
+
+    hot_rows: int | None = 4_000_000
     chunk_rows: int = 4_000_000
     # More hot keys than this are joined by shuffle, not by broadcast.
     broadcast_keys: int = 1_000_000
@@ -97,7 +101,6 @@ def running(
     firsts: dict[str, str] | None = None,
     total: str | None = None,
     limits: Limits = Limits(),
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Adds running columns per key in the given order.
 
@@ -105,12 +108,10 @@ def running(
     firsts: value column -> name of a 0/1 column that marks its first row per key
             (NULL is a value of its own); `order` must then be column names.
     total:  name of a column with the number of rows of the key.
-    bound:  a frame no key can have more rows than (the lines before parsing);
-            if it is small, the rows per key are not counted.
     The order must be unique within a key.
     """
     firsts = firsts or {}
-    if bound is not None and has_at_most(bound, limits.hot_rows):
+    if limits.hot_rows is None:
         return _plain(df, keys, order, stages, firsts, total)
     hot, n_keys, n_rows = hot_keys(df, keys, limits) if keys else _whole(df, limits)
     if hot is None:
@@ -185,11 +186,10 @@ def _mark_first(df, keys, order, value, name) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list, name: str = "n",
-                total: str | None = None, limits: Limits = Limits(),
-                bound: DataFrame | None = None) -> DataFrame:
+                total: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """Exact 1-based row number per key, or over all rows without a key."""
     one = Run(name, "sum", F.lit(1).cast("long"))
-    return running(df, keys, order, [[one]], total=total, limits=limits, bound=bound)
+    return running(df, keys, order, [[one]], total=total, limits=limits)
 
 
 def bursts(bad: Column, n: str = "n", run: str = "burst") -> list[list[Run]]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logrisk.functions.casts import flag, rounded_columns
-from logrisk.functions.policy import default_recommendation
+from logrisk.functions.policy import default_recommendation, stop_reason
 from logrisk.operators.ordered import Limits, Run, running
 
 RISKS = ("LOW", "MEDIUM", "HIGH")
@@ -42,8 +42,9 @@ def session_summary(alerts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def session_state(alerts: DataFrame) -> DataFrame:
-    """Newest risk and probability, peak, and whether HIGH was ever seen."""
+    """Newest risk, probability and text, peak, and whether HIGH was ever seen."""
     return alerts.groupBy("session_id").agg(
+        F.max_by("recommendation", arrival()).alias("last_text"),
         F.max_by("risk_level", arrival()).alias("current_risk"),
         F.max_by("failure_probability", arrival()).alias("latest_probability"),
         F.max("failure_probability").alias("peak_probability"),
@@ -61,10 +62,11 @@ def with_idle_sessions(state: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def session_advice(state: DataFrame, stopped: Column | None = None,
                    waiting: Column | None = None) -> DataFrame:
+    """What a session reports: the text of its last alert, a default one only without alerts."""
     no, had_high = F.lit(False), F.col("had_high") == 1
-    return state.withColumn("recommendation", default_recommendation(
+    return state.withColumn("recommendation", F.coalesce("last_text", default_recommendation(
         no if stopped is None else stopped, no if waiting is None else waiting,
-        F.col("current_risk"), had_high))
+        F.col("current_risk"), had_high))).drop("last_text")
 
 
 def top_high(alerts: DataFrame, top: int = 10) -> DataFrame:
@@ -160,7 +162,7 @@ def stage_changes(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The lines at which a session enters another stage than that of the line before."""
     place = Run("_prev", "max_before", F.struct("seq", "stage"))
     out = running(lines.select("session_id", "seq", "stage"), ["session_id"], ["seq"], [[place]],
-                  limits=limits, bound=lines)
+                  limits=limits)
     changed = F.col("_prev").isNull() | (F.col("_prev.stage") != F.col("stage"))
     return out.where(changed).select("session_id", "seq", F.col("_prev.stage").alias("from_stage"),
                                      F.col("stage").alias("to_stage"))
@@ -185,17 +187,43 @@ def lines_with_samples(lines: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def session_report(lines: DataFrame, alerts: DataFrame, samples: DataFrame | None = None, *,
-                   recent_alerts: int = 50, recent_lines: int = 80) -> DataFrame:
-    """One JSON text per session: summary, newest alerts and newest lines.
+                   status: str = "completed", source: str = "", policy: str = "advise",
+                   reviewed: DataFrame | None = None, log_path: str | None = None,
+                   output_path: str | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One JSON summary per session.
 
-    The arrays are bounded by the two sizes; `sinks.write_session` keeps all
-    alerts and lines as tables beside it.
+    Its alerts and lines are tables of any size, which `sinks.write_session`
+    writes beside the summaries, by session; the newest of them for a display
+    are `newest_per_session`.
+
+    reviewed: `session_id`, `process_id` of operator releases. Under the review
+    policy a session waits for review when its last HIGH alert was not released.
     """
     counts = F.struct(*[F.col(r) for r in RISKS]).alias("risk_counts")
     state = with_idle_sessions(session_state(alerts), lines)
+    high = F.when(F.col("risk_level") == "HIGH", stop_reason(F.col("process_id"), F.col("failure_probability")))
+    reasons = alerts.groupBy("session_id").agg(
+        F.max_by(high, F.when(F.col("risk_level") == "HIGH", arrival())).alias("_reason"),
+        F.max_by("process_id", F.when(F.col("risk_level") == "HIGH", arrival())).alias("_process"))
+    state = state.join(reasons, "session_id", "left")
+    released = F.lit(False)
+    if reviewed is not None:
+        marks = reviewed.groupBy("session_id").agg(F.sort_array(F.collect_set("process_id")).alias("reviewed_processes"))
+        state = state.join(marks, "session_id", "left")
+        released = F.coalesce(F.array_contains("reviewed_processes", F.col("_process")), F.lit(False))
+    else:
+        state = state.withColumn("reviewed_processes", F.array().cast("array<string>"))
+    stopped = F.lit(policy == "auto_stop") & F.col("_reason").isNotNull()
+    waiting = F.lit(policy == "review") & F.col("_reason").isNotNull() & ~released
+    state = session_advice(state, stopped, waiting).withColumns({
+        "status": F.lit(status), "source": F.lit(source), "stop_policy": F.lit(policy),
+        "stop_reason": F.when(stopped, F.col("_reason")), "review_required": waiting,
+        "review_reason": F.when(waiting, F.col("_reason")),
+        "reviewed_processes": F.coalesce("reviewed_processes", F.array().cast("array<string>")),
+        "log_path": F.lit(log_path).cast("string"), "output_path": F.lit(output_path).cast("string"),
+        **(extra or {})}).drop("_reason", "_process")
     summary = (
-        session_advice(state)
-        .join(risk_counts(alerts), "session_id", "left").fillna(0, subset=list(RISKS))
+        state.join(risk_counts(alerts), "session_id", "left").fillna(0, subset=list(RISKS))
         .join(lines.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines_processed")), "session_id", "left")
     )
     fields = [F.col(c) for c in summary.columns if c not in (*RISKS, "session_id", "had_high")]
@@ -208,16 +236,6 @@ def session_report(lines: DataFrame, alerts: DataFrame, samples: DataFrame | Non
     brief = ["process_id", "failure_probability", "lines_seen", "stage", "action"]
     high = top_high_per_session(alerts).groupBy("session_id").agg(
         F.sort_array(F.collect_list(F.struct("place", *brief))).alias("high_risk_processes"))
-    last_alerts = newest_per_session(alerts, recent_alerts, arrival())
-    last_alerts = last_alerts.groupBy("session_id").agg(F.sort_array(F.collect_list(
-        F.struct("seq", "trigger", *brief, "risk_level", "prediction"))).alias("alerts"))
-    last_lines = newest_per_session(lines, recent_lines)
-    last_lines = last_lines.groupBy("session_id").agg(F.sort_array(F.collect_list(
-        F.struct("seq", *[c for c in ("level", "stage", "line") if c in lines.columns]))).alias("logs"))
-    joined = (
-        summary.join(high, "session_id", "left").join(last_alerts, "session_id", "left")
-        .join(last_lines, "session_id", "left")
-    )
-    payload = F.struct(
-        F.struct(*fields, counts, "high_risk_processes").alias("summary"), "alerts", "logs")
+    joined = summary.join(high, "session_id", "left")
+    payload = F.struct(F.struct(*fields, counts, "high_risk_processes").alias("summary"))
     return joined.select("session_id", F.to_json(payload).alias("report"))

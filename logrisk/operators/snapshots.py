@@ -65,7 +65,7 @@ def triggers(prefixes: DataFrame, every: int = PREDICT_EVERY, *, n: str = "total
 
 def with_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts_s",
                   order: tuple[str, ...] = ("seq",), gap: int = FLUSH_SECONDS,
-                  limits: Limits = Limits(), bound: DataFrame | None = None) -> DataFrame:
+                  limits: Limits = Limits()) -> DataFrame:
     """Numbers the activity sessions of a key; a gap longer than `gap` starts a new one.
 
     `gap` is in the unit of `ts`. The time before a row is the newest time seen
@@ -75,21 +75,21 @@ def with_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts_s"
     out = running(
         lines, [key], list(order),
         [[Run("_seen", "max_before", F.col(ts))], [Run("session_no", "sum", starts)]],
-        limits=limits, bound=bound,
+        limits=limits,
     )
     return out.withColumn("session_no", F.col("session_no") + 1).drop("_seen")
 
 
 def inactivity_sessions(lines: DataFrame, *, key: str = "process_id", ts: str = "ts",
                         order: tuple[str, ...] = ("seq",), gap_s: int = FLUSH_SECONDS,
-                        limits: Limits = Limits(), bound: DataFrame | None = None) -> DataFrame:
+                        limits: Limits = Limits()) -> DataFrame:
     """Start, end and row count per activity session of a key.
 
     Not by `session_window`, which merges all rows of a key in one task.
     """
     timed = lines.select(key, ts, *order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     numbered = with_sessions(timed, key=key, ts="_us", order=order, gap=gap_s * 1_000_000,
-                             limits=limits, bound=bound)
+                             limits=limits)
     return numbered.groupBy(key, "session_no").agg(
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_rows"))
 

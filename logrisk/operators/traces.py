@@ -64,7 +64,7 @@ def clean_events(raw: DataFrame, order: str = "seq") -> DataFrame:
 def parse_event_lines(lines: DataFrame, value: str = "value", order: str = "seq",
                       header: list[str] | None = None) -> DataFrame:
     """Events from raw CSV lines with a known header, or by the number of columns."""
-    width = 32
+    width = max(len(EVENT_COLUMNS_12), len(header or ()))
     names = [f"c{i}" for i in range(width)]
     row = F.from_csv(F.col(value), F.lit(", ".join(f"{n} string" for n in names)),
                      {"mode": "PERMISSIVE", "quote": '"'})
@@ -113,7 +113,7 @@ def ordered_events(events: DataFrame, *, order: str = "seq", total: str | None =
     out = running(
         events, ["job_id"], ["time", order],
         [[Run("n", "sum", F.lit(1).cast("long"))], [failed_before, *ok], burst],
-        firsts={"user": "first_user"}, total=total, limits=limits, bound=events,
+        firsts={"user": "first_user"}, total=total, limits=limits,
     )
     again = (F.col("event_type") == SCHEDULE_EVENT) & (F.col("_last_fail") == F.col("n") - 1)
     return out.withColumn("rescheduled", flag(again)).drop("_last_fail", "_last_ok")

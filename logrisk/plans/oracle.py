@@ -517,11 +517,19 @@ def build() -> dict[str, str]:
     state = ("st as (select session_id, arg_max(risk_level, (is_final, seq, process_id)) as current_risk, "
              "arg_max(failure_probability, (is_final, seq, process_id)) as latest_probability, max(failure_probability) as peak_probability, "
              "count(*) as total_predictions, cast(max(cast(risk_level = 'HIGH' as int)) as int) as had_high from alerts group by session_id)")
+    last_text = ("case when risk_level = 'MEDIUM' then 'MEDIUM risk detected. Continue with close monitoring.' "
+                 "when risk_level <> 'HIGH' then 'LOW risk detected. The pipeline can continue.' "
+                 f"else {reason} || '. Stop and inspect the process.' end")
+    # Sessions without alerts: every third one.
     q["session_state"] = (
-        f"{WITH_ALERTS}, {state} select *, case when current_risk = 'HIGH' then 'HIGH risk was detected. Stop the pipeline and inspect the process.' "
-        "when current_risk = 'MEDIUM' then 'Continue with close monitoring and inspect warning-heavy stages.' when had_high = 1 then "
-        "'Risk has returned to LOW after an earlier HIGH reading. Continue monitoring closely.' else "
-        "'Pipeline can continue. No high-risk process was detected.' end as recommendation from st")
+        f"{WITH_ALERTS}, heard as (select * from alerts where cast(substr(session_id, 2) as int) % 3 <> 0), "
+        f"s as (select session_id, arg_max({last_text}, (is_final, seq, process_id)) as recommendation, "
+        "arg_max(risk_level, (is_final, seq, process_id)) as current_risk, arg_max(failure_probability, (is_final, seq, process_id)) as latest_probability, "
+        "max(failure_probability) as peak_probability, count(*) as total_predictions, max(cast(risk_level = 'HIGH' as int)) as had_high from heard group by session_id) "
+        "select a.session_id, coalesce(current_risk, 'LOW') as current_risk, coalesce(latest_probability, 0.0) as latest_probability, "
+        "coalesce(peak_probability, 0.0) as peak_probability, coalesce(total_predictions, 0) as total_predictions, cast(coalesce(had_high, 0) as int) as had_high, "
+        "coalesce(recommendation, 'Pipeline can continue. No high-risk process was detected.') as recommendation "
+        "from (select distinct session_id from alerts) a left join s using (session_id)")
     q["final_status"] = (
         f"{WITH_ALERTS}, {state} select session_id, return_code, case when return_code = 0 and had_high = 1 then 'completed_with_high_risk' "
         "when return_code = 0 then 'completed' when had_high = 1 then 'failed_with_high_risk' else 'failed' end as status, "
@@ -640,9 +648,9 @@ def build() -> dict[str, str]:
                            "from app_level a join events e on a.seq = e.event_id and a.user_id = e.user_id")
     q["session_report"] = (
         f"{WITH_ALERTS}, {state}, l as (select 's' || cast(cast(regexp_extract(process_id, '(\\d+)', 1) as bigint) % 13 as varchar) as session_id, count(*) as lines_processed from lines group by 1), "
-        "h as (select session_id, count(*) filter (where risk_level = 'HIGH') as n from alerts group by session_id) "
-        "select session_id, lines_processed, total_predictions, current_risk, latest_probability, peak_probability, h.n as high_count, cast(least(h.n, 10) as int) as high_listed, "
-        "cast(least(total_predictions, 50) as int) as alerts_listed, cast(least(lines_processed, 80) as int) as lines_listed from st join l using (session_id) join h using (session_id)")
+        f"h as (select session_id, count(*) filter (where risk_level = 'HIGH') as n, arg_max({last_text}, (is_final, seq, process_id)) as recommendation from alerts group by session_id) "
+        "select session_id, 'completed' as status, 'advise' as stop_policy, recommendation, lines_processed, total_predictions, current_risk, latest_probability, peak_probability, "
+        "h.n as high_count, cast(least(h.n, 10) as int) as high_listed from st join l using (session_id) join h using (session_id)")
     q["zip_csv_scan"] = (
         "select cast(o_orderkey as varchar) as job_name, 'u' || cast(o_custkey as varchar) as \"user\", case o_orderstatus when 'F' then 'Failed' when 'O' then 'Terminated' else 'Running' end as status, "
         "cast(epoch(o_orderdate) as double) as start_time from orders")

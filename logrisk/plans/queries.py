@@ -17,7 +17,7 @@ from logrisk.operators import (
     etl, evaluate, labelled, logfeatures, ml, report, schema, snapshots, splits, traces,
 )
 from logrisk.plans import monitor, tables
-from logrisk.session import checkpointed, shared_folder
+from logrisk.session import checkpointed, new_folder, shared_folder, written
 from logrisk.sources import logs
 from logrisk.sources.zipcsv import register_zip_csv
 from logrisk.streaming import monitor as live
@@ -43,7 +43,7 @@ def _signals(spark: SparkSession, folder: str) -> DataFrame:
 
 def _prefixes(spark: SparkSession, folder: str) -> DataFrame:
     raw = tables.log_raw(spark, folder)
-    return logfeatures.prefix_features(logfeatures.line_signals(raw), total="total", lines=raw)
+    return logfeatures.prefix_features(logfeatures.line_signals(raw), total="total")
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +114,7 @@ def log_explode(spark, folder):
 def risk_every_n(spark, folder):
     """The flagship: features and signal risk at every 20th line of each process."""
     raw = tables.log_raw(spark, folder)
-    prefixes = logfeatures.prefix_features(logfeatures.line_signals(raw), lines=raw)
+    prefixes = logfeatures.prefix_features(logfeatures.line_signals(raw))
     features = logfeatures.finish_log_features(snapshots.every_n(prefixes))
     scored = features.withColumn("_p", risk.signal_probability())
     return scored.select("process_id", "seq", *COUNTS, rounded("_p", 4).alias("signal_probability"),
@@ -140,7 +140,7 @@ def unlabelled_anti(spark, folder):
 @query
 def error_burst(spark, folder):
     raw = tables.log_raw(spark, folder)
-    counted = logfeatures.history_features(logfeatures.line_signals(raw), lines=raw)
+    counted = logfeatures.history_features(logfeatures.line_signals(raw))
     return counted.select("process_id", "max_error_burst")
 
 
@@ -175,14 +175,14 @@ def every_n_plus_final(spark, folder):
 def inactivity_sessions(spark, folder):
     events = tables.table(spark, folder, "events").select(
         F.col("user_id").alias("process_id"), "ts", F.col("event_id").alias("seq"))
-    return snapshots.inactivity_sessions(events, gap_s=6 * 3600, bound=events)
+    return snapshots.inactivity_sessions(events, gap_s=6 * 3600)
 
 
 @query
 def session_numbers(spark, folder):
     raw = tables.log_raw(spark, folder)
     lines = logfeatures.line_signals(raw).select("process_id", "seq", "ts_s")
-    return snapshots.with_sessions(lines, gap=6 * 3600, bound=raw).select("process_id", "seq", "session_no")
+    return snapshots.with_sessions(lines, gap=6 * 3600).select("process_id", "seq", "session_no")
 
 
 @query
@@ -397,7 +397,11 @@ def recommendation(spark, folder):
 
 @query
 def session_state(spark, folder):
-    return report.session_advice(report.session_state(_session_alerts(spark, folder)))
+    """Every third session gave no alert: those report the default text."""
+    alerts = _session_alerts(spark, folder)
+    silent = F.pmod(F.regexp_extract("session_id", r"(\d+)", 1).cast("int"), F.lit(3)) == 0
+    state = report.session_state(alerts.where(~silent))
+    return report.session_advice(report.with_idle_sessions(state, alerts))
 
 
 @query
@@ -679,29 +683,29 @@ def line_resources(spark, folder):
 
 @query
 def session_report(spark, folder):
+    """Summary of every session, with the totals of its complete alert and line tables."""
     # The report reads its alerts several times, so they are stored first.
-    alerts = checkpointed(_session_alerts(spark, folder).drop("explanation", "recommendation"))
+    alerts = written(_session_alerts(spark, folder).drop("explanation"), "alerts")
     lines = _signals(spark, folder).select("seq", "process_id", "level", "component").withColumns({
         "session_id": _session(), "stage": text.component_stage("component")})
-    made = report.session_report(lines, alerts)
+    made = report.session_report(lines, alerts, status="completed", source="events", policy="advise")
 
     def read(path: str, kind: str) -> Column:
         return F.get_json_object("report", path).cast(kind)
 
-    def listed(path: str) -> Column:
-        return F.coalesce(F.json_array_length(F.get_json_object("report", path)), F.lit(0))
-
+    listed = F.coalesce(F.json_array_length(F.get_json_object("report", "$.summary.high_risk_processes")), F.lit(0))
     return made.select(
         "session_id",
+        read("$.summary.status", "string").alias("status"),
+        read("$.summary.stop_policy", "string").alias("stop_policy"),
+        read("$.summary.recommendation", "string").alias("recommendation"),
         read("$.summary.lines_processed", "long").alias("lines_processed"),
         read("$.summary.total_predictions", "long").alias("total_predictions"),
         read("$.summary.current_risk", "string").alias("current_risk"),
         read("$.summary.latest_probability", "double").alias("latest_probability"),
         read("$.summary.peak_probability", "double").alias("peak_probability"),
         read("$.summary.risk_counts.HIGH", "long").alias("high_count"),
-        listed("$.summary.high_risk_processes").alias("high_listed"),
-        listed("$.alerts").alias("alerts_listed"),
-        listed("$.logs").alias("lines_listed"),
+        listed.alias("high_listed"),
     )
 
 
@@ -741,7 +745,7 @@ def _stream(spark, folder) -> str:
     schema_of = tables.table(spark, folder, "events").schema
     source = spark.readStream.schema(schema_of).option("pathGlobFilter", "events.parquet").parquet(folder)
     target = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
-    live.monitor_stream(tables.log_lines_of(source), target).awaitTermination()
+    live.monitor_stream(tables.log_lines_of(source), target, timer_ms=None).awaitTermination()
     return target
 
 

@@ -7,15 +7,25 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logrisk.session import spread
+
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many partitions as `spark.logrisk.deal` says, as they come if it is unset.
+
+    A file of one row group is one task; a session over such files sets it.
+    """
+    parts = df.sparkSession.conf.get("spark.logrisk.deal", None)
+    return df.repartition(int(parts)) if parts else df
+
+
 def log_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Log lines made from `events`; every tenth line names a second process."""
-    return log_lines_of(spread(table(spark, folder, "events")))
+    return log_lines_of(dealt(table(spark, folder, "events")))
 
 
 def log_lines_of(events: DataFrame) -> DataFrame:
@@ -94,7 +104,7 @@ def gpu_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 def borg_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Instance rows made from `lineitem`; the row number is made of its key."""
-    return spread(table(spark, folder, "lineitem")).selectExpr(
+    return dealt(table(spark, folder, "lineitem")).selectExpr(
         "l_orderkey * 10 + l_linenumber as seq",
         "cast(l_orderkey as string) as collection_id",
         "cast(l_linenumber as string) as instance_index",
@@ -125,7 +135,7 @@ def etl_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def app_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Free-text lines made from `events`; a third has no bracketed level."""
-    return spread(table(spark, folder, "events")).selectExpr(
+    return dealt(table(spark, folder, "events")).selectExpr(
         "event_id as seq",
         "user_id",
         "ts",

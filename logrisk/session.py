@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ def build_session(app: str = "logrisk", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Checkpoints go when their frame does.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Call sites of every column expression are costly to record for wide plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":
@@ -53,20 +56,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deals the rows of a scan with very few splits out to all cores.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table below the shared folder, read back.
 
-    A small file is one split, and parsing it on one core takes longer than the
-    shuffle. Scans with enough splits, as any large table has, stay as they are.
+    Unlike a checkpoint the copy keeps no partitioning, is compressed, and is
+    read by column. `release` deletes the copies of an application.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() * 4 > cores else scan.repartition(cores)
+    spark = df.sparkSession
+    folder = os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
-def has_at_most(df: DataFrame, rows: int, small_bytes: int = 1 << 30) -> bool:
-    """True when a cheap count proves the bound; False when unknown or above.
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), f"work-{spark.sparkContext.applicationId}")
 
-    Only inputs the optimizer estimates as small are counted.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= small_bytes and df.count() <= rows
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Place for files of one run below the shared folder."""
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what `written` and `new_folder` of this application hold; call when results are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

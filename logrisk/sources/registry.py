@@ -17,7 +17,7 @@ def load_features(spark: SparkSession, source: str, *, early: bool = False,
                   limits: Limits = Limits(), **paths: str) -> DataFrame:
     """Labelled canonical features of one source, or of `both` log and event sources.
 
-    paths: log, labels (hdfs); events (google); archive (alibaba, google2019).
+    Without a limit every row is read. paths: log, labels (hdfs); events (google); archive (alibaba, google2019).
     """
     name = (source or "").lower().strip()
     if name == "both":
@@ -40,12 +40,10 @@ def load_features(spark: SparkSession, source: str, *, early: bool = False,
             events = trace_files.read_job_events(spark, paths["events"], limit)
             return labelled.job_samples(events, early=early, fractions=fractions, limits=limits)
         if name == "alibaba":
-            bound = {} if limit is None else {"limit": limit}
-            jobs, tasks = trace_files.read_gpu_trace(spark, paths["archive"], **bound)
+            jobs, tasks = trace_files.read_gpu_trace(spark, paths["archive"], limit)
             return labelled.gpu_samples(jobs, tasks, early=early, fractions=fractions, limits=limits)
         if name == "google2019":
-            bound = {} if limit is None else {"limit": limit}
-            rows = trace_files.read_borg(spark, paths["archive"], **bound)
+            rows = trace_files.read_borg(spark, paths["archive"], limit)
             return labelled.borg_samples(rows, early=early)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):

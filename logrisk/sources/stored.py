@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logrisk.sources.logs import numbered_rows
+
 ORDER_SCHEMA = (
     "order_id string, customer_id string, order_date string, amount string,"
     " currency string, status string"
@@ -11,7 +13,8 @@ ORDER_SCHEMA = (
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ORDER_SCHEMA).option("header", True).csv(path)
+    """Orders with their row number `seq` in file order."""
+    return numbered_rows(spark.read.schema(ORDER_SCHEMA).option("header", True).csv(path))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -26,4 +26,5 @@ def test_every_sql_has_a_query():
 def test_entry_has_rows(spark):
     out = entry.entry(spark)
     assert "signal_probability" in out.columns
-    assert out.count() >= 0
+    want = entry.queries()["risk_every_n"](spark, SMALL).count()
+    assert out.count() == want > 0

@@ -36,6 +36,34 @@ def test_log_lines_keep_file_order(spark, tmp_path):
     assert first == 405
 
 
+def test_splits_may_change_before_the_action(spark, tmp_path):
+    """Executors that come or go change the splits of a scan, never the rows."""
+    write(tmp_path / "a.log", "".join(f"line {i}\n" for i in range(20_000)))
+    log = logs.read_log(spark, str(tmp_path / "a.log"))
+    spark.conf.set("spark.sql.files.minPartitionNum", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = log.orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["seq"], r["value"]) for r in rows] == [(i, f"line {i}") for i in range(20_000)]
+
+
+def test_traces_are_read_whole(spark, tmp_path):
+    """No limit unless the caller names one; a limit counts over all archives."""
+    header = "failed,collection_id,instance_index,event\n"
+    for k in range(2):
+        make_zip(tmp_path / f"b{k}.zip", borg_traces_data=header + "".join(f"0,{k},{i},FINISH\n" for i in range(60_000)))
+    path = str(tmp_path / "b*.zip")
+    assert trace_files.read_borg(spark, path).count() == 120_000
+    some = trace_files.read_borg(spark, path, limit=60_010)
+    assert {r[0]: r[1] for r in some.groupBy("collection_id").count().collect()} == {"0": 60_000, "1": 10}
+    jobs = "job_name,inst_id,user,status,start_time,end_time\n" + "".join(f"j{i},1,u,Failed,1,2\n" for i in range(21_000))
+    gpu = make_zip(tmp_path / "g.zip", pai_job_table=jobs, pai_task_table="job_name,task_name,inst_num,status,start_time,end_time,plan_cpu,plan_mem,plan_gpu,gpu_type\n")
+    assert trace_files.read_gpu_trace(spark, gpu)[0].count() == 21_000
+
+
 def test_invalid_bytes(spark, tmp_path):
     path = write(tmp_path / "x.log", b"ok \xff line\n", "wb")
     assert "�" in logs.read_log(spark, path).first()["value"]
@@ -107,9 +135,9 @@ def test_orders(spark, tmp_path):
     assert rows == {"1": (42.5, "clean"), "2": (108.0, "clean"), "3": (0.0, "review"), "4": (5.0, "clean")}
     assert etl.non_positive(orders).count() == 1
     assert etl.missing_columns(orders.drop("amount")).first()[0] == "amount"
-    grown = etl.expand_rows(orders, 10, order=("order_id",))
+    grown = etl.expand_rows(orders, 10)
     assert {r["order_id"] for r in grown.collect()} >= {"1-000001", "2-000010", "4-000008"} and grown.count() == 10
-    assert etl.expand_rows(orders, 2, order=("order_id",)).count() == 2
+    assert etl.expand_rows(orders, 2).count() == 2
     out = str(tmp_path / "curated")
     sinks.write_curated(etl.curate(orders), out, by_risk=True)
     assert os.path.isdir(os.path.join(out, "risk_partition=review"))
@@ -126,8 +154,16 @@ def test_report_files(spark, lines, tmp_path):
     body = json.loads(spark.read.text(str(tmp_path / "session" / "reports")).first()["value"])
     assert body["summary"]["lines_processed"] == 20 and body["summary"]["total_predictions"] == 6
     assert body["summary"]["risk_counts"]["HIGH"] == len(body["summary"]["high_risk_processes"]) > 0
-    assert len(body["alerts"]) == 6 and len(body["logs"]) == 20
+    last = alerts.orderBy("trigger", "seq").where("trigger = 'final'").collect()[-1]
+    assert body["summary"]["recommendation"] == last["recommendation"]
+    assert (body["summary"]["status"], body["summary"]["review_required"], body["summary"]["reviewed_processes"]) == ("completed", False, [])
+    held = report.session_report(text_lines, alerts, policy="review").first()["report"]
+    assert json.loads(held)["summary"]["review_required"] and "HIGH risk for" in json.loads(held)["summary"]["review_reason"]
+    marks = alerts.select("session_id", "process_id").distinct()
+    free = json.loads(report.session_report(text_lines, alerts, policy="review", reviewed=marks).first()["report"])["summary"]
+    assert not free["review_required"] and len(free["reviewed_processes"]) == 2
     assert spark.read.json(str(tmp_path / "session" / "alerts")).count() == 6
+    assert spark.read.json(str(tmp_path / "session" / "logs")).count() == 20
     sinks.append_lines(raw, str(tmp_path / "raw"), "value")
     sinks.append_lines(raw, str(tmp_path / "raw"), "value")
     assert spark.read.text(str(tmp_path / "raw")).count() == 40
@@ -135,7 +171,7 @@ def test_report_files(spark, lines, tmp_path):
 
 def test_idle_session(spark):
     empty = spark.createDataFrame([], "session_id string, seq long, process_id string, trigger string,"
-                                  " risk_level string, failure_probability double, prediction int")
+                                  " risk_level string, failure_probability double, prediction int, recommendation string")
     sessions = spark.createDataFrame([("s",)], "session_id string")
     row = report.with_idle_sessions(report.session_state(empty), sessions).first()
     assert (row["current_risk"], row["latest_probability"], row["total_predictions"]) == ("LOW", 0.0, 0)
@@ -145,9 +181,9 @@ def test_tail_and_append_stream(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     os.makedirs(folder)
     write(folder / "a.log", "one\ntwo\n")
-    sinks.append_stream(logs.tail_log(spark, str(folder)), out, "value", str(tmp_path / "cp")).awaitTermination()
+    sinks.append_stream(logs.tail_log(spark, str(folder)).select("value"), out, "value", str(tmp_path / "cp")).awaitTermination()
     write(folder / "b.log", "three\n")
-    sinks.append_stream(logs.tail_log(spark, str(folder)), out, "value", str(tmp_path / "cp")).awaitTermination()
+    sinks.append_stream(logs.tail_log(spark, str(folder)).select("value"), out, "value", str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["value"] for r in spark.read.text(out).collect()) == ["one", "three", "two"]
 
 
