@@ -656,4 +656,20 @@ def build() -> dict[str, str]:
         "cast(epoch(o_orderdate) as double) as start_time from orders")
     q["stream_every_n"] = q["stream_calibration"].replace("from alerts", "from alerts where trigger = 'every_n'")
     q["stream_final"] = q["stream_calibration"].replace("from alerts", "from alerts where trigger = 'final'")
+    # Files written and read back.
+    q["log_text_scan"] = f"with {LOG_RAW} select row_number() over (order by seq) - 1 as seq, value from log_raw"
+    q["labels_csv_scan"] = f"with {LABELS} select process_id, label from fx_labels"
+    q["job_events_csv_scan"] = (f"with {JOB_EVENTS} select row_number() over (order by seq) - 1 as seq, job_id, event_type, cpu_request, \"user\" from job_events")
+    q["orders_csv_scan"] = f"with {ETL} select row_number() over (order by seq) - 1 as seq, order_id, customer_id, amount from etl"
+    q["registry_union"] = (f"select process_id, source, label, total_lines, error_count from ({q['features_union']}) where source in ('hdfs', 'google')")
+    q["curated_files"] = (f"with {ETL} select order_id, customer_id, status, amount_usd, "
+                          "case when amount_usd <= 0 then 'review' else 'clean' end as risk_partition from curated")
+    q["alert_files"] = f"{WITH_ALERTS} select process_id, seq, trigger, risk_level, failure_probability from alerts"
+    q["appended_lines"] = f"with {LOG_RAW} select value, 3 * count(*) as times from log_raw group by value"
+    q["session_files"] = (
+        f"{WITH_ALERTS}, l as (select 's' || cast(cast(regexp_extract(value, 'blk_-?(\\d+)', 1) as bigint) % 13 as varchar) as session_id, count(*) as lines from log_raw group by 1), "
+        "n as (select session_id, count(*) as alerts from alerts group by session_id) select coalesce(n.session_id, l.session_id) as session_id, alerts, lines from n full join l on n.session_id = l.session_id")
+    q["ranking_files"] = (
+        f"with {LABELS}, s as (select avg(label) as f1, count(*) as samples from fx_labels) "
+        "select 'always' as model, f1, 0 as place, samples from s union all select 'never', 0.0, 1, samples from s")
     return {name: with_rounding(sql) for name, sql in q.items()}
