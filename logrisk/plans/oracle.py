@@ -656,6 +656,13 @@ def build() -> dict[str, str]:
         "cast(epoch(o_orderdate) as double) as start_time from orders")
     q["stream_every_n"] = q["stream_calibration"].replace("from alerts", "from alerts where trigger = 'every_n'")
     q["stream_final"] = q["stream_calibration"].replace("from alerts", "from alerts where trigger = 'final'")
+    held = f"with {JOB_EVENTS}, {JOB_LABELS}, {HOLDOUT}, te as (select * from num where rn <= ceil(in_label * {D(0.25)}))"
+    q["model_heldout"] = f"{held} select group_id as process_id, label, true as consistent from te"
+    q["model_baseline"] = (
+        f"{held}, maj as (select cast(avg(label) > 0.5 as int) as m from num where rn > ceil(in_label * {D(0.25)})), "
+        "c as (select count(*) filter (where label = 1 and m = 1) as tp, count(*) filter (where label = 0 and m = 0) as tn, "
+        "count(*) filter (where label = 0 and m = 1) as fp, count(*) filter (where label = 1 and m = 0) as fn from te, maj) "
+        "select 'Majority Baseline' as model, rnd((tp + tn) / cast(tp + tn + fp + fn as double), 4) as accuracy, tp, tn, fp, fn from c")
     # Files written and read back.
     q["log_text_scan"] = f"with {LOG_RAW} select row_number() over (order by seq) - 1 as seq, value from log_raw"
     q["labels_csv_scan"] = f"with {LABELS} select process_id, label from fx_labels"

@@ -730,6 +730,19 @@ def model_scores(spark, folder):
         F.to_json("explanation").alias("explanation"))
 
 
+@query
+def model_heldout(spark, folder):
+    """The scored rows are the held-out ones, and each prediction follows its probability."""
+    return model_scores(spark, folder).select(
+        "process_id", "label", ((F.col("failure_probability") >= 0.5).cast("int") == F.col("prediction")).alias("consistent"))
+
+
+@query
+def model_baseline(spark, folder):
+    """Counts of the majority model, all folds and rows."""
+    return ml.compare_models(_samples(spark, folder), only=(ml.BASELINE,)).select("model", "accuracy", "tp", "tn", "fp", "fn")
+
+
 @query
 def top_importances(spark, folder):
     train, _ = ml.prepared(_samples(spark, folder))
