@@ -63,14 +63,19 @@ def calibrate(scored: DataFrame, *, every: int = PREDICT_EVERY, prior: Column |
 
 def decide(alerts: DataFrame, policy: str = "advise",
            reviewed: DataFrame | None = None) -> DataFrame:
-    """Adds action and recommendation; `reviewed` lists processes an operator released."""
+    """Adds action and recommendation.
+
+    `reviewed` lists processes an operator released, with the place (`seq`) of
+    the release: it counts for alerts behind it. Without a place it counts for all.
+    """
     if policy not in rules.POLICIES:
         raise ValueError(f"unknown policy {policy!r}; use one of {rules.POLICIES}")
     known = F.lit(False)
     if reviewed is not None:
-        marks = reviewed.select("process_id").distinct().withColumn("_reviewed", F.lit(True))
+        place = F.min("seq") if "seq" in reviewed.columns else F.min(F.lit(-1))
+        marks = reviewed.groupBy("process_id").agg(place.cast("long").alias("_reviewed"))
         alerts = alerts.join(marks, "process_id", "left")
-        known = F.coalesce("_reviewed", F.lit(False))
+        known = F.coalesce(F.col("seq") > F.col("_reviewed"), F.lit(False))
     level, rule = F.col("risk_level"), F.lit(policy)
     return alerts.withColumns({
         "action": rules.alert_action(level, rule, known),

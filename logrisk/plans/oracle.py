@@ -663,6 +663,11 @@ def build() -> dict[str, str]:
         "c as (select count(*) filter (where label = 1 and m = 1) as tp, count(*) filter (where label = 0 and m = 0) as tn, "
         "count(*) filter (where label = 0 and m = 1) as fp, count(*) filter (where label = 1 and m = 0) as fn from te, maj) "
         "select 'Majority Baseline' as model, rnd((tp + tn) / cast(tp + tn + fp + fn as double), 4) as accuracy, tp, tn, fp, fn from c")
+    q["review_release"] = (
+        f"{WITH_ALERTS}, m as (select process_id, min(seq) as at from alerts where trigger = 'every_n' and total_lines = 20 "
+        "and cast(regexp_extract(process_id, '(\\d+)', 1) as bigint) % 3 = 0 group by process_id) "
+        "select a.process_id, a.seq, a.trigger, risk_level, case when risk_level = 'MEDIUM' then 'WATCH' when risk_level <> 'HIGH' then 'CONTINUE' "
+        "when a.seq > m.at then 'CONTINUE_AFTER_REVIEW' else 'REVIEW_REQUIRED' end as action from alerts a left join m on a.process_id = m.process_id")
     # Files written and read back.
     q["log_text_scan"] = f"with {LOG_RAW} select row_number() over (order by seq) - 1 as seq, value from log_raw"
     q["labels_csv_scan"] = f"with {LABELS} select process_id, label from fx_labels"

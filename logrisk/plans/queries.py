@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from logrisk.operators import (
 from logrisk.plans import monitor, tables
 from logrisk.session import checkpointed, new_folder, shared_folder, written
 from logrisk.sources import logs
-from logrisk.sources.zipcsv import register_zip_csv
+from logrisk.sources.zipcsv import file_system, register_zip_csv
 from logrisk.streaming import monitor as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,9 +199,10 @@ def cut_first_high(spark, folder):
 @query
 def auto_stop_alerts(spark, folder):
     """Each process is its own run, stopped at its first HIGH alert."""
-    raw = tables.log_raw(spark, folder)
-    parsed = text.explode_blocks(text.parse_lines(raw).select("seq", "block_ids"))
-    own = raw.join(parsed.withColumnRenamed("process_id", "session_id"), "seq")
+    # The line stays beside its blocks, so the text is read once and never joined.
+    raw = tables.log_raw(spark, folder).withColumn("line", F.col("value"))
+    own = text.explode_blocks(text.parse_lines(raw).select("seq", "line", "block_ids")).select(
+        "seq", F.col("line").alias("value"), F.col("process_id").alias("session_id"))
     alerts = monitor.monitor_until_high(own)
     # A line of two processes belongs to both runs; each run keeps its own process.
     mine = alerts.where(F.col("session_id") == F.col("process_id"))
@@ -387,6 +389,16 @@ def alert_actions(spark, folder):
     return _all_policies(spark, folder).select(*KEY, "policy", action.alias("action"))
 
 
+@query
+def review_release(spark, folder):
+    """Under review, an operator releases every third process at its 20th line, so only later alerts go on."""
+    alerts = _alerts(spark, folder)
+    number = F.regexp_extract("process_id", r"(\d+)", 1).cast("long")
+    marks = alerts.where((F.col("trigger") == "every_n") & (F.col("lines_seen") == 20) & (number % 3 == 0))
+    marks = written(marks.select("process_id", "seq"), "marks")
+    return _alerts(spark, folder, policy="review", reviewed=marks).select(*KEY, "risk_level", "action")
+
+
 @query
 def recommendation(spark, folder):
     words = policy.alert_recommendation(
@@ -776,23 +788,27 @@ def stream_final(spark, folder):
 def zip_csv_scan(spark, folder):
     """Jobs written as one ZIP per partition, read back without unpacking."""
     jobs = tables.gpu_jobs(spark, folder).drop("seq")
-    target = os.path.join(shared_folder(spark).removeprefix("file:"), f"zip-{uuid.uuid4().hex}")
-    os.makedirs(target)
-    columns = jobs.columns
+    target, columns = new_folder(spark, "zip"), jobs.columns
 
     def write(frames):
         from pyspark import TaskContext
 
-        name = os.path.join(target, f"part-{TaskContext.get().partitionId():05d}.zip")
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as archive:
-            with archive.open("pai_job_table.csv", "w") as member:
-                member.write((",".join(columns) + "\n").encode())
-                for frame in frames:
-                    member.write(frame.to_csv(index=False, header=False).encode())
-                    yield frame.head(0)
-
-    jobs.repartition(4, "job_name").mapInPandas(write, jobs.schema).count()
+        context = TaskContext.get()
+        files, place = file_system(target)
+        files.create_dir(place, recursive=True)
+        # Every attempt writes its own file and names it; files of lost attempts are not read.
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.zip"
+        with files.open_output_stream(f"{place}/{name}", compression=None) as out, \
+                zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("pai_job_table.csv", "w") as member:
+            member.write((",".join(columns) + "\n").encode())
+            for frame in frames:
+                member.write(frame.to_csv(index=False, header=False).encode())
+        yield pd.DataFrame({"name": [name]})
+
+    made = written(jobs.repartition("job_name").mapInPandas(write, "name string"), "zip-names")
     register_zip_csv(spark)
-    scan = spark.read.format("zipcsv").option("path", os.path.join(target, "*.zip"))
+    # One name per archive.
+    paths = ",".join(os.path.join(target, r["name"]) for r in made.collect())
+    scan = spark.read.format("zipcsv").option("path", paths)
     rows = scan.option("member", "pai_job_table.csv").load()
     return rows.select("job_name", "user", "status", F.col("start_time").cast("double").alias("start_time"))
