@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logrisk.config import TERMINAL_STATUSES
 from logrisk.functions.risk import percent
 
+#: The policies, and below the texts an operator reads.
 POLICIES = ("advise", "auto_stop", "review")
 
 
