@@ -261,9 +261,16 @@ def _sparse(w, g, d_x, ids, row, grams, means, m, v, step, rate):
 
 
 def _inputs(row, grams, means, w):
-    x = np.concatenate([w.word[row], (w.gram[grams] * means[..., None]).sum(axis=1)], axis=1)
-    x[0] = 0
-    return x @ w.fw + w.fb, x @ w.bw + w.bb
+    """Weighed inputs of all words for both directions, some thousand words at a time."""
+    x_fw = np.empty((len(row), 3 * STATE), np.float32)
+    x_bw = np.empty_like(x_fw)
+    for k in range(0, len(row), 4096):
+        at = slice(k, k + 4096)
+        x = np.concatenate([w.word[row[at]], np.einsum("nkd,nk->nd", w.gram[grams[at]], means[at])], axis=1)
+        if not k:
+            x[0] = 0
+        x_fw[at], x_bw[at] = x @ w.fw + w.fb, x @ w.bw + w.bb
+    return x_fw, x_bw
 
 
 def _scores(spans, row, grams, means, w) -> np.ndarray:
