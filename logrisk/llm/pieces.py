@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Remembered parts and neighbours of a Python worker; forgotten all at once when full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Texts that are handled and passed on together.
 SLICE = 256
 

@@ -29,7 +29,7 @@ WORDS, GRAMS = 16_384, 8_192
 WIDE, STATE, LOOK = 12, 8, 8
 #: Labelled texts that the fit reads at most, for each label, and their greatest length.
 FIT_ROWS, FIT_CHARS = 1_500, 20_000
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Windows that are scored together.
 TOGETHER = 2_048
 #: Letters of a word that are read one by one.
