@@ -201,11 +201,12 @@ def test_near_large_family(spark):
     chain = [f"c{i}" for i in range(400)]
     for i in range(30):
         rows.append((2000 + i, " ".join(chain[6 * i:6 * i + 200])))
-    block, minhash.BLOCK = minhash.BLOCK, 16
+    blocks = minhash.KEY_BLOCK, minhash.BLOCK
+    minhash.KEY_BLOCK, minhash.BLOCK = 16, 16
     try:
         got = near(minhash.near_duplicates(frame(spark, rows)))
     finally:
-        minhash.BLOCK = block
+        minhash.KEY_BLOCK, minhash.BLOCK = blocks
     assert got == plain_near(rows)
     one = minhash.one_of_each(frame(spark, rows + rows[:5])).collect()
     assert sorted(r.doc_id for r in one) == sorted({r[2] for r in got})
@@ -221,6 +222,17 @@ def test_signatures_within_the_distance_share_a_key():
     assert (minhash.signature_keys(a) == minhash.signature_keys(b)).any(axis=1).all()
 
 
+def test_intersections():
+    rng, columns = np.random.default_rng(2), minhash.COLUMNS
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 1, 5, 30, 30, 50)]
+    minhash.COLUMNS = 7
+    try:
+        got = minhash.intersections(sets)
+    finally:
+        minhash.COLUMNS = columns
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
 def test_words_are_hashed_by_content():
     assert list(minhash.word_hashes("Ab  cd\tAB")) == list(minhash.word_hashes("\nab CD ab "))
     assert len(set(minhash.word_hashes("ab ba a b ab\x00 é É").tolist())) == 7
