@@ -7,13 +7,12 @@ every chunk is indexed with each of its symbols left out in turn: two
 signatures within the distance share at least one such key, always.
 
 DISTANCE is set so that documents at the similarity bound are within it but for
-about 3 in 10,000 (a binomial tail), more similar ones far more surely. Pairs
-within it are confirmed on their full shingle sets.
+about 3 in 10,000 (a binomial tail), more similar ones far more surely.
 
-Only classes of documents with equal shingle sets are compared. The result is
-the components of the links, so a key that very many classes share is first
-tied to one of them; only classes that this leaves in different components are
-then compared with each other, block by block.
+Only classes of documents with equal shingle sets are compared. Signatures
+within the distance connect classes to families, and the full sets of a family
+are compared block by block in the tasks, so that no list of pairs is ever
+made: what leaves a task are the links that connect its classes.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,11 +33,16 @@ SHINGLE = 5
 SYMBOLS = 64
 DISTANCE = 20
 CHUNKS = 11
-#: Members of one block when a key's classes are compared with each other.
-BLOCK = 256
+#: Classes of one block when those of a key (signatures) or of a family (sets) are compared.
+KEY_BLOCK, BLOCK = 1_024, 128
+#: Shingles of one product of membership columns.
+COLUMNS = 8_192
 #: Similar when BOUND[0] * intersection >= BOUND[1] * union.
 BOUND = (100, 85)
 
+#: Bits of the table that tells which documents are wanted again, and those packed together.
+BITS, CHUNK_BITS = 1 << 26, 1 << 16
+
 _mask = (1 << 64) - 1
 _random = np.random.default_rng(20_240_229)
 _odd = lambda n: _random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,16 +154,19 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_shingles", "fp", "sig"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the wanted documents, where the document is still the wanted one."""
-    for batch in batches:
-        nodes, sets = [], []
-        for node, fp, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            values = shingles(text)
-            if fingerprint(values) == fp:
-                nodes.append(node)
-                sets.append(values.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "values"])
+def _sets(wanted):
+    """Fingerprints and sets of the documents whose bit is set; wanted: the broadcast bit table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            bit = batch.column(1).to_numpy()
+            here = np.flatnonzero(table[bit >> 3] >> (bit & 7) & 1)
+            part = batch.take(pa.array(here))
+            sets = [shingles(text) for text in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(map(fingerprint, sets), pa.binary()),
+                 pa.array([v.tobytes() for v in sets], pa.binary())], ["doc_id", "fp", "values"])
+    return run
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,47 +187,75 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sets, those that are similar enough."""
-    for batch in batches:
-        good = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(BOUND[0] * both >= BOUND[1] * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["a", "b"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different components within each run of equal (key, i, j).
-
-    Rows come sorted; a run holds two blocks at most, or one that is compared
-    with itself.
-    """
-    held: list = []
-
-    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
+    """Links within each run of equal g, from full sets, as (node, a smaller node it is connected with)."""
+    def links(rows: list) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
-        side = np.array([r[1] for r in rows])
-        node, comp = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, SYMBOLS)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(rows)),) * 2
-        found_a, found_b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | side.any())]
-            near = other[(sig[other] != sig[i]).sum(axis=1) <= DISTANCE]
-            found_a += [min(node[i], node[j]) for j in near]
-            found_b += [max(node[i], node[j]) for j in near]
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+        node = np.array([r[2] for r in rows])
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        size = np.array([len(v) for v in sets])
+        both = intersections(sets)
+        similar = BOUND[0] * both >= BOUND[1] * (size[:, None] + size - both)
+        x, y = np.nonzero(np.triu(similar, 1))
+        lowest, before = node.copy(), None
+        while before is None or (lowest != before).any():
+            before = lowest.copy()
+            np.minimum.at(lowest, x, before[y])
+            np.minimum.at(lowest, y, before[x])
+        some = lowest != node
+        yield pa.RecordBatch.from_arrays([pa.array(lowest[some]), pa.array(node[some])], ["a", "b"])
+
+    yield from _runs(batches, links)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of membership columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    value, owner = np.concatenate(sets)[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
+    # What only one set holds is in no intersection of two.
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    column = np.cumsum(np.concatenate([[False], np.diff(column) > 0])) if len(column) else column
+    out = np.zeros((len(sets),) * 2)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at = slice(*np.searchsorted(column, (start, start + COLUMNS)))
+        member = np.zeros((len(sets), COLUMNS), np.float32)
+        member[owner[at], column[at] - start] = 1
+        out += member @ member.T
+    np.fill_diagonal(out, [len(v) for v in sets])
+    return out
+
 
+def _runs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
+    """Calls `use` with the rows of each run of equal first columns; rows come sorted by it."""
+    held: list = []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and held[0][0] != row[0]:
-                yield from pairs(held)
+                yield from use(held)
                 held = []
             held.append(row)
-    yield from pairs(held)
+    yield from use(held)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near rows within each run of equal g, as (node, a smaller node it is connected with)."""
+    def links(rows: list) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        node = np.array([r[2] for r in rows])
+        sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, SYMBOLS)
+        lowest, before = node.copy(), None
+        near = [np.flatnonzero((sig != one).sum(axis=1) <= DISTANCE) for one in sig]
+        while before is None or (lowest != before).any():
+            before = lowest.copy()
+            lowest = np.array([before[at].min() for at in near])
+        some = lowest != node
+        yield pa.RecordBatch.from_arrays([pa.array(lowest[some]), pa.array(node[some])], ["a", "b"])
+
+    yield from _runs(batches, links)
 
 
 # ------------------------------------------------------------------ the join
@@ -234,35 +270,26 @@ def near_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_near, PAIRS)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs that are similar on their full sets, which are made anew for the classes in question."""
-    pairs = stored(pairs, "minhash-candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(classes, "node").select("node", "fp", "doc_id")
-    texts = docs.alias("d").join(stored(wanted, "minhash-wanted").alias("w"), same("d", "w", "doc_id"))
-    sets = texts.select("w.node", "w.fp", "d.text").mapInArrow(_sets, "node long, values binary")
-    # A class may be found in several equal rows.
-    sets = stored(sets.groupBy("node").agg(F.first("values").alias("values")), "minhash-sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b") \
-        .join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(_linked, PAIRS), "minhash-links")
-
+def _blocks(rows: DataFrame, group: str, value: str, size: int) -> DataFrame:
+    """Rows of every group dealt to pairs of blocks, sorted: g, side, node, value.
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of every key dealt to pairs of blocks: g, side, node, comp, sig, sorted by g."""
-    block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    rows = members.withColumn("block", block).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
+    `n` holds the rows of the group. Each row goes to as many places as its
+    group has blocks, so a large group is many tasks.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(float(size))).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(
-        F.xxhash64("key", low, high).alias("g"), (F.col("block") == high).cast("int").alias("at_high"),
-        (low != high).alias("two"), "node", "comp", "sig")
-    rows = rows.select("g", F.when(F.col("two"), F.col("at_high")).otherwise(0).alias("side"), "node", "comp", "sig")
-    return rows.repartition("g").sortWithinPartitions("g")
+    dealt = rows.select(F.xxhash64(group, low, high).alias("g"), (F.col("block") == high).cast("int").alias("side"), "node", value)
+    return dealt.repartition("g").sortWithinPartitions("g")
 
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that give the components: node, fp, sig, doc_id per class; doc_id, text per document."""
+def families(classes: DataFrame) -> DataFrame:
+    """Classes that are connected by signatures within the distance: node, root, for families of two or more.
+
+    Each key first ties its classes to one of them; only keys whose classes
+    are then still in several families have all of theirs compared.
+    """
     keys = classes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
     hubs = stored(keys.groupBy("key").agg(
         F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-hubs")
@@ -271,18 +298,59 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     first = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
         hubs.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))).distinct()
     sigs = classes.select("node", "sig")
-    found = confirmed(near_pairs(first, sigs), classes, docs)
-    # Keys whose classes are still in several components.
-    comp = stored(components(found), "minhash-comp")
-    placed = members.join(comp, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("comp"))
-    placed = stored(placed, "minhash-placed")
+    near = stored(near_pairs(first, sigs), "minhash-near")
+    comp = stored(components(near), "minhash-comp")
+    placed = stored(members.join(comp, "node", "left").select(
+        "key", "node", "n", F.coalesce("root", "node").alias("comp")), "minhash-placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")) \
         .where("low != high").select("key")
-    open_members = placed.join(stored(split, "minhash-open"), "key").join(sigs, "node").select(
-        "key", "node", "comp", "sig", F.ceil(F.col("n") / F.lit(float(BLOCK))).alias("n_blocks"))
-    more = _blocks(open_members).mapInArrow(_across, PAIRS).distinct()
-    return found.unionByName(confirmed(more, classes, docs))
+    rows = placed.join(stored(split, "minhash-open"), "key").join(sigs, "node").select("key", "node", "n", "sig")
+    more = _blocks(rows, "key", "sig", KEY_BLOCK).mapInArrow(_across, PAIRS)
+    return components(near.unionByName(more))
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    table = np.zeros(CHUNK_BITS, bool)
+    table[rows["bit"].to_numpy() % CHUNK_BITS] = True
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "bits": [np.packbits(table, bitorder="little").tobytes()]})
+
+
+def bit_table(rows: DataFrame) -> bytes:
+    """BITS bits, set where the hash of a doc_id falls: 8 MB, however many rows.
+
+    A set bit may belong to other documents too, so a join has to follow; an
+    unset one proves that a document is not among the rows.
+    """
+    bits = rows.select(_bit().alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / CHUNK_BITS).cast("int"))
+    table = bytearray(BITS // 8)
+    for r in bits.groupBy("chunk").applyInPandas(_packed, "chunk int, bits binary").collect():
+        table[r.chunk * CHUNK_BITS // 8:(r.chunk + 1) * CHUNK_BITS // 8] = r.bits
+    return bytes(table)
+
+
+def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the similar classes, confirmed on full sets.
+
+    classes: node, fp, sig, doc_id; docs: doc_id, text. All classes of a family
+    are compared, block by block, on sets made anew from their texts; what
+    comes out are the links that connect them, not all pairs.
+    """
+    family = stored(families(classes), "minhash-families")
+    wanted = stored(family.select("node").join(classes, "node").select("node", "fp", "doc_id"), "minhash-wanted")
+    # Texts of other documents stay where they are: a bit table of fixed size tells them apart.
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(wanted))
+    sets = docs.select("doc_id", _bit().alias("bit"), "text").mapInArrow(
+        _sets(bits), "doc_id long, fp binary, values binary")
+    sets = sets.alias("s").join(wanted.alias("w"), same("s", "w", "doc_id") & (F.col("s.fp") == F.col("w.fp")))
+    # A class may be found in several equal rows.
+    sets = stored(sets.groupBy("w.node").agg(F.first("s.values").alias("values")), "minhash-sets")
+    sizes = stored(family.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "minhash-family-sizes")
+    rows = sets.join(family.join(sizes, "root"), "node").select("root", "node", "n", "values")
+    return _blocks(rows, "root", "values", BLOCK).mapInArrow(_linked, PAIRS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
