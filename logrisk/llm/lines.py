@@ -1,10 +1,15 @@
-"""Repeated lines, exact or with few edits, by a segment-partition join.
-
-A line within EDITS edits of another shares one of EDITS + 1 segments with it
-unchanged, shifted by few places. Each line indexes its segments under their
-number and its length, and looks up the substrings of its own that could be
-the segment of a line as long or shorter; only the places are tried that a
-segment can have when the edits left and right of it add up to the bound.
+"""Repeated lines, exact or with few edits, by shared segments and shared runs.
+
+Two lines may differ by one edit for each 40 characters of the shorter one, and
+by one at least (EDITS). While the bound is the least one, a line shares one of
+bound + 1 segments with a near one unchanged, shifted by few places. Each line
+indexes its segments under their number and its length, and looks up the substrings of
+its own that could be the segment of a line as long or shorter; only the places
+are tried that a segment can have when the edits left and right of it add up to
+the bound. Where the bound grows, k edits leave a run of (length - k) / (k + 1)
+characters that both lines hold; of each stretch of that length a line has the
+gram of the smallest hash as key, so near lines share one always, and the keys
+for each character stay as many however long a line is.
 Lines that meet under a key are compared by edit distance: a band of the
 dynamic program, held as bits of a word that slides down the diagonal, many
 pairs at once.
@@ -17,7 +22,9 @@ classes are then compared with each other, in blocks.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,9 +36,24 @@ from pyspark.sql.types import StringType
 
 from logrisk.llm.common import same, stored
 from logrisk.llm.graph import components
+from logrisk.llm.minhash import BITS, _mixed, bit_table
+
+
+
+@dataclass(frozen=True)
+class Growing:
+    """A bound of one edit for each `per` characters of the shorter line, and `least` at least."""
+
+    least: int
+    per: int
+
+    def __ge__(self, n: int) -> bool:
+        """n <= bound: whether so many edits are allowed at some length."""
+        return True
+
 
 #: Edits that still make a repeated line.
-EDITS = 1
+EDITS = Growing(1, 40)
 #: Shorter lines, without the blanks around them, always stay.
 LEAST = 30
 #: Lines of one block when those of a key are compared with each other.
@@ -40,6 +62,10 @@ BLOCK = 64
 REMEMBERED = 200_000
 #: Characters of a batch of pairs.
 CELLS = 4_000_000
+#: Characters whose keys are made together.
+PORTION = 200_000
+#: Edits whose band is held in a word of 64 bits.
+WIDEST = 30
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -70,18 +96,26 @@ def probes(length: int, shorter: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def allowed(length: int, edits: int | Growing) -> int:
+    """The bound of a pair whose shorter line has `length` characters."""
+    return max(edits.least, length // edits.per) if isinstance(edits, Growing) else edits
+
+
 class _Places:
-    """Where to cut a line of each length: (number, length of the other, start, end, is index)."""
+    """Where to cut a line of each length: (number, length of the other, start, end, is index).
 
-    def __init__(self, edits: int, least: int):
-        self.edits, self.least, self.known = edits, least, {}
+    Lines of `limit` characters and more are not indexed.
+    """
+
+    def __init__(self, edits: int, least: int, limit: int = 1 << 62):
+        self.edits, self.least, self.limit, self.known = edits, least, limit, {}
 
     def __call__(self, length: int) -> list:
         if length not in self.known:
             own = segments(length, self.edits)
-            cuts = [(k, length, at, at + n, 1) for k, (at, n) in enumerate(own)]
+            cuts = [(k, length, at, at + n, 1) for k, (at, n) in enumerate(own)] if length < self.limit else []
             for shorter in range(self.edits + 1):
-                if length - shorter < self.least:
+                if not self.least <= length - shorter < self.limit:
                     continue
                 cuts += [(k, length - shorter, at, at + n, 0) for k, at, n in probes(length, shorter, self.edits)
                          if shorter or (at, n) != own[k]]
@@ -91,24 +125,144 @@ class _Places:
         return self.known[length]
 
 
+class _Grams:
+    """Keys of lines whose bound grows, by ranges of length a quarter wider each."""
+
+    def __init__(self, edits: int | Growing):
+        self.edits, self.per = edits, edits.per if isinstance(edits, Growing) else 1
+        self.first = self.per * (edits.least + 1) if isinstance(edits, Growing) else 1 << 62
+        self.starts = [self.first]
+        while self.starts[-1] < 1 << 31:
+            self.starts.append(max(self.starts[-1] + self.per, self.starts[-1] * 5 // 4 // self.per * self.per))
+
+    def ranges(self, length: int) -> range:
+        """The ranges that the shorter line of a pair can be in; the last one is its own."""
+        if length < self.first:
+            return range(0)
+        least = max(self.first, length * self.per // (self.per + 1) - 1)
+        while least + allowed(least, self.edits) < length:
+            least += 1
+        return range(bisect_right(self.starts, least) - 1, bisect_right(self.starts, length))
+
+    def reach(self, k: int) -> int:
+        """The greatest bound of a pair whose shorter line is in the range."""
+        return allowed(self.starts[k + 1], self.edits)
+
+    def sizes(self, k: int) -> tuple[int, int]:
+        """Characters of a gram, and grams of a stretch. The first line of a range has the shortest run in common."""
+        bound = allowed(self.starts[k], self.edits)
+        run = -(-(self.starts[k] - bound) // (bound + 1))
+        window = max(1, run // 2)
+        return run - window + 1, window
+
+
+_STEP = 0x9E3779B97F4A7C15
+_rises = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    global _rises
+    if len(_rises[0]) < n:
+        _rises = []
+        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+            out = np.full(max(n, 1 << 16), base, np.uint64)
+            out[0] = 1
+            _rises.append(np.cumprod(out, dtype=np.uint64))
+    return _rises
+
+
+def stretch_minima(texts: list[str], gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, place): of every `window` grams on end the first of the least hash, each once."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    rise, fall = _powers(len(codes) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes + np.uint64(1)) * rise[:len(codes)], dtype=np.uint64)])
+    least = _mixed((total[gram:] - total[:-gram]) * fall[:len(total) - gram])
+    place, have = np.arange(len(least)), 1
+    while have < window:
+        more = min(have, window - have)
+        right = least[more:] < least[:-more]
+        least, place = np.where(right, least[more:], least[:-more]), np.where(right, place[more:], place[:-more])
+        have += more
+    sizes = np.array(list(map(len, texts)))
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(texts)), sizes)[:len(least)]
+    at = np.flatnonzero(np.arange(len(least)) + gram + window - 1 <= ends[row])
+    at = at[np.concatenate([[True], np.diff(place[at]) > 0])] if len(at) else at
+    row = row[at]
+    return row, least[at], place[at] - (ends - sizes)[row]
+
+
+def slotted(key: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, own: np.ndarray, reach: int):
+    """Keys that also tell about length and place: (key, row, is index), each once.
+
+    Lines of a pair differ by `reach` at most in both. A line is indexed where
+    it is itself; it looks below for its length, and to both sides for the place.
+    """
+    width, out = 8 * reach, []
+    for shorter in (0, reach):
+        for shift in (0, -reach, reach):
+            n, at = (size - shorter) // width, (place + shift) // width
+            moved = (n != size // width) | (at != place // width)
+            some = np.flatnonzero((n != size // width if shorter else np.full(len(n), True))
+                                  & (at != place // width if shift else np.full(len(n), True)))
+            slot = _mixed((n[some] * (1 << 32) + at[some]).view(np.uint64) + np.uint64(_STEP))
+            out.append(np.stack([_mixed(key[some] ^ slot), row[some].astype(np.uint64), (own & ~moved)[some].astype(np.uint64)]))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
+
+
 # ------------------------------------------------------------------ edit distance
 
-def within(first: list[str], second: list[str], edits: int) -> np.ndarray:
-    """For pairs of strings, whether at most `edits` (up to 30) edits make them equal."""
+def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndarray:
+    """For pairs of strings, whether at most as many edits as are allowed make them equal."""
     good = np.zeros(len(first), bool)
     pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(first, second)]
-    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) - len(b) <= edits), key=lambda i: len(pairs[i][0]))
+    bounds = [allowed(len(b), edits) for _, b in pairs]
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) - len(b) <= bounds[i]),
+                   key=lambda i: (bounds[i], len(pairs[i][0])))
     start = 0
     while start < len(order):
-        stop = start + 1
-        while stop < len(order) and (stop + 1 - start) * (len(pairs[order[stop]][0]) + 2 * edits) <= CELLS:
+        stop, bound = start + 1, bounds[order[start]]
+        if bound > WIDEST:
+            good[order[start]] = _wide(*pairs[order[start]], bound)
+            start = stop
+            continue
+        while stop < len(order) and bounds[order[stop]] == bound and \
+                (stop + 1 - start) * (len(pairs[order[stop]][0]) + 2 * bound) <= CELLS:
             stop += 1
         some = order[start:stop]
-        good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], edits)
+        good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], bound)
         start = stop
     return good
 
 
+def _wide(long: str, short: str, edits: int) -> bool:
+    """The band of `_banded` for one pair, in a number of any size; equal ends are left out first."""
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (long, short))
+    differ = np.flatnonzero(a[:len(b)] != b)
+    head = int(differ[0]) if len(differ) else len(b)
+    a, b = a[head:], b[head:]
+    differ = np.flatnonzero(a[len(a) - len(b):] != b)
+    tail = len(b) - 1 - int(differ[-1]) if len(differ) else len(b)
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    band = 2 * edits + 1
+    full, top = (1 << band) - 1, 1 << (band - 1)
+    rows = {int(c): int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") << edits for c in np.unique(b)}
+    score = len(a) - len(b)
+    where, up, down = score + edits, full & ~((1 << (edits + 1)) - 1), 0
+    for j, c in enumerate(b.tolist()):
+        equal = (rows[c] >> j) & full
+        up, down = (up >> 1) | top, down >> 1
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right_up, right_down = down | (~(diagonal | up) & full), diagonal & up
+        score += 1 - ((diagonal >> where) & 1)
+        if score > edits:
+            return False
+        right_up = ((right_up << 1) | 1) & full
+        up, down = ((right_down << 1) | (~(diagonal | right_up) & full)) & full, diagonal & right_up & full
+    return score <= edits
+
+
 def _codes(texts: list[str], left: int, width: int, fill: int) -> np.ndarray:
     """Code points, a text per row, from column `left` on."""
     out = np.full((len(texts), width), fill, np.uint32)
@@ -209,37 +363,80 @@ def _new_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[t
         yield out
 
 
-def _keyed(edits: int, least: int):
-    places = _Places(edits, least)
+def _set_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & np.uint64(BITS - 1)
+    return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _keyed(edits: int | Growing, least: int, repeated=None):
+    """Keys of the lines; with `repeated`, the broadcast bit table of keys, those set there with hashes of lines."""
+    grams, fewest = _Grams(edits), allowed(0, edits)
+    places = _Places(fewest, least, grams.first)
+    digest = xxhash.xxh3_64_intdigest
+
+    def short(lines: list[tuple[int, str]]):
+        keys, rows, index = [], [], []
+        for i, (_, line) in enumerate(lines):
+            if len(line) < grams.first + fewest:
+                cuts = places(len(line))
+                keys += [digest(line[x:y].encode(), n * 64 + k) for k, n, x, y, _ in cuts]
+                rows += [i] * len(cuts)
+                index += [c[4] for c in cuts]
+        return np.array(keys, np.uint64), np.array(rows, np.int64), np.array(index, bool)
+
+    def long(lines: list[tuple[int, str]]):
+        by: dict[int, list[int]] = {}
+        for i, (_, line) in enumerate(lines):
+            for k in grams.ranges(len(line)):
+                by.setdefault(k, []).append(i)
+        for k, at in by.items():
+            size = np.array([len(lines[i][1]) for i in at])
+            part = np.cumsum(size) // PORTION
+            for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                row, value, place = stretch_minima([lines[at[i]][1] for i in some], *grams.sizes(k))
+                row = some[row]
+                own = np.array([grams.ranges(n)[-1] == k for n in size[some].tolist()])[row - some[0]]
+                yield k, _mixed(value + np.uint64(k)), np.array(at)[row], place, size[row], own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for lines in _new_lines(batches, least):
-            for start in range(0, len(lines), 4096):
-                keys, hashes, index = [], [], []
-                for h, line in lines[start:start + 4096]:
-                    cuts = places(len(line))
-                    keys += [digest(line[x:y].encode(), n * 64 + k) for k, n, x, y, _ in cuts]
-                    hashes += [h] * len(cuts)
-                    index += [c[4] for c in cuts]
+        table = np.frombuffer(repeated.value, np.uint8) if repeated is not None else None
+        for fresh in _new_lines(batches, least):
+            for start in range(0, len(fresh), 4096):
+                lines = fresh[start:start + 4096]
+                if table is None:
+                    keys = [short(lines)[0], *(x[1] for x in long(lines))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+                    continue
+                key, row, own = short(lines)
+                found = _set_in(table, key)
+                parts = [np.stack([key[found], row[found].astype(np.uint64), own[found].astype(np.uint64)])]
+                for k, key, row, place, size, own in long(lines):
+                    found = _set_in(table, key)
+                    parts.append(slotted(*(x[found] for x in (key, row, place, size, own)), grams.reach(k)))
+                key, row, own = np.concatenate(parts, axis=1)
+                hashes = np.array([h for h, _ in lines], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(hashes, pa.int64()),
-                     pa.array(index, pa.int8())], ["key", "h", "own"])
+                    [pa.array(key.view(np.int64)), pa.array(hashes[row.astype(np.int64)]), pa.array(own.astype(np.int8))],
+                    ["key", "h", "own"])
     return run
 
 
-def _texts(least: int):
+def _texts(least: int, wanted):
+    """The lines whose hashes are set in the broadcast bit table, and some others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(wanted.value, np.uint8)
         for lines in _new_lines(batches, least):
+            hashes = np.array([h for h, _ in lines], np.int64)
+            some = np.flatnonzero(_set_in(table, hashes.view(np.uint64))).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in lines], pa.int64()), pa.array([t for _, t in lines], pa.string())], ["h", "line"])
+                [pa.array(hashes[some]), pa.array([lines[i][1] for i in some], pa.string())], ["h", "line"])
     return run
 
 
 PAIRS = "a long, b long"
 
 
-def _verified(edits: int):
+def _verified(edits: int | Growing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)
@@ -247,14 +444,14 @@ def _verified(edits: int):
     return run
 
 
-def _across(edits: int):
+def _across(edits: int | Growing):
     """Near pairs of different classes within each run of equal g; rows come sorted by g."""
     def pairs(rows: list) -> Iterator[pa.RecordBatch]:
         two = any(r[1] for r in rows)
         left = [r for r in rows if not r[1]]
         right = [r for r in rows if r[1]] if two else left
         some = [(x, y) for i, x in enumerate(left) for y in (right if two else right[i + 1:])
-                if x[3] != y[3] and (x[4] or y[4]) and abs(len(x[5]) - len(y[5])) <= edits]
+                if x[3] != y[3] and (x[4] or y[4]) and abs(len(x[5]) - len(y[5])) <= allowed(min(len(x[5]), len(y[5])), edits)]
         if some:
             good = within([x[5] for x, _ in some], [y[5] for _, y in some], edits)
             near = [(min(x[2], y[2]), max(x[2], y[2])) for (x, y), ok in zip(some, good) if ok]
@@ -274,17 +471,28 @@ def _across(edits: int):
 
 # ------------------------------------------------------------------ the join
 
-def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Classes of different lines that are near: node, root (hashes of lines)."""
+def _bits(hashes: DataFrame, name: str):
+    """The broadcast bit table of a column of hashes."""
+    bit = F.col(name).bitwiseAND(F.lit(BITS - 1).cast("long")).cast("int")
+    return hashes.sparkSession.sparkContext.broadcast(bit_table(hashes, bit))
+
+
+def near_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
+    """Classes of different lines that are near: node, root (hashes of lines).
+
+    Most keys come once. Only those that come again, by a bit table of fixed
+    size, and perhaps some others, are sent with the line they belong to.
+    """
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    keys = texts.mapInArrow(_keyed(edits, least), "key long, h long, own byte")
+    again = texts.mapInArrow(_keyed(edits, least), "key long").groupBy("key").count().where("count > 1")
+    keys = stored(texts.mapInArrow(_keyed(edits, least, _bits(again, "key")), "key long, h long, own byte"), "line-keys")
     hubs = keys.groupBy("key").agg(
         F.min(F.when(F.col("own") == 1, F.col("h"))).alias("hub"), F.min("h").alias("low"), F.max("h").alias("high"))
     hubs = stored(hubs.where("hub is not null and low < high").select("key", "hub"), "line-hubs")
     members = stored(keys.join(hubs, "key").groupBy("key", "h").agg(
         F.max("own").alias("own"), F.min("hub").alias("hub")), "line-members")
     wanted = stored(members.select("h").distinct(), "line-wanted")
-    lines = texts.mapInArrow(_texts(least), "h long, line string").join(wanted, "h")
+    lines = texts.mapInArrow(_texts(least, _bits(wanted, "h")), "h long, line string").join(wanted, "h")
     lines = stored(lines.groupBy("h").agg(F.first("line").alias("line")), "line-texts")
 
     first = members.where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
@@ -316,12 +524,13 @@ def _place() -> Column:
     return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, text_key, n_lines, dropped (sorted line numbers from 0).
 
     docs: doc_id, text (further columns are not read). A line counts with at
     least `least` characters, without the blanks around it. Of every class of
-    lines, linked by at most `edits` edits, the one with the smallest (doc_id,
+    lines, linked by at most `edits` edits (a number, or one that grows with the
+    shorter line), the one with the smallest (doc_id,
     number) stays; null ids come last. Rows that repeat an id are one document
     in this order: where they hold the same line in the same place, it stays in
     each. A null text has one empty line and drops none. text_key is xxhash64
@@ -352,7 +561,7 @@ def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series([t if d is None or t is None else cut(t, d) for t, d in zip(text, dropped)])
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
     """The documents without the repeated lines, all columns.
 
     A document of which nothing but blanks is left after lines were taken goes

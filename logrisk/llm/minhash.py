@@ -319,13 +319,13 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "bits": [np.packbits(table, bitorder="little").tobytes()]})
 
 
-def bit_table(rows: DataFrame) -> bytes:
-    """BITS bits, set where the hash of a doc_id falls: 8 MB, however many rows.
+def bit_table(rows: DataFrame, bit: Column | None = None) -> bytes:
+    """BITS bits, set where the hash of a doc_id (or `bit`) falls: 8 MB, however many rows.
 
     A set bit may belong to other documents too, so a join has to follow; an
     unset one proves that a document is not among the rows.
     """
-    bits = rows.select(_bit().alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / CHUNK_BITS).cast("int"))
+    bits = rows.select((_bit() if bit is None else bit).alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / CHUNK_BITS).cast("int"))
     table = bytearray(BITS // 8)
     for r in bits.groupBy("chunk").applyInPandas(_packed, "chunk int, bits binary").collect():
         table[r.chunk * CHUNK_BITS // 8:(r.chunk + 1) * CHUNK_BITS // 8] = r.bits

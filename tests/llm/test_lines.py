@@ -131,3 +131,24 @@ def test_long_pairs():
     a = "x" * 70_000
     assert list(lines.within([a, a, ""], [a[:-1], a[:-3] + "yyy", ""], 2)) == [True, False, True]
     assert isinstance(lines.within([], [], 1), np.ndarray)
+
+
+def test_longer_lines_may_have_more_edits(spark):
+    rng, rows = random.Random(11), []
+    base = ["".join(rng.choice("abcdefgh ijkl") for _ in range(n)) for n in (78, 80, 81, 119, 121, 199, 240, 500, 900, 2600)]
+    for i in range(60):
+        some = [edited(rng, t, rng.randint(0, len(t) // 40 + 1)) for t in rng.sample(base, 4)]
+        rows.append((i, "\n".join(some)))
+    want = plain_lines(rows, lines.Growing(1, 40), 30)
+    assert got(lines.repeated_lines(frame(spark, rows))) == want
+    assert sum(len(drop) for *_, drop in want) > 150 > sum(len(drop) for *_, drop in plain_lines(rows, 1, 30))
+    assert got(lines.repeated_lines(frame(spark, rows), 1)) == plain_lines(rows, 1, 30)
+
+
+def test_wide_band_is_edit_distance():
+    rng = random.Random(4)
+    for _ in range(60):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 90)))
+        b = edited(rng, a, rng.randint(0, 9)) or "x"
+        d, (y, x) = distance(a, b), sorted((a, b), key=len)
+        assert all(lines._wide(x, y, e) == (d <= e) for e in range(len(x) - len(y), 40))
