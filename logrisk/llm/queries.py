@@ -79,7 +79,7 @@ def op6_mix_pivotal(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_secret_links(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, folder, "documents")).select(
+    return secrets.find_secrets(table(spark, folder, "documents"), reach=None).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_linked")
 
 

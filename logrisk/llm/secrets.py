@@ -19,8 +19,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 #: Weak kinds: they count only beside parts that complete them.
-KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])"
-RANDOM = r"(?<![A-Za-z0-9+/=])(?=[^0-9]{0,63}[0-9])(?=[^A-Z]{0,63}[A-Z])(?=[^a-z]{0,63}[a-z])[A-Za-z0-9+/]{24,64}={0,2}(?![A-Za-z0-9+/=])"
+KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}+(?![A-Za-z0-9])"
+RANDOM = (r"(?<![A-Za-z0-9+/])(?=[^0-9]{0,63}[0-9]|[A-Za-z+/]*+[0-9])(?=[^A-Z]{0,63}[A-Z]|[a-z0-9+/]*+[A-Z])"
+          r"(?=[^a-z]{0,63}[a-z]|[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{24,}+={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = r"(?i)\b(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%-]+"
 
 KINDS = ["assign", "access", "hex", "id", "random", "endpoint"]
@@ -87,11 +88,12 @@ def scan(docs: DataFrame) -> DataFrame:
         F.transform("weak", placed).alias("weak"))
 
 
-def link(parts: DataFrame, reach: int = 256) -> DataFrame:
+def link(parts: DataFrame, reach: int | None = 256) -> DataFrame:
     """Weak spans that are completed: doc_id, text_key, linked (array of spans).
 
     Parts of one section are close when at most `reach` code points lie between
-    them. A bare key id counts beside a secret (assign, hex, random), a random
+    them, or always if that is None: then what a section holds is counted once,
+    without pairs. A bare key id counts beside a secret (assign, hex, random), a random
     string beside an identifier (access, id), an address only beside both. The
     join runs on text, section and blocks of `reach` code points: each part
     looks from the block before its start to the one after its end, so every
@@ -100,18 +102,32 @@ def link(parts: DataFrame, reach: int = 256) -> DataFrame:
     keyed = parts.where(F.size("weak") > 0).dropDuplicates(["doc_id", "text_key"])
     rows = keyed.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s")).select(
         "doc_id", "text_key", "s.*")
+    if reach is None:
+        beside = _beside_in_section(rows)
+    else:
+        beside = _beside_in_reach(rows, reach)
+    complete = F.when(F.col("kind") == 3, F.col("secret")).when(F.col("kind") == 4, F.col("identifier")).otherwise(
+        F.col("identifier") & F.col("secret"))
+    return beside.where(complete).groupBy("doc_id", "text_key").agg(
+        F.collect_list(F.struct("start", "kind", "end", "section")).alias("linked"))
+
+
+def _beside_in_section(rows: DataFrame) -> DataFrame:
+    held = rows.groupBy("doc_id", "text_key", "section").agg(
+        F.max(F.col("kind").isin(1, 3)).alias("identifier"), F.max(F.col("kind").isin(0, 2, 4)).alias("secret"))
+    both = rows.where("kind >= 3").alias("a").join(held.alias("b"), same("a", "b", "doc_id", "text_key", "section"))
+    return both.select("a.*", "b.identifier", "b.secret")
+
+
+def _beside_in_reach(rows: DataFrame, reach: int) -> DataFrame:
     first, last = F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)
     there = rows.withColumn("block", F.explode(F.sequence(first, last)))
     asking = rows.where("kind >= 3").withColumn("block", F.explode(F.sequence(first - 1, last + 1)))
     pairs = asking.alias("a").join(there.alias("b"), same("a", "b", "doc_id", "text_key", "section", "block"))
     pairs = pairs.where(F.greatest("a.start", "b.start") - F.least("a.end", "b.end") <= reach)
     identifier, secret = F.col("b.kind").isin(1, 3), F.col("b.kind").isin(0, 2, 4)
-    beside = pairs.groupBy(*[f"a.{c}" for c in ("doc_id", "text_key", "start", "kind", "end", "section")]).agg(
+    return pairs.groupBy(*[f"a.{c}" for c in ("doc_id", "text_key", "start", "kind", "end", "section")]).agg(
         F.max(identifier).alias("identifier"), F.max(secret).alias("secret"))
-    complete = F.when(F.col("kind") == 3, F.col("secret")).when(F.col("kind") == 4, F.col("identifier")).otherwise(
-        F.col("identifier") & F.col("secret"))
-    return beside.where(complete).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "kind", "end", "section")).alias("linked"))
 
 
 def _listed(spans: Column) -> Column:
@@ -124,12 +140,12 @@ def _number(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def find_secrets(docs: DataFrame, reach: int = 256) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = 256) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_linked, base_spans, spans.
 
     docs: doc_id, text (further columns are not read). Spans are
     kind:start:end in code points, by start, then kind. Null and empty texts
-    have none. Repeated rows get the same answer each; a null doc_id stays.
+    have none. reach: see `link`. Repeated rows get the same answer each; a null doc_id stays.
     """
     parts = stored(scan(docs), "secrets")
     linked = link(parts, reach)
