@@ -32,7 +32,7 @@ FIT_ROWS, FIT_CHARS = 1_500, 20_000
 REMEMBERED = 100_000
 #: Windows that are scored together.
 TOGETHER = 2_048
-#: Letters of a word that are read one by one.
+#: Letters of a word; a longer run is read as words of so many that overlap by half.
 LONGEST = 24
 TOKEN = re.compile(r"\w+")
 
@@ -76,13 +76,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def tokens(text: str) -> list[str]:
+    """Words in small letters, a run of more than LONGEST letters in overlapping parts."""
+    out: list[str] = []
+    for word in TOKEN.findall(text.lower()):
+        if len(word) <= LONGEST:
+            out.append(word)
+        else:
+            out += [word[k:k + LONGEST] for k in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    return out
+
+
 def word_parts(word: str) -> tuple[int, list[int]]:
     """Rows of the word table and of the character table; 0 is for no word.
 
-    Characters come as trigrams and as beginnings of 4 to 6 with the edge; of a
-    very long word those of its ends count.
+    Characters come as trigrams and as beginnings of 4 to 6 with the edge.
     """
-    edged = f"<{word}>" if len(word) <= LONGEST else f"<{word[:LONGEST // 2]}{word[-LONGEST // 2:]}>"
+    edged = f"<{word}>"
     grams = [edged[k:k + 3] for k in range(len(edged) - 2)] + [edged[:k] for k in range(4, min(6, len(edged)) + 1)]
     return (1 + xxhash.xxh3_64_intdigest(word.encode()) % (WORDS - 1),
             [xxhash.xxh3_64_intdigest(g.encode()) % GRAMS for g in grams])
@@ -184,7 +194,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 256,
     spans, owner = [], []
     for i, text in enumerate(texts):
         ids = []
-        for word in TOKEN.findall(text.lower()):
+        for word in tokens(text):
             if word not in known:
                 known[word] = len(parts)
                 parts.append(word_parts(word))
@@ -319,12 +329,12 @@ class Scorer:
         """Probabilities; texts without words get that of an empty window."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        tokens = [TOKEN.findall((t or "").lower()) for t in texts]
-        new = [x for x in dict.fromkeys(x for ws in tokens for x in ws) if x not in self.known]
+        read = [tokens(t or "") for t in texts]
+        new = [x for x in dict.fromkeys(x for ws in read for x in ws) if x not in self.known]
         if new:
             self._learn(new)
         starts, flat, at, owner = [], [], 0, []
-        for i, words in enumerate(tokens):
+        for i, words in enumerate(read):
             here = windows(len(words))
             starts.append(here + at)
             owner.append(np.full(len(here), i))

@@ -226,3 +226,15 @@ def test_odd_texts_and_labels(spark, network):
     assert toxicity.train(docs, none) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.clean(docs, None).count() == 5
+
+
+def test_whole_of_a_long_run_is_read():
+    for n in (25, 36, 37, 48, 49, 400):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        parts = toxicity.tokens(f"Ab {run} c_D")
+        assert parts[0] == "ab" and parts[-1] == "c_d" and max(map(len, parts)) <= toxicity.LONGEST
+        # Whatever is no longer than half a part stands in one of them whole.
+        assert all(any(run[k:k + 12] in p for p in parts) for k in range(n - 11))
+    clean, rude = "a" * 200, "a" * 90 + "idiot" + "a" * 105
+    grams = [{g for p in toxicity.tokens(t) for g in toxicity.word_parts(p)[1]} for t in (clean, rude)]
+    assert grams[1] - grams[0]
