@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
 as Parquet and read again as the documents of the next one:
 
 1. toxicity: documents the network scores at 0.5 or more go;
-2. line dedup: lines that an earlier document has, exactly or but for an edit,
-   are taken out; a document of which nothing is left goes;
-3. near duplicates: one document of each group stays;
+2. line dedup: lines that an earlier document has, exactly or but for an edit
+   in 40 characters, are taken out; a document of which nothing is left goes;
+3. near duplicates: one document of each group, linked at a similarity of 0.8 or more, stays;
 4. mixing: documents are left out, kept or repeated to reach the targets;
 5. pieces: token ids and decoded text of each document, as counts and digests.
 """
@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, (100, 80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

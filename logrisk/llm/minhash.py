@@ -1,13 +1,13 @@
 """Near-duplicate documents: b-bit MinHash signatures and a multi-index Hamming join.
 
 A signature has SYMBOLS symbols of 16 bits; the distance of two signatures is
-the number of symbols that differ. With at most DISTANCE differing symbols and
-CHUNKS chunks with 2 * CHUNKS > DISTANCE, some chunk has at most one error. So
+the number of symbols that differ. With at most `distance` differing symbols and
+so many chunks that twice their number is more, some chunk has at most one error. So
 every chunk is indexed with each of its symbols left out in turn: two
 signatures within the distance share at least one such key, always.
 
-DISTANCE is set so that documents at the similarity bound are within it but for
-about 3 in 10,000 (a binomial tail), more similar ones far more surely.
+The distance follows from the similarity bound: documents at the bound are within
+it but for fewer than RISK (a binomial tail), more similar ones far more surely.
 
 Only classes of documents with equal shingle sets are compared. Signatures
 within the distance connect classes to families, and the full sets of a family
@@ -17,7 +17,9 @@ made: what leaves a task are the links that connect its classes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,14 +33,14 @@ from logrisk.llm.graph import components
 
 SHINGLE = 5
 SYMBOLS = 64
-DISTANCE = 20
-CHUNKS = 11
 #: Classes of one block when those of a key (signatures) or of a family (sets) are compared.
 KEY_BLOCK, BLOCK = 1_024, 128
 #: Shingles of one product of membership columns.
 COLUMNS = 8_192
-#: Similar when BOUND[0] * intersection >= BOUND[1] * union.
+#: Similar when bound[0] * intersection >= bound[1] * union; BOUND is the one of op10.
 BOUND = (100, 85)
+#: Share of the pairs at the bound whose signatures may differ more than the distance.
+RISK = 5e-4
 
 #: Bits of the table that tells which documents are wanted again, and those packed together.
 BITS, CHUNK_BITS = 1 << 26, 1 << 16
@@ -117,21 +119,30 @@ def fingerprint(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def _plan() -> list[tuple[int, ...]]:
-    """The symbols of every key: each chunk with each of its symbols left out."""
-    chunks = [c.tolist() for c in np.array_split(np.arange(SYMBOLS), CHUNKS)]
-    return [tuple(i for i in c if i != left) for c in chunks for left in c]
+def distance_of(bound: tuple[int, int]) -> int:
+    """The least distance that pairs at the bound exceed in fewer than RISK of the cases."""
+    differ = 1 - bound[1] / bound[0]
+    chance = [math.comb(SYMBOLS, k) * differ ** k * (1 - differ) ** (SYMBOLS - k) for k in range(SYMBOLS + 1)]
+    return next(d for d in range(SYMBOLS + 1) if sum(chance[d + 1:]) < RISK)
 
 
-_KEYS = _plan()
-_WEIGHTS = [_odd(len(k)) for k in _KEYS]
+DISTANCE = distance_of(BOUND)
 
 
-def signature_keys(signatures: np.ndarray) -> np.ndarray:
+@lru_cache
+def _plan(distance: int) -> list[tuple[list[int], np.ndarray]]:
+    """Symbols and weights of every key: each chunk with each of its symbols left out."""
+    chunks = [c.tolist() for c in np.array_split(np.arange(SYMBOLS), distance // 2 + 1)]
+    rng = np.random.default_rng(distance)
+    keys = [[i for i in c if i != left] for c in chunks for left in c]
+    return [(k, rng.integers(0, 1 << 63, len(k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for k in keys]
+
+
+def signature_keys(signatures: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Keys of each signature, a column for each way to leave out a symbol of a chunk."""
-    wide = signatures.astype(np.uint64) + np.uint64(1)
-    out = np.empty((len(wide), len(_KEYS)), np.uint64)
-    for k, (symbols, weights) in enumerate(zip(_KEYS, _WEIGHTS)):
+    wide, plan = signatures.astype(np.uint64) + np.uint64(1), _plan(distance)
+    out = np.empty((len(wide), len(plan)), np.uint64)
+    for k, (symbols, weights) in enumerate(plan):
         out[:, k] = _mixed((wide[:, symbols] * weights).sum(axis=1, dtype=np.uint64) + np.uint64(k))
     return out.view(np.int64)
 
@@ -169,24 +180,28 @@ def _sets(wanted):
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
-            keys = signature_keys(_signatures(part.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), len(_KEYS)))], ["key", "node"])
+def _keyed(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                keys = signature_keys(_signatures(part.column(1)), distance)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
+    return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(distance: int):
     """Of pairs with both signatures, those within the distance."""
-    for batch in batches:
-        a, b = _signatures(batch.column(2)), _signatures(batch.column(3))
-        near = (a != b).sum(axis=1) <= DISTANCE
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _signatures(batch.column(2)), _signatures(batch.column(3))
+            near = (a != b).sum(axis=1) <= distance
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
+    return run
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(bound: tuple[int, int]):
     """Links within each run of equal g, from full sets, as (node, a smaller node it is connected with)."""
     def links(rows: list) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
@@ -195,7 +210,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
         size = np.array([len(v) for v in sets])
         both = intersections(sets)
-        similar = BOUND[0] * both >= BOUND[1] * (size[:, None] + size - both)
+        similar = bound[0] * both >= bound[1] * (size[:, None] + size - both)
         x, y = np.nonzero(np.triu(similar, 1))
         lowest, before = node.copy(), None
         while before is None or (lowest != before).any():
@@ -205,7 +220,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = lowest != node
         yield pa.RecordBatch.from_arrays([pa.array(lowest[some]), pa.array(node[some])], ["a", "b"])
 
-    yield from _runs(batches, links)
+    return lambda batches: _runs(batches, links)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -240,7 +255,7 @@ def _runs(batches: Iterator[pa.RecordBatch], use) -> Iterator[pa.RecordBatch]:
     yield from use(held)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(distance: int):
     """Near rows within each run of equal g, as (node, a smaller node it is connected with)."""
     def links(rows: list) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
@@ -248,14 +263,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = np.array([r[2] for r in rows])
         sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, SYMBOLS)
         lowest, before = node.copy(), None
-        near = [np.flatnonzero((sig != one).sum(axis=1) <= DISTANCE) for one in sig]
+        near = [np.flatnonzero((sig != one).sum(axis=1) <= distance) for one in sig]
         while before is None or (lowest != before).any():
             before = lowest.copy()
             lowest = np.array([before[at].min() for at in near])
         some = lowest != node
         yield pa.RecordBatch.from_arrays([pa.array(lowest[some]), pa.array(node[some])], ["a", "b"])
 
-    yield from _runs(batches, links)
+    return lambda batches: _runs(batches, links)
 
 
 # ------------------------------------------------------------------ the join
@@ -263,11 +278,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIRS = "a long, b long"
 
 
-def near_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, sigs: DataFrame, distance: int) -> DataFrame:
     """Pairs of nodes within the distance. pairs: a, b; sigs: node, sig."""
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a") \
         .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_near, PAIRS)
+    return both.select("a", "b", "x", "y").mapInArrow(_near(distance), PAIRS)
 
 
 def _blocks(rows: DataFrame, group: str, value: str, size: int) -> DataFrame:
@@ -284,13 +299,13 @@ def _blocks(rows: DataFrame, group: str, value: str, size: int) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g")
 
 
-def families(classes: DataFrame) -> DataFrame:
+def families(classes: DataFrame, distance: int) -> DataFrame:
     """Classes that are connected by signatures within the distance: node, root, for families of two or more.
 
     Each key first ties its classes to one of them; only keys whose classes
     are then still in several families have all of theirs compared.
     """
-    keys = classes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
+    keys = classes.select("node", "sig").mapInArrow(_keyed(distance), "key long, node long")
     hubs = stored(keys.groupBy("key").agg(
         F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-hubs")
     members = stored(
@@ -298,14 +313,14 @@ def families(classes: DataFrame) -> DataFrame:
     first = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
         hubs.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))).distinct()
     sigs = classes.select("node", "sig")
-    near = stored(near_pairs(first, sigs), "minhash-near")
+    near = stored(near_pairs(first, sigs, distance), "minhash-near")
     comp = stored(components(near), "minhash-comp")
     placed = stored(members.join(comp, "node", "left").select(
         "key", "node", "n", F.coalesce("root", "node").alias("comp")), "minhash-placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")) \
         .where("low != high").select("key")
     rows = placed.join(stored(split, "minhash-open"), "key").join(sigs, "node").select("key", "node", "n", "sig")
-    more = _blocks(rows, "key", "sig", KEY_BLOCK).mapInArrow(_across, PAIRS)
+    more = _blocks(rows, "key", "sig", KEY_BLOCK).mapInArrow(_across(distance), PAIRS)
     return components(near.unionByName(more))
 
 
@@ -332,14 +347,14 @@ def bit_table(rows: DataFrame, bit: Column | None = None) -> bytes:
     return bytes(table)
 
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, bound: tuple[int, int]) -> DataFrame:
     """Links (a, b) that connect the similar classes, confirmed on full sets.
 
     classes: node, fp, sig, doc_id; docs: doc_id, text. All classes of a family
     are compared, block by block, on sets made anew from their texts; what
     comes out are the links that connect them, not all pairs.
     """
-    family = stored(families(classes), "minhash-families")
+    family = stored(families(classes, distance_of(bound)), "minhash-families")
     wanted = stored(family.select("node").join(classes, "node").select("node", "fp", "doc_id"), "minhash-wanted")
     # Texts of other documents stay where they are: a bit table of fixed size tells them apart.
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(wanted))
@@ -350,14 +365,15 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = stored(sets.groupBy("w.node").agg(F.first("s.values").alias("values")), "minhash-sets")
     sizes = stored(family.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "minhash-family-sizes")
     rows = sets.join(family.join(sizes, "root"), "node").select("root", "node", "n", "values")
-    return _blocks(rows, "root", "values", BLOCK).mapInArrow(_linked, PAIRS)
+    return _blocks(rows, "root", "values", BLOCK).mapInArrow(_linked(bound), PAIRS)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, bound: tuple[int, int] = BOUND) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, kept.
 
     docs: doc_id, text (further columns are not read). component_id is the
-    smallest doc_id reachable by links; a text without words has none but its
+    smallest doc_id reachable by links, which join texts whose sets are similar by
+    `bound`; a text without words has none but its
     own. Repeated rows belong together and all have kept where the id is the
     component's. Null ids count last: components of null ids alone have a null
     component_id and are kept. text_key is xxhash64 of the text.
@@ -369,7 +385,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    comp = components(links(classes, docs))
+    comp = components(links(classes, docs, bound))
     named = classes.join(comp, "node", "left").select(
         "fp", "doc_id", F.coalesce("root", "node").alias("root"))
     named = stored(named, "minhash-named")
@@ -380,9 +396,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, bound: tuple[int, int] = BOUND) -> DataFrame:
     """The documents that stay, one row of each component, all columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id", "text_key", "n_shingles").distinct()
+    kept = near_duplicates(docs, bound).where("kept").select("doc_id", "text_key", "n_shingles").distinct()
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     chosen = named.alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "text_key"), "left_semi")

@@ -222,6 +222,22 @@ def test_signatures_within_the_distance_share_a_key():
     assert (minhash.signature_keys(a) == minhash.signature_keys(b)).any(axis=1).all()
 
 
+def test_bound_is_a_parameter(spark):
+    assert [minhash.distance_of((100, b)) for b in (85, 80)] == [20, 24]
+    words = [f"w{i}" for i in range(104)]
+    # 100 shingles each; 90 in common of 110, so 0.818.
+    rows = [(1, " ".join(words)), (2, " ".join(words[:94] + [f"x{i}" for i in range(10)])), (3, "a b c d e f")]
+    found = {b: {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), (100, b)).collect()} for b in (80, 85)}
+    assert found == {80: {1: 1, 2: 1, 3: 3}, 85: {1: 1, 2: 2, 3: 3}}
+    assert sorted(r.doc_id for r in minhash.one_of_each(frame(spark, rows), (100, 80)).collect()) == [1, 3]
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 16, (300, minhash.SYMBOLS)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(minhash.SYMBOLS, 24, replace=False)] += 1
+    assert (minhash.signature_keys(a, 24) == minhash.signature_keys(b, 24)).any(axis=1).all()
+
+
 def test_intersections():
     rng, columns = np.random.default_rng(2), minhash.COLUMNS
     sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 1, 5, 30, 30, 50)]
