@@ -730,13 +730,13 @@ def _samples(spark, folder) -> DataFrame:
 
 @query
 def model_compare(spark, folder):
-    return ml.compare_models(_samples(spark, folder), size=0.02, folds=2)
+    return ml.compare_models(_samples(spark, folder))
 
 
 @query
 def model_scores(spark, folder):
     train, test = ml.prepared(_samples(spark, folder))
-    model = ml.fit(ml.candidates(size=0.02)[ml.BOOSTED], train)
+    model = ml.fit(ml.candidates()[ml.BOOSTED], train)
     return ml.score_batch(model, test).select(
         "process_id", "label", "failure_probability", "prediction", "risk_level",
         F.to_json("explanation").alias("explanation"))
@@ -758,7 +758,7 @@ def model_baseline(spark, folder):
 @query
 def top_importances(spark, folder):
     train, _ = ml.prepared(_samples(spark, folder))
-    model = ml.fit(ml.candidates(size=0.02)["Random Forest"], train)
+    model = ml.fit(ml.candidates()["Random Forest"], train)
     return evaluate.top_importances(ml.importance_table(spark, model))
 
 

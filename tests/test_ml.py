@@ -68,3 +68,23 @@ def test_auc_against_pairs(spark):
     assert evaluate.ranking_metrics(rows, digits=9).first()["roc_auc"] == round(wins, 9)
     shifted = rows.withColumn("prob", F.exp("prob"))
     assert evaluate.ranking_metrics(shifted, digits=9).first()["roc_auc"] == round(wins, 9)
+
+
+def test_registered_models_are_whole(spark, monkeypatch):
+    from logrisk.plans import queries
+    seen = []
+
+    def fit(pipeline, _):
+        seen.append(pipeline)
+        raise StopIteration
+
+    monkeypatch.setattr(queries, "_samples", lambda *_: None)
+    monkeypatch.setattr(ml, "prepared", lambda _: (None, None))
+    monkeypatch.setattr(ml, "compare_models", lambda _, **options: seen.append(options))
+    monkeypatch.setattr(ml, "fit", fit)
+    queries.model_compare(spark, "")
+    for q in (queries.model_scores, queries.top_importances):
+        with pytest.raises(StopIteration):
+            q(spark, "")
+    boosted, forest = (next(s for s in p.getStages() if hasattr(s, name)) for p, name in zip(seen[1:], ("getMaxIter", "getNumTrees")))
+    assert seen[0] == {} and boosted.getMaxIter() == 300 and forest.getNumTrees() == 200
