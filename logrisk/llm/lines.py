@@ -62,6 +62,8 @@ BLOCK = 64
 REMEMBERED = 200_000
 #: Characters of a batch of pairs.
 CELLS = 4_000_000
+#: Pairs of lines that are compared together.
+ASKED = 20_000
 #: Characters whose keys are made together.
 PORTION = 200_000
 #: Edits whose band is held in a word of 64 bits.
@@ -218,7 +220,7 @@ def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndar
     good = np.zeros(len(first), bool)
     pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(first, second)]
     bounds = [allowed(len(b), edits) for _, b in pairs]
-    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) - len(b) <= bounds[i]),
+    order = sorted(_alike(pairs, bounds, [i for i, (a, b) in enumerate(pairs) if len(a) - len(b) <= bounds[i]]),
                    key=lambda i: (bounds[i], len(pairs[i][0])))
     start = 0
     while start < len(order):
@@ -236,6 +238,20 @@ def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndar
     return good
 
 
+def _alike(pairs: list[tuple[str, str]], bounds: list[int], some: list[int]) -> list[int]:
+    """Those of `some` pairs whose counts of characters (in 64 bins) can be made equal within the bound."""
+    texts = {t: k for k, t in enumerate(dict.fromkeys(t for i in some for t in pairs[i]))}
+    bags = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+                     for t in texts], np.int32).reshape(-1, 64)
+    out = []
+    for start in range(0, len(some), 4096):
+        part = some[start:start + 4096]
+        more = bags[[texts[pairs[i][0]] for i in part]] - bags[[texts[pairs[i][1]] for i in part]]
+        least = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        out += [i for i, n in zip(part, least.tolist()) if n <= bounds[i]]
+    return out
+
+
 def _wide(long: str, short: str, edits: int) -> bool:
     """The band of `_banded` for one pair, in a number of any size; equal ends are left out first."""
     a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (long, short))
@@ -446,29 +462,43 @@ def _verified(edits: int | Growing):
 
 def _across(edits: int | Growing):
     """Near pairs of different classes within each run of equal g; rows come sorted by g."""
-    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: list) -> Iterator[tuple]:
         two = any(r[1] for r in rows)
         left = [r for r in rows if not r[1]]
         right = [r for r in rows if r[1]] if two else left
-        some = [(x, y) for i, x in enumerate(left) for y in (right if two else right[i + 1:])
-                if x[3] != y[3] and (x[4] or y[4]) and abs(len(x[5]) - len(y[5])) <= allowed(min(len(x[5]), len(y[5])), edits)]
-        if some:
-            good = within([x[5] for x, _ in some], [y[5] for _, y in some], edits)
-            near = [(min(x[2], y[2]), max(x[2], y[2])) for (x, y), ok in zip(some, good) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in near], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for i, x in enumerate(left):
+            for y in (right if two else right[i + 1:]):
+                if x[3] != y[3] and (x[4] or y[4]) and abs(len(x[5]) - len(y[5])) <= allowed(min(len(x[5]), len(y[5])), edits):
+                    yield (x[2], y[2], x[5], y[5]) if x[2] < y[2] else (y[2], x[2], y[5], x[5])
+
+    def near(asked: dict) -> pa.RecordBatch:
+        good = within([x for x, _ in asked.values()], [y for _, y in asked.values()], edits)
+        found = [p for p, ok in zip(asked, good) if ok]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        # Pairs of many runs are compared together, and each once.
+        asked: dict[tuple[int, int], tuple[str, str]] = {}
+        for batch in _then_none(batches):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))) if batch is not None else [(None,)]:
                 if held and held[0][0] != row[0]:
-                    yield from pairs(held)
+                    for a, b, x, y in pairs(held):
+                        asked[a, b] = x, y
+                        if len(asked) >= ASKED:
+                            yield near(asked)
+                            asked = {}
                     held = []
                 held.append(row)
-        yield from pairs(held)
+        yield near(asked)
     return run
 
 
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
 # ------------------------------------------------------------------ the join
 
 def _bits(hashes: DataFrame, name: str):
