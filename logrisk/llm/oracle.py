@@ -9,6 +9,8 @@ from __future__ import annotations
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: Base 32 of a SHA-1: 32 groups of five bits, each within three hexadecimal digits.
 _BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   ((cast('0x' || substr(sha, least(cast(i * 5 // 4 as bigint), 37) + 1, 3) as bigint)
@@ -52,4 +54,36 @@ reach as (select doc_id as x, doc_id as y from documents union select r.x, e.y f
 c as (select x, min(y) as component_id from reach group by x)
 select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept
 from documents join c on c.x = doc_id left join n using (doc_id)""",
+    "op11_hard_negatives": """
+with v as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as double)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+pos as (select anchor_id, vec_id as positive_id, score as positive_score from p where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select pos.anchor_id, positive_id, cast(row_number() over w as int) as rank, p.vec_id as negative_id, positive_score, p.score as negative_score
+from pos join p on p.anchor_id = pos.anchor_id and not p.same
+  and 50 * positive_score <= 100 * p.score and 100 * p.score <= 95 * positive_score
+window w as (partition by pos.anchor_id, positive_id order by p.score desc, p.vec_id)
+qualify row_number() over w <= 3""",
+    "op12_mask_search": rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') as t from documents),
+c as (select count(*) as n_docs, cast(sum(len(t)) as bigint) as n_terms from d where len(t) > 0),
+o as (select doc_id, n, term, count(*) as tf from (select doc_id, len(t) as n, unnest(t) as term from d) group by all),
+f as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as w from (select term, count(*) as df from o group by term), c),
+i as (select item_id, term, count(*) as times from (
+  select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) as term from benchmark) group by all),
+s as (select item_id, doc_id, cast(sum(times * cast(w as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) as bigint) as score
+  from i join o using (term) join f using (term), c group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from s where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10""",
+    "op13_term_scores": """
+with v as (select vec_id, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.e, b.e) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from p qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
 }

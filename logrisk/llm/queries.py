@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logrisk.llm import exactdup, lines, minhash, mixing, pieces, secrets, toxicity, urls, vectors, warc
+from logrisk.llm import (
+    blocks, exactdup, lexical, lines, minhash, mixing, negatives, pieces, secrets, topk, toxicity, urls, vectors, warc,
+)
 from logrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +100,26 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_url_trees(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), RULES)
+
+
+def _shifted(rows: DataFrame) -> DataFrame:
+    """The labels of every seventh vector moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rows.withColumn("label", label)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = blocks.integer_vectors(_shifted(table(spark, folder, "embeddings")))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_mask_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_term_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = blocks.integer_vectors(table(spark, folder, "embeddings").drop("label"))
+    return topk.search(rows, F.col("vec_id") % 50 == 0)
