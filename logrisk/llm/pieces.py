@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Remembered parts and neighbours of a Python worker; forgotten all at once when full.
-REMEMBERED = 150_000
+#: Bytes of a generation of remembered words, parts or neighbours in a Python worker; two generations are held.
+REMEMBERED = {"words": 72 << 20, "parts": 24 << 20, "fits": 24 << 20}
+#: Bytes that an entry takes beside its key and its value.
+ENTRY = 120
 #: Texts that are handled and passed on together.
 SLICE = 256
 
@@ -58,16 +61,22 @@ class Vocabulary:
 
 
 class _Memory(dict):
-    """Results of a function, all forgotten when there are too many."""
+    """Results of a function. What was asked for lately stays when older results are forgotten."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.size, self.before = make, most, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self.size += getsizeof(key) + getsizeof(value) + ENTRY
+        if self.size > self.most:
+            # The younger generation becomes the older one, which is forgotten.
+            self.before, self.size = dict(self), 0
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -86,13 +95,13 @@ class Encoder:
             self.search.add_word(p, p)
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in made or k == 1), None)
         self.search.make_automaton()
-        self.fits = _Memory(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
+        self.fits = _Memory(lambda pair: self.merged(pair[0] + pair[1]) == list(pair), REMEMBERED["fits"])
         # Where no piece reaches across, the two sides are encoded on their own.
         joined = set("".join(long))
         self.alone = "\n" not in joined
         self.spaced = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in long)
-        self.part = _Memory(self._part)
-        self.word = _Memory(lambda w: self._part(SPACE + w))
+        self.part = _Memory(self._part, REMEMBERED["parts"])
+        self.word = _Memory(lambda w: self._part(SPACE + w), REMEMBERED["words"])
         self._surfaces(vocabulary)
 
     def merged(self, text: str) -> list[str]:
@@ -133,8 +142,9 @@ class Encoder:
                 piece = shorter.get(piece)
         return out
 
-    def _part(self, text: str) -> tuple:
-        out: list[int] = []
+    def _part(self, text: str) -> bytes:
+        """Ids of a part, packed."""
+        out = array("i")
         for p in self.split(text):
             known = self.ids.get(p)
             if known is not None:
@@ -143,31 +153,33 @@ class Encoder:
                 out.extend(self.bytes[b] for b in p.encode())
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out.tobytes()
 
     def encode(self, text: str) -> array:
         """Ids of a text, without begin or end."""
-        out = array("i")
+        packed = array("i")
+        packed.frombytes(self._packed(text))
+        return packed
+
+    def _packed(self, text: str) -> bytes:
         if not text:
-            return out
+            return b""
         text = SPACE + text.replace(" ", SPACE)
         if not self.spaced:
-            out.extend(self._part(text))
-            return out
+            return self._part(text)
+        out: list[bytes] = []
         newline = self.part["\n"] if self.alone else None
         for k, line in enumerate(text.split("\n") if self.alone else [text]):
             if k:
-                out.extend(newline)
+                out.append(newline)
             if SPACE + SPACE in line:
-                for p in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line):
-                    out.extend(self.part[p])
+                out += map(self.part.__getitem__, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line))
                 continue
             head, *rest = line.split(SPACE)
             if head:
-                out.extend(self.part[head])
-            for ids in map(self.word.__getitem__, rest):
-                out.extend(ids)
-        return out
+                out.append(self.part[head])
+            out += map(self.word.__getitem__, rest)
+        return b"".join(out)
 
     def _surfaces(self, vocabulary: Vocabulary) -> None:
         first = self.bytes[0] if self.bytes else 0
