@@ -23,7 +23,10 @@ from logrisk.operators.ordered import Run, row_numbers, running
 
 #: Documents that one fold rounds.
 CHUNK = 32
-ENTRY = "struct<u:double,item:struct<doc_id:bigint,source:string,text_key:bigint,base:bigint>,mass:double,x:double>"
+#: A repeated row comes as often as this at most from one entry of a list.
+COPIES = 10_000
+ENTRY = "struct<u:double,item:struct<doc_id:bigint,source:string,text_key:bigint,nr:bigint,size:bigint,base:bigint>,mass:double,x:double>"
+KEYS = ("doc_id", "source", "text_key", "nr")
 
 
 def words(text: Column) -> Column:
@@ -97,37 +100,47 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """A row with a number from 1 for each of the m rows that an item stands for."""
+    first = F.col("block") * COPIES + 1
+    each = F.explode(F.sequence(first, F.least(F.col("m"), first + (COPIES - 1)))).alias("nr")
+    few = items.where(F.col("m") <= COPIES).withColumn("block", F.lit(0).cast("long"))
+    many = items.where(F.col("m") > COPIES).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / COPIES))))
+    many = many.repartition("doc_id", "source", "text_key", "block")
+    return few.unionByName(many).select("doc_id", "source", "text_key", "size", each)
+
+
 def decide(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
-           seed: int = 42, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Copies for every document: (rows, decisions).
-
-    docs: doc_id, text, source (further columns are not read). rows: one row
-    per row of docs with doc_id, source, text_key, size. decisions: one row per
-    different (doc_id, source, text_key) with copies, source_size and target.
-    Repeated rows get the same number of copies, and are rounded as one item.
-    Null or blank texts have size 0 and are rounded each on their own. The
-    random numbers are hashes of the row and the seed: reruns agree.
+           seed: int = 42, chunk: int = CHUNK) -> DataFrame:
+    """Copies for every document: one row per row of docs.
+
+    docs: doc_id, text, source (further columns are not read). Result: doc_id,
+    source, text_key, nr, size, copies, source_size, target, weight. Rows that
+    repeat in doc_id, source and text are told apart by a number nr from 1 and
+    each rounded on its own. Null or blank texts have size 0 and are rounded
+    each on their own. The random numbers are hashes of the row, its number and
+    the seed: reruns agree.
     """
-    rows = stored(docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.xxhash64(F.col("text")).alias("text_key"), words(F.col("text")).alias("size")), "mix-rows")
+        F.xxhash64(F.col("text")).alias("text_key"), words(F.col("text")).alias("size"))
     items = rows.groupBy("doc_id", "source", "text_key").agg(
         F.count(F.lit(1)).alias("m"), F.max("size").alias("size"))
     items = stored(items, "mix-items")
     sizes = items.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
     goals = stored(targets(sizes, weights, share, cap), "mix-targets")
     most = goals.agg(F.max("n")).first()[0] or 0
 
     ratio = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
     ratio = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).otherwise(ratio)
     ratio = F.when(F.col("source_size") == 0, 0.0).otherwise(ratio)
-    start = items.alias("i").join(goals.alias("g"), same("i", "g", "source")).select(
-        F.struct(*[F.col(f"i.{c}") for c in ("doc_id", "source", "text_key")],
-                 F.floor(ratio).alias("base")).alias("item"),
-        (F.col("size") * F.col("m")).cast("double").alias("mass"),
+    start = _numbered(items).alias("i").join(goals.alias("g"), same("i", "g", "source")).select(
+        F.struct(*[F.col(f"i.{c}") for c in (*KEYS, "size")], F.floor(ratio).alias("base")).alias("item"),
+        F.col("size").cast("double").alias("mass"),
         (ratio - F.floor(ratio)).alias("x"), F.col("n"))
-    hashed = [F.col("item")[c] for c in ("doc_id", "source", "text_key")]
+    hashed = [F.col("item")[c] for c in KEYS]
     sure = (F.col("mass") == 0) | (F.col("x") == 0)
     alone = start.where(sure).select("item", (_uniform(*hashed, F.lit(seed)) < F.col("x")).cast("double").alias("x"))
     decided, still, level = [alone], start.where(~sure), 0
@@ -153,29 +166,37 @@ def decide(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap:
     for more in decided[1:]:
         picks = picks.unionByName(more)
     picks = picks.select("item.*", "x").select(
-        "doc_id", "source", "text_key", (F.col("base") + F.col("x").cast("long")).alias("copies"))
+        *KEYS, "size", (F.col("base") + F.col("x").cast("long")).alias("copies"))
     decisions = picks.alias("p").join(goals.alias("g"), same("p", "g", "source")).select(
-        "p.doc_id", "p.source", "p.text_key", "p.copies", "g.source_size", "g.target", "g.weight")
-    return rows, stored(decisions, "mix-decisions")
+        *[f"p.{c}" for c in KEYS], "p.size", "p.copies", "g.source_size", "g.target", "g.weight")
+    return stored(decisions, "mix-decisions")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
-    An empty table gives no rows.
+    See `decide`; an empty table gives no rows.
     """
-    rows, decisions = decide(docs, **options)
-    keys = ("doc_id", "source", "text_key")
-    return rows.alias("r").join(decisions.alias("d"), same("r", "d", *keys)).select(
-        "r.doc_id", "r.source", "r.size", "d.source_size", "d.target", "d.copies",
-        (F.col("r.size") * F.col("d.copies")).alias("taken"))
+    return decide(docs, **options).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each repeated as often as the mix takes it."""
-    _, decisions = decide(docs, **options)
+    """The documents themselves, all columns, each repeated as often as the mix takes it.
+
+    Rows that repeat in doc_id, source and text may differ in other columns;
+    which of them has which number is decided by a hash of the whole row.
+    """
+    decisions = decide(docs, **options)
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text")).alias("text_key"))
-    keys = ("doc_id", "source", "text_key")
-    taken = keyed.alias("r").join(decisions.where("copies > 0").alias("d"), same("r", "d", *keys))
+    repeated = decisions.where("nr = 2").select(*KEYS[:3])
+    single = keyed.withColumn("nr", F.lit(1).cast("long"))
+    if not repeated.isEmpty():
+        again = same("k", "m", *KEYS[:3])
+        single = keyed.alias("k").join(repeated.alias("m"), again, "left_anti").withColumn("nr", F.lit(1).cast("long"))
+        more = stored(keyed.alias("k").join(repeated.alias("m"), again, "left_semi").withColumn(
+            "_order", F.xxhash64("_row")).withColumn("_id", F.monotonically_increasing_id()), "mix-repeated")
+        single = single.unionByName(row_numbers(more, list(KEYS[:3]), ["_order", "_id"], "nr").drop("_order", "_id"))
+    taken = single.alias("r").join(decisions.where("copies > 0").alias("d"), same("r", "d", *KEYS))
     return taken.select("r._row", F.explode(F.sequence(F.lit(1), F.col("d.copies").cast("int")))).select("_row.*")
