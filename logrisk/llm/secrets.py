@@ -2,14 +2,20 @@
 
 Base kinds are found by their patterns alone. Weak candidates (a bare key id, a
 bare random string, an address) are common in clean text, so each is reported
-only when parts that complete it stand close by in the same section: an
-interval join of the parts of a text.
+only when the parts that complete it stand in the same scope. Scopes are
+intervals of a text: sections between empty lines, sections of ini files,
+innermost blocks of braces. Parts are points, and an interval join over
+buckets of position finds the scopes that each part stands in.
+
+Places come from running sums over the lengths of what lies between matches:
+windows over rows, so a text with very many matches costs no more for each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logrisk.llm.common import same, stored
 
@@ -18,140 +24,156 @@ ASSIGN = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
-#: Weak kinds: they count only beside parts that complete them.
+#: Weak kinds: they count only beside parts that complete them. What must occur is looked for in the run itself.
 KEY_ID = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}+(?![A-Za-z0-9])"
-RANDOM = (r"(?<![A-Za-z0-9+/])(?=[^0-9]{0,63}[0-9]|[A-Za-z+/]*+[0-9])(?=[^A-Z]{0,63}[A-Z]|[a-z0-9+/]*+[A-Z])"
-          r"(?=[^a-z]{0,63}[a-z]|[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{24,}+={0,2}(?![A-Za-z0-9+/=])")
+RANDOM = (r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{24})(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])"
+          r"[A-Za-z0-9+/]{24,}+={0,2}(?![A-Za-z0-9+/=])")
 ENDPOINT = r"(?i)\b(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:@%-]+"
 
 KINDS = ["assign", "access", "hex", "id", "random", "endpoint"]
-#: A section ends at an empty line.
-BREAK = r"\n[\x20\t\r]*\n"
-SPAN = "struct<start:bigint,kind:int,end:bigint,section:int>"
+WEAK = 3
+#: Scopes: what ends a section, the first line of an ini section, a block of braces.
+BREAK, HEADER, BRACES = r"\n[\x20\t\r]*\n", r"(?m)^\[[^\[\]\n]+\][\x20\t\r]*$", r"\{[^{}]*\}"
+SECTION, INI, BLOCK = 10, 11, 12
+#: Code points of a bucket of the interval join.
+BUCKET = 4096
+
+KEY = ["doc_id", "text_key"]
+LENGTHS = "array<struct<between:int,whole:int,kept:int>>"
 
 
-def _found(text: Column, pattern: str, kind: int, least: int | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points.
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Lengths of the leftmost non-overlapping matches and of what lies between, in code points; null if none.
 
-    The pieces between the matches and the matches themselves alternate, so a
-    fold over their lengths gives the places.
+    The last entry has what follows the last match, and a match of no length.
     """
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("bigint"))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("bigint"))
-    kept = whole if least is None else F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda m: F.length(m).cast("bigint"))
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["between"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["whole"]).alias("end"),
-                        F.lit(0).alias("section"))
-        more = F.concat(acc["spans"], F.array(span))
-        if least is not None:
-            more = F.when(x["kept"] >= least, more).otherwise(acc["spans"])
-        return F.struct((begin + x["whole"]).alias("at"), more.alias("spans"))
-
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), kept.alias("kept"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, start, step, lambda acc: acc["spans"])).otherwise(none)
+    def lengths(parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.length(p))
+
+    whole = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    kept = whole if not group else lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    zipped = F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("between"), whole.alias("whole"), kept.alias("kept"))
+    return F.when(F.rlike(text, F.lit(pattern)), zipped.cast(LENGTHS))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and weak candidates: doc_id, text_key, base, weak (arrays of spans), breaks.
+    """doc_id, text_key, base, weak, scopes: lengths around the matches of each pattern, in one pass over the texts.
 
-    One pass over the texts; breaks are the ends of the sections. A weak
-    candidate that overlaps a base span is the same thing and left out.
+    base, weak: arrays by kind, null where nothing matches. Scopes are looked
+    for only in texts with weak candidates. size is the length of the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text.alias("text"))
-    breaks = F.when(F.contains("text", F.lit("\n")), _found(F.col("text"), BREAK, 0)).otherwise(
-        F.array().cast(f"array<{SPAN}>"))
-    found = found.select(
-        "doc_id", "text_key",
-        F.concat(_found(F.col("text"), ASSIGN[0], 0, ASSIGN[1]), _found(F.col("text"), ACCESS, 1),
-                 _found(F.col("text"), HEX, 2)).alias("base"),
-        F.concat(_found(F.col("text"), KEY_ID, 3), _found(F.col("text"), RANDOM, 4),
-                 _found(F.col("text"), ENDPOINT, 5)).alias("weak"),
-        F.when(F.rlike("text", F.lit(BREAK)), breaks).otherwise(F.array().cast(f"array<{SPAN}>")).alias("breaks"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    ends = F.transform("breaks", lambda b: b["end"])
-
-    def placed(s: Column) -> Column:
-        section = F.size(F.filter("ends", lambda e: e <= s["start"]))
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), section.alias("section"))
-
-    # Sections only matter where there is something to link.
-    out = found.select("doc_id", "text_key", "base", free.alias("weak"), ends.alias("ends"))
-    some = F.size("weak") > 0
-    return out.select(
-        "doc_id", "text_key", F.when(some, F.transform("base", placed)).otherwise(F.col("base")).alias("base"),
-        F.transform("weak", placed).alias("weak"))
-
-
-def link(parts: DataFrame, reach: int | None = 256) -> DataFrame:
-    """Weak spans that are completed: doc_id, text_key, linked (array of spans).
-
-    Parts of one section are close when at most `reach` code points lie between
-    them, or always if that is None: then what a section holds is counted once,
-    without pairs. A bare key id counts beside a secret (assign, hex, random), a random
-    string beside an identifier (access, id), an address only beside both. The
-    join runs on text, section and blocks of `reach` code points: each part
-    looks from the block before its start to the one after its end, so every
-    close pair meets, and pairs further apart hardly do.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text.alias("text"))
+    text = F.col("text")
+    found = rows.select(
+        *KEY, "text", F.length("text").alias("size"),
+        F.array(_matches(text, ASSIGN[0], 2), _matches(text, ACCESS), _matches(text, HEX)).alias("base"),
+        F.array(_matches(text, KEY_ID), _matches(text, RANDOM), _matches(text, ENDPOINT)).alias("weak"))
+    some = F.exists("weak", lambda w: w.isNotNull())
+    scopes = F.array(_matches(text, BREAK), _matches(text, HEADER), _matches(text, BRACES))
+    return found.select(*KEY, "size", "base", "weak", F.when(some, scopes).alias("scopes"))
+
+
+def _placed(rows: DataFrame, lengths: str, first: int) -> DataFrame:
+    """doc_id, text_key, size, kind, n, start, end, kept: a row for each match, and one for what follows the last."""
+    kinds = rows.select(*KEY, "size", F.posexplode(lengths).alias("kind", "found")).where("found is not null")
+    each = kinds.select(*KEY, "size", (F.col("kind") + first).alias("kind"), F.posexplode("found").alias("n", "x"))
+    whole = F.coalesce("x.whole", F.lit(0))
+    end = F.sum((F.col("x.between") + whole).cast("long")).over(Window.partitionBy(*KEY, "kind").orderBy("n"))
+    return each.select(*KEY, "size", "kind", "n", (end - whole).alias("start"), end.alias("end"), F.col("x.kept").alias("kept"))
+
+
+def spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base spans and free weak candidates (doc_id, text_key, kind, start, end) of the rows of `scan`.
+
+    A weak candidate that overlaps a base span is the same thing and left out;
+    both go by the buckets they lie in.
     """
-    keyed = parts.where(F.size("weak") > 0).dropDuplicates(["doc_id", "text_key"])
-    rows = keyed.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("s")).select(
-        "doc_id", "text_key", "s.*")
-    if reach is None:
-        beside = _beside_in_section(rows)
-    else:
-        beside = _beside_in_reach(rows, reach)
-    complete = F.when(F.col("kind") == 3, F.col("secret")).when(F.col("kind") == 4, F.col("identifier")).otherwise(
-        F.col("identifier") & F.col("secret"))
-    return beside.where(complete).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "kind", "end", "section")).alias("linked"))
-
-
-def _beside_in_section(rows: DataFrame) -> DataFrame:
-    held = rows.groupBy("doc_id", "text_key", "section").agg(
+    base = _placed(texts, "base", 0).where(F.col("kept") >= F.when(F.col("kind") == 0, ASSIGN[1]).otherwise(0))
+    base = stored(base.select(*KEY, "kind", "start", "end"), "secrets-base")
+    weak = _placed(texts, "weak", WEAK).where("kept is not null").select(*KEY, "kind", "start", "end")
+    weak = stored(weak, "secrets-weak")
+    apart = _bucketed(base, "start", "end").alias("b")
+    meets = same("w", "b", *KEY, "bucket") & (F.col("b.start") < F.col("w.end")) & (F.col("w.start") < F.col("b.end"))
+    taken = _bucketed(weak, "start", "end").alias("w").join(apart, meets, "left_semi").select(*KEY, "kind", "start").distinct()
+    return base, weak.alias("w").join(taken.alias("t"), same("w", "t", *KEY, "kind", "start"), "left_anti")
+
+
+def _bucketed(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each bucket that an interval has a part in."""
+    at = lambda c: F.floor(c / BUCKET)
+    return rows.withColumn("bucket", F.explode(F.sequence(at(F.col(start)), at(F.greatest(F.col(end) - 1, F.col(start))))))
+
+
+def scopes(texts: DataFrame) -> DataFrame:
+    """doc_id, text_key, scope, start, end of texts with weak candidates."""
+    some = texts.where("scopes is not null")
+    found = _placed(some, "scopes", SECTION)
+    in_order = Window.partitionBy(*KEY, "kind").orderBy("n")
+    begin = F.when(F.col("kind") == SECTION, F.coalesce(F.lag("end").over(in_order), F.lit(0))).otherwise(F.col("start"))
+    end = F.when(F.col("kind") == SECTION, F.col("start")).when(
+        F.col("kind") == INI, F.coalesce(F.lead("start").over(in_order), F.col("size"))).otherwise(F.col("end"))
+    real = (F.col("kind") == SECTION) | F.col("kept").isNotNull()
+    found = found.select(*KEY, "kind", "n", begin.cast("long").alias("start"), end.cast("long").alias("end"), real.alias("real"))
+    # A text without an empty line is one section.
+    whole = some.where(F.col("scopes")[0].isNull()).select(
+        *KEY, F.lit(SECTION).alias("kind"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("start"),
+        F.col("size").cast("long").alias("end"))
+    every = found.where("real and start < end").drop("real").unionByName(whole)
+    return every.select(*KEY, F.struct("kind", "n").alias("scope"), "start", "end")
+
+
+def link(base: DataFrame, weak: DataFrame, within: DataFrame) -> DataFrame:
+    """The weak candidates that are completed: doc_id, text_key, kind, start, end.
+
+    A bare key id counts beside a secret (assign, hex, random), a random string
+    beside an identifier (access, id), an address only beside both; beside
+    means in one scope. What a scope holds is counted once, without pairs.
+    """
+    held = weak.select(*KEY).distinct()
+    parts = base.alias("b").join(held.alias("h"), same("b", "h", *KEY), "left_semi").unionByName(weak)
+    parts = parts.withColumn("bucket", F.floor(F.col("start") / BUCKET))
+    inside = same("p", "s", *KEY, "bucket") & (F.col("p.start") >= F.col("s.start")) & (F.col("p.start") < F.col("s.end"))
+    placed = parts.alias("p").join(_bucketed(within, "start", "end").alias("s"), inside)
+    placed = stored(placed.select(*[f"p.{c}" for c in (*KEY, "kind", "start", "end")], "s.scope"), "secrets-placed")
+    holds = placed.groupBy(*KEY, "scope").agg(
         F.max(F.col("kind").isin(1, 3)).alias("identifier"), F.max(F.col("kind").isin(0, 2, 4)).alias("secret"))
-    both = rows.where("kind >= 3").alias("a").join(held.alias("b"), same("a", "b", "doc_id", "text_key", "section"))
-    return both.select("a.*", "b.identifier", "b.secret")
-
-
-def _beside_in_reach(rows: DataFrame, reach: int) -> DataFrame:
-    first, last = F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)
-    there = rows.withColumn("block", F.explode(F.sequence(first, last)))
-    asking = rows.where("kind >= 3").withColumn("block", F.explode(F.sequence(first - 1, last + 1)))
-    pairs = asking.alias("a").join(there.alias("b"), same("a", "b", "doc_id", "text_key", "section", "block"))
-    pairs = pairs.where(F.greatest("a.start", "b.start") - F.least("a.end", "b.end") <= reach)
-    identifier, secret = F.col("b.kind").isin(1, 3), F.col("b.kind").isin(0, 2, 4)
-    return pairs.groupBy(*[f"a.{c}" for c in ("doc_id", "text_key", "start", "kind", "end", "section")]).agg(
-        F.max(identifier).alias("identifier"), F.max(secret).alias("secret"))
+    complete = F.when(F.col("p.kind") == 3, F.col("h.secret")).when(F.col("p.kind") == 4, F.col("h.identifier")).otherwise(
+        F.col("h.identifier") & F.col("h.secret"))
+    beside = placed.where(F.col("kind") >= WEAK).alias("p").join(holds.alias("h"), same("p", "h", *KEY, "scope")).where(complete)
+    return beside.select(*[f"p.{c}" for c in (*KEY, "kind", "start", "end")]).distinct()
 
 
-def _listed(spans: Column) -> Column:
+def _listed(found: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _number(spans: Column, kind: int) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+def _number(found: Column, kind: int) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
-def find_secrets(docs: DataFrame, reach: int | None = 256) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_linked, base_spans, spans.
 
     docs: doc_id, text (further columns are not read). Spans are
     kind:start:end in code points, by start, then kind. Null and empty texts
-    have none. reach: see `link`. Repeated rows get the same answer each; a null doc_id stays.
+    have none. Repeated rows get the same answer each; a null doc_id stays.
     """
-    parts = stored(scan(docs), "secrets")
-    linked = link(parts, reach)
-    joined = parts.alias("p").join(linked.alias("l"), same("p", "l", "doc_id", "text_key"), "left")
-    counts = [_number(F.col("p.base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
-    more = F.coalesce(F.col("l.linked"), F.array().cast(f"array<{SPAN}>"))
+    rows = stored(scan(docs), "secrets")
+    some = F.exists("base", lambda b: b.isNotNull()) | F.col("scopes").isNotNull()
+    texts = rows.where(some).dropDuplicates(KEY)
+    base, weak = spans(texts)
+    weak = stored(weak, "secrets-free")
+    linked = link(base, weak, scopes(texts))
+    every = base.unionByName(linked).groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
+    joined = rows.select(*KEY).alias("r").join(stored(every, "secrets-found").alias("e"), same("r", "e", *KEY), "left")
+    found = F.coalesce("e.found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+    joined = joined.select("r.doc_id", found.alias("found"))
+    own = F.filter("found", lambda s: s["kind"] < WEAK)
+    counts = [_number(F.col("found"), k).alias(f"n_{KINDS[k]}") for k in range(WEAK)]
     return joined.select(
-        "p.doc_id", *counts, F.size(more).cast("long").alias("n_linked"),
-        _listed(F.col("p.base")).alias("base_spans"), _listed(F.concat("p.base", more)).alias("spans"))
+        "doc_id", *counts, (F.size("found") - F.size(own)).cast("long").alias("n_linked"),
+        _listed(own).alias("base_spans"), _listed(F.col("found")).alias("spans"))
