@@ -1,17 +1,21 @@
 """Near-duplicate vectors by binary codes with error bounds.
 
 A vector is turned by a random rotation into at least 256 dimensions, and its
-signs are its code. The inner product of a rotated vector with the code of
-another one, divided by the stored factor of the code (the product of the code
-with its own vector), is an unbiased estimate of the cosine; the factor also
-gives how far the estimate is off at most, at CONFIDENCE deviations. Only pairs
-whose upper bound reaches the threshold are computed exactly.
-
-The pairs to estimate come from tables of cells: a cell is a label and some
-bits of the code. The number of bits follows the vectors of the label, about
-CELL in a cell, and the number of tables follows the bits, so that a pair right
-at the threshold meets in some table with probability RECALL, closer pairs far
-more surely. A pair counts in the first table where it meets.
+signs are its code, which is stored once with a factor (the product of the code
+with its own vector). The inner product of a rotated vector with the code of
+another one, divided by the factor of the code, is an unbiased estimate of the
+cosine; the factor also gives how far the estimate is off at most, at
+CONFIDENCE deviations. Estimates read the stored codes and a copy of the other
+vector in one byte a component, whose own error is stored and added to the
+bound. Exact vectors are fetched only for vectors of undecided pairs, those
+whose upper bound reaches the threshold, and these pairs are computed exactly.
+
+The pairs to estimate come from tables of cells: a cell is a label and the
+signs of some random directions, drawn anew for every table. The number of
+directions follows the vectors of the label, about CELL in a cell, and the
+number of tables follows the directions, so that a pair right at the threshold
+meets in some table with probability RECALL, closer pairs far more surely. A
+pair counts in the first table where it meets.
 """
 
 from __future__ import annotations
@@ -52,8 +56,14 @@ def rotation(size: int) -> np.ndarray:
 
 
 @lru_cache(512)
-def cell_bits(table: int, bits: int, wide: int) -> np.ndarray:
-    return np.random.default_rng([SEED, table, bits]).permutation(wide)[np.arange(bits) % wide]
+def directions(table: int, bits: int, size: int) -> np.ndarray:
+    """Random directions of a table of cells, one per column."""
+    return np.random.default_rng([SEED, table, bits, size]).standard_normal((size, bits))
+
+
+def cell_codes(unit: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """The packed signs of unit vectors in a table."""
+    return np.packbits(unit @ directions(table, bits, unit.shape[1]) > 0, axis=1)
 
 
 def coded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +72,13 @@ def coded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (turned > 0).astype(np.uint8), np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
 
 
+def rough(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors in a byte a component, what a step is worth, and the length of the error."""
+    step = np.abs(unit).max(axis=1) / 127
+    values = np.rint(unit / step[:, None]).astype(np.int8)
+    return values, step, np.sqrt(((unit - values * step[:, None]) ** 2).sum(axis=1))
+
+
 def estimate(codes: np.ndarray, factors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated cosines (coded row, query column), and how far each row's may be off."""
     wide = codes.shape[1]
@@ -111,10 +128,10 @@ def _celled(threshold: float):
             raw, node = batch.column(4), batch.column(0).to_numpy()
             for group in sorted(set(zip(label.tolist(), size.tolist(), count.tolist()))):
                 here = np.flatnonzero((label == group[0]) & (size == group[1]) & (count == group[2]))
-                codes, _ = coded(_matrix(raw.take(pa.array(here))))
+                unit = _matrix(raw.take(pa.array(here)))
                 bits, times = tables(group[2], threshold)
                 for t in range(times):
-                    part = np.packbits(codes[:, cell_bits(t, bits, codes.shape[1])], axis=1)
+                    part = cell_codes(unit, t, bits)
                     name = f"{group[0]},{group[1]},{t},{bits},".encode()
                     cells = [xxhash.xxh3_64_intdigest(name + p.tobytes()) for p in part]
                     yield pa.RecordBatch.from_arrays(
@@ -124,36 +141,85 @@ def _celled(threshold: float):
     return run
 
 
+CODES = "code binary, factor double, rough binary, step double, error double"
+
+
+def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, copies and the stored codes of each class; the exact vector stays behind."""
+    for batch in batches:
+        sizes = batch.column(3).to_numpy(zero_copy_only=False)
+        for size in sorted(set(sizes.tolist())):
+            part = batch.filter(pa.array(sizes == size))
+            unit = _matrix(part.column(2))
+            codes, factors = coded(unit)
+            values, step, error = rough(unit)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([c.tobytes() for c in np.packbits(codes, axis=1)], pa.binary()),
+                 pa.array(factors), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(step), pa.array(error)],
+                ["node", "copies", "code", "factor", "rough", "step", "error"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """work(rows) of each run of equal values in the first column."""
+    held: list = []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if held and held[0][0] != row[0]:
+                yield from work(held)
+                held = []
+            held.append(row)
+    yield from work(held)
+
+
+def _undecided(rows: list, at: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block that the codes cannot rule out. rows: g, side, ..., and from `at` on CODES."""
+    side = np.array([r[1] for r in rows])
+    # A block with itself has side -1.
+    two = side[0] >= 0
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(rows)),) * 2
+    if not len(left) or not len(right):
+        return left[:0], left[:0]
+    codes = np.unpackbits(np.frombuffer(b"".join(r[at] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    factor, step, error = (np.array([r[at + k] for r in rows]) for k in (1, 3, 4))
+    values = np.frombuffer(b"".join(r[at + 2] for r in rows), np.int8).reshape(len(rows), -1) * step[:, None]
+    value, off = estimate(codes[left], factor[left], values[right])
+    maybe = value + off[:, None] + error[right] >= threshold
+    if not two:
+        maybe = np.triu(maybe, 1) | np.triu(maybe.T, 1)
+    x, y = np.nonzero(maybe)
+    return left[x], right[y]
+
+
+def _opened(threshold: float):
+    """(g, node) of the vectors of a block that are in an undecided pair."""
+    def work(rows: list) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            places = np.unique(np.concatenate(_undecided(rows, 3, threshold)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows[0][0]] * len(places), pa.int64()), pa.array([rows[p][2] for p in places], pa.int64())], ["g", "node"])
+
+    return lambda batches: _runs(batches, work)
+
+
 FOUND = "node long, links long, other long"
 
 
 def _compared(threshold: float):
-    """Per run of equal g, for each vector the linked copies of others and one node it is connected with."""
-    def links(rows: list) -> Iterator[pa.RecordBatch]:
+    """Per block, for each vector the linked copies of others and one node it is connected with."""
+    def work(rows: list) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         t, bits = rows[0][2], rows[0][3]
-        unit = np.frombuffer(b"".join(r[6] for r in rows), np.float64).reshape(len(rows), -1)
         node, copies = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        side = np.array([r[1] for r in rows])
-        two = side.any()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(rows)),) * 2
-        if not len(left) or not len(right):
-            return
-        codes, factors = coded(unit)
-        value, error = estimate(codes[left], factors[left], unit[right])
-        maybe = value + error[:, None] >= threshold
-        if not two:
-            maybe = np.triu(maybe, 1) | np.triu(maybe.T, 1)
-        x, y = np.nonzero(maybe)
-        x, y = left[x], right[y]
+        unit = np.frombuffer(b"".join(r[6] for r in rows), np.float64).reshape(len(rows), -1)
+        earlier = [cell_codes(unit, k, bits) for k in range(t)]
+        x, y = _undecided(rows, 7, threshold)
         good = np.zeros(len(x), bool)
         for k in range(0, len(x), 65_536):
             some = slice(k, k + 65_536)
             close = np.einsum("ij,ij->i", unit[x[some]], unit[y[some]]) >= threshold
-            for earlier in range(t):
-                at = cell_bits(earlier, bits, codes.shape[1])
-                close &= (codes[x[some]][:, at] != codes[y[some]][:, at]).any(axis=1)
+            for cells in earlier:
+                close &= (cells[x[some]] != cells[y[some]]).any(axis=1)
             good[some] = close
         x, y = x[good], y[good]
         if not len(x):
@@ -169,16 +235,7 @@ def _compared(threshold: float):
             [pa.array(node[some]), pa.array(linked[some].astype(np.int64)), pa.array(lowest[some])],
             ["node", "links", "other"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if held and held[0][0] != row[0]:
-                    yield from links(held)
-                    held = []
-                held.append(row)
-        yield from links(held)
-    return run
+    return lambda batches: _runs(batches, work)
 
 
 # ------------------------------------------------------------------ the join
@@ -211,11 +268,20 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
         "block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn(
         "second", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
     low, high = F.least("block", "second"), F.greatest("block", "second")
-    side = F.when(low != high, (F.col("block") == high).cast("int")).otherwise(0)
+    side = F.when(low != high, (F.col("block") == high).cast("int")).otherwise(-1)
     dealt = placed.select(F.xxhash64("cell", low, high).alias("g"), side.alias("side"), "t", "bits", "node")
-    dealt = dealt.join(classes.select("node", "copies", "unit"), "node").select(
-        "g", "side", "t", "bits", "node", "copies", "unit")
-    found = stored(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(threshold), FOUND), "vector-links")
+    codes = stored(classes.select("node", "copies", "unit", "size").mapInArrow(
+        _with_codes, f"node long, copies long, {CODES}"), "vector-codes")
+    names = [c.split()[0] for c in CODES.split(", ")]
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition("g").sortWithinPartitions("g")
+
+    blocks = dealt.select("g", "side", "node").join(codes.drop("copies"), "node").select("g", "side", "node", *names)
+    opened = stored(in_blocks(blocks).mapInArrow(_opened(threshold), "g long, node long"), "vector-undecided")
+    exact = dealt.join(opened, ["g", "node"]).join(codes, "node").join(classes.select("node", "unit"), "node").select(
+        "g", "side", "t", "bits", "node", "copies", "unit", *names)
+    found = stored(in_blocks(exact).mapInArrow(_compared(threshold), FOUND), "vector-links")
 
     comp = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     linked = stored(found.groupBy("node").agg(F.sum("links").alias("links")), "vector-counts")
