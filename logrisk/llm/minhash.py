@@ -368,16 +368,8 @@ def links(classes: DataFrame, docs: DataFrame, bound: tuple[int, int]) -> DataFr
     return _blocks(rows, "root", "values", BLOCK).mapInArrow(_linked(bound), PAIRS)
 
 
-def near_duplicates(docs: DataFrame, bound: tuple[int, int] = BOUND) -> DataFrame:
-    """One row per document: doc_id, text_key, n_shingles, component_id, kept.
-
-    docs: doc_id, text (further columns are not read). component_id is the
-    smallest doc_id reachable by links, which join texts whose sets are similar by
-    `bound`; a text without words has none but its
-    own. Repeated rows belong together and all have kept where the id is the
-    component's. Null ids count last: components of null ids alone have a null
-    component_id and are kept. text_key is xxhash64 of the text.
-    """
+def _rooted(docs: DataFrame, bound: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Rows with words (doc_id, text_key, n_shingles, root, component_id), and rows without (the first three)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("k"), "text").mapInArrow(
         _described, "k struct<doc_id:bigint,text_key:bigint>, n_shingles long, fp binary, sig binary")
@@ -390,16 +382,38 @@ def near_duplicates(docs: DataFrame, bound: tuple[int, int] = BOUND) -> DataFram
         "fp", "doc_id", F.coalesce("root", "node").alias("root"))
     named = stored(named, "minhash-named")
     least = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "minhash-least")
-    of_class = stored(named.join(least, "root").select("fp", "component_id"), "minhash-of-class")
-    found = rows.where("fp is not null").join(of_class, "fp").select("doc_id", "text_key", "n_shingles", "component_id")
-    bare = rows.where("fp is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = stored(named.join(least, "root").select("fp", "root", "component_id"), "minhash-of-class")
+    found = rows.where("fp is not null").join(of_class, "fp").select("doc_id", "text_key", "n_shingles", "root", "component_id")
+    return found, rows.where("fp is null").select("doc_id", "text_key", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame, bound: tuple[int, int] = BOUND) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, component_id, kept.
+
+    docs: doc_id, text (further columns are not read). component_id is the
+    smallest doc_id reachable by links, which join texts whose sets are similar by
+    `bound`; a text without words has none but its
+    own. Repeated rows belong together and all have kept where the id is the
+    component's. Null ids count last: components of null ids alone have a null
+    component_id and are kept. text_key is xxhash64 of the text.
+    """
+    found, bare = _rooted(docs, bound)
+    every = found.drop("root").unionByName(bare.withColumn("component_id", F.col("doc_id")))
+    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, bound: tuple[int, int] = BOUND) -> DataFrame:
-    """The documents that stay, one row of each component, all columns."""
-    kept = near_duplicates(docs, bound).where("kept").select("doc_id", "text_key", "n_shingles").distinct()
+    """The documents that stay, all columns: of each component one row.
+
+    It is the row with the smallest doc_id (null last), then the smallest hash
+    of the text; of rows that repeat both, one. Documents without words are
+    near nothing and all stay. An empty table gives no rows.
+    """
+    found, _ = _rooted(docs, bound)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key"))
+    kept = stored(found.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.text_key"), "minhash-kept")
+    text = F.col("text").cast("string")
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                        F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    chosen = named.alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "text_key"), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "text_key"]).select("row.*")
+                        F.xxhash64(text).alias("text_key"), F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("words"))
+    chosen = named.where("words").alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "text_key"), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "text_key"]).unionByName(named.where(~F.col("words"))).select("row.*")
