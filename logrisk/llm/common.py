@@ -33,7 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     folder = stage_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what `stored` has written of these frames; for frames that nothing reads any more."""
+    for df in frames:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:

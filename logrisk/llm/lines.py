@@ -10,9 +10,15 @@ the bound. Where the bound grows, k edits leave a run of (length - k) / (k + 1)
 characters that both lines hold; of each stretch of that length a line has the
 gram of the smallest hash as key, so near lines share one always, and the keys
 for each character stay as many however long a line is.
-Lines that meet under a key are compared by edit distance: a band of the
-dynamic program, held as bits of a word that slides down the diagonal, many
-pairs at once.
+
+Most keys belong to one line. The keys of a task are packed into blocks of
+bytes by their hash, with the hash of the line and roughly its length and the
+place, and a block of hashes is sorted as a whole; only keys of several lines
+leave it, as pairs of lines whose lengths and places allow the bound. Pairs of
+all keys are made distinct before any text is read, and texts are fetched only
+for lines in a pair. The edit distance is a band of the dynamic program, held
+as bits of a word that slides down the diagonal, after counts of characters and
+of pairs of characters have ruled out what is too far.
 
 Equal lines are one line from the start. Lines form classes, the components of
 near pairs, and the first line of a class stays. A key that very many lines
@@ -34,10 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from logrisk.llm.common import same, stored
+from logrisk.llm.common import forget, same, stored
 from logrisk.llm.graph import components
-from logrisk.llm.minhash import BITS, _mixed, bit_table
-
+from logrisk.llm.minhash import _mixed
 
 
 @dataclass(frozen=True)
@@ -47,10 +52,6 @@ class Growing:
     least: int
     per: int
 
-    def __ge__(self, n: int) -> bool:
-        """n <= bound: whether so many edits are allowed at some length."""
-        return True
-
 
 #: Edits that still make a repeated line.
 EDITS = Growing(1, 40)
@@ -68,6 +69,16 @@ ASKED = 20_000
 PORTION = 200_000
 #: Edits whose band is held in a word of 64 bits.
 WIDEST = 30
+#: Characters of a gram.
+GRAM = 12
+#: Keys that a task packs together, and characters of the text for a block of keys.
+PACKED, CHARACTERS = 1 << 20, 4_000_000
+#: Lines of a key whose pairs are made at once.
+FEW = 64
+#: Pairs that are made together.
+MADE = 1 << 20
+#: Bits of the hash of a line in a packed key.
+NAME = 39
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -154,45 +165,54 @@ class _Grams:
         """Characters of a gram, and grams of a stretch. The first line of a range has the shortest run in common."""
         bound = allowed(self.starts[k], self.edits)
         run = -(-(self.starts[k] - bound) // (bound + 1))
-        window = max(1, run // 2)
-        return run - window + 1, window
+        gram = min(GRAM, -(-run // 2))
+        return gram, run - gram + 1
 
 
 _STEP = 0x9E3779B97F4A7C15
-_rises = [np.ones(1, np.uint64)] * 2
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    global _rises
-    if len(_rises[0]) < n:
-        _rises = []
-        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
-            out = np.full(max(n, 1 << 16), base, np.uint64)
-            out[0] = 1
-            _rises.append(np.cumprod(out, dtype=np.uint64))
-    return _rises
+def _gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` numbers from each place on, by doubling; the last places are cut."""
+    have, now = 1, (codes + np.uint64(1)) * np.uint64(_STEP)
+    now ^= now >> np.uint64(31)
+    while have < gram:
+        more = min(have, gram - have)
+        # The second part may overlap the first one; both together are the gram.
+        now = now[:-more] * np.uint64((2 * have + 1) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) + now[more:]
+        have += more
+    return now
 
 
 def stretch_minima(texts: list[str], gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, place): of every `window` grams on end the first of the least hash, each once."""
+    """(row, hash, place): of every `window` grams on end those of the least hash, each once."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    rise, fall = _powers(len(codes) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes + np.uint64(1)) * rise[:len(codes)], dtype=np.uint64)])
-    least = _mixed((total[gram:] - total[:-gram]) * fall[:len(total) - gram])
-    place, have = np.arange(len(least)), 1
+    if len(codes) < gram + window - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = _gram_hashes(codes, gram)
+    order = ((hashes * np.uint64(_STEP)) >> np.uint64(32)).astype(np.uint32)
+    least, have = order, 1
     while have < window:
         more = min(have, window - have)
-        right = least[more:] < least[:-more]
-        least, place = np.where(right, least[more:], least[:-more]), np.where(right, place[more:], place[:-more])
+        least = np.minimum(least[:-more], least[more:])
         have += more
     sizes = np.array(list(map(len, texts)))
     ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(texts)), sizes)[:len(least)]
-    at = np.flatnonzero(np.arange(len(least)) + gram + window - 1 <= ends[row])
-    at = at[np.concatenate([[True], np.diff(place[at]) > 0])] if len(at) else at
-    row = row[at]
-    return row, least[at], place[at] - (ends - sizes)[row]
+    # Stretches that reach into the next text have no least gram; only 0 is below any other one.
+    least += least < np.uint32(0xFFFFFFFF)
+    for end in ends[:-1].tolist():
+        least[max(0, end - gram - window + 2):end] = 0
+    # A gram is taken if it is the least of some stretch it lies in: the greatest of their least ones.
+    most = np.concatenate([np.zeros(window - 1, np.uint32), least, np.zeros(window - 1, np.uint32)])
+    have = 1
+    while have < window:
+        more = min(have, window - have)
+        most = np.maximum(most[:-more], most[more:])
+        have += more
+    order += order < np.uint32(0xFFFFFFFF)
+    place = np.flatnonzero(most == order)
+    row = np.searchsorted(ends, place, "right")
+    return row, _mixed(hashes[place]), place - (ends - sizes)[row]
 
 
 def slotted(key: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, own: np.ndarray, reach: int):
@@ -225,30 +245,40 @@ def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndar
     start = 0
     while start < len(order):
         stop, bound = start + 1, bounds[order[start]]
-        if bound > WIDEST:
-            good[order[start]] = _wide(*pairs[order[start]], bound)
-            start = stop
-            continue
-        while stop < len(order) and bounds[order[stop]] == bound and \
+        while bound <= WIDEST and stop < len(order) and bounds[order[stop]] == bound and \
                 (stop + 1 - start) * (len(pairs[order[stop]][0]) + 2 * bound) <= CELLS:
             stop += 1
         some = order[start:stop]
-        good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], bound)
+        # A step of the band over many pairs costs as much as that many steps over one.
+        if stop - start > 2 * bound + 16:
+            good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], bound)
+        else:
+            good[some] = [_wide(*pairs[i], bound) for i in some]
         start = stop
     return good
 
 
+def _counts(text: str) -> np.ndarray:
+    """Counts of characters in 64 bins, and of pairs of neighbours in 128."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    both = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(25)
+    return np.concatenate([np.bincount(codes & 63, minlength=64), np.bincount(both, minlength=128)]).astype(np.int32)
+
+
 def _alike(pairs: list[tuple[str, str]], bounds: list[int], some: list[int]) -> list[int]:
-    """Those of `some` pairs whose counts of characters (in 64 bins) can be made equal within the bound."""
-    texts = {t: k for k, t in enumerate(dict.fromkeys(t for i in some for t in pairs[i]))}
-    bags = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-                     for t in texts], np.int32).reshape(-1, 64)
+    """Those of `some` pairs whose counts can be made equal within the bound.
+
+    An edit changes one character, and at most two pairs of neighbours on each side.
+    """
     out = []
     for start in range(0, len(some), 4096):
         part = some[start:start + 4096]
-        more = bags[[texts[pairs[i][0]] for i in part]] - bags[[texts[pairs[i][1]] for i in part]]
-        least = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-        out += [i for i, n in zip(part, least.tolist()) if n <= bounds[i]]
+        texts = {t: k for k, t in enumerate(dict.fromkeys(t for i in part for t in pairs[i]))}
+        counts = np.array([_counts(t) for t in texts], np.int32).reshape(-1, 192)
+        more = counts[[texts[pairs[i][0]] for i in part]] - counts[[texts[pairs[i][1]] for i in part]]
+        least = [np.maximum(np.maximum(x, 0).sum(axis=1), np.maximum(-x, 0).sum(axis=1)) for x in (more[:, :64], more[:, 64:])]
+        needed = np.maximum(least[0], -(-least[1] // 2))
+        out += [i for i, n in zip(part, needed.tolist()) if n <= bounds[i]]
     return out
 
 
@@ -379,13 +409,18 @@ def _new_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[t
         yield out
 
 
-def _set_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes & np.uint64(BITS - 1)
-    return (table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def _steps(edits: int | Growing) -> tuple[int, int]:
+    """How far the rough lengths and the rough places of near lines may lie apart."""
+    return 2, -(-510 // edits.per) + 1 if isinstance(edits, Growing) else 0
+
 
+def _entries(edits: int | Growing, least: int):
+    """(key, line, own, rough length, rough place) of some lines, as arrays by kind.
 
-def _keyed(edits: int | Growing, least: int, repeated=None):
-    """Keys of the lines; with `repeated`, the broadcast bit table of keys, those set there with hashes of lines."""
+    A rough length is the logarithm to the base that the bound gives, a rough
+    place the share of the line before it in 255 steps; both are 0 for segments,
+    whose keys hold the exact length.
+    """
     grams, fewest = _Grams(edits), allowed(0, edits)
     places = _Places(fewest, least, grams.first)
     digest = xxhash.xxh3_64_intdigest
@@ -398,7 +433,8 @@ def _keyed(edits: int | Growing, least: int, repeated=None):
                 keys += [digest(line[x:y].encode(), n * 64 + k) for k, n, x, y, _ in cuts]
                 rows += [i] * len(cuts)
                 index += [c[4] for c in cuts]
-        return np.array(keys, np.uint64), np.array(rows, np.int64), np.array(index, bool)
+        zero = np.zeros(len(keys), np.uint8)
+        return np.array(keys, np.uint64), np.array(rows, np.int64), np.array(index, bool), zero, zero
 
     def long(lines: list[tuple[int, str]]):
         by: dict[int, list[int]] = {}
@@ -407,48 +443,136 @@ def _keyed(edits: int | Growing, least: int, repeated=None):
                 by.setdefault(k, []).append(i)
         for k, at in by.items():
             size = np.array([len(lines[i][1]) for i in at])
+            own = np.array([grams.ranges(n)[-1] == k for n in size.tolist()])
+            rough = np.minimum(np.log(size / grams.first) / np.log1p(1 / grams.per), 255).astype(np.uint8)
             part = np.cumsum(size) // PORTION
             for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
                 row, value, place = stretch_minima([lines[at[i]][1] for i in some], *grams.sizes(k))
                 row = some[row]
-                own = np.array([grams.ranges(n)[-1] == k for n in size[some].tolist()])[row - some[0]]
-                yield k, _mixed(value + np.uint64(k)), np.array(at)[row], place, size[row], own
+                yield _mixed(value + np.uint64(k)), np.array(at)[row], own[row], rough[row], (place * 255 // size[row]).astype(np.uint8)
+
+    def made(lines: list[tuple[int, str]]) -> Iterator[tuple]:
+        yield short(lines)
+        yield from long(lines)
+
+    return made
+
+
+def _packed(edits: int | Growing, least: int, blocks: int):
+    """Keys of the lines as (block, bytes): 5 of the key, 5 of the line with a bit for own, one each of length and place."""
+    made, names = _entries(edits, least), np.uint64((1 << NAME) - 1)
+
+    def flushed(held: list) -> pa.RecordBatch:
+        key, name, rough, place = (np.concatenate(x) for x in zip(*held))
+        block = ((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
+        order = np.argsort(block, kind="stable")
+        out = np.empty((len(key), 12), np.uint8)
+        out[:, :5] = key.view(np.uint8).reshape(-1, 8)[order, :5]
+        out[:, 5:10] = name.view(np.uint8).reshape(-1, 8)[order, :5]
+        out[:, 10], out[:, 11] = rough[order], place[order]
+        block = block[order]
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        ends = np.append(starts, len(key)).astype(np.int32) * 12
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+        return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), packed], ["block", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(repeated.value, np.uint8) if repeated is not None else None
+        held, count = [], 0
         for fresh in _new_lines(batches, least):
             for start in range(0, len(fresh), 4096):
                 lines = fresh[start:start + 4096]
-                if table is None:
-                    keys = [short(lines)[0], *(x[1] for x in long(lines))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
-                    continue
-                key, row, own = short(lines)
-                found = _set_in(table, key)
-                parts = [np.stack([key[found], row[found].astype(np.uint64), own[found].astype(np.uint64)])]
-                for k, key, row, place, size, own in long(lines):
-                    found = _set_in(table, key)
-                    parts.append(slotted(*(x[found] for x in (key, row, place, size, own)), grams.reach(k)))
-                key, row, own = np.concatenate(parts, axis=1)
-                hashes = np.array([h for h, _ in lines], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(hashes[row.astype(np.int64)]), pa.array(own.astype(np.int8))],
-                    ["key", "h", "own"])
+                hashes = np.array([h for h, _ in lines], np.int64).view(np.uint64) & names
+                for key, row, own, rough, place in made(lines):
+                    if len(key):
+                        held.append((key, hashes[row] << np.uint64(1) | own, rough, place))
+                        count += len(key)
+                if count >= PACKED:
+                    yield flushed(held)
+                    held, count = [], 0
+        if held:
+            yield flushed(held)
     return run
 
 
-def _texts(least: int, wanted):
-    """The lines whose hashes are set in the broadcast bit table, and some others."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(wanted.value, np.uint8)
-        for lines in _new_lines(batches, least):
-            hashes = np.array([h for h, _ in lines], np.int64)
-            some = np.flatnonzero(_set_in(table, hashes.view(np.uint64))).tolist()
+def _number(entries: np.ndarray, at: int) -> np.ndarray:
+    """Five bytes of each entry as a number."""
+    out = np.zeros((len(entries), 8), np.uint8)
+    out[:, :5] = entries[:, at:at + 5]
+    return out.view(np.uint64)[:, 0]
+
+
+CANDIDATES = "key long, a long, b long"
+
+
+def _candidates(edits: int | Growing):
+    """Pairs of lines (a, b) that share a key, without a key; for keys of very many lines their members (key, a, own)."""
+    lengths, places = _steps(edits)
+
+    def opened(block: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = _number(entries, 0)
+        order = np.argsort(key)
+        key = key[order]
+        again = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        some = order[again[:-1] | again[1:]]
+        # Lines that several tasks met give equal entries.
+        entries = np.unique(np.ascontiguousarray(entries[some]).view("V12")).view(np.uint8).reshape(-1, 12)
+        if not len(entries):
+            return
+        key, name = _number(entries, 0), _number(entries, 5)
+        line, own, rough, place = name >> np.uint64(1), (name & np.uint64(1)).astype(bool), entries[:, 10].astype(int), entries[:, 11].astype(int)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        pairs = []
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            heads = starts[sizes == m]
+            for k in range(0, len(heads), max(1, MADE // len(i))):
+                head = heads[k:k + max(1, MADE // len(i))][:, None]
+                x, y = (head + i).ravel(), (head + j).ravel()
+                good = (line[x] != line[y]) & (own[x] | own[y]) & (np.abs(rough[x] - rough[y]) <= lengths) & (np.abs(place[x] - place[y]) <= places)
+                x, y = line[x[good]], line[y[good]]
+                pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+        if pairs:
+            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+        for n in np.flatnonzero(sizes > FEW).tolist():
+            here = slice(starts[n], starts[n] + sizes[n])
+            whole = key[here] | np.uint64(block << 40)
+            if places:
+                # Rough lengths are stretched to the reach of places.
+                stretch = -(-places // lengths)
+                found = slotted(whole, np.arange(sizes[n]), place[here], rough[here] * stretch, own[here], stretch * lengths)
+            else:
+                found = np.stack([whole, np.arange(sizes[n], dtype=np.uint64), own[here].astype(np.uint64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[some]), pa.array([lines[i][1] for i in some], pa.string())], ["h", "line"])
+                [pa.array(found[0].view(np.int64)), pa.array(line[here][found[1].astype(np.int64)].view(np.int64)),
+                 pa.array(found[2].view(np.int64))], ["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in _then_none(batches):
+            for row in zip(batch.column(0).to_pylist(), batch.column(1)) if batch is not None else [(None, None)]:
+                if held and row[0] != block:
+                    yield from opened(block, np.concatenate(held))
+                    held = []
+                if row[1] is not None:
+                    block = row[0]
+                    held.append(np.frombuffer(row[1].as_buffer(), np.uint8).reshape(-1, 12))
     return run
 
 
+def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, line) of the places that are asked for. Columns: text, list of (pos, h)."""
+    for batch in batches:
+        hashes, found = [], []
+        for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            every = text.split("\n")
+            for p in places:
+                hashes.append(p["h"])
+                found.append(every[p["pos"]].strip(BLANK))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.string())], ["h", "line"])
+
+
 PAIRS = "a long, b long"
 
 
@@ -501,34 +625,64 @@ def _then_none(batches: Iterator) -> Iterator:
 
 # ------------------------------------------------------------------ the join
 
-def _bits(hashes: DataFrame, name: str):
-    """The broadcast bit table of a column of hashes."""
-    bit = F.col(name).bitwiseAND(F.lit(BITS - 1).cast("long")).cast("int")
-    return hashes.sparkSession.sparkContext.broadcast(bit_table(hashes, bit))
+def _name(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << NAME) - 1).cast("long"))
 
 
-def near_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
+def _line_texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """n, h, line of the lines whose names are wanted, from the first place of each."""
+    places = rows.where("pos >= 0").withColumn("n", _name(F.col("h"))).join(wanted, "n", "left_semi").groupBy("h").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")).alias("p"))
+    places = places.groupBy("p.doc_id", "p.text_key").agg(F.collect_list(F.struct("p.pos", "h")).alias("places"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    asked = keyed.alias("d").join(stored(places, "line-places").alias("p"), same("d", "p", "doc_id", "text_key"))
+    texts = asked.select("d.text", "p.places").mapInArrow(_some_lines, "h long, line string")
+    return stored(texts.groupBy("h").agg(F.first("line").alias("line")).withColumn("n", _name(F.col("h"))), "line-texts")
+
+
+def near_lines(docs: DataFrame, rows: DataFrame, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
     """Classes of different lines that are near: node, root (hashes of lines).
 
-    Most keys come once. Only those that come again, by a bit table of fixed
-    size, and perhaps some others, are sent with the line they belong to.
+    docs: doc_id, text; rows: their lines as of `repeated_lines`. The number of
+    blocks of keys follows the characters of the texts.
+    """
+    characters = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = min(1 << 24, max(64, -(-characters // CHARACTERS)))
+    packed = docs.select("text").mapInArrow(_packed(edits, least, blocks), "block int, entries binary")
+    found = packed.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(edits), CANDIDATES)
+    found = stored(found, "line-candidates")
+    pairs = stored(found.where("key is null").select("a", "b").distinct(), "line-pairs")
+    crowds = found.where("key is not null").select("key", F.col("a").alias("n"), F.col("b").alias("own"))
+    wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).unionByName(crowds.select("n"))
+    lines = _line_texts(docs, rows, wanted.distinct())
+    near = stored(_checked(pairs, lines, "n", edits), "line-links")
+    if crowds.isEmpty():
+        forget(found, pairs, lines)
+        return components(near)
+    members = stored(crowds.join(lines.select("n", "h"), "n").groupBy("key", "h").agg(F.max("own").alias("own")), "line-members")
+    forget(found, pairs)
+    return components(near.unionByName(_near_in_crowds(members, lines, near, edits)))
+
+
+def _checked(pairs: DataFrame, lines: DataFrame, on: str, edits: int | Growing) -> DataFrame:
+    """The pairs (a, b) of lines that are near, as hashes. pairs: a, b, values of the column `on`."""
+    side = lambda k, h, x: lines.select(F.col(on).alias(k), F.col("h").alias(h), F.col("line").alias(x))
+    both = pairs.join(side("b", "hb", "y"), "b").join(side("a", "ha", "x"), "a")
+    return both.select("ha", "hb", "x", "y").mapInArrow(_verified(edits), PAIRS)
+
+
+def _near_in_crowds(members: DataFrame, lines: DataFrame, near: DataFrame, edits: int | Growing) -> DataFrame:
+    """Further near pairs of lines that share a key with very many others.
+
+    members: key, h, own. Each is compared with one line of the key, then those
+    that are still in different classes with each other, block by block.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    again = texts.mapInArrow(_keyed(edits, least), "key long").groupBy("key").count().where("count > 1")
-    keys = stored(texts.mapInArrow(_keyed(edits, least, _bits(again, "key")), "key long, h long, own byte"), "line-keys")
-    hubs = keys.groupBy("key").agg(
+    hubs = members.groupBy("key").agg(
         F.min(F.when(F.col("own") == 1, F.col("h"))).alias("hub"), F.min("h").alias("low"), F.max("h").alias("high"))
-    hubs = stored(hubs.where("hub is not null and low < high").select("key", "hub"), "line-hubs")
-    members = stored(keys.join(hubs, "key").groupBy("key", "h").agg(
-        F.max("own").alias("own"), F.min("hub").alias("hub")), "line-members")
-    wanted = stored(members.select("h").distinct(), "line-wanted")
-    lines = texts.mapInArrow(_texts(least, _bits(wanted, "h")), "h long, line string").join(wanted, "h")
-    lines = stored(lines.groupBy("h").agg(F.first("line").alias("line")), "line-texts")
-
-    first = members.where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
-    both = first.join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b") \
-        .join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    found = stored(both.select("a", "b", "x", "y").mapInArrow(_verified(edits), PAIRS), "line-links")
+    hubs = hubs.where("hub is not null and low < high").select("key", "hub")
+    first = members.join(hubs, "key").where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
+    tied = stored(_checked(first, lines, "h", edits), "line-tied")
+    found = near.unionByName(tied)
 
     comp = stored(components(found), "line-comp")
     placed = members.join(comp.withColumnRenamed("node", "h"), "h", "left").select(
@@ -536,7 +690,7 @@ def near_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = LEAST
     placed = stored(placed, "line-placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
     split = stored(split.where("low != high and n > 2").select("key", F.ceil(F.col("n") / float(BLOCK)).alias("n_blocks")), "line-open")
-    rows = placed.join(split, "key").join(lines, "h")
+    rows = placed.join(split, "key").join(lines.select("h", "line"), "h")
     block = F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
@@ -544,8 +698,7 @@ def near_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = LEAST
     side = F.when(low != high, (F.col("block") == high).cast("int")).otherwise(0)
     rows = rows.select(F.xxhash64("key", low, high).alias("g"), side.alias("side"), "h", "comp", F.col("own") == 1, "line")
     more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_across(edits), PAIRS)
-    more = stored(more.distinct(), "line-more")
-    return components(found.unionByName(more))
+    return tied.unionByName(stored(more.distinct(), "line-more"))
 
 
 def _place() -> Column:
@@ -568,7 +721,7 @@ def repeated_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = L
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_lines(least), LINES), "lines")
-    near = stored(near_lines(docs, edits, least), "line-classes")
+    near = stored(near_lines(docs, rows, edits, least), "line-classes")
     named = rows.where("pos >= 0").join(near.withColumnRenamed("node", "h"), "h", "left").select(
         "doc_id", "text_key", "pos", F.coalesce("root", "h").alias("c"),
         F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g"), _place().alias("place"))

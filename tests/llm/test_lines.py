@@ -68,7 +68,7 @@ def plain_lines(rows, edits, least):
 
     for x in range(len(names)):
         for y in range(x):
-            if abs(len(names[x]) - len(names[y])) <= edits and lines.within([names[x]], [names[y]], edits)[0]:
+            if abs(len(names[x]) - len(names[y])) <= lines.allowed(min(len(names[x]), len(names[y])), edits) and lines.within([names[x]], [names[y]], edits)[0]:
                 parent[root(x)] = root(y)
     first = {}
     for line, k in different.items():
