@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+#: Subfolder for what `stored` writes just now; see `step`.
+_subfolder = [""]
+
+
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one all executors share."""
-    return os.path.join(shared_folder(spark), f"llm-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(_own_folder(spark), _subfolder[0], f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), f"llm-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def step(spark: SparkSession, of: str) -> Iterator[None]:
+    """A step of the job `of`, which runs its steps one after another and saves the result of each.
+
+    What `stored` writes within a step is deleted when the next step of the job
+    begins; by then the result has been saved elsewhere.
+    """
+    _delete(spark, os.path.join(_own_folder(spark), of))
+    before, _subfolder[0] = _subfolder[0], of
+    try:
+        yield
+    finally:
+        _subfolder[0] = before
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,15 +71,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def forget(*frames: DataFrame) -> None:
     """Deletes what `stored` has written of these frames; for frames that nothing reads any more."""
     for df in frames:
-        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_in)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, df.stored_in)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes what `stored` of this application has written; call when results are saved."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(
-        os.path.join(shared_folder(spark), f"llm-{spark.sparkContext.applicationId}"))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _own_folder(spark))
 
 
 def same(left: str, right: str, *names: str) -> Column:
