@@ -77,8 +77,8 @@ PACKED, CHARACTERS = 1 << 20, 4_000_000
 FEW = 64
 #: Pairs that are made together.
 MADE = 1 << 20
-#: Bits of the hash of a line in a packed key.
-NAME = 39
+#: Bits of the hash of a line in a packed key, its bytes, and the greatest length or place in it.
+NAME, WIDTH, MOST = 39, 14, 65_535
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -144,12 +144,20 @@ class _Grams:
     def __init__(self, edits: int | Growing):
         self.edits, self.per = edits, edits.per if isinstance(edits, Growing) else 1
         self.first = self.per * (edits.least + 1) if isinstance(edits, Growing) else 1 << 62
+        self.known: dict[int, range] = {}
         self.starts = [self.first]
         while self.starts[-1] < 1 << 31:
             self.starts.append(max(self.starts[-1] + self.per, self.starts[-1] * 5 // 4 // self.per * self.per))
 
     def ranges(self, length: int) -> range:
         """The ranges that the shorter line of a pair can be in; the last one is its own."""
+        if length not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            self.known[length] = self._ranges(length)
+        return self.known[length]
+
+    def _ranges(self, length: int) -> range:
         if length < self.first:
             return range(0)
         least = max(self.first, length * self.per // (self.per + 1) - 1)
@@ -409,17 +417,11 @@ def _new_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[t
         yield out
 
 
-def _steps(edits: int | Growing) -> tuple[int, int]:
-    """How far the rough lengths and the rough places of near lines may lie apart."""
-    return 2, -(-510 // edits.per) + 1 if isinstance(edits, Growing) else 0
-
-
 def _entries(edits: int | Growing, least: int):
-    """(key, line, own, rough length, rough place) of some lines, as arrays by kind.
+    """(key, line, own, length, place) of some lines, as arrays by kind.
 
-    A rough length is the logarithm to the base that the bound gives, a rough
-    place the share of the line before it in 255 steps; both are 0 for segments,
-    whose keys hold the exact length.
+    Length and place are cut at MOST; both are 0 for segments, whose keys tell
+    them already.
     """
     grams, fewest = _Grams(edits), allowed(0, edits)
     places = _Places(fewest, least, grams.first)
@@ -433,7 +435,7 @@ def _entries(edits: int | Growing, least: int):
                 keys += [digest(line[x:y].encode(), n * 64 + k) for k, n, x, y, _ in cuts]
                 rows += [i] * len(cuts)
                 index += [c[4] for c in cuts]
-        zero = np.zeros(len(keys), np.uint8)
+        zero = np.zeros(len(keys), np.uint16)
         return np.array(keys, np.uint64), np.array(rows, np.int64), np.array(index, bool), zero, zero
 
     def long(lines: list[tuple[int, str]]):
@@ -444,12 +446,12 @@ def _entries(edits: int | Growing, least: int):
         for k, at in by.items():
             size = np.array([len(lines[i][1]) for i in at])
             own = np.array([grams.ranges(n)[-1] == k for n in size.tolist()])
-            rough = np.minimum(np.log(size / grams.first) / np.log1p(1 / grams.per), 255).astype(np.uint8)
+            length = np.minimum(size, MOST).astype(np.uint16)
             part = np.cumsum(size) // PORTION
             for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
                 row, value, place = stretch_minima([lines[at[i]][1] for i in some], *grams.sizes(k))
                 row = some[row]
-                yield _mixed(value + np.uint64(k)), np.array(at)[row], own[row], rough[row], (place * 255 // size[row]).astype(np.uint8)
+                yield _mixed(value + np.uint64(k)), np.array(at)[row], own[row], length[row], np.minimum(place, MOST).astype(np.uint16)
 
     def made(lines: list[tuple[int, str]]) -> Iterator[tuple]:
         yield short(lines)
@@ -459,22 +461,24 @@ def _entries(edits: int | Growing, least: int):
 
 
 def _packed(edits: int | Growing, least: int, blocks: int):
-    """Keys of the lines as (block, bytes): 5 of the key, 5 of the line with a bit for own, one each of length and place."""
+    """Keys of the lines as (block, bytes): 5 of the key, 5 of the line with a bit for own, two each of length and place."""
     made, names = _entries(edits, least), np.uint64((1 << NAME) - 1)
 
     def flushed(held: list) -> pa.RecordBatch:
-        key, name, rough, place = (np.concatenate(x) for x in zip(*held))
-        block = ((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
+        key, name, length, place = (np.concatenate(x) for x in zip(*held))
+        block = (((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)).astype(np.int32)
         order = np.argsort(block, kind="stable")
-        out = np.empty((len(key), 12), np.uint8)
-        out[:, :5] = key.view(np.uint8).reshape(-1, 8)[order, :5]
-        out[:, 5:10] = name.view(np.uint8).reshape(-1, 8)[order, :5]
-        out[:, 10], out[:, 11] = rough[order], place[order]
+        out = np.empty((len(key), WIDTH), np.uint8)
+        out[:, :5] = key.view(np.uint8).reshape(-1, 8)[:, :5]
+        out[:, 5:10] = name.view(np.uint8).reshape(-1, 8)[:, :5]
+        out[:, 10:12] = length.view(np.uint8).reshape(-1, 2)
+        out[:, 12:] = place.view(np.uint8).reshape(-1, 2)
+        out = out.view(f"V{WIDTH}")[:, 0][order].view(np.uint8)
         block = block[order]
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        ends = np.append(starts, len(key)).astype(np.int32) * 12
+        ends = np.append(starts, len(key)).astype(np.int32) * WIDTH
         packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
-        return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), packed], ["block", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), packed], ["block", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -482,9 +486,9 @@ def _packed(edits: int | Growing, least: int, blocks: int):
             for start in range(0, len(fresh), 4096):
                 lines = fresh[start:start + 4096]
                 hashes = np.array([h for h, _ in lines], np.int64).view(np.uint64) & names
-                for key, row, own, rough, place in made(lines):
+                for key, row, own, length, place in made(lines):
                     if len(key):
-                        held.append((key, hashes[row] << np.uint64(1) | own, rough, place))
+                        held.append((key, hashes[row] << np.uint64(1) | own, length, place))
                         count += len(key)
                 if count >= PACKED:
                     yield flushed(held)
@@ -504,44 +508,70 @@ def _number(entries: np.ndarray, at: int) -> np.ndarray:
 CANDIDATES = "key long, a long, b long"
 
 
+def _repeats(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row equals the one before it."""
+    same_row = np.ones(len(columns[0]), bool)
+    same_row[:1] = False
+    for c in columns:
+        same_row[1:] &= c[1:] == c[:-1]
+    return same_row
+
+
+def _bounds(length: np.ndarray, edits: int | Growing) -> np.ndarray:
+    return np.maximum(edits.least, length // edits.per) if isinstance(edits, Growing) else np.full(len(length), edits)
+
+
 def _candidates(edits: int | Growing):
     """Pairs of lines (a, b) that share a key, without a key; for keys of very many lines their members (key, a, own)."""
-    lengths, places = _steps(edits)
+    def fitting(length, place, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether lengths and places differ by no more than the bound; what was cut, or a segment, always fits."""
+        bound = _bounds(np.minimum(length[x], length[y]), edits)
+        near = (np.abs(length[x] - length[y]) <= bound) & (np.abs(place[x] - place[y]) <= bound)
+        return near | (length[x] == 0) | (length[x] == MOST) | (length[y] == MOST)
 
     def opened(block: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = _number(entries, 0)
         order = np.argsort(key)
-        key = key[order]
-        again = np.concatenate([[False], key[1:] == key[:-1], [False]])
-        some = order[again[:-1] | again[1:]]
-        # Lines that several tasks met give equal entries.
-        entries = np.unique(np.ascontiguousarray(entries[some]).view("V12")).view(np.uint8).reshape(-1, 12)
+        again = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
+        entries = entries[order[again[:-1] | again[1:]]]
         if not len(entries):
             return
         key, name = _number(entries, 0), _number(entries, 5)
-        line, own, rough, place = name >> np.uint64(1), (name & np.uint64(1)).astype(bool), entries[:, 10].astype(int), entries[:, 11].astype(int)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length, place = (np.ascontiguousarray(entries[:, k:k + 2]).view(np.uint16)[:, 0].astype(np.int64) for k in (10, 12))
+        order = np.lexsort((place, name, key))
+        key, name, length, place = key[order], name[order], length[order], place[order]
+        # Lines that several tasks met give equal entries.
+        new = ~_repeats(key, name, place)
+        key, name, length, place = key[new], name[new], length[new], place[new]
+        line, own = name >> np.uint64(1), (name & np.uint64(1)).astype(bool)
+        starts = np.flatnonzero(~_repeats(key))
         sizes = np.diff(np.append(starts, len(key)))
+        # Entries come by line, so a key of one line has the same first and last one.
+        several = line[starts] != line[starts + sizes - 1]
+        starts, sizes = starts[several], sizes[several]
         pairs = []
         for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
             i, j = np.triu_indices(m, 1)
-            heads = starts[sizes == m]
-            for k in range(0, len(heads), max(1, MADE // len(i))):
-                head = heads[k:k + max(1, MADE // len(i))][:, None]
+            heads, step = starts[sizes == m], max(1, MADE // len(i))
+            for k in range(0, len(heads), step):
+                head = heads[k:k + step][:, None]
                 x, y = (head + i).ravel(), (head + j).ravel()
-                good = (line[x] != line[y]) & (own[x] | own[y]) & (np.abs(rough[x] - rough[y]) <= lengths) & (np.abs(place[x] - place[y]) <= places)
+                good = (line[x] != line[y]) & (own[x] | own[y])
+                x, y = x[good], y[good]
+                good = fitting(length, place, x, y)
                 x, y = line[x[good]], line[y[good]]
-                pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+                pairs.append((np.minimum(x, y), np.maximum(x, y)))
         if pairs:
-            a, b = np.unique(np.concatenate(pairs, axis=1), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+            a, b = (np.concatenate(side).view(np.int64) for side in zip(*pairs))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = ~_repeats(a, b)
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(a[new]), pa.array(b[new])], ["key", "a", "b"])
         for n in np.flatnonzero(sizes > FEW).tolist():
             here = slice(starts[n], starts[n] + sizes[n])
-            whole = key[here] | np.uint64(block << 40)
-            if places:
-                # Rough lengths are stretched to the reach of places.
-                stretch = -(-places // lengths)
-                found = slotted(whole, np.arange(sizes[n]), place[here], rough[here] * stretch, own[here], stretch * lengths)
+            whole, most = key[here] | np.uint64(block << 40), length[here].max()
+            if 0 < most < MOST:
+                found = slotted(whole, np.arange(sizes[n]), place[here], length[here], own[here], int(_bounds(np.array([most]), edits)[0]))
             else:
                 found = np.stack([whole, np.arange(sizes[n], dtype=np.uint64), own[here].astype(np.uint64)])
             yield pa.RecordBatch.from_arrays(
@@ -557,7 +587,7 @@ def _candidates(edits: int | Growing):
                     held = []
                 if row[1] is not None:
                     block = row[0]
-                    held.append(np.frombuffer(row[1].as_buffer(), np.uint8).reshape(-1, 12))
+                    held.append(np.frombuffer(row[1].as_buffer(), np.uint8).reshape(-1, WIDTH))
     return run
 
 
