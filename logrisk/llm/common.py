@@ -21,6 +21,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Subfolder for what `stored` writes just now; see `step`.
 _subfolder = [""]
 
@@ -59,10 +61,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor repeats tasks of the next step only, and
     a join on the copy has its own exchange on both sides, which lets AQE split
-    a hot key.
+    a hot key. The shuffle files of the step go as soon as the copy is there.
     """
     folder = stage_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     out.stored_in = folder
     return out

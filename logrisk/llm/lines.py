@@ -257,8 +257,8 @@ def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndar
                 (stop + 1 - start) * (len(pairs[order[stop]][0]) + 2 * bound) <= CELLS:
             stop += 1
         some = order[start:stop]
-        # A step of the band over many pairs costs as much as that many steps over one.
-        if stop - start > 2 * bound + 16:
+        # A step of the band over few pairs costs more than the steps of each.
+        if stop - start > 16 * (2 * bound + 16):
             good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], bound)
         else:
             good[some] = [_wide(*pairs[i], bound) for i in some]
@@ -592,14 +592,14 @@ def _candidates(edits: int | Growing):
 
 
 def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, line) of the places that are asked for. Columns: text, list of (pos, h)."""
+    """(h, line) of the lines whose numbers are asked for. Columns: text, numbers."""
     for batch in batches:
         hashes, found = [], []
         for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             every = text.split("\n")
             for p in places:
-                hashes.append(p["h"])
-                found.append(every[p["pos"]].strip(BLANK))
+                found.append(every[p].strip(BLANK))
+                hashes.append(_hashes(found[-1])[0])
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.string())], ["h", "line"])
 
 
@@ -663,7 +663,7 @@ def _line_texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
     """n, h, line of the lines whose names are wanted, from the first place of each."""
     places = rows.where("pos >= 0").withColumn("n", _name(F.col("h"))).join(wanted, "n", "left_semi").groupBy("h").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")).alias("p"))
-    places = places.groupBy("p.doc_id", "p.text_key").agg(F.collect_list(F.struct("p.pos", "h")).alias("places"))
+    places = places.groupBy("p.doc_id", "p.text_key").agg(F.collect_list("p.pos").alias("places"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     asked = keyed.alias("d").join(stored(places, "line-places").alias("p"), same("d", "p", "doc_id", "text_key"))
     texts = asked.select("d.text", "p.places").mapInArrow(_some_lines, "h long, line string")

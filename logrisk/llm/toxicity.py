@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ TOGETHER = 2_048
 #: Letters of a word; a longer run is read as words of so many that overlap by half.
 LONGEST = 24
 TOKEN = re.compile(r"\w+")
+#: Signs around a run that do not belong to it.
+EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—/\\"
 
 
 @dataclass
@@ -77,9 +80,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def tokens(text: str) -> list[str]:
-    """Words in small letters, a run of more than LONGEST letters in overlapping parts."""
+    """Words in small letters; more than LONGEST letters in a row in overlapping parts.
+
+    What stands between blanks and has signs inside (f**k) comes as a whole as
+    well, behind its words, so that its characters can be read.
+    """
     out: list[str] = []
-    for word in TOKEN.findall(text.lower()):
+    for run in text.lower().split():
+        if len(run) <= LONGEST and run.isalnum():
+            out.append(run)
+        else:
+            out += _words_of(run)
+    return out
+
+
+@lru_cache(50_000)
+def _short_run(run: str) -> tuple[str, ...]:
+    return tuple(_cut_run(run))
+
+
+def _words_of(run: str) -> tuple[str, ...] | list[str]:
+    return _short_run(run) if len(run) <= LONGEST else _cut_run(run)
+
+
+def _cut_run(run: str) -> list[str]:
+    words = TOKEN.findall(run)
+    core = run.strip(EDGES)
+    if words and words != [core]:
+        words.append(core)
+    out: list[str] = []
+    for word in words:
         if len(word) <= LONGEST:
             out.append(word)
         else:
@@ -374,9 +404,10 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
     ids = stored(fit_texts.select("doc_id").distinct().join(known, "doc_id"), "toxic-known")
     chosen = [ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for k in (0, 1)]
     chosen = stored(chosen[0].unionByName(chosen[1]), "toxic-fit")
-    # At most 2 * fit_rows ids.
-    found = fit_texts.join(F.broadcast(chosen), "doc_id").toPandas()
-    return found.drop_duplicates("doc_id").sort_values(["doc_id"]).reset_index(drop=True)
+    # At most 2 * fit_rows ids, and one text of each: the least one, however often the id repeats.
+    found = fit_texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas()
+    return found.sort_values(["doc_id"]).reset_index(drop=True)
 
 
 _scorers: dict[bytes, Scorer] = {}
@@ -424,7 +455,11 @@ def score(docs: DataFrame, w: Weights | None) -> DataFrame:
 
 
 def clean(docs: DataFrame, w: Weights | None, threshold: float = 0.5) -> DataFrame:
-    """The documents below the threshold, all columns, in one pass without a shuffle."""
+    """The documents below the threshold, all columns, in one pass without a shuffle.
+
+    Null and empty texts are scored as one empty window; repeated rows all stay
+    or all go. Without a network nothing goes.
+    """
     if w is None:
         return docs
     at = docs.columns.index("text")

@@ -99,21 +99,49 @@ def lexical(pages: DataFrame) -> DataFrame:
     })
 
 
-def _rates(labelled: DataFrame, key: str, name: str, prior: float = 10.0) -> DataFrame:
-    """Share of blocked urls per key, drawn towards one half, over all labelled rows."""
-    n, blocked = F.count(F.lit(1)), F.sum("label")
-    return labelled.groupBy(key).agg(
-        ((blocked + prior / 2) / (n + prior)).alias(f"{name}_rate"), F.log1p(n).alias(f"{name}_log_n"))
+#: Parts of the labelled urls: the first one is held out, the others are folds of the suffix statistics.
+PARTS = 5
+
+
+def part_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(PARTS)), F.lit(PARTS)).cast("int")
+
+
+def _counted(labelled: DataFrame, key: str, name: str) -> DataFrame:
+    """Urls and blocked urls per key, as arrays by fold, over all labelled rows that are not held out."""
+    def folds(value: Column) -> Column:
+        return F.array(*[F.sum(F.when(F.col("_fold") == k, value).otherwise(0.0)) for k in range(1, PARTS)])
+
+    return labelled.where("_fold > 0").groupBy(key).agg(
+        folds(F.lit(1.0)).alias(f"{name}_n"), folds(F.col("label")).alias(f"{name}_blocked"))
+
+
+def _rated(rows: DataFrame, counts: DataFrame, key: str, name: str, prior: float = 10.0) -> DataFrame:
+    """Share of blocked urls of the key, drawn towards one half, and the logarithm of their number.
+
+    A row that is learnt from sees the other folds only: neither its own label
+    nor that of an equal url is in its statistics.
+    """
+    def seen(column: str) -> Column:
+        every = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+        own = F.when(F.col("label").isNotNull() & (F.col("_fold") > 0), F.try_element_at(F.col(column), F.col("_fold")))
+        return F.coalesce(every - F.coalesce(own, F.lit(0.0)), F.lit(0.0))
+
+    n, blocked = seen(f"{name}_n"), seen(f"{name}_blocked")
+    return rows.join(counts, key, "left").withColumns({
+        f"{name}_rate": (blocked + prior / 2) / (n + prior), f"{name}_log_n": F.log1p(n)}).drop(f"{name}_n", f"{name}_blocked")
 
 
 def judge(pages: DataFrame, rules: list[Rule], fit_rows: int = 20_000, rounds: int = 20, depth: int = 3,
           seed: int = 42) -> DataFrame:
-    """Verdict for every url: page_id, host, path, rule, score, verdict.
+    """Verdict for every url: page_id, host, path, rule, score, verdict, held_out.
 
     A rule decides where one fits. All others are judged by boosted trees that
     are fitted on the urls which a rule labels: on at most `fit_rows` of them,
-    those with the smallest hash of url and id. The suffix statistics count all
-    labelled rows. score is the probability of block. Without labelled rows, or
+    those with the smallest hash of url and id. A fifth of the labelled urls, by
+    a hash, is held out of the fit and of all statistics (held_out), to measure
+    on. The suffix statistics count all others; a row that the trees learn from
+    sees those of other folds. score is the probability of block. Without labelled rows, or
     with one verdict only among them, score is the share of blocked labels (one
     half without any), and block needs more than one half. A null url, or one
     without ://, has an empty host and path. Repeated rows are judged alike.
@@ -124,15 +152,14 @@ def judge(pages: DataFrame, rules: list[Rule], fit_rows: int = 20_000, rounds: i
                                  "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     judged = judged.withColumn("label", F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("double")))
-    rows = stored(lexical(judged), "urls")
+    rows = stored(lexical(judged).withColumn("_fold", part_of(F.col("url"))), "urls")
     known = rows.where(F.col("label").isNotNull())
-    suffixes, parts = stored(_rates(known, "_suffix", "suffix"), "url-suffixes"), stored(_rates(known, "_part", "part"), "url-parts")
+    suffixes, parts = stored(_counted(known, "_suffix", "suffix"), "url-suffixes"), stored(_counted(known, "_part", "part"), "url-parts")
 
     def with_rates(df: DataFrame) -> DataFrame:
-        df = df.join(suffixes, "_suffix", "left").join(parts, "_part", "left")
-        return df.na.fill({"suffix_rate": 0.5, "suffix_log_n": 0.0, "part_rate": 0.5, "part_log_n": 0.0})
+        return _rated(_rated(df, suffixes, "_suffix", "suffix"), parts, "_part", "part")
 
-    sample = known.orderBy(F.xxhash64("url", "page_id", F.lit(seed)), "page_id", "url").limit(fit_rows)
+    sample = known.where("_fold > 0").orderBy(F.xxhash64("url", "page_id", F.lit(seed)), "page_id", "url").limit(fit_rows)
     sample = stored(with_rates(sample).coalesce(1).sortWithinPartitions("page_id", "url"), "url-fit")
     n, blocked = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     scored = with_rates(rows)
@@ -145,4 +172,6 @@ def judge(pages: DataFrame, rules: list[Rule], fit_rows: int = 20_000, rounds: i
     else:
         scored = scored.withColumn("score", F.lit(blocked / n if n else 0.5))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", F.col("_rule.name").alias("rule"), "score", verdict.alias("verdict"))
+    held = F.col("label").isNotNull() & (F.col("_fold") == 0)
+    return scored.select("page_id", "host", "path", F.col("_rule.name").alias("rule"), "score", verdict.alias("verdict"),
+                         F.coalesce(held, F.lit(False)).alias("held_out"))
