@@ -63,8 +63,8 @@ BLOCK = 64
 REMEMBERED = 200_000
 #: Characters of a batch of pairs.
 CELLS = 4_000_000
-#: Pairs of lines that are compared together.
-ASKED = 20_000
+#: Pairs of lines that are compared together, and classes of lines that a task remembers.
+ASKED, CLASSES = 4_000, 500_000
 #: Characters whose keys are made together.
 PORTION = 200_000
 #: Edits whose band is held in a word of 64 bits.
@@ -615,36 +615,56 @@ def _verified(edits: int | Growing):
 
 
 def _across(edits: int | Growing):
-    """Near pairs of different classes within each run of equal g; rows come sorted by g."""
+    """Near pairs of different classes within each run of equal g; rows come sorted by g.
+
+    Rows: g, side, h, class, key, all keys of the line, those it owns, line. A
+    pair is compared under the first key only that would bring it together, and
+    not at all if near pairs found before in the task connect its classes.
+    """
     def pairs(rows: list) -> Iterator[tuple]:
         two = any(r[1] for r in rows)
-        left = [r for r in rows if not r[1]]
-        right = [r for r in rows if r[1]] if two else left
+        held = [(r[1], r[2], r[3], r[4], frozenset(r[5]), frozenset(r[6]), r[7]) for r in rows]
+        left = [r for r in held if not r[0]]
+        right = [r for r in held if r[0]] if two else left
         for i, x in enumerate(left):
             for y in (right if two else right[i + 1:]):
-                if x[3] != y[3] and (x[4] or y[4]) and abs(len(x[5]) - len(y[5])) <= allowed(min(len(x[5]), len(y[5])), edits):
-                    yield (x[2], y[2], x[5], y[5]) if x[2] < y[2] else (y[2], x[2], y[5], x[5])
-
-    def near(asked: dict) -> pa.RecordBatch:
-        good = within([x for x, _ in asked.values()], [y for _, y in asked.values()], edits)
-        found = [p for p, ok in zip(asked, good) if ok]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                if x[2] != y[2] and abs(len(x[6]) - len(y[6])) <= allowed(min(len(x[6]), len(y[6])), edits) \
+                        and min(x[5] & y[4] | x[4] & y[5], default=None) == x[3]:
+                    yield (x, y) if x[1] < y[1] else (y, x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        # Pairs of many runs are compared together, and each once.
-        asked: dict[tuple[int, int], tuple[str, str]] = {}
+        asked: list[tuple] = []
+        # Classes that near pairs of this task connect.
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def near() -> pa.RecordBatch:
+            some = [(x, y) for x, y in asked if top(x[2]) != top(y[2])]
+            asked.clear()
+            found = []
+            for (x, y), ok in zip(some, within([x[6] for x, _ in some], [y[6] for _, y in some], edits)):
+                if ok:
+                    found.append((x[1], y[1]))
+                    root[top(x[2])] = top(y[2])
+            if len(root) > CLASSES:
+                root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in _then_none(batches):
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))) if batch is not None else [(None,)]:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8))) if batch is not None else [(None,)]:
                 if held and held[0][0] != row[0]:
-                    for a, b, x, y in pairs(held):
-                        asked[a, b] = x, y
+                    for pair in pairs(held):
+                        asked.append(pair)
                         if len(asked) >= ASKED:
-                            yield near(asked)
-                            asked = {}
+                            yield near()
                     held = []
                 held.append(row)
-        yield near(asked)
+        yield near()
     return run
 
 
@@ -720,14 +740,18 @@ def _near_in_crowds(members: DataFrame, lines: DataFrame, near: DataFrame, edits
     placed = stored(placed, "line-placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
     split = stored(split.where("low != high and n > 2").select("key", F.ceil(F.col("n") / float(BLOCK)).alias("n_blocks")), "line-open")
-    rows = placed.join(split, "key").join(lines.select("h", "line"), "h")
+    still = stored(placed.join(split, "key"), "line-crowded")
+    every = still.groupBy("h").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own") == 1, F.col("key"))).alias("owned"))
+    rows = still.join(every.join(lines.select("h", "line"), "h"), "h")
     block = F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low != high, (F.col("block") == high).cast("int")).otherwise(0)
-    rows = rows.select(F.xxhash64("key", low, high).alias("g"), side.alias("side"), "h", "comp", F.col("own") == 1, "line")
-    more = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_across(edits), PAIRS)
+    rows = rows.select(F.xxhash64("key", low, high).alias("g"), side.alias("side"), "h", "comp", "key", "keys", "owned", "line")
+    # As many tasks as there may be: comparing takes long, reading does not.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_across(edits), PAIRS)
     return tied.unionByName(stored(more.distinct(), "line-more"))
 
 

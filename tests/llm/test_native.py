@@ -333,10 +333,23 @@ def test_url_rules(spark):
     assert {r.verdict for r in urls.judge(pages.where("page_id < 4"), queries.RULES).collect()} == {"allow"}
 
 
-def test_url_trees_learn_the_labels(spark):
+def test_url_trees_on_held_out_urls(spark):
+    """The trees never saw the labels that they are measured on."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     got = urls.judge(pages, queries.RULES)
-    labelled = got.where(F.col("rule").isNotNull())
-    right = labelled.where((F.col("score") > 0.5) == (F.col("verdict") == "block")).count()
-    assert right / labelled.count() > 0.9
+    held = got.where("held_out")
+    assert held.where("rule is null").count() == 0
+    right = held.where((F.col("score") > 0.5) == (F.col("verdict") == "block")).count()
+    print("held out", held.count(), "right", right)
+    assert held.count() > 100 and right / held.count() > 0.9
     assert got.count() == pages.count()
+
+
+def test_statistics_leave_the_own_fold_out(spark):
+    rows = spark.createDataFrame(
+        [("u1", 1, 1.0, "a"), ("u2", 1, 1.0, "a"), ("u3", 2, 0.0, "a"), ("u4", 0, 1.0, "a"), ("u5", 3, None, "a"), ("u6", 4, 1.0, "b"), ("u7", None, None, "c")],
+        "url string, _fold int, label double, k string")
+    counts = urls._counted(rows.where("label is not null"), "k", "x")
+    got = {r.url: (round(r.x_rate, 6), round(2.718281828459045 ** r.x_log_n - 1, 6)) for r in urls._rated(rows, counts, "k", "x", prior=2.0).collect()}
+    # Fold 1 of key a: two blocked; fold 2: one allowed; the held-out row counts nowhere.
+    assert got == {"u1": (round(1 / 3, 6), 1), "u2": (round(1 / 3, 6), 1), "u3": (0.75, 2), "u4": (0.6, 3), "u5": (0.6, 3), "u6": (0.5, 0), "u7": (0.5, 0)}
