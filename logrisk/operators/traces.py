@@ -148,10 +148,15 @@ def job_features(events: DataFrame, *, order: str = "seq", limits: Limits = Limi
         F.min_by("priority", order).alias("priority"),
         F.min_by("scheduling_class", order).alias("scheduling_class"),
     )
+    return finish_job_features(base)
+
+
+def finish_job_features(base: DataFrame, *carry: str) -> DataFrame:
+    """Rates, products and flags from the counters of jobs or of their prefixes; `carry` columns stay."""
     # Spans above 1e9 are microseconds.
     span = F.when(F.col("_span") > 1e9, F.col("_span") / 1e6).otherwise(F.col("_span"))
     out = base.withColumn("_span", span).select(
-        F.col("job_id").alias("process_id"),
+        F.col("job_id").alias("process_id"), *carry,
         "total_lines", "info_count", "warn_count", "error_count",
         F.lit(0).alias("debug_count"), "fatal_count",
         share("error_count", "total_lines").alias("error_rate"),

@@ -12,8 +12,9 @@ from logrisk.config import PREDICT_EVERY
 from logrisk.functions import policy as rules
 from logrisk.functions import risk
 from logrisk.operators import snapshots
+from logrisk.operators.arrivals import event_prefixes
 from logrisk.operators.logfeatures import (
-    FEATURE_ORDER, finish_log_features, line_signals, prefix_features,
+    FEATURE_ORDER, finish_log_features, line_signals, prefix_features, with_log1p,
 )
 from logrisk.operators.ordered import Limits
 
@@ -119,6 +120,27 @@ def monitor_batch(
     return alerts.withColumn("lines_seen", F.col("total_lines"))
 
 
+def monitor_events(
+    events: DataFrame,
+    *,
+    every: int = PREDICT_EVERY,
+    score: Scorer = by_rules,
+    prior: Column | float = 0.10,
+    mode: str = "stream",
+    policy: str = "advise",
+    reviewed: DataFrame | None = None,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """Alerts for every N-th scheduler event of each job, by arrival (`seq`), and for its last one.
+
+    events: rows of `traces.clean_events`. Bursts and retries follow the event
+    times of what has arrived, so late events change them.
+    """
+    features = with_log1p(event_prefixes(events, every, limits=limits))
+    alerts = decide(calibrate(score(features), every=every, prior=prior, mode=mode), policy, reviewed)
+    return alerts.withColumn("lines_seen", F.col("total_lines"))
+
+
 def raw_features(names=tuple(FEATURE_ORDER)) -> Column:
     """The features behind an alert as a map."""
     return F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))]).alias("raw_features")

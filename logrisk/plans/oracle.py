@@ -452,6 +452,18 @@ def build() -> dict[str, str]:
         "from num n join sz s on n.job_id = s.job_id and n.rn <= s.size), "
         f"{job_runs('pre')} select process_id, total_lines, error_count, retry_count, max_error_burst, duration_s, "
         "cpu_request, oom_signal from job_feats")
+    late = ("arr as (select * replace ((seq + ((seq * 7919) % 50) * 40) * 1000003 + seq as seq) from job_events), "
+            "num as (select *, row_number() over (partition by job_id order by seq) as rn, count(*) over (partition by job_id) as total from arr), "
+            "sz as (select job_id as own_id, rn as size, seq as fired_at, unnest(case when rn % 5 = 0 and rn = total then ['every_n', 'final'] "
+            "when rn % 5 = 0 then ['every_n'] else ['final'] end) as trigger from num where rn % 5 = 0 or rn = total), "
+            "pre as (select n.* exclude (job_id, rn, total), n.job_id || '@' || s.size as job_id from num n join (select distinct own_id, size from sz) s "
+            f"on n.job_id = s.own_id and n.rn <= s.size), {job_runs('pre')}, "
+            "feats as (select f.* exclude (process_id), own_id as process_id, fired_at as seq, trigger, '' as component from job_feats f join sz on f.process_id = own_id || '@' || size)")
+    scores = SCORES.replace(f"total_lines / {D(40)}", f"total_lines / {D(10)}")
+    q["job_risk_every_n"] = (
+        f"with {JOB_EVENTS}, {late}, {scores} select process_id, seq, trigger, total_lines, error_count, retry_count, max_error_burst, "
+        "unique_components, duration_s, cpu_request, priority, rnd(signal, 4) as signal_failure_probability, failure_probability, risk_level from alerts")
+    q["stream_job_every_n"] = q["job_risk_every_n"]
     q["gpu_job_features"] = f"with {GPU}, {GPU_FEATS} select * from gpu_feats"
     q["gpu_early_warning"] = (
         f"with {GPU}, {GPU_FEATS}, num as (select *, row_number() over (partition by job_name order by task_name, cpu_request) as rn, "
@@ -678,6 +690,7 @@ def build() -> dict[str, str]:
                           "case when amount_usd <= 0 then 'review' else 'clean' end as risk_partition from curated")
     q["alert_files"] = f"{WITH_ALERTS} select process_id, seq, trigger, risk_level, failure_probability from alerts"
     q["appended_lines"] = f"with {LOG_RAW} select value, 3 * count(*) as times from log_raw group by value"
+    q["stream_tail"] = f"with {LOG_RAW} select value, count(*) as times from log_raw group by value"
     q["session_files"] = (
         f"{WITH_ALERTS}, l as (select 's' || cast(cast(regexp_extract(value, 'blk_-?(\\d+)', 1) as bigint) % 13 as varchar) as session_id, count(*) as lines from log_raw group by 1), "
         "n as (select session_id, count(*) as alerts from alerts group by session_id) select coalesce(n.session_id, l.session_id) as session_id, alerts, lines from n full join l on n.session_id = l.session_id")

@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from logrisk.operators import (
 )
 from logrisk.plans import monitor, tables
 from logrisk.session import checkpointed, new_folder, shared_folder, written
-from logrisk.sources import logs
+from logrisk.sources import logs, tail
 from logrisk.sources.zipcsv import file_system, register_zip_csv
 from logrisk.streaming import monitor as live
 
@@ -784,6 +785,66 @@ def stream_final(spark, folder):
     return _calibrated(live.final_alerts(spark, _stream(spark, folder)))
 
 
+def _grown(lines: DataFrame, target: str, upto: int) -> None:
+    """Files of a folder hold their lines up to a number, and half of the next one; earlier bytes stay."""
+    def write(batches):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        files, place = file_system(target)
+        files.create_dir(place, recursive=True)
+        draft = f"{place}/draft-{upto}-{context.taskAttemptId()}"
+        with files.open_output_stream(draft, compression=None) as out:
+            for seq, value in ((s.as_py(), v.as_py()) for b in batches for s, v in zip(*b.columns)):
+                if seq > upto:
+                    out.write(value[:len(value) // 2].encode())
+                    break
+                out.write(f"{value}\n".encode())
+        # The longer file takes the place of the shorter one at once.
+        files.move(draft, f"{place}/part-{context.partitionId():05d}.log")
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["done"])
+
+    lines.mapInArrow(write, "done int").collect()
+
+
+@query
+def stream_tail(spark, folder):
+    """Lines of growing files, followed by a stream that starts three times: each line comes once."""
+    raw = tables.log_raw(spark, folder).select("seq", "value")
+    lines = written(raw, "tail-lines").repartition(4, "seq").sortWithinPartitions("seq")
+    last = lines.agg(F.max("seq")).first()[0] or 0
+    target, out = new_folder(spark, "growing"), new_folder(spark, "tail")
+    for share in (1, 2, 3):
+        _grown(lines, target, last * share // 3)
+        tail.tail_files(spark, f"{target}/*.log", "start").writeStream.format("parquet").option("path", f"{out}/lines").option(
+            "checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(tail.LINES).parquet(f"{out}/lines").groupBy("value").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _job_alerts(alerts: DataFrame) -> DataFrame:
+    return alerts.select("process_id", "seq", "trigger", "total_lines", "error_count", "retry_count", "max_error_burst", "unique_components",
+                         "duration_s", "cpu_request", "priority", "signal_failure_probability", "failure_probability", "risk_level")
+
+
+@query
+def job_risk_every_n(spark, folder):
+    """Risk of jobs after every 5th arrival and the last one, with late events."""
+    events = traces.clean_events(tables.late_events(tables.job_events(spark, folder)))
+    return _job_alerts(monitor.monitor_events(events, every=5))
+
+
+@query
+def stream_job_every_n(spark, folder):
+    """The same on a stream: predictions of the run, and those of its end from the state."""
+    schema_of = tables.table(spark, folder, "events").schema
+    source = spark.readStream.schema(schema_of).option("pathGlobFilter", "events.parquet").parquet(folder)
+    target = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    events = traces.clean_events(tables.late_events(tables.job_events_of(source)))
+    live.monitor_stream(events, target, timer_ms=None, every=5, kind="events").awaitTermination()
+    return _job_alerts(live.stream_alerts(spark, target)).unionByName(
+        _job_alerts(live.final_alerts(spark, target, every=5, kind="events")))
+
+
 @query
 def zip_csv_scan(spark, folder):
     """Jobs written as one ZIP per partition, read back without unpacking."""

@@ -60,7 +60,11 @@ def block_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def job_events(spark: SparkSession, folder: str) -> DataFrame:
     """Scheduler events made from `events`, as text columns of a CSV with a header."""
-    return table(spark, folder, "events").selectExpr(
+    return job_events_of(table(spark, folder, "events"))
+
+
+def job_events_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id as seq",
         "cast(event_id*1000 as double) as time",
         "cast(user_id as string) || '-' || cast(cast(floor(day(ts)/5) as int) as string) as job_id",
@@ -80,6 +84,12 @@ def job_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def late_events(events: DataFrame) -> DataFrame:
+    """Scheduler events with another order of arrival: some come up to 2,000 places late."""
+    late = F.col("seq") + F.pmod(F.col("seq") * 7919, F.lit(50)) * 40
+    return events.withColumn("seq", late * 1_000_003 + F.col("seq"))
+
+
 def gpu_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").selectExpr(
         "cast(o_orderkey as string) as job_name",

@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from logrisk.functions.casts import flag
 from logrisk.operators.ordered import Limits, Run, running
 from logrisk.session import written
+from logrisk.sources.ranges import numbered_lines, plain_files
 
 
 def read_log(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
     """`seq` (line number from 0, in file order) and `value`.
 
-    Bytes that are no UTF-8 become the replacement character.
+    Bytes that are no UTF-8 become the replacement character. Plain files are
+    read once, by ranges, and with a limit only the first ranges are; files
+    that can't be read from the middle (compressed ones), or that only Spark
+    reaches, are placed by `numbered_rows`.
     """
+    found = plain_files(spark, path)
+    if found is not None:
+        return numbered_lines(spark, found, limit)
     numbered = numbered_rows(spark.read.text(path))
     return numbered if limit is None else numbered.where(F.col("seq") < limit)
 

@@ -22,11 +22,15 @@ def load_features(spark: SparkSession, source: str, *, early: bool = False,
     name = (source or "").lower().strip()
     if name == "both":
         parts = []
-        for one in ("hdfs", "google"):
+        for one, needed in (("hdfs", ("log", "labels")), ("google", ("events",))):
+            if not all(paths.get(p) for p in needed):
+                print(f"skipping {one}: no path for {' and '.join(needed)}")
+                continue
+            # Only a missing file skips a source; any other error of its input is an error.
             try:
                 parts.append(load_features(
                     spark, one, early=early, fractions=fractions, limit=limit, limits=limits, **paths))
-            except (FileNotFoundError, AnalysisException, KeyError):
+            except FileNotFoundError:
                 print(f"skipping {one}: input not found")
         if not parts:
             raise FileNotFoundError("no input of either source was found")

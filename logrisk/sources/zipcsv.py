@@ -35,7 +35,7 @@ def _archive(path: str) -> zipfile.ZipFile:
     return zipfile.ZipFile(files.open_input_file(place))
 
 
-def _matching(pattern: str) -> list[str]:
+def matching(pattern: str) -> list[str]:
     """Paths a pattern stands for; one without wildcards stands for itself."""
     folder, _, name = pattern.rpartition("/")
     if not re.search(r"[*?\[]", name):
@@ -67,7 +67,7 @@ class ZipCsvSource(DataSource):
     def paths(self) -> list[str]:
         found = []
         for part in self.options["path"].split(","):
-            found += _matching(part.strip()) or [part.strip()]
+            found += matching(part.strip()) or [part.strip()]
         return found
 
     def schema(self) -> StructType:

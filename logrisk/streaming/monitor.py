@@ -18,6 +18,7 @@ from logrisk.functions.text import is_stop_marker, normalise_lines
 from logrisk.operators.logfeatures import SIGNALS, finish_log_features, line_signals
 from logrisk.plans.monitor import Scorer, by_rules, calibrate, decide, raw_features
 from logrisk.session import exists
+from logrisk.streaming.events import event_stream, finish_events
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTERS = list(SIGNALS.values())
@@ -152,11 +153,15 @@ def prefix_stream(raw: DataFrame, *, every: int = PREDICT_EVERY, gap_s: int | No
         outputMode="Update", timeMode="ProcessingTime" if timer_ms is not None else "None")
 
 
+#: Features from the counter rows of each kind of stream.
+FINISH = {"lines": finish_log_features, "events": finish_events}
+
+
 def alerts_of(rows: DataFrame, *, every: int = PREDICT_EVERY, score: Scorer = by_rules,
               prior: Column | float = 0.10, mode: str = "stream", policy: str = "advise",
-              reviewed: DataFrame | None = None, features: bool = False) -> DataFrame:
+              reviewed: DataFrame | None = None, features: bool = False, kind: str = "lines") -> DataFrame:
     """Counter rows to alerts by the rules of the batch monitor; `features` adds the map of features."""
-    known = score(finish_log_features(rows))
+    known = score(FINISH[kind](rows))
     out = decide(calibrate(known, every=every, prior=prior, mode=mode), policy, reviewed)
     if features:
         out = out.withColumn("raw_features", raw_features())
@@ -181,6 +186,9 @@ def monitor_stream(
 ) -> StreamingQuery:
     """Starts the monitor; alerts go to `folder/alerts`. `rules` are options of `alerts_of`.
 
+    With kind="events" the stream holds scheduler events as of
+    `traces.clean_events`, in the order of arrival `seq`; jobs are processes.
+
     Every attempt at a micro-batch writes to a place of its own and counts only
     once its commit is written, so readers never see half a batch and a
     repeated batch adds nothing. The order columns are those of `tail_log` if
@@ -197,7 +205,7 @@ def monitor_stream(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     order = order or (("arrived", "file", "split", "seq") if "arrived" in raw.columns else ("seq",))
     session = session or keys[-1]
-    rows = prefix_stream(raw, every=every, gap_s=gap_s, timer_ms=timer_ms, keys=keys, order=order,
+    rows = event_stream(raw, every=every, timer_ms=timer_ms) if rules.get("kind") == "events" else prefix_stream(raw, every=every, gap_s=gap_s, timer_ms=timer_ms, keys=keys, order=order,
                          carry=tuple(dict.fromkeys([*carry, *([] if session in keys else [session])])))
     empty = alerts_of(spark.createDataFrame([], rows.schema), every=every, **rules)
     _write_schema(spark, folder, empty.schema)
