@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
@@ -22,6 +25,8 @@ from logrisk.operators import evaluate, splits
 from logrisk.operators.schema import ALL_FEATURES, source_kind
 from logrisk.session import checkpointed
 
+#: Fits that run side by side, and rows of a partition of their input.
+FITS, PARTITION_ROWS = 8, 100_000
 BASELINE = "Majority Baseline"
 BOOSTED = "Boosted Trees"
 
@@ -99,23 +104,66 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("is_test = 0").drop("is_test"), marked.where("is_test = 1").drop("is_test")
 
 
-def cross_validated_f1(pipeline: Pipeline | None, train: DataFrame, folds: int = FOLDS) -> tuple[float, float]:
-    """Mean and deviation of F1 over stratified group folds; (0, 0) below two folds."""
+def concurrently(tasks: list[Callable[[], object]], spark: SparkSession, at_once: int = FITS) -> list:
+    """The results of some driver calls, of which `at_once` run side by side, each in a pool of its own.
+
+    Fits are sequences of small jobs; side by side they fill the cluster.
+    Set spark.scheduler.mode to FAIR to share it evenly.
+    """
+    def in_pool(number: int, task: Callable[[], object]):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % at_once}")
+            return task()
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(at_once) as threads:
+        return [f.result() for f in [threads.submit(in_pool(k, t)) for k, t in enumerate(tasks)]]
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """Stored rows in as few partitions as their number needs; a fit passes over them very often."""
+    rows = checkpointed(rows)
+    return checkpointed(rows.coalesce(max(1, -(-rows.count() // PARTITION_ROWS))))
+
+
+def with_folds(train: DataFrame, folds: int) -> tuple[DataFrame, list[int]]:
+    """Rows with their stratified group fold, and the folds that hold rows."""
     groups = splits.group_folds(splits.group_labels(train), folds=folds)
-    numbered = checkpointed(train.join(groups.select("group_id", "fold"), "group_id"))
-    present = [r["fold"] for r in numbered.select("fold").distinct().orderBy("fold").collect()]
-    if len(present) < 2:
+    numbered = compact(train.join(groups.select("group_id", "fold"), "group_id"))
+    return numbered, [r["fold"] for r in numbered.select("fold").distinct().orderBy("fold").collect()]
+
+
+def fold_f1(pipeline: Pipeline | None, numbered: DataFrame, fold: int) -> float:
+    """F1 on one fold of a model fitted on the others."""
+    model = fit(pipeline, numbered.where(F.col("fold") != fold))
+    scored = apply(model, numbered.where(F.col("fold") == fold))
+    counts = evaluate.confusion(scored, prob="raw_prob")
+    return evaluate.class_metrics(counts, digits=12).first()["f1"]
+
+
+def mean_and_deviation(scores: list[float]) -> tuple[float, float]:
+    """(0, 0) below two folds."""
+    if len(scores) < 2:
         return 0.0, 0.0
-    scores = []
-    for fold in present:
-        model = fit(pipeline, numbered.where(F.col("fold") != fold))
-        scored = apply(model, numbered.where(F.col("fold") == fold))
-        counts = evaluate.confusion(scored, prob="raw_prob")
-        scores.append(evaluate.class_metrics(counts, digits=12).first()["f1"])
     mean = sum(scores) / len(scores)
     return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
 
 
+def fits_and_folds(models: dict[str, Pipeline | None], train: DataFrame, folds: int) -> dict[str, tuple]:
+    """(fitted model, (mean, deviation) of F1 over the folds) by name; all fits of all models run side by side."""
+    numbered, present = with_folds(train, folds) if folds >= 2 else (compact(train), [])
+    if len(present) < 2:
+        present = []
+    # The longest fits come last in the list of models and are started first.
+    order = list(models)[::-1]
+    tasks = [(name, fold) for name in order for fold in [None, *present]]
+    results = concurrently(
+        [partial(fit, models[name], numbered) if fold is None else partial(fold_f1, models[name], numbered, fold) for name, fold in tasks],
+        train.sparkSession)
+    found = dict(zip(tasks, results))
+    return {name: (found[name, None], mean_and_deviation([found[name, f] for f in present])) for name in models}
+
+
 def metrics_row(scored: DataFrame, name: str, cv: tuple[float, float]) -> DataFrame:
     """All held-out metrics of one model in one row; the rows are scored once."""
     scored = checkpointed(scored.select("label", "raw_prob"))
@@ -135,7 +183,7 @@ def metrics_row(scored: DataFrame, name: str, cv: tuple[float, float]) -> DataFr
 def prepared(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weighted train rows and test rows, both stored so that fits do not recompute them."""
     train, test = split(matrix(features))
-    train, test = checkpointed(train), checkpointed(test)
+    train, test = compact(train), compact(test)
     weights = splits.class_weights(train).first().asDict()
     if not weights["n_pos"] or not weights["n_neg"]:
         raise ValueError("training needs both failures and successes")
@@ -146,13 +194,9 @@ def compare_models(features: DataFrame, *, size: float = 1.0, folds: int = FOLDS
                    only: tuple[str, ...] | None = None) -> DataFrame:
     """All candidates on one split, ranked by f1, pr_auc and recall."""
     train, test = prepared(features)
-    models = {BASELINE: None, **candidates(size)}
-    rows = []
-    for name, pipeline in models.items():
-        if only and name not in only:
-            continue
-        cv = cross_validated_f1(pipeline, train, folds) if folds >= 2 else (0.0, 0.0)
-        rows.append(metrics_row(apply(fit(pipeline, train), test), name, cv))
+    models = {n: p for n, p in {BASELINE: None, **candidates(size)}.items() if not only or n in only}
+    fitted = fits_and_folds(models, train, folds)
+    rows = concurrently([partial(metrics_row, apply(model, test), name, cv) for name, (model, cv) in fitted.items()], features.sparkSession)
     return evaluate.rank_models(reduce(DataFrame.unionByName, rows))
 
 
@@ -177,9 +221,7 @@ def train_model(features: DataFrame, folder: str, *, size: float = 1.0, folds: i
     """Fits the boosted trees, stores model, source and metrics; returns the metrics row."""
     spark = features.sparkSession
     train, test = prepared(features)
-    pipeline = candidates(size)[BOOSTED]
-    cv = cross_validated_f1(pipeline, train, folds) if folds >= 2 else (0.0, 0.0)
-    model = fit(pipeline, train)
+    model, cv = fits_and_folds({BOOSTED: candidates(size)[BOOSTED]}, train, folds)[BOOSTED]
     metrics = checkpointed(metrics_row(apply(model, test), BOOSTED, cv))
     model.write().overwrite().save(os.path.join(folder, "model"))
     described = source_kind(features).crossJoin(F.broadcast(metrics))
