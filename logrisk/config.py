@@ -124,10 +124,12 @@ VALUE_FEATURES = [
     "assigned_memory", "page_cache_memory", "cycles_per_instruction",
     "memory_accesses_per_instruction", "sample_rate",
 ]
+# Columns that also come as log1p, in order.
 LOG1P_COLUMNS = [
     "total_lines", "error_count", "warn_count", "fatal_count",
     "error_kw_hits", "retry_count", "exception_count",
     "duration_s", "err_x_retry", "max_error_burst",
 ]
+# Columns beside the features, and the names of the sources.
 METADATA = ["process_id", "group_id", "source", "label"]
 SOURCES = ["hdfs", "google", "alibaba", "google2019"]

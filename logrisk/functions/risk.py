@@ -31,6 +31,7 @@ SIGNAL_REASONS = [
     ("max_error_burst", "consecutive errors increase risk"),
     ("total_lines", "more lines increase confidence in the estimate"),
 ]
+# The texts of the rule mode, in order.
 RULE_REASONS = [
     ("fatal_count", "fatal log entries strongly increase risk"),
     ("error_count", "error log entries increase risk"),
