@@ -35,6 +35,8 @@ class Limits:
 
     hot_rows: int | None = 4_000_000
     chunk_rows: int = 4_000_000
+    # Rows of a task that windows many small groups. A task sorts them once for each order.
+    task_rows: int = 250_000
     # More hot keys than this are joined by shuffle, not by broadcast.
     broadcast_keys: int = 1_000_000
 
@@ -56,16 +58,23 @@ def _same(left, right, names) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
 
 
-def hot_keys(df: DataFrame, keys: list[str], limits: Limits) -> tuple[DataFrame | None, int, int]:
-    """Keys above the limit with their row counts, number of such keys, their rows.
+def hot_keys(df: DataFrame, keys: list[str], limits: Limits) -> tuple[DataFrame | None, int, int, int]:
+    """Keys above the limit with their row counts, number of such keys, their rows, the rows of all others.
 
-    One job with map-side counts; only two numbers reach the driver.
+    One job with map-side counts; only three numbers reach the driver.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limits.hot_rows)
-    n_keys, n_rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    hot = F.col("_rows") > limits.hot_rows
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    n_keys, n_rows, others = counts.agg(F.count_if(hot), *[
+        F.coalesce(F.sum(F.when(part, F.col("_rows"))), F.lit(0)) for part in (hot, ~hot)]).first()
     if n_keys == 0:
-        return None, 0, 0
-    return checkpointed(counts), n_keys, n_rows
+        return None, 0, 0, others
+    return checkpointed(counts.where(hot)), n_keys, n_rows, others
+
+
+def tasks_for(rows: int, at_once: int, task_rows: int) -> int:
+    """Tasks for some rows: none above `task_rows`, and all cores in use unless there are few rows."""
+    return max(1, ceil(rows / task_rows), min(at_once, ceil(10 * rows / task_rows)))
 
 
 def _sized(df: DataFrame, rows: int, limits: Limits) -> DataFrame:
@@ -113,26 +122,31 @@ def running(
     firsts = firsts or {}
     if limits.hot_rows is None:
         return _plain(df, keys, order, stages, firsts, total)
-    hot, n_keys, n_rows = hot_keys(df, keys, limits) if keys else _whole(df, limits)
+    hot, n_keys, n_rows, others = hot_keys(df, keys, limits) if keys else _whole(df, limits)
+    parts = tasks_for(others, df.sparkSession.sparkContext.defaultParallelism, limits.task_rows)
     if hot is None:
-        return _plain(df, keys, order, stages, firsts, total)
+        return _plain(df, keys, order, stages, firsts, total, parts)
     if not keys:
         return _chunked(df, keys, order, stages, firsts, total, n_rows, n_keys, limits)
     names = _sized(hot, n_keys, limits)
     cold = df.alias("d").join(names.alias("h"), _same("d", "h", keys), "left_anti")
     warm = df.alias("d").join(names.alias("h"), _same("d", "h", keys)).select("d.*", "h._rows")
     chunked = _chunked(warm, keys, order, stages, firsts, total, n_rows, n_keys, limits)
-    return _plain(cold, keys, order, stages, firsts, total).unionByName(chunked)
+    return _plain(cold, keys, order, stages, firsts, total, parts).unionByName(chunked)
 
 
-def _whole(df: DataFrame, limits: Limits) -> tuple[DataFrame | None, int, int]:
+def _whole(df: DataFrame, limits: Limits) -> tuple[DataFrame | None, int, int, int]:
     """Without a key all rows are one group."""
     rows = df.count()
-    return (None, 0, 0) if rows <= limits.hot_rows else (df, 1, rows)
+    return (None, 0, 0, rows) if rows <= limits.hot_rows else (df, 1, rows, 0)
 
 
-def _plain(df, keys, order, stages, firsts, total) -> DataFrame:
-    if firsts and keys:
+def _plain(df, keys, order, stages, firsts, total, parts=None) -> DataFrame:
+    if parts and keys:
+        # A number of partitions that was asked for is kept: by bytes, which are few for
+        # the compressed flags of millions of rows, they would be joined to one large task.
+        df = df.repartition(parts, *keys)
+    elif firsts and keys:
         # One shuffle on the key serves the windows per (key, value) as well.
         df = df.repartition(*keys)
     for value, name in firsts.items():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logrisk.operators.logfeatures import history_features, line_signals, prefix_features
-from logrisk.operators.ordered import Limits, Run, bursts, row_numbers, running
+from logrisk.operators.ordered import Limits, Run, bursts, row_numbers, running, tasks_for
 from logrisk.operators.snapshots import early_warning, with_sessions
 from logrisk.operators.traces import clean_events, job_features
 from logrisk.operators.evaluate import ranking_metrics
@@ -103,3 +103,16 @@ def test_early_warning_of_hot_process(spark):
     signals = line_signals(tables.log_raw(spark, SMALL))
     plain = early_warning(prefix_features(signals, total="total"))
     same(plain, early_warning(prefix_features(signals, total="total", limits=SPLIT)))
+
+
+def test_windows_of_many_groups_are_dealt_by_rows(spark):
+    """Small rows compress well, so partitions joined by bytes would be one task here."""
+    rows = spark.range(4000).select((F.col("id") % 97).alias("key"), F.col("id").alias("seq"), F.lit("a").alias("name"))
+    limits = Limits(task_rows=100)
+    out = running(rows, ["key"], ["seq"], [[Run("n", "sum", F.lit(1).cast("long"))]], firsts={"name": "first"}, limits=limits)
+    assert out.rdd.getNumPartitions() == 40
+    same(out, running(rows, ["key"], ["seq"], [[Run("n", "sum", F.lit(1).cast("long"))]], firsts={"name": "first"}, limits=Limits(None)))
+
+
+def test_tasks_for_rows():
+    assert [tasks_for(n, 12, 1000) for n in (0, 5, 100, 101, 500, 5000, 12_001, 90_000)] == [1, 1, 1, 2, 5, 12, 13, 90]
