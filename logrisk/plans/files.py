@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logrisk.operators import etl, report
 from logrisk.plans import tables
 from logrisk.plans.queries import _alerts, _session_alerts, query
-from logrisk.session import new_folder
+from logrisk.session import new_folder, written
 from logrisk.sources import logs, registry, sinks, stored
 from logrisk.sources import traces as trace_files
 
@@ -96,7 +96,8 @@ def appended_lines(spark, folder):
 def session_files(spark, folder):
     """Alerts and lines of the sessions as tables, counted after reading back."""
     target = new_folder(spark, "session")
-    alerts = _session_alerts(spark, folder).drop("explanation")
+    # The report reads its alerts several times, so they are stored first.
+    alerts = written(_session_alerts(spark, folder).drop("explanation"), "alerts")
     number = F.regexp_extract("value", r"blk_-?(\d+)", 1).cast("long")
     lines = tables.log_raw(spark, folder).select(
         F.concat(F.lit("s"), F.pmod(number, F.lit(13)).cast("string")).alias("session_id"), "seq", F.col("value").alias("line"))

@@ -194,3 +194,21 @@ def test_ranking_files(spark, tmp_path):
     body = stored.read_metrics(spark, str(tmp_path / "model_comparison_json")).first()
     assert body["dataset"] == "x" and [m["model"] for m in body["ranking"]] == ["b", "a"]
     assert stored.read_ranking(spark, str(tmp_path / "model_comparison_csv")).count() == 2
+
+
+def test_session_files_compute_alerts_once(spark, monkeypatch):
+    """The report reads the alerts several times, and they are written as well: all from one stored copy."""
+    from conftest import SMALL
+    from logrisk.plans import files
+
+    calls, alerts_of = [], files._session_alerts
+    stored = files.written
+
+    def kept(df, name):
+        calls.append(name)
+        return stored(df, name)
+
+    monkeypatch.setattr(files, "written", kept)
+    out = files.session_files(spark, SMALL).collect()
+    assert calls == ["alerts"]
+    assert sum(r["alerts"] or 0 for r in out) == alerts_of(spark, SMALL).count() > 0
