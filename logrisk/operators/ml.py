@@ -25,8 +25,10 @@ from logrisk.operators import evaluate, splits
 from logrisk.operators.schema import ALL_FEATURES, source_kind
 from logrisk.session import checkpointed
 
-#: Fits that run side by side, and rows of a partition of their input.
+#: Fits that run side by side, and rows below which a partition of their input is not worth a task.
 FITS, PARTITION_ROWS = 8, 100_000
+#: The same for a fit that runs alone, and the most rows of a partition.
+ALONE_ROWS, MOST_ROWS = 12_500, 250_000
 BASELINE = "Majority Baseline"
 BOOSTED = "Boosted Trees"
 
@@ -120,10 +122,21 @@ def concurrently(tasks: list[Callable[[], object]], spark: SparkSession, at_once
         return [f.result() for f in [threads.submit(in_pool(k, t)) for k, t in enumerate(tasks)]]
 
 
-def compact(rows: DataFrame) -> DataFrame:
-    """Stored rows in as few partitions as their number needs; a fit passes over them very often."""
+def partitions(rows: int, least: int, cores: int) -> int:
+    """Partitions of `least` rows or more, on at most all cores; of many rows as many for each core."""
+    if rows > cores * MOST_ROWS:
+        return cores * -(-rows // (cores * MOST_ROWS))
+    return max(1, min(cores, -(-rows // least)))
+
+
+def compact(rows: DataFrame, least: int = PARTITION_ROWS) -> DataFrame:
+    """Stored rows in as few partitions as their number needs, of about equal size; a fit passes over them very often."""
     rows = checkpointed(rows)
-    return checkpointed(rows.coalesce(max(1, -(-rows.count() // PARTITION_ROWS))))
+    parts = partitions(rows.count(), least, rows.sparkSession.sparkContext.defaultParallelism)
+    if parts == 1:
+        return checkpointed(rows.coalesce(1))
+    # By name and in order, so that random draws meet the same rows in every run.
+    return checkpointed(rows.repartition(parts, "process_id").sortWithinPartitions("process_id"))
 
 
 def with_folds(train: DataFrame, folds: int) -> tuple[DataFrame, list[int]]:
@@ -183,7 +196,7 @@ def metrics_row(scored: DataFrame, name: str, cv: tuple[float, float]) -> DataFr
 def prepared(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weighted train rows and test rows, both stored so that fits do not recompute them."""
     train, test = split(matrix(features))
-    train, test = compact(train), compact(test)
+    train, test = compact(train, ALONE_ROWS), compact(test, ALONE_ROWS)
     weights = splits.class_weights(train).first().asDict()
     if not weights["n_pos"] or not weights["n_neg"]:
         raise ValueError("training needs both failures and successes")

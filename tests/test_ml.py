@@ -88,3 +88,13 @@ def test_registered_models_are_whole(spark, monkeypatch):
             q(spark, "")
     boosted, forest = (next(s for s in p.getStages() if hasattr(s, name)) for p, name in zip(seen[1:], ("getMaxIter", "getNumTrees")))
     assert seen[0] == {} and boosted.getMaxIter() == 300 and forest.getNumTrees() == 200
+
+
+def test_partitions_of_a_fit(spark, monkeypatch):
+    """A fit that runs alone uses all cores for rows that were one task, and never waits for a last wave."""
+    assert [ml.partitions(n, ml.ALONE_ROWS, 12) for n in (0, 100, 12_501, 450_000, 2_700_000, 3_000_001)] == [1, 1, 2, 12, 12, 24]
+    assert [ml.partitions(n, ml.PARTITION_ROWS, 12) for n in (50_000, 450_000, 2_700_000)] == [1, 5, 12]
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("process_id"))
+    out = ml.compact(rows, ml.ALONE_ROWS)
+    assert out.rdd.getNumPartitions() == 5 and out.count() == 60_000
+    assert [r[0] for r in out.collect()] == [r[0] for r in ml.compact(rows.repartition(7), ml.ALONE_ROWS).collect()]
