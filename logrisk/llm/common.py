@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,23 @@ def _delete(spark: SparkSession, name: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: What a Python worker keeps between its tasks; see `kept`.
+_kept: dict = {}
+
+
+def kept(operator: str, key: object, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between its tasks, made if it is not there.
+
+    A worker serves one operator after another; what it kept for another one,
+    or for another key, goes, so that their memories do not add up.
+    """
+    if (operator, key) not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[operator, key] = make()
+    return _kept[operator, key]
+
+
 @contextmanager
 def step(spark: SparkSession, of: str) -> Iterator[None]:
     """A step of the job `of`, which runs its steps one after another and saves the result of each.

@@ -28,6 +28,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logrisk.llm.common import kept
+
 SPACE = "▁"
 #: Bytes of a generation of remembered words, parts or neighbours in a Python worker; two generations are held.
 REMEMBERED = {"words": 72 << 20, "parts": 24 << 20, "fits": 24 << 20}
@@ -222,15 +224,9 @@ def _text(run: bytearray) -> str:
     return "".join(out)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
     """One encoder in a Python worker, kept between its tasks."""
-    if shared.value not in _encoders:
-        _encoders.clear()
-        _encoders[shared.value] = Encoder(shared.value)
-    return _encoders[shared.value]
+    return kept("pieces", shared.value, lambda: Encoder(shared.value))
 
 
 def _lists(arrays: list[array]) -> pa.Array:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logrisk.llm.common import stored
+from logrisk.llm.common import kept, stored
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 32, 24
@@ -410,15 +410,10 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
     return found.sort_values(["doc_id"]).reset_index(drop=True)
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
+    """One scorer in a Python worker, kept between its tasks."""
     name, w = shared.value
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(w)
-    return _scorers[name]
+    return kept("toxicity", name, lambda: Scorer(w))
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Weights | None:

@@ -238,3 +238,24 @@ def test_whole_of_a_long_run_is_read():
     clean, rude = "a" * 200, "a" * 90 + "idiot" + "a" * 105
     grams = [{g for p in toxicity.tokens(t) for g in toxicity.word_parts(p)[1]} for t in (clean, rude)]
     assert grams[1] - grams[0]
+
+
+def test_a_worker_keeps_one_operator():
+    """A worker that encoded and then scores holds the scorer alone: their memories do not add up."""
+    import gc
+    import weakref
+
+    from logrisk.llm import pieces, queries, toxicity
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    coded = Shared(pieces.Vocabulary.load(queries.model_file()))
+    network = Shared((b"w", toxicity.Weights.fresh(1)))
+    encoder = weakref.ref(pieces._encoder(coded))
+    assert pieces._encoder(coded) is encoder()
+    scorer = toxicity._scorer(network)
+    gc.collect()
+    assert encoder() is None
+    assert toxicity._scorer(network) is scorer
