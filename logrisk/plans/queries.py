@@ -768,10 +768,8 @@ def top_importances(spark, folder):
 
 def _stream(spark, folder) -> str:
     """Runs the stream over the whole events table and returns the output folder."""
-    schema_of = tables.table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema_of).option("pathGlobFilter", "events.parquet").parquet(folder)
     target = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
-    live.monitor_stream(tables.log_lines_of(source), target, timer_ms=None).awaitTermination()
+    live.monitor_stream(tables.log_lines_of(tables.event_stream(spark, folder)), target, timer_ms=None).awaitTermination()
     return target
 
 
@@ -836,10 +834,8 @@ def job_risk_every_n(spark, folder):
 @query
 def stream_job_every_n(spark, folder):
     """The same on a stream: predictions of the run, and those of its end from the state."""
-    schema_of = tables.table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema_of).option("pathGlobFilter", "events.parquet").parquet(folder)
     target = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
-    events = traces.clean_events(tables.late_events(tables.job_events_of(source)))
+    events = traces.clean_events(tables.late_events(tables.job_events_of(tables.event_stream(spark, folder))))
     live.monitor_stream(events, target, timer_ms=None, every=5, kind="events").awaitTermination()
     return _job_alerts(live.stream_alerts(spark, target)).unionByName(
         _job_alerts(live.final_alerts(spark, target, every=5, kind="events")))

@@ -23,6 +23,17 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the event rows, dealt by id to as many tasks as a shuffle has.
+
+    Lines are made and read before the rows go to their processes; without this
+    a file below the split size would be one task.
+    """
+    source = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet")
+    parts = int(spark.conf.get("spark.logrisk.deal", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    return source.parquet(folder).repartition(parts, "event_id")
+
+
 def log_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Log lines made from `events`; every tenth line names a second process."""
     return log_lines_of(dealt(table(spark, folder, "events")))

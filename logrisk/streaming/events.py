@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from array import array
 from bisect import bisect_right
+from collections import namedtuple
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from logrisk.config import FAIL_EVENTS, FLUSH_SECONDS, PREDICT_EVERY, SCHEDULE_EVENT
 from logrisk.operators.logfeatures import with_log1p
 from logrisk.operators.traces import finish_job_features
+from logrisk.streaming.names import Names
 
 #: Events of a block; twice as many are split.
 BLOCK = 512
@@ -31,10 +33,12 @@ INTS = ["priority", "scheduling_class"]
 USER = T.StructType([T.StructField("user", T.StringType())])
 NUMBER = T.StructType([T.StructField("block", T.LongType())])
 PACKED = T.StructType([T.StructField("events", T.BinaryType())])
-HEADS = T.StructType([T.StructField("heads", T.StringType())])
 SEEN = T.StructType([T.StructField("seen", T.BooleanType())])
 
 
+Event = namedtuple("Event", "process_id seq time event_type scheduling_class priority cpu_request memory_request disk_request user")
+
+
 def merged(a: tuple, b: tuple) -> tuple:
     """Summary of two stretches: size, run at the head, at the tail, longest, first schedules, last fails, retries."""
     return (a[0] + b[0], a[0] + b[1] if a[1] == a[0] else a[1], b[0] + a[2] if b[2] == b[0] else b[2],
@@ -126,13 +130,26 @@ def unpacked(raw: bytes) -> list:
     return list(zip(times, seqs, raw[16 * n:]))
 
 
-def state_type() -> T.StructType:
+def counter_type() -> T.StructType:
     kinds = [(LONGS, T.LongType()), (DOUBLES, T.DoubleType()), (INTS, T.IntegerType()), (["seq"], T.LongType())]
     return T.StructType([T.StructField(n, k) for names, k in kinds for n in names])
 
 
+def state_type() -> T.StructType:
+    """The counters with the heads of the blocks, an only block and few users: most jobs are one value of the state."""
+    held = [("_heads", T.StringType()), ("_events", T.BinaryType()), ("_users", T.StringType())]
+    return T.StructType([*counter_type().fields, *[T.StructField(n, k) for n, k in held]])
+
+
 def output_type() -> T.StructType:
-    return T.StructType([T.StructField("process_id", T.StringType()), T.StructField("trigger", T.StringType()), *state_type().fields])
+    """Every key hands back a batch of its own, whose cost is by the column, so the counters are two arrays."""
+    return T.StructType([T.StructField("process_id", T.StringType()), T.StructField("trigger", T.StringType()),
+                         T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+
+def named(array: str, names: list[str], kind: str = "long") -> list[Column]:
+    """The elements of an array as columns."""
+    return [F.col(array)[k].cast(kind).alias(n) for k, n in enumerate(names)]
 
 
 class EventCounter(StatefulProcessor):
@@ -144,31 +161,43 @@ class EventCounter(StatefulProcessor):
 
     def __init__(self, every: int, timer_ms: int | None):
         self.every, self.timer_ms = every, timer_ms
-        self.names = state_type().names
+        self.fields, self.made = state_type().names, Row(*output_type().names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.counters = handle.getValueState("counters", state_type())
-        self.heads = handle.getValueState("heads", HEADS)
         self.blocks = handle.getMapState("blocks", NUMBER, PACKED)
         self.users = handle.getMapState("users", USER, SEEN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Arrivals of one job inside one micro-batch; the trigger options bound them.
-        rows = sorted(rows, key=lambda r: r["seq"])
-        state = dict(zip(self.names, self.counters.get())) if self.counters.exists() else self._fresh(rows[0])
-        runs = TimedRuns(json.loads(self.heads.get()[0]) if self.heads.exists() else [],
-                         lambda n: unpacked(self.blocks.getValue((n,))[0]), lambda n, e: self.blocks.updateValue((n,), (packed(e),)))
-        known: set = set()
+        rows = sorted(map(Event._make, rows), key=lambda r: r.seq)
+        kept = self.counters.get()
+        state = dict(zip(self.fields, kept)) if kept is not None else self._fresh(rows[0])
+        only, users = state["_events"], Names(self.users, state["_users"])
+        heads = json.loads(state["_heads"]) if state["_heads"] else []
+
+        def load(n: int) -> list:
+            return unpacked(only if len(heads) == 1 else self.blocks.getValue((n,))[0])
+
+        def save(n: int, events: list) -> None:
+            if len(runs.heads) == 1:
+                state["_events"] = packed(events)
+            else:
+                # An only block has grown into several; the first of them changed with that.
+                state["_events"] = None
+                self.blocks.updateValue((n,), (packed(events),))
+
+        runs = TimedRuns(heads, load, save)
         for row in rows:
-            self._add(state, row, runs, known)
+            self._add(state, row, runs, users)
             if state["total_lines"] % self.every == 0:
                 self._sum_up(state, runs)
                 yield self._emit(key, "every_n", state)
         self._sum_up(state, runs)
         runs.flush()
-        self.heads.update((json.dumps(runs.heads),))
-        self.counters.update(tuple(state[n] for n in self.names))
+        state["_heads"], state["_users"] = json.dumps(runs.heads), users.packed()
+        self.counters.update(tuple(state[n] for n in self.fields))
         if self.timer_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -176,51 +205,51 @@ class EventCounter(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.counters.exists():
-            yield self._emit(key, "timeout", dict(zip(self.names, self.counters.get())))
-        for store in (self.counters, self.heads, self.blocks, self.users):
+            yield self._emit(key, "timeout", dict(zip(self.fields, self.counters.get())))
+        for store in (self.counters, self.blocks, self.users):
             store.clear()
 
     def close(self) -> None:
         pass
 
-    def _fresh(self, row: Row) -> dict:
-        zeros = {c: 0 for c in LONGS} | {"_cpu": 0.0, "_memory": 0.0, "_disk": 0.0}
-        return zeros | {"_first": None, "_last": None, "seq": None, "priority": row["priority"], "scheduling_class": row["scheduling_class"]}
+    def _fresh(self, row: Event) -> dict:
+        zeros = {c: 0 for c in LONGS} | {"_cpu": 0.0, "_memory": 0.0, "_disk": 0.0} | {"_heads": None, "_events": None, "_users": None}
+        return zeros | {"_first": None, "_last": None, "seq": None, "priority": row.priority, "scheduling_class": row.scheduling_class}
 
-    def _add(self, state: dict, row: Row, runs: TimedRuns, known: set) -> None:
-        code, time = row["event_type"], row["time"]
+    def _add(self, state: dict, row: Event, runs: TimedRuns, users: Names) -> None:
+        code, time = row.event_type, row.time
         state["total_lines"] += 1
-        state["seq"] = row["seq"]
+        state["seq"] = row.seq
         for name, codes in COUNTS.items():
             state[name] += code in codes
-        if row["user"] not in known:
-            known.add(row["user"])
-            user = (row["user"],)
-            if not self.users.containsKey(user):
-                self.users.updateValue(user, (True,))
-                state["unique_components"] += 1
+        state["unique_components"] += users.add((row.user,))
         if time > 0:
             state["_timed"] += 1
             state["_first"] = time if state["_first"] is None else min(state["_first"], time)
             state["_last"] = time if state["_last"] is None else max(state["_last"], time)
-        for name, value in (("_cpu", row["cpu_request"]), ("_memory", row["memory_request"]), ("_disk", row["disk_request"])):
+        for name, value in (("_cpu", row.cpu_request), ("_memory", row.memory_request), ("_disk", row.disk_request)):
             state[name] = max(state[name], value)
-        runs.add(time, row["seq"], FAILS if code in FAIL_EVENTS else SCHEDULES if code == SCHEDULE_EVENT else OTHER)
+        runs.add(time, row.seq, FAILS if code in FAIL_EVENTS else SCHEDULES if code == SCHEDULE_EVENT else OTHER)
 
     def _sum_up(self, state: dict, runs: TimedRuns) -> None:
         whole = runs.whole()
         state["max_error_burst"], state["retry_count"] = whole[3], whole[6]
 
     def _emit(self, key: tuple, trigger: str, state: dict) -> Row:
-        return Row(process_id=key[0], trigger=trigger, **{n: state[n] for n in self.names})
+        counts = [state[n] for n in [*LONGS, "seq", *INTS]]
+        return self.made(key[0], trigger, counts, [state[n] for n in DOUBLES])
 
 
 def event_stream(events: DataFrame, *, every: int = PREDICT_EVERY, timer_ms: int | None = 1000 * FLUSH_SECONDS) -> DataFrame:
     """Counter rows of a stream of scheduler events as of `traces.clean_events`, with `seq` as order of arrival."""
-    keyed = events.withColumn("process_id", F.col("job_id"))
-    return keyed.groupBy("process_id").transformWithState(
+    # Rows are handed over cell by cell, so only what is counted travels.
+    keyed = events.select(*[F.col("job_id").alias(c) if c == "process_id" else F.col(c) for c in Event._fields])
+    counted = keyed.groupBy("process_id").transformWithState(
         statefulProcessor=EventCounter(every, timer_ms), outputStructType=output_type(), outputMode="Update",
         timeMode="ProcessingTime" if timer_ms is not None else "None")
+    n = len(LONGS) + 1
+    whole = named("counts", [*LONGS, "seq"]) + named("counts", [*LONGS, "seq", *INTS], "int")[n:] + named("sums", DOUBLES, "double")
+    return counted.select("process_id", "trigger", *whole).select("process_id", "trigger", *counter_type().names)
 
 
 def finish_events(rows: DataFrame) -> DataFrame:

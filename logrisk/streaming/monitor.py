@@ -7,6 +7,7 @@ import os
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from logrisk.functions.text import is_stop_marker, normalise_lines
 from logrisk.operators.logfeatures import SIGNALS, finish_log_features, line_signals
 from logrisk.plans.monitor import Scorer, by_rules, calibrate, decide, raw_features
 from logrisk.session import exists
-from logrisk.streaming.events import event_stream, finish_events
+from logrisk.streaming.events import event_stream, finish_events, named
+from logrisk.streaming.names import Names
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTERS = list(SIGNALS.values())
@@ -28,22 +30,32 @@ MARKER = "\u0000marker"
 MARKER_LINE = "000101 000000 0 INFO pipeline.Monitor: blk_0"
 NUMBERS = ["session_no", "total_lines", *COUNTERS, "max_error_burst", "_run", "_first_s", "_last_s", "_seen_s"]
 NAME = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())])
+#: Bits of the signals of a line that makes a run longer.
+BAD = sum(1 << k for k, s in enumerate(SUMMED) if s in ("is_error", "is_fatal"))
 MARK = T.StructType([T.StructField("seen", T.BooleanType())])
+#: What the state holds beside the counters.
+HELD = ("_names", "_heads", "_events", "_users")
 COMMIT = "attempt string, ended boolean, batch long"
 
 
-def state_type(places: list[T.StructField]) -> T.StructType:
+def counter_type(places: list[T.StructField]) -> T.StructType:
     """Counters of a process, and what its newest line carries."""
     return T.StructType([T.StructField(c, T.LongType()) for c in NUMBERS] + places)
 
 
+def state_type(places: list[T.StructField]) -> T.StructType:
+    """The counters with the first FEW names, so that most processes are one value of the state."""
+    return T.StructType([*counter_type(places).fields, T.StructField("_names", T.StringType())])
+
+
 def output_type(keys: list[str], places: list[T.StructField]) -> T.StructType:
-    return T.StructType([T.StructField(k, T.StringType()) for k in keys] + [T.StructField("trigger", T.StringType())]
-                        + state_type(places).fields)
+    """Every key hands back a batch of its own, whose cost is by the column, so the counters are one array."""
+    return T.StructType([T.StructField(k, T.StringType()) for k in [*keys, "trigger"]]
+                        + [T.StructField("counts", T.ArrayType(T.LongType()))] + places)
 
 
 class PrefixCounter(StatefulProcessor):
-    """Counters of one process: fixed-size state, plus its components and pids as map keys.
+    """Counters of one process: fixed-size state, plus its components and pids as map keys when they are many.
 
     Emits a row for every N-th line and one when a process was silent too long
     (`timeout`). A process that was silent on the clock is dropped; if it
@@ -56,6 +68,8 @@ class PrefixCounter(StatefulProcessor):
         self.every, self.gap_s, self.timer_ms = every, gap_s, timer_ms
         self.keys, self.order, self.places = keys, order, [f.name for f in places]
         self.state, self.output = state_type(places), output_type(keys, places)
+        self.made = Row(*self.output.names)
+        self.hits: dict[int, list[str]] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,24 +78,37 @@ class PrefixCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Rows of one process inside one micro-batch; the trigger options bound them.
-        rows = sorted(rows, key=lambda r: tuple(r[c] for c in self.order))
+        rows = list(rows)
+        at = {name: k for k, name in enumerate(rows[0].__fields__)}
+        order = [at[c] for c in self.order]
+        rows = sorted(map(tuple, rows), key=lambda r: tuple(r[k] for k in order))
+        places = [(c, at[c]) for c in self.places]
         if key[len(self.keys) - 1] == MARKER:
             for row in rows:
-                yield self._emit(key, "marker", {**self._fresh(1), **{c: row[c] for c in self.places}})
+                yield self._emit(key, "marker", {**self._fresh(1), **{c: row[k] for c, k in places}})
             return
         state = self._load()
-        # Names met in this call need no second look at the state store.
-        known: set = set()
+        names = Names(self.names, state.pop("_names"))
+        seen = [("component", "unique_components", at["component"]), ("pid", "unique_pids", at["pid"])]
+        bits, ts = at["bits"], at["ts_s"]
         for row in rows:
-            silent = self.gap_s is not None and state["_seen_s"] is not None and row["ts_s"] is not None
-            if silent and row["ts_s"] - state["_seen_s"] > self.gap_s:
+            second = row[ts]
+            silent = self.gap_s is not None and state["_seen_s"] is not None and second is not None
+            if silent and second - state["_seen_s"] > self.gap_s:
                 yield self._emit(key, "timeout", state)
-                self.names.clear()
-                known.clear()
+                names.clear()
                 state = self._fresh(state["session_no"] + 1)
-            self._add(state, row, known)
+            for name, k in places:
+                state[name] = row[k]
+            state["total_lines"] += 1
+            for counter in self._hits(row[bits]):
+                state[counter] += 1
+            for kind, counter, k in seen:
+                state[counter] += names.add((kind, row[k]))
+            self._time(state, row[bits], second)
             if state["total_lines"] % self.every == 0:
                 yield self._emit(key, "every_n", state)
+        state["_names"] = names.packed()
         self.counters.update(tuple(state[f.name] for f in self.state.fields))
         if self.timer_ms is not None:
             for timer in list(self.handle.listTimers()):
@@ -103,35 +130,28 @@ class PrefixCounter(StatefulProcessor):
         return state
 
     def _load(self) -> dict:
-        if not self.counters.exists():
-            return self._fresh(1)
-        return dict(zip([f.name for f in self.state.fields], self.counters.get()))
-
-    def _add(self, state: dict, row: Row, known: set) -> None:
-        for name in self.places:
-            state[name] = row[name]
-        state["total_lines"] += 1
-        for signal, counter in SUMMED.items():
-            state[counter] += row[signal]
-        for kind, counter in (("component", "unique_components"), ("pid", "unique_pids")):
-            name = (kind, row[kind])
-            if name in known:
-                continue
-            known.add(name)
-            if not self.names.containsKey(name):
-                self.names.updateValue(name, (True,))
-                state[counter] += 1
-        state["_run"] = state["_run"] + 1 if row["is_error"] + row["is_fatal"] else 0
+        kept = self.counters.get()
+        if kept is None:
+            return {**self._fresh(1), "_names": None}
+        return dict(zip(self.state.names, kept))
+
+    def _hits(self, bits: int) -> list[str]:
+        """The counters that a line adds to."""
+        if bits not in self.hits:
+            self.hits[bits] = [counter for k, counter in enumerate(SUMMED.values()) if bits >> k & 1]
+        return self.hits[bits]
+
+    def _time(self, state: dict, bits: int, second: int | None) -> None:
+        state["_run"] = state["_run"] + 1 if bits & BAD else 0
         state["max_error_burst"] = max(state["max_error_burst"], state["_run"])
-        second = row["ts_s"]
         if second is not None:
             state["_first_s"] = second if state["_first_s"] is None else min(state["_first_s"], second)
             state["_last_s"] = second if state["_last_s"] is None else max(state["_last_s"], second)
             state["_seen_s"] = state["_last_s"]
 
     def _emit(self, key: tuple, trigger: str, state: dict) -> Row:
-        values = {**dict(zip(self.keys, key)), "trigger": trigger, **state}
-        return Row(**{f.name: values[f.name] for f in self.output.fields})
+        counts = [state[c] for c in NUMBERS]
+        return self.made(*key, trigger, counts, *[state[c] for c in self.places])
 
 
 def prefix_stream(raw: DataFrame, *, every: int = PREDICT_EVERY, gap_s: int | None = None,
@@ -142,15 +162,19 @@ def prefix_stream(raw: DataFrame, *, every: int = PREDICT_EVERY, gap_s: int | No
     gap_s: split a process by silence in log time; timer_ms: by silence on the
     clock. Completion markers give rows of their own (trigger `marker`).
     """
-    marked = is_stop_marker("value")
-    lines = line_signals(raw.where(~marked)).unionByName(
-        line_signals(raw.where(marked).withColumn("value", F.lit(MARKER_LINE))).withColumn("process_id", F.lit(MARKER)))
+    marked = raw.withColumn("_marked", is_stop_marker("value"))
+    marked = marked.withColumn("value", F.when(F.col("_marked"), MARKER_LINE).otherwise(F.col("value")))
+    lines = line_signals(marked).withColumn("process_id", F.when(F.col("_marked"), MARKER).otherwise(F.col("process_id")))
+    # Rows are handed over cell by cell, so the signals of a line travel as the bits of one number.
+    bits = reduce(Column.bitwiseOR, (F.shiftleft(F.col(s).cast("int"), k) for k, s in enumerate(SUMMED)))
     kinds = {f.name: f for f in lines.schema.fields}
     places = [T.StructField(c, kinds[c].dataType) for c in dict.fromkeys([*order, "component", *carry])]
-    return lines.groupBy(*keys).transformWithState(
+    lines = lines.select(*dict.fromkeys([*keys, *[f.name for f in places], "pid", "ts_s"]), bits.alias("bits"))
+    counted = lines.groupBy(*keys).transformWithState(
         statefulProcessor=PrefixCounter(every, gap_s, timer_ms, list(keys), list(order), places),
         outputStructType=output_type(list(keys), places),
         outputMode="Update", timeMode="ProcessingTime" if timer_ms is not None else "None")
+    return counted.select(*keys, "trigger", *named("counts", NUMBERS), *[f.name for f in places])
 
 
 #: Features from the counter rows of each kind of stream.
@@ -308,7 +332,7 @@ def final_alerts(spark: SparkSession, folder: str, session: str | None = None, *
     no prediction here: their state counts lines behind the stop as well.
     """
     state = spark.read.format("statestore").option("stateVarName", "counters").load(os.path.join(folder, "checkpoint"))
-    newest = state.select("key.*", "value.*").withColumns({
+    newest = state.select("key.*", "value.*").drop(*HELD).withColumns({
         "trigger": F.lit("final"), "component": F.lit("pipeline.Monitor")})
     if "stage" in newest.columns:
         newest = newest.withColumn("stage", F.lit("Monitor"))
