@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from logrisk.llm.common import kept, stored
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 32, 24
 WORDS, GRAMS = 16_384, 8_192
+#: Grams whose rows are remembered.
+GRAMS_KEPT = 50_000
 WIDE, STATE, LOOK = 12, 8, 8
 #: Labelled texts that the fit reads at most, for each label, and their greatest length.
 FIT_ROWS, FIT_CHARS = 1_500, 20_000
@@ -117,15 +120,29 @@ def _cut_run(run: str) -> list[str]:
     return out
 
 
-def word_parts(word: str) -> tuple[int, list[int]]:
+class GramRows(dict):
+    """Rows of the character table by gram. Words are many, their trigrams few."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= GRAMS_KEPT:
+            self.clear()
+        row = self[gram] = xxhash.xxh3_64_intdigest(gram.encode()) % GRAMS
+        return row
+
+
+def word_parts(word: str, rows: GramRows | None = None) -> tuple[int, list[int]]:
     """Rows of the word table and of the character table; 0 is for no word.
 
     Characters come as trigrams and as beginnings of 4 to 6 with the edge.
     """
-    edged = f"<{word}>"
-    grams = [edged[k:k + 3] for k in range(len(edged) - 2)] + [edged[:k] for k in range(4, min(6, len(edged)) + 1)]
-    return (1 + xxhash.xxh3_64_intdigest(word.encode()) % (WORDS - 1),
-            [xxhash.xxh3_64_intdigest(g.encode()) % GRAMS for g in grams])
+    rows, edged = GramRows() if rows is None else rows, f"<{word}>"
+    size = len(edged)
+    grams = [rows[edged[k:k + 3]] for k in range(size - 2)]
+    if size >= 4:
+        grams.append(rows[edged[:4]])
+        # Longer beginnings are nearly as many as words.
+        grams += [xxhash.xxh3_64_intdigest(edged[:k].encode()) % GRAMS for k in range(5, min(6, size) + 1)]
+    return 1 + xxhash.xxh3_64_intdigest(word.encode()) % (WORDS - 1), grams
 
 
 def windows(n: int) -> np.ndarray:
@@ -220,6 +237,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 256,
     """Weights learnt from whole texts; each teaches through its highest window."""
     w, rng = Weights.fresh(seed), np.random.default_rng(seed)
     known: dict[str, int] = {}
+    rows = GramRows()
     parts: list[tuple[int, list[int]]] = [(0, [0])]
     spans, owner = [], []
     for i, text in enumerate(texts):
@@ -227,7 +245,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 256,
         for word in tokens(text):
             if word not in known:
                 known[word] = len(parts)
-                parts.append(word_parts(word))
+                parts.append(word_parts(word, rows))
             ids.append(known[word])
         for s in windows(len(ids)):
             spans.append(ids[s:s + WINDOW] + [0] * (WINDOW - len(ids[s:s + WINDOW])))
@@ -330,7 +348,7 @@ class Scorer:
     """Scores whole texts; remembers the weighed inputs of words."""
 
     def __init__(self, w: Weights):
-        self.w = w
+        self.w, self.rows = w, GramRows()
         self._forget()
 
     def _forget(self) -> None:
@@ -344,12 +362,12 @@ class Scorer:
         while len(self.x_fw) < start + len(words):
             self.x_fw, self.x_bw = (np.concatenate([x, np.zeros_like(x)]) for x in (self.x_fw, self.x_bw))
         for k in range(0, len(words), 4096):
-            parts = [word_parts(x) for x in words[k:k + 4096]]
+            parts = [word_parts(x, self.rows) for x in words[k:k + 4096]]
             x = np.zeros((len(parts), 2 * WIDE), np.float32)
             x[:, :WIDE] = self.w.word[[p[0] for p in parts]]
             grams = [g for _, g in parts]
             size = np.array(list(map(len, grams)))
-            flat = self.w.gram[np.concatenate(grams)]
+            flat = self.w.gram[np.fromiter(chain.from_iterable(grams), np.int64, int(size.sum()))]
             x[:, WIDE:] = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(size)[:-1]])) / size[:, None]
             at = slice(start + k, start + k + len(parts))
             self.x_fw[at], self.x_bw[at] = x @ self.w.fw + self.w.fb, x @ self.w.bw + self.w.bb
@@ -360,7 +378,7 @@ class Scorer:
         if len(self.known) > REMEMBERED:
             self._forget()
         read = [tokens(t or "") for t in texts]
-        new = [x for x in dict.fromkeys(x for ws in read for x in ws) if x not in self.known]
+        new = [x for x in dict.fromkeys(chain.from_iterable(read)) if x not in self.known]
         if new:
             self._learn(new)
         starts, flat, at, owner = [], [], 0, []

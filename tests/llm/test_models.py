@@ -259,3 +259,24 @@ def test_a_worker_keeps_one_operator():
     gc.collect()
     assert encoder() is None
     assert toxicity._scorer(network) is scorer
+
+
+def test_trigrams_are_hashed_once(monkeypatch):
+    """Words are many, their trigrams few: a scorer hashes each trigram once; the rows stay the same."""
+    words = [f"wo{a}{b}rd{a}{b}s{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    alone = [toxicity.word_parts(w) for w in words]
+    hashed, plain = [], toxicity.xxhash.xxh3_64_intdigest
+
+    class Counting:
+        @staticmethod
+        def xxh3_64_intdigest(data):
+            hashed.append(data)
+            return plain(data)
+
+    monkeypatch.setattr(toxicity, "xxhash", Counting)
+    rows = toxicity.GramRows()
+    assert [toxicity.word_parts(w, rows) for w in words] == alone
+    assert len([h for h in hashed if len(h) == 3]) == len({w[k:k + 3] for w in (f"<{x}>" for x in words) for k in range(len(w) - 2)})
+    monkeypatch.setattr(toxicity, "GRAMS_KEPT", 5)
+    rows = toxicity.GramRows()
+    assert [toxicity.word_parts(w, rows) for w in words] == alone and len(rows) <= 5
