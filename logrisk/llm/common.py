@@ -53,12 +53,18 @@ def kept(operator: str, key: object, make: Callable[[], object]) -> object:
     or for another key, goes, so that their memories do not add up.
     """
     if (operator, key) not in _kept:
-        _kept.clear()
-        pa.default_memory_pool().release_unused()
+        alone()
         _kept[operator, key] = make()
     return _kept[operator, key]
 
 
+def alone() -> None:
+    """Lets go what operators have kept in this Python worker; for one that keeps nothing and needs much memory."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 @contextmanager
 def step(spark: SparkSession, of: str) -> Iterator[None]:
     """A step of the job `of`, which runs its steps one after another and saves the result of each.

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from logrisk.llm.common import forget, same, stored
+from logrisk.llm.common import alone, forget, same, stored
 from logrisk.llm.graph import components
 from logrisk.llm.minhash import _mixed
 
@@ -73,6 +73,8 @@ WIDEST = 30
 GRAM = 12
 #: Keys that a task packs together, and characters of the text for a block of keys.
 PACKED, CHARACTERS = 1 << 20, 4_000_000
+#: Texts whose lines a task holds at once.
+TEXTS = 512
 #: Lines of a key whose pairs are made at once.
 FEW = 64
 #: Pairs that are made together.
@@ -388,33 +390,36 @@ LINES = "doc_id long, text_key long, pos int, h long, g long"
 def _lines(least: int):
     """A row for each line that counts, and one with pos -n for a document of n lines."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                rows.append((i, -1 - (text or "").count("\n"), None, None))
-                rows += [(i, pos, *_hashes(line)) for pos, line in _eligible(text, least)]
-            at, pos, h, g = zip(*rows) if rows else ((),) * 4
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()),
-                 pa.array(h, pa.int64()), pa.array(g, pa.int64())], ["doc_id", "text_key", "pos", "h", "g"])
+        alone()
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch, rows = whole.slice(start, TEXTS), []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    rows.append((i, -1 - (text or "").count("\n"), None, None))
+                    rows += [(i, pos, *_hashes(line)) for pos, line in _eligible(text, least)]
+                at, pos, h, g = zip(*rows)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()),
+                     pa.array(h, pa.int64()), pa.array(g, pa.int64())], ["doc_id", "text_key", "pos", "h", "g"])
     return run
 
 
 def _new_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[tuple[int, str]]]:
-    """(hash, line) of the lines a task has not met lately, by batch."""
+    """(hash, line) of the lines a task has not met lately, some texts at a time."""
     met: set[int] = set()
     for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            for _, line in _eligible(text, least):
-                h = _hashes(line)[0]
-                if h not in met:
-                    met.add(h)
-                    out.append((h, line))
-        if len(met) > REMEMBERED:
-            met.clear()
-        yield out
+        for start in range(0, batch.num_rows, TEXTS):
+            out = []
+            for text in batch.column(0).slice(start, TEXTS).to_pylist():
+                for _, line in _eligible(text, least):
+                    h = _hashes(line)[0]
+                    if h not in met:
+                        met.add(h)
+                        out.append((h, line))
+            if len(met) > REMEMBERED:
+                met.clear()
+            yield out
 
 
 def _entries(edits: int | Growing, least: int):
@@ -464,23 +469,28 @@ def _packed(edits: int | Growing, least: int, blocks: int):
     """Keys of the lines as (block, bytes): 5 of the key, 5 of the line with a bit for own, two each of length and place."""
     made, names = _entries(edits, least), np.uint64((1 << NAME) - 1)
 
-    def flushed(held: list) -> pa.RecordBatch:
-        key, name, length, place = (np.concatenate(x) for x in zip(*held))
-        block = (((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)).astype(np.int32)
-        order = np.argsort(block, kind="stable")
+    def entries(key, name, length, place) -> tuple[np.ndarray, np.ndarray]:
+        """Block and bytes of each key; only these are held."""
         out = np.empty((len(key), WIDTH), np.uint8)
         out[:, :5] = key.view(np.uint8).reshape(-1, 8)[:, :5]
         out[:, 5:10] = name.view(np.uint8).reshape(-1, 8)[:, :5]
         out[:, 10:12] = length.view(np.uint8).reshape(-1, 2)
         out[:, 12:] = place.view(np.uint8).reshape(-1, 2)
+        return (((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)).astype(np.int32), out
+
+    def flushed(held: list) -> pa.RecordBatch:
+        block, out = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(block, kind="stable").astype(np.int32)
         out = out.view(f"V{WIDTH}")[:, 0][order].view(np.uint8)
         block = block[order]
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        ends = np.append(starts, len(key)).astype(np.int32) * WIDTH
+        ends = np.append(starts, len(block)).astype(np.int32) * WIDTH
         packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
         return pa.RecordBatch.from_arrays([pa.array(block[starts]), packed], ["block", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         held, count = [], 0
         for fresh in _new_lines(batches, least):
             for start in range(0, len(fresh), 4096):
@@ -488,11 +498,11 @@ def _packed(edits: int | Growing, least: int, blocks: int):
                 hashes = np.array([h for h, _ in lines], np.int64).view(np.uint64) & names
                 for key, row, own, length, place in made(lines):
                     if len(key):
-                        held.append((key, hashes[row] << np.uint64(1) | own, length, place))
+                        held.append(entries(key, hashes[row] << np.uint64(1) | own, length, place))
                         count += len(key)
                 if count >= PACKED:
                     yield flushed(held)
-                    held, count = [], 0
+                    count = 0
         if held:
             yield flushed(held)
     return run

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,3 +153,27 @@ def test_wide_band_is_edit_distance():
         b = edited(rng, a, rng.randint(0, 9)) or "x"
         d, (y, x) = distance(a, b), sorted((a, b), key=len)
         assert all(lines._wide(x, y, e) == (d <= e) for e in range(len(x) - len(y), 40))
+
+
+def test_a_task_holds_few_texts(monkeypatch):
+    """Lines of some texts at a time, and nothing that another operator kept in the worker; the same keys."""
+    from logrisk.llm import common
+
+    texts = [f"line {k} " + "abcdefghij" * 4 + f"\nother {k} " + "klmnopqrst" * 12 for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def keys():
+        found: dict = {}
+        for made in lines._packed(lines.EDITS, 30, 7)(iter([batch])):
+            for block, entries in zip(made.column(0).to_pylist(), made.column(1).to_pylist()):
+                found[block] = sorted(found.get(block, []) + [entries[k:k + lines.WIDTH] for k in range(0, len(entries), lines.WIDTH)])
+        return found
+
+    whole = keys()
+    monkeypatch.setattr(lines, "TEXTS", 3)
+    common.kept("toxicity", "some", dict)
+    assert keys() == whole and not common._kept
+    assert max(map(len, lines._new_lines(iter([batch]), 30))) <= 6
+    ids = pa.array(range(40), pa.int64())
+    rows = list(lines._lines(30)(iter([pa.RecordBatch.from_arrays([ids, ids, batch.column(0)], ["doc_id", "text_key", "text"])])))
+    assert max(r.num_rows for r in rows) <= 9 and sum(r.num_rows for r in rows) == 120
