@@ -21,9 +21,13 @@ as bits of a word that slides down the diagonal, after counts of characters and
 of pairs of characters have ruled out what is too far.
 
 Equal lines are one line from the start. Lines form classes, the components of
-near pairs, and the first line of a class stays. A key that very many lines
-share is tied to one of them first; only lines that are still in different
-classes are then compared with each other, in blocks.
+near pairs, and the first line of a class stays. A key that many lines share
+names one of them its hub: that of the least hash, so the many keys that copies
+of one line have in common name the same few hubs. The lines of a hub are
+compared with the one among them that shares most such keys, as the copy with
+the fewest edits does; only those that are still in different classes are then
+compared with each other, in blocks, under the least hub of both and not for
+each key; counts of characters rule out many pairs before any distance is found.
 """
 
 from __future__ import annotations
@@ -57,8 +61,8 @@ class Growing:
 EDITS = Growing(1, 40)
 #: Shorter lines, without the blanks around them, always stay.
 LEAST = 30
-#: Lines of one block when those of a key are compared with each other.
-BLOCK = 64
+#: Lines of one block when those of a hub are compared with each other.
+BLOCK = 512
 #: Different lines that a task remembers so as not to send them twice.
 REMEMBERED = 200_000
 #: Characters of a batch of pairs.
@@ -70,13 +74,13 @@ PORTION = 200_000
 #: Edits whose band is held in a word of 64 bits.
 WIDEST = 30
 #: Characters of a gram.
-GRAM = 12
-#: Keys that a task packs together, and characters of the text for a block of keys.
+GRAM = 16
+#: Keys that a task packs together, and characters of the text for a block of keys, or of its lines for one of a hub.
 PACKED, CHARACTERS = 1 << 20, 4_000_000
 #: Texts whose lines a task holds at once.
 TEXTS = 512
-#: Lines of a key whose pairs are made at once.
-FEW = 64
+#: Lines of a key whose pairs are all made; more are tied to a hub.
+FEW = 16
 #: Pairs that are made together.
 MADE = 1 << 20
 #: Bits of the hash of a line in a packed key, its bytes, and the greatest length or place in it.
@@ -247,11 +251,15 @@ def slotted(key: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarra
 
 def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndarray:
     """For pairs of strings, whether at most as many edits as are allowed make them equal."""
-    good = np.zeros(len(first), bool)
     pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(first, second)]
     bounds = [allowed(len(b), edits) for _, b in pairs]
-    order = sorted(_alike(pairs, bounds, [i for i, (a, b) in enumerate(pairs) if len(a) - len(b) <= bounds[i]]),
-                   key=lambda i: (bounds[i], len(pairs[i][0])))
+    return _measured(pairs, bounds, _alike(pairs, bounds, [i for i, (a, b) in enumerate(pairs) if len(a) - len(b) <= bounds[i]]))
+
+
+def _measured(pairs: list[tuple[str, str]], bounds: list[int], some: list[int]) -> np.ndarray:
+    """Whether each pair (the longer string first) is within its bound; only `some` are tried."""
+    good = np.zeros(len(pairs), bool)
+    order = sorted(some, key=lambda i: (bounds[i], len(pairs[i][0])))
     start = 0
     while start < len(order):
         stop, bound = start + 1, bounds[order[start]]
@@ -260,7 +268,7 @@ def within(first: list[str], second: list[str], edits: int | Growing) -> np.ndar
             stop += 1
         some = order[start:stop]
         # A step of the band over few pairs costs more than the steps of each.
-        if stop - start > 16 * (2 * bound + 16):
+        if stop - start > 2 * (2 * bound + 16):
             good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], bound)
         else:
             good[some] = [_wide(*pairs[i], bound) for i in some]
@@ -515,7 +523,11 @@ def _number(entries: np.ndarray, at: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-CANDIDATES = "key long, a long, b long"
+CANDIDATES = "ties long, a long, b long"
+
+
+#: No line: above the name of any.
+NOBODY = np.uint64((1 << 64) - 1)
 
 
 def _repeats(*columns: np.ndarray) -> np.ndarray:
@@ -532,14 +544,60 @@ def _bounds(length: np.ndarray, edits: int | Growing) -> np.ndarray:
 
 
 def _candidates(edits: int | Growing):
-    """Pairs of lines (a, b) that share a key, without a key; for keys of very many lines their members (key, a, own)."""
+    """Pairs of lines (a, b) that share a key; of keys of many lines their hub (a), each of the others (b) and the number of keys."""
     def fitting(length, place, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether lengths and places differ by no more than the bound; what was cut, or a segment, always fits."""
         bound = _bounds(np.minimum(length[x], length[y]), edits)
         near = (np.abs(length[x] - length[y]) <= bound) & (np.abs(place[x] - place[y]) <= bound)
         return near | (length[x] == 0) | (length[x] == MOST) | (length[y] == MOST)
 
-    def opened(block: int, entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def paired(line, own, length, place, starts, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs that fit within each run of entries."""
+        for m in np.unique(sizes[sizes > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            heads, step = starts[sizes == m], max(1, MADE // len(i))
+            for k in range(0, len(heads), step):
+                head = heads[k:k + step][:, None]
+                x, y = (head + i).ravel(), (head + j).ravel()
+                good = (line[x] != line[y]) & (own[x] | own[y])
+                x, y = x[good], y[good]
+                good = fitting(length, place, x, y)
+                x, y = line[x[good]], line[y[good]]
+                yield np.minimum(x, y), np.maximum(x, y)
+
+    def tied(line, own, starts, sizes) -> tuple[np.ndarray, np.ndarray]:
+        """The hub of each run, the least line that owns the key, with every other line of the run."""
+        hub = np.minimum.reduceat(np.where(own, line, NOBODY), starts).repeat(sizes)
+        other = (hub != line) & (hub != NOBODY)
+        return hub[other], line[other]
+
+    def crowded(key, line, own, length, place) -> tuple[list, list]:
+        """Pairs and ties of a key of many lines, by length and place where these are known."""
+        most, rows = length.max(), np.arange(len(key))
+        if 0 < most < MOST:
+            slot, rows, own = slotted(key, rows, place, length, own, int(_bounds(np.array([most]), edits)[0]))
+            rows, own = rows.astype(np.int64), own.astype(bool)
+            key, line, length, place = slot, line[rows], length[rows], place[rows]
+        starts = np.flatnonzero(~_repeats(key))
+        sizes = np.diff(np.append(starts, len(key)))
+        few = sizes <= FEW
+        pairs = list(paired(line, own, length, place, starts[few], sizes[few]))
+        if few.all():
+            return pairs, []
+        order = np.flatnonzero(~few.repeat(sizes))
+        sizes = sizes[~few]
+        return pairs, [tied(line[order], own[order], np.cumsum(sizes) - sizes, sizes)]
+
+    def once(tie: bool, pairs: list) -> Iterator[pa.RecordBatch]:
+        if pairs:
+            a, b = (np.concatenate(side).view(np.int64) for side in zip(*pairs))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            at = np.flatnonzero(~_repeats(a, b))
+            ties = np.diff(np.append(at, len(a))) * tie
+            yield pa.RecordBatch.from_arrays([pa.array(ties), pa.array(a[at]), pa.array(b[at])], ["ties", "a", "b"])
+
+    def opened(entries: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = _number(entries, 0)
         order = np.argsort(key)
         again = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
@@ -559,41 +617,27 @@ def _candidates(edits: int | Growing):
         # Entries come by line, so a key of one line has the same first and last one.
         several = line[starts] != line[starts + sizes - 1]
         starts, sizes = starts[several], sizes[several]
-        pairs = []
-        for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
-            i, j = np.triu_indices(m, 1)
-            heads, step = starts[sizes == m], max(1, MADE // len(i))
-            for k in range(0, len(heads), step):
-                head = heads[k:k + step][:, None]
-                x, y = (head + i).ravel(), (head + j).ravel()
-                good = (line[x] != line[y]) & (own[x] | own[y])
-                x, y = x[good], y[good]
-                good = fitting(length, place, x, y)
-                x, y = line[x[good]], line[y[good]]
-                pairs.append((np.minimum(x, y), np.maximum(x, y)))
-        if pairs:
-            a, b = (np.concatenate(side).view(np.int64) for side in zip(*pairs))
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = ~_repeats(a, b)
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(a[new]), pa.array(b[new])], ["key", "a", "b"])
-        for n in np.flatnonzero(sizes > FEW).tolist():
-            here = slice(starts[n], starts[n] + sizes[n])
-            whole, most = key[here] | np.uint64(block << 40), length[here].max()
-            if 0 < most < MOST:
-                found = slotted(whole, np.arange(sizes[n]), place[here], length[here], own[here], int(_bounds(np.array([most]), edits)[0]))
-            else:
-                found = np.stack([whole, np.arange(sizes[n], dtype=np.uint64), own[here].astype(np.uint64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[0].view(np.int64)), pa.array(line[here][found[1].astype(np.int64)].view(np.int64)),
-                 pa.array(found[2].view(np.int64))], ["key", "a", "b"])
+        few = sizes <= FEW
+        pairs, ties, held = list(paired(line, own, length, place, starts[few], sizes[few])), [], 0
+        for start, size in zip(starts[~few].tolist(), sizes[~few].tolist()):
+            here = slice(start, start + size)
+            more, hubs = crowded(key[here], line[here], own[here], length[here], place[here])
+            pairs += more
+            ties += hubs
+            held += sum(len(a) for a, _ in more + hubs)
+            if held > MADE:
+                yield from once(False, pairs)
+                yield from once(True, ties)
+                pairs, ties, held = [], [], 0
+        yield from once(False, pairs)
+        yield from once(True, ties)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
         for batch in _then_none(batches):
             for row in zip(batch.column(0).to_pylist(), batch.column(1)) if batch is not None else [(None, None)]:
                 if held and row[0] != block:
-                    yield from opened(block, np.concatenate(held))
+                    yield from opened(np.concatenate(held))
                     held = []
                 if row[1] is not None:
                     block = row[0]
@@ -627,24 +671,13 @@ def _verified(edits: int | Growing):
 def _across(edits: int | Growing):
     """Near pairs of different classes within each run of equal g; rows come sorted by g.
 
-    Rows: g, side, h, class, key, all keys of the line, those it owns, line. A
-    pair is compared under the first key only that would bring it together, and
-    not at all if near pairs found before in the task connect its classes.
+    Rows: g, side, h, class, hub, all hubs of the line, line. A pair is compared
+    under the least hub of both only, and not at all if near pairs found before
+    in the task connect its classes.
     """
-    def pairs(rows: list) -> Iterator[tuple]:
-        two = any(r[1] for r in rows)
-        held = [(r[1], r[2], r[3], r[4], frozenset(r[5]), frozenset(r[6]), r[7]) for r in rows]
-        left = [r for r in held if not r[0]]
-        right = [r for r in held if r[0]] if two else left
-        for i, x in enumerate(left):
-            for y in (right if two else right[i + 1:]):
-                if x[2] != y[2] and abs(len(x[6]) - len(y[6])) <= allowed(min(len(x[6]), len(y[6])), edits) \
-                        and min(x[5] & y[4] | x[4] & y[5], default=None) == x[3]:
-                    yield (x, y) if x[1] < y[1] else (y, x)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         held: list = []
-        asked: list[tuple] = []
         # Classes that near pairs of this task connect.
         root: dict[int, int] = {}
 
@@ -653,28 +686,59 @@ def _across(edits: int | Growing):
                 x = root[x]
             return x
 
-        def near() -> pa.RecordBatch:
-            some = [(x, y) for x, y in asked if top(x[2]) != top(y[2])]
-            asked.clear()
-            found = []
-            for (x, y), ok in zip(some, within([x[6] for x, _ in some], [y[6] for _, y in some], edits)):
-                if ok:
-                    found.append((x[1], y[1]))
-                    root[top(x[2])] = top(y[2])
+        def compared(rows: list) -> Iterator[tuple[int, int]]:
+            rows.sort(key=lambda r: r[1])
+            first = sum(not r[1] for r in rows)
+            two = first < len(rows)
+            classes = np.array([top(r[3]) for r in rows], np.int64)
+            texts = [r[6] for r in rows]
+            counts, size = np.array([_counts(t) for t in texts], np.int32), np.array(list(map(len, texts)))
+            # Hubs below this one: who shares such a one is compared there.
+            below = {hub: k for k, hub in enumerate({hub for r in rows for hub in r[5] if hub < r[4]})}
+            has = np.zeros((len(rows), len(below)), np.float32)
+            for k, r in enumerate(rows):
+                has[k, [below[hub] for hub in r[5] if hub in below]] = 1
+            found: list[tuple] = []
+            for i in range(first):
+                others = np.arange(first if two else i + 1, len(rows))
+                others = others[classes[others] != classes[i]]
+                bound = _bounds(np.minimum(size[others], size[i]), edits)
+                here = (np.abs(size[others] - size[i]) <= bound) & (has[others] @ has[i] == 0)
+                others, bound = others[here], bound[here]
+                both = np.minimum(counts[others], counts[i])
+                most = np.maximum(size[others], size[i])
+                # As in `_alike`: what is not in common, of characters and of pairs of neighbours.
+                needed = np.maximum(most - both[:, :64].sum(axis=1), -(-(most - 1 - both[:, 64:].sum(axis=1)) // 2))
+                good = needed <= bound
+                found.append((np.full(good.sum(), i), others[good], bound[good], needed[good]))
+            if not found:
+                return
+            x, y, bound, needed = map(np.concatenate, zip(*found))
+            order = np.argsort(needed - bound, kind="stable")
+            x, y, bound, step = x[order], y[order], bound[order], 256
+            # The likeliest first: near ones save the others of their classes.
+            while len(x):
+                some = [(texts[i], texts[k]) if size[i] >= size[k] else (texts[k], texts[i]) for i, k in zip(x[:step].tolist(), y[:step].tolist())]
+                good = _measured(some, bound[:step].tolist(), list(range(len(some))))
+                for i, k in zip(x[:step][good].tolist(), y[:step][good].tolist()):
+                    if classes[i] != classes[k]:
+                        yield rows[i][2], rows[k][2]
+                        root[int(classes[k])] = int(classes[i])
+                        classes[classes == classes[k]] = classes[i]
+                x, y, bound, step = x[step:], y[step:], bound[step:], min(2 * step, ASKED)
+                left = classes[x] != classes[y]
+                x, y, bound = x[left], y[left], bound[left]
             if len(root) > CLASSES:
                 root.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in _then_none(batches):
-            for row in zip(*(batch.column(k).to_pylist() for k in range(8))) if batch is not None else [(None,)]:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))) if batch is not None else [(None,)]:
                 if held and held[0][0] != row[0]:
-                    for pair in pairs(held):
-                        asked.append(pair)
-                        if len(asked) >= ASKED:
-                            yield near()
+                    found += compared(held)
                     held = []
                 held.append(row)
-        yield near()
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
     return run
 
 
@@ -711,58 +775,68 @@ def near_lines(docs: DataFrame, rows: DataFrame, edits: int | Growing = EDITS, l
     packed = docs.select("text").mapInArrow(_packed(edits, least, blocks), "block int, entries binary")
     found = packed.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(edits), CANDIDATES)
     found = stored(found, "line-candidates")
-    pairs = stored(found.where("key is null").select("a", "b").distinct(), "line-pairs")
-    crowds = found.where("key is not null").select("key", F.col("a").alias("n"), F.col("b").alias("own"))
-    wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).unionByName(crowds.select("n"))
+    pairs = found.groupBy("a", "b").agg(F.sum("ties").alias("ties"), (F.min("ties") == 0).alias("plain"))
+    pairs = stored(pairs, "line-pairs")
+    forget(found)
+    asked, ties = pairs.where("plain").select("a", "b"), pairs.where("ties > 0").select(F.col("a").alias("hub"), F.col("b").alias("n"), "ties")
+    crowds = None
+    if not ties.isEmpty():
+        hubs = ties.groupBy("hub").agg(F.max("ties").alias("ties")).select("hub", F.col("hub").alias("n"), "ties")
+        crowds = stored(ties.unionByName(hubs), "line-crowds")
+        asked = asked.unionByName(_tied(crowds)).distinct()
+    wanted = asked.select(F.col("a").alias("n")).unionByName(asked.select(F.col("b").alias("n")))
     lines = _line_texts(docs, rows, wanted.distinct())
-    near = stored(_checked(pairs, lines, "n", edits), "line-links")
-    if crowds.isEmpty():
-        forget(found, pairs, lines)
-        return components(near)
-    members = stored(crowds.join(lines.select("n", "h"), "n").groupBy("key", "h").agg(F.max("own").alias("own")), "line-members")
-    forget(found, pairs)
-    return components(near.unionByName(_near_in_crowds(members, lines, near, edits)))
-
-
-def _checked(pairs: DataFrame, lines: DataFrame, on: str, edits: int | Growing) -> DataFrame:
-    """The pairs (a, b) of lines that are near, as hashes. pairs: a, b, values of the column `on`."""
-    side = lambda k, h, x: lines.select(F.col(on).alias(k), F.col("h").alias(h), F.col("line").alias(x))
+    near = stored(_checked(asked, lines, edits), "line-links")
+    if crowds is not None:
+        near = near.unionByName(_near_in_crowds(crowds, lines, near, edits))
+    near = components(near)
+    forget(pairs, lines)
+    return near
+
+
+def _tied(crowds: DataFrame) -> DataFrame:
+    """Pairs (a, b): the line of each hub that shares most keys of many lines, with every other one of the hub."""
+    keys = crowds.groupBy("n").agg(F.sum("ties").alias("keys"))
+    among = crowds.select("hub", "n").join(keys, "n")
+    middle = among.groupBy("hub").agg(F.max(F.struct("keys", "n")).alias("most")).select("hub", F.col("most.n").alias("a"))
+    pairs = crowds.select("hub", F.col("n").alias("b")).join(middle, "hub").where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _checked(pairs: DataFrame, lines: DataFrame, edits: int | Growing) -> DataFrame:
+    """The pairs (a, b) of lines that are near, as hashes. pairs: a, b, names of lines."""
+    side = lambda k, h, x: lines.select(F.col("n").alias(k), F.col("h").alias(h), F.col("line").alias(x))
     both = pairs.join(side("b", "hb", "y"), "b").join(side("a", "ha", "x"), "a")
     return both.select("ha", "hb", "x", "y").mapInArrow(_verified(edits), PAIRS)
 
 
-def _near_in_crowds(members: DataFrame, lines: DataFrame, near: DataFrame, edits: int | Growing) -> DataFrame:
-    """Further near pairs of lines that share a key with very many others.
+def _near_in_crowds(crowds: DataFrame, lines: DataFrame, near: DataFrame, edits: int | Growing) -> DataFrame:
+    """Further near pairs of lines that share a key with many others.
 
-    members: key, h, own. Each is compared with one line of the key, then those
-    that are still in different classes with each other, block by block.
+    crowds: hub, n (names); near: the near pairs found so far. Lines of a hub
+    that are still in different classes are compared with each other, block by block.
     """
-    hubs = members.groupBy("key").agg(
-        F.min(F.when(F.col("own") == 1, F.col("h"))).alias("hub"), F.min("h").alias("low"), F.max("h").alias("high"))
-    hubs = hubs.where("hub is not null and low < high").select("key", "hub")
-    first = members.join(hubs, "key").where("h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
-    tied = stored(_checked(first, lines, "h", edits), "line-tied")
-    found = near.unionByName(tied)
-
-    comp = stored(components(found), "line-comp")
-    placed = members.join(comp.withColumnRenamed("node", "h"), "h", "left").select(
-        "key", "h", "own", F.coalesce("root", "h").alias("comp"))
-    placed = stored(placed, "line-placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
-    split = stored(split.where("low != high and n > 2").select("key", F.ceil(F.col("n") / float(BLOCK)).alias("n_blocks")), "line-open")
-    still = stored(placed.join(split, "key"), "line-crowded")
-    every = still.groupBy("h").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own") == 1, F.col("key"))).alias("owned"))
+    comp = stored(components(near), "line-comp")
+    named = lines.join(comp.withColumnRenamed("node", "h"), "h", "left").select(
+        "n", "h", F.coalesce("root", "h").alias("comp"), F.length("line").alias("size"))
+    placed = stored(crowds.join(named, "n").select("hub", "h", "comp", "size"), "line-placed")
+    split = placed.groupBy("hub").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    n_blocks = F.ceil(F.greatest(F.col("n") / float(BLOCK), F.col("size") / float(CHARACTERS)))
+    split = stored(split.where("low != high").select("hub", n_blocks.alias("n_blocks")), "line-open")
+    still = stored(placed.join(split, "hub").select("hub", "h", "comp", "n_blocks"), "line-still")
+    every = still.groupBy("h").agg(F.collect_set("hub").alias("hubs"))
     rows = still.join(every.join(lines.select("h", "line"), "h"), "h")
     block = F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low != high, (F.col("block") == high).cast("int")).otherwise(0)
-    rows = rows.select(F.xxhash64("key", low, high).alias("g"), side.alias("side"), "h", "comp", "key", "keys", "owned", "line")
+    rows = rows.select(F.xxhash64("hub", low, high).alias("g"), side.alias("side"), "h", "comp", "hub", "hubs", "line")
     # As many tasks as there may be: comparing takes long, reading does not.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = rows.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_across(edits), PAIRS)
-    return tied.unionByName(stored(more.distinct(), "line-more"))
+    return stored(more.distinct(), "line-more")
 
 
 def _place() -> Column:

@@ -177,3 +177,33 @@ def test_a_task_holds_few_texts(monkeypatch):
     ids = pa.array(range(40), pa.int64())
     rows = list(lines._lines(30)(iter([pa.RecordBatch.from_arrays([ids, ids, batch.column(0)], ["doc_id", "text_key", "text"])])))
     assert max(r.num_rows for r in rows) <= 9 and sum(r.num_rows for r in rows) == 120
+
+
+def copies(rng, text, count, edits):
+    return [edited(rng, text, rng.randint(0, edits)) for _ in range(count)]
+
+
+def test_copies_of_one_line_make_few_rows():
+    """Keys that many lines share give each line once for a hub, not once for a key, and not all pairs."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ijkl") for _ in range(600))
+    some = sorted(set(copies(rng, text, 150, 25)))
+    batch = pa.RecordBatch.from_arrays([pa.array(some)], ["text"])
+    found = list(lines._candidates(lines.EDITS)(lines._packed(lines.EDITS, 30, 1)(iter([batch]))))
+    assert 140 < sum(b.num_rows for b in found) < 20 * len(some)
+    met = {x for b in found for k in (1, 2) for x in b.column(k).to_pylist()}
+    assert len(met) == len(some)
+
+
+def test_classes_within_many_copies(spark, monkeypatch):
+    """Lines of a hub that its middle does not tie are compared with each other, in several blocks."""
+    rng, rows = random.Random(12), []
+    base = ["".join(rng.choice("abcdefgh ijkl") for _ in range(n)) for n in (90, 240, 500)]
+    far = [edited(rng, t, len(t) // 15) for t in base]
+    for i in range(40):
+        some = [edited(rng, t, rng.randint(0, len(t) // 25)) for t in rng.sample(base + far, 3)]
+        rows.append((i, "\n".join(some)))
+    want = plain_lines(rows, lines.EDITS, 30)
+    monkeypatch.setattr(lines, "FEW", 3)
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    assert got(lines.repeated_lines(frame(spark, rows))) == want
