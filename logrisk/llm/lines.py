@@ -12,11 +12,13 @@ gram of the smallest hash as key, so near lines share one always, and the keys
 for each character stay as many however long a line is.
 
 Most keys belong to one line. The keys of a task are packed into blocks of
-bytes by their hash, with the hash of the line and roughly its length and the
-place, and a block of hashes is sorted as a whole; only keys of several lines
-leave it, as pairs of lines whose lengths and places allow the bound. Pairs of
-all keys are made distinct before any text is read, and texts are fetched only
-for lines in a pair. The edit distance is a band of the dynamic program, held
+bytes by their hash, with the hash of the line, roughly its length and the
+place, and marks of the characters on both sides of a gram: of a run that two
+lines share, what the gram leaves is half on one side of it at least, so one of
+the marks is the same. A block is sorted as a whole; only keys of several lines
+leave it, as pairs of lines whose lengths, places and marks allow the bound.
+Pairs of all keys are made distinct before any text is read, and texts are
+fetched only for lines in a pair, whose hashes a bit table of fixed size tells. The edit distance is a band of the dynamic program, held
 as bits of a word that slides down the diagonal, after counts of characters and
 of pairs of characters have ruled out what is too far.
 
@@ -46,7 +48,7 @@ from pyspark.sql.types import StringType
 
 from logrisk.llm.common import alone, forget, same, stored
 from logrisk.llm.graph import components
-from logrisk.llm.minhash import _mixed
+from logrisk.llm.minhash import BITS, _mixed, bit_table
 
 
 @dataclass(frozen=True)
@@ -71,8 +73,8 @@ CELLS = 4_000_000
 ASKED, CLASSES = 4_000, 500_000
 #: Characters whose keys are made together.
 PORTION = 200_000
-#: Edits whose band is held in a word of 64 bits.
-WIDEST = 30
+#: Edits whose band is held in a word of 64 bits, and columns of it that are compared at once.
+WIDEST, COLUMNS = 30, 32
 #: Characters of a gram.
 GRAM = 16
 #: Keys that a task packs together, and characters of the text for a block of keys, or of its lines for one of a hub.
@@ -81,10 +83,12 @@ PACKED, CHARACTERS = 1 << 20, 4_000_000
 TEXTS = 512
 #: Lines of a key whose pairs are all made; more are tied to a hub.
 FEW = 16
-#: Pairs that are made together.
-MADE = 1 << 20
+#: Pairs that are made together, and entries of keys of many lines.
+MADE, CROWDED = 1 << 20, 1 << 16
 #: Bits of the hash of a line in a packed key, its bytes, and the greatest length or place in it.
-NAME, WIDTH, MOST = 39, 14, 65_535
+NAME, WIDTH, MOST = 39, 16, 65_535
+#: Bits of a mark in a packed key: 0 if a line has too few characters on that side of a gram.
+MARK = 12
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -182,28 +186,41 @@ class _Grams:
         gram = min(GRAM, -(-run // 2))
         return gram, run - gram + 1
 
+    def side(self, k: int) -> int:
+        """Characters that lines which share a run also share to the left or to the right of its gram."""
+        gram, window = self.sizes(k)
+        return min(gram, window // 2)
+
 
 _STEP = 0x9E3779B97F4A7C15
 
 
-def _gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the `gram` numbers from each place on, by doubling; the last places are cut."""
+def _gram_hashes(codes: np.ndarray, gram: int) -> list[tuple[int, np.ndarray]]:
+    """Hashes of the 1, 2, 4 and so on up to `gram` numbers from each place on, by doubling; the last places are cut."""
     have, now = 1, (codes + np.uint64(1)) * np.uint64(_STEP)
     now ^= now >> np.uint64(31)
+    out = [(have, now)]
     while have < gram:
         more = min(have, gram - have)
         # The second part may overlap the first one; both together are the gram.
         now = now[:-more] * np.uint64((2 * have + 1) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) + now[more:]
         have += more
-    return now
+        out.append((have, now))
+    return out
+
 
+def stretch_minima(texts: list[str], gram: int, window: int, side: int = 0) -> tuple[np.ndarray, ...]:
+    """(row, hash, place, marks left and right): of every `window` grams on end those of the least hash, each once.
 
-def stretch_minima(texts: list[str], gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, place): of every `window` grams on end those of the least hash, each once."""
+    A mark tells about the `side` characters next to the gram and is 0 if the
+    text has fewer there; without `side` all marks are 1.
+    """
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(codes) < gram + window - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = _gram_hashes(codes, gram)
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), none, np.zeros(0, np.int64), none, none
+    doubled = _gram_hashes(codes, gram)
+    hashes = doubled[-1][1]
     order = ((hashes * np.uint64(_STEP)) >> np.uint64(32)).astype(np.uint32)
     least, have = order, 1
     while have < window:
@@ -224,27 +241,41 @@ def stretch_minima(texts: list[str], gram: int, window: int) -> tuple[np.ndarray
         most = np.maximum(most[:-more], most[more:])
         have += more
     order += order < np.uint32(0xFFFFFFFF)
-    place = np.flatnonzero(most == order)
-    row = np.searchsorted(ends, place, "right")
-    return row, _mixed(hashes[place]), place - (ends - sizes)[row]
+    at = np.flatnonzero(most == order)
+    row = np.searchsorted(ends, at, "right")
+    place = at - (ends - sizes)[row]
+    return row, _mixed(hashes[at]), place, *_marks(doubled, at, place, sizes[row], gram, side)
+
 
+def _marks(doubled: list, at: np.ndarray, place: np.ndarray, size: np.ndarray, gram: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the characters left and right of the grams. doubled: as of `_gram_hashes`; at, place: among all texts and in its own."""
+    if not side:
+        return np.ones(len(at), np.uint64), np.ones(len(at), np.uint64)
+    half, hashes = [x for x in doubled if x[0] <= side][-1]
 
-def slotted(key: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, own: np.ndarray, reach: int):
+    def mark(start: np.ndarray, there: np.ndarray) -> np.ndarray:
+        start = np.where(there, start, 0)
+        value = _mixed(hashes[start] * np.uint64(_STEP) + hashes[start + (side - half)]) >> np.uint64(64 - MARK)
+        return np.maximum(value, np.uint64(1)) * there
+
+    return mark(at - side, place >= side), mark(at + gram, place + gram + side <= size)
+
+
+def slotted(key: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray, own: np.ndarray, reach: np.ndarray):
     """Keys that also tell about length and place: (key, row, is index), each once.
 
     Lines of a pair differ by `reach` at most in both. A line is indexed where
     it is itself; it looks below for its length, and to both sides for the place.
     """
-    width, out = 8 * reach, []
-    for shorter in (0, reach):
-        for shift in (0, -reach, reach):
-            n, at = (size - shorter) // width, (place + shift) // width
-            moved = (n != size // width) | (at != place // width)
-            some = np.flatnonzero((n != size // width if shorter else np.full(len(n), True))
-                                  & (at != place // width if shift else np.full(len(n), True)))
+    width, out = 4 * reach, []
+    own_n, own_at = size // width, place // width
+    for shorter in (0, 1):
+        for side in (0, -1, 1):
+            n, at = (size - shorter * reach) // width, (place + side * reach) // width
+            some = np.flatnonzero(((n != own_n) | (not shorter)) & ((at != own_at) | (not side)))
             slot = _mixed((n[some] * (1 << 32) + at[some]).view(np.uint64) + np.uint64(_STEP))
-            out.append(np.stack([_mixed(key[some] ^ slot), row[some].astype(np.uint64), (own & ~moved)[some].astype(np.uint64)]))
-    return np.unique(np.concatenate(out, axis=1), axis=1)
+            out.append((_mixed(key[some] ^ slot), row[some], own[some] & (not shorter and not side)))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 # ------------------------------------------------------------------ edit distance
@@ -262,16 +293,19 @@ def _measured(pairs: list[tuple[str, str]], bounds: list[int], some: list[int])
     order = sorted(some, key=lambda i: (bounds[i], len(pairs[i][0])))
     start = 0
     while start < len(order):
-        stop, bound = start + 1, bounds[order[start]]
-        while bound <= WIDEST and stop < len(order) and bounds[order[stop]] == bound and \
-                (stop + 1 - start) * (len(pairs[order[stop]][0]) + 2 * bound) <= CELLS:
+        stop, bound, longest = start + 1, bounds[order[start]], len(pairs[order[start]][0])
+        # Bounds that are little wider share a band.
+        while stop < len(order) and bounds[order[stop]] <= min(bound + 2, WIDEST):
+            longest = max(longest, len(pairs[order[stop]][0]))
+            if (stop + 1 - start) * (longest + 2 * WIDEST) > CELLS:
+                break
             stop += 1
         some = order[start:stop]
         # A step of the band over few pairs costs more than the steps of each.
-        if stop - start > 2 * (2 * bound + 16):
-            good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], bound)
+        if stop - start > 12:
+            good[some] = _banded([pairs[i][0] for i in some], [pairs[i][1] for i in some], np.array([bounds[i] for i in some]))
         else:
-            good[some] = [_wide(*pairs[i], bound) for i in some]
+            good[some] = [_wide(*pairs[i], bounds[i]) for i in some]
         start = stop
     return good
 
@@ -335,46 +369,49 @@ def _codes(texts: list[str], left: int, width: int, fill: int) -> np.ndarray:
     return out
 
 
-def _banded(long: list[str], short: list[str], edits: int) -> np.ndarray:
-    """The band of 2 * edits + 1 rows around the diagonal, one column at a time.
+def _banded(long: list[str], short: list[str], edits: np.ndarray) -> np.ndarray:
+    """The band of 2 * bound + 1 rows around the diagonal, one column at a time; the bound is the greatest of `edits`.
 
-    Bit k of a word stands for row j - edits + k in column j. What lies outside
+    Bit k of a word stands for row j - bound + k in column j. What lies outside
     of the band counts as one more than its neighbour inside. The result is
     followed on the diagonal that ends in the last cell, where it never falls.
     """
-    band, width = 2 * edits + 1, max(map(len, long)) + 1
-    a = _codes(long, edits, width + 2 * edits, 0xFFFFFFFF).T.copy()
-    b = _codes(short, 0, width, 0xFFFFFFFE).T.copy()
+    bound, width = int(edits.max()), max(map(len, long)) + 1
+    band, word = 2 * bound + 1, np.uint32 if bound < 16 else np.uint64
+    a = _codes(long, bound, width + COLUMNS + 2 * bound, 0xFFFFFFFF).T.copy()
+    b = _codes(short, 0, width + COLUMNS, 0xFFFFFFFE).T.copy()
     size = np.array([len(t) for t in short])
     lead = np.array([len(x) for x in long]) - size
-    one, full, top = np.uint64(1), np.uint64((1 << band) - 1), np.uint64(1 << (band - 1))
+    one, full, top = word(1), word((1 << band) - 1), word(1 << (band - 1))
     live = np.arange(len(long))
-    score, where = lead.copy(), (lead + edits).astype(np.uint64)
-    up = np.full(len(long), ((1 << band) - 1) & ~((1 << (edits + 1)) - 1), np.uint64)
-    down = np.zeros(len(long), np.uint64)
+    score, where = lead.copy(), (lead + bound).astype(word)
+    up = np.full(len(long), ((1 << band) - 1) & ~((1 << (bound + 1)) - 1), word)
+    down = np.zeros(len(long), word)
     done = np.zeros(len(long), bool)
-    for j in range(width):
-        ended = size[live] <= j
-        if ended.any() or not j % 16:
-            done[live[ended & (score <= edits)]] = True
-            keep = ~ended & (score <= edits)
+    for first in range(0, width, COLUMNS):
+        keep = (size[live] >= first) & (score <= edits[live])
+        if not keep.all():
             live, score, where, up, down = live[keep], score[keep], where[keep], up[keep], down[keep]
             a, b = a[:, keep], b[:, keep]
             if not len(live):
                 break
-        equal = np.zeros(len(live), np.uint64)
+        # Row j - bound + k (from 0) stands in column j + k of the shifted codes.
+        every, other = np.zeros((COLUMNS, len(live)), word), b[first:first + COLUMNS]
         for k in range(band):
-            # Row j - edits + k (from 0) stands in column j + k of the shifted codes.
-            equal |= (a[j + k] == b[j]).astype(np.uint64) << np.uint64(k)
-        up = (up >> one) | top
-        down = down >> one
-        diagonal = (((equal & up) + up) ^ up) | equal | down
-        right_up = down | (~(diagonal | up) & full)
-        right_down = diagonal & up
-        score = score + 1 - ((diagonal >> where) & one).astype(np.int64)
-        right_up = ((right_up << one) | one) & full
-        up = ((right_down << one) | ~(diagonal | right_up)) & full
-        down = diagonal & right_up & full
+            every |= (a[first + k:first + k + COLUMNS] == other).astype(word) << word(k)
+        ends = set(size[live].tolist())
+        for j, equal in enumerate(every, first):
+            if j in ends:
+                done[live[(size[live] == j) & (score <= edits[live])]] = True
+            up = (up >> one) | top
+            down = down >> one
+            diagonal = (((equal & up) + up) ^ up) | equal | down
+            right_up = down | (~(diagonal | up) & full)
+            right_down = diagonal & up
+            score = score + 1 - ((diagonal >> where) & one).astype(np.int64)
+            right_up = ((right_up << one) | one) & full
+            up = ((right_down << one) | ~(diagonal | right_up)) & full
+            down = diagonal & right_up & full
     return done
 
 
@@ -396,14 +433,14 @@ LINES = "doc_id long, text_key long, pos int, h long, g long"
 
 
 def _lines(least: int):
-    """A row for each line that counts, and one with pos -n for a document of n lines."""
+    """A row for each line that counts, and one with pos -n and h the characters for a document of n lines."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
         for whole in batches:
             for start in range(0, whole.num_rows, TEXTS):
                 batch, rows = whole.slice(start, TEXTS), []
                 for i, text in enumerate(batch.column(2).to_pylist()):
-                    rows.append((i, -1 - (text or "").count("\n"), None, None))
+                    rows.append((i, -1 - (text or "").count("\n"), len(text or ""), None))
                     rows += [(i, pos, *_hashes(line)) for pos, line in _eligible(text, least)]
                 at, pos, h, g = zip(*rows)
                 at = pa.array(at, pa.int64())
@@ -431,10 +468,10 @@ def _new_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[t
 
 
 def _entries(edits: int | Growing, least: int):
-    """(key, line, own, length, place) of some lines, as arrays by kind.
+    """(key, line, own, length, place, marks left and right) of some lines, as arrays by kind.
 
     Length and place are cut at MOST; both are 0 for segments, whose keys tell
-    them already.
+    them already, and whose only mark is always the same.
     """
     grams, fewest = _Grams(edits), allowed(0, edits)
     places = _Places(fewest, least, grams.first)
@@ -448,8 +485,8 @@ def _entries(edits: int | Growing, least: int):
                 keys += [digest(line[x:y].encode(), n * 64 + k) for k, n, x, y, _ in cuts]
                 rows += [i] * len(cuts)
                 index += [c[4] for c in cuts]
-        zero = np.zeros(len(keys), np.uint16)
-        return np.array(keys, np.uint64), np.array(rows, np.int64), np.array(index, bool), zero, zero
+        zero = np.zeros(len(keys), np.uint64)
+        return np.array(keys, np.uint64), np.array(rows, np.int64), np.array(index, bool), zero, zero, zero + np.uint64(1), zero
 
     def long(lines: list[tuple[int, str]]):
         by: dict[int, list[int]] = {}
@@ -459,12 +496,13 @@ def _entries(edits: int | Growing, least: int):
         for k, at in by.items():
             size = np.array([len(lines[i][1]) for i in at])
             own = np.array([grams.ranges(n)[-1] == k for n in size.tolist()])
-            length = np.minimum(size, MOST).astype(np.uint16)
+            length, at = np.minimum(size, MOST).astype(np.uint64), np.array(at)
             part = np.cumsum(size) // PORTION
             for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
-                row, value, place = stretch_minima([lines[at[i]][1] for i in some], *grams.sizes(k))
+                row, value, place, left, right = stretch_minima([lines[i][1] for i in at[some].tolist()], *grams.sizes(k), grams.side(k))
                 row = some[row]
-                yield _mixed(value + np.uint64(k)), np.array(at)[row], own[row], length[row], np.minimum(place, MOST).astype(np.uint16)
+                place = np.minimum(place, MOST).astype(np.uint64)
+                yield _mixed(value + np.uint64(k)), at[row], own[row], length[row], place, left, right
 
     def made(lines: list[tuple[int, str]]) -> Iterator[tuple]:
         yield short(lines)
@@ -474,28 +512,26 @@ def _entries(edits: int | Growing, least: int):
 
 
 def _packed(edits: int | Growing, least: int, blocks: int):
-    """Keys of the lines as (block, bytes): 5 of the key, 5 of the line with a bit for own, two each of length and place."""
+    """Keys of the lines as (block, bytes): 32 bits of the key, 16 each of length and place, those of the line, one for own, both marks."""
     made, names = _entries(edits, least), np.uint64((1 << NAME) - 1)
+    small = np.uint16 if blocks <= 1 << 16 else np.int32
 
-    def entries(key, name, length, place) -> tuple[np.ndarray, np.ndarray]:
+    def entries(key, name, own, length, place, left, right) -> tuple[np.ndarray, np.ndarray]:
         """Block and bytes of each key; only these are held."""
-        out = np.empty((len(key), WIDTH), np.uint8)
-        out[:, :5] = key.view(np.uint8).reshape(-1, 8)[:, :5]
-        out[:, 5:10] = name.view(np.uint8).reshape(-1, 8)[:, :5]
-        out[:, 10:12] = length.view(np.uint8).reshape(-1, 2)
-        out[:, 12:] = place.view(np.uint8).reshape(-1, 2)
-        return (((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)).astype(np.int32), out
+        out = np.empty((len(key), 2), "<u8")
+        out[:, 0] = key << np.uint64(32) | length << np.uint64(16) | place
+        out[:, 1] = (name << np.uint64(1) | own) << np.uint64(2 * MARK) | left << np.uint64(MARK) | right
+        return (((key >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)).astype(small), out
 
     def flushed(held: list) -> pa.RecordBatch:
         block, out = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.argsort(block, kind="stable").astype(np.int32)
-        out = out.view(f"V{WIDTH}")[:, 0][order].view(np.uint8)
-        block = block[order]
+        out, block = out.take(order, axis=0), block[order]
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         ends = np.append(starts, len(block)).astype(np.int32) * WIDTH
         packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
-        return pa.RecordBatch.from_arrays([pa.array(block[starts]), packed], ["block", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), packed], ["block", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()
@@ -504,9 +540,9 @@ def _packed(edits: int | Growing, least: int, blocks: int):
             for start in range(0, len(fresh), 4096):
                 lines = fresh[start:start + 4096]
                 hashes = np.array([h for h, _ in lines], np.int64).view(np.uint64) & names
-                for key, row, own, length, place in made(lines):
+                for key, row, *rest in made(lines):
                     if len(key):
-                        held.append(entries(key, hashes[row] << np.uint64(1) | own, length, place))
+                        held.append(entries(key, hashes[row], *rest))
                         count += len(key)
                 if count >= PACKED:
                     yield flushed(held)
@@ -516,13 +552,6 @@ def _packed(edits: int | Growing, least: int, blocks: int):
     return run
 
 
-def _number(entries: np.ndarray, at: int) -> np.ndarray:
-    """Five bytes of each entry as a number."""
-    out = np.zeros((len(entries), 8), np.uint8)
-    out[:, :5] = entries[:, at:at + 5]
-    return out.view(np.uint64)[:, 0]
-
-
 CANDIDATES = "ties long, a long, b long"
 
 
@@ -539,6 +568,12 @@ def _repeats(*columns: np.ndarray) -> np.ndarray:
     return same_row
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all rows of some runs."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + (starts - before).repeat(sizes)
+
+
 def _bounds(length: np.ndarray, edits: int | Growing) -> np.ndarray:
     return np.maximum(edits.least, length // edits.per) if isinstance(edits, Growing) else np.full(len(length), edits)
 
@@ -551,7 +586,7 @@ def _candidates(edits: int | Growing):
         near = (np.abs(length[x] - length[y]) <= bound) & (np.abs(place[x] - place[y]) <= bound)
         return near | (length[x] == 0) | (length[x] == MOST) | (length[y] == MOST)
 
-    def paired(line, own, length, place, starts, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def paired(line, own, length, place, marks, starts, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs that fit within each run of entries."""
         for m in np.unique(sizes[sizes > 1]).tolist():
             i, j = np.triu_indices(m, 1)
@@ -561,6 +596,10 @@ def _candidates(edits: int | Growing):
                 x, y = (head + i).ravel(), (head + j).ravel()
                 good = (line[x] != line[y]) & (own[x] | own[y])
                 x, y = x[good], y[good]
+                good = np.zeros(len(x), bool)
+                for mark in marks:
+                    good |= (mark[x] == mark[y]) & (mark[x] > 0)
+                x, y = x[good], y[good]
                 good = fitting(length, place, x, y)
                 x, y = line[x[good]], line[y[good]]
                 yield np.minimum(x, y), np.maximum(x, y)
@@ -571,64 +610,76 @@ def _candidates(edits: int | Growing):
         other = (hub != line) & (hub != NOBODY)
         return hub[other], line[other]
 
-    def crowded(key, line, own, length, place) -> tuple[list, list]:
-        """Pairs and ties of a key of many lines, by length and place where these are known."""
-        most, rows = length.max(), np.arange(len(key))
-        if 0 < most < MOST:
-            slot, rows, own = slotted(key, rows, place, length, own, int(_bounds(np.array([most]), edits)[0]))
-            rows, own = rows.astype(np.int64), own.astype(bool)
-            key, line, length, place = slot, line[rows], length[rows], place[rows]
-        starts = np.flatnonzero(~_repeats(key))
-        sizes = np.diff(np.append(starts, len(key)))
+    def crowded(line, own, length, place, mark, sizes) -> tuple[list, list]:
+        """Pairs and ties of keys with a mark of many lines, by length and place where these are known."""
+        most = np.maximum.reduceat(length, np.cumsum(sizes) - sizes)
+        known, reach = ((0 < most) & (most < MOST)).repeat(sizes), _bounds(most, edits).repeat(sizes)
+        key, rows = _mixed(np.arange(1, len(sizes) + 1).astype(np.uint64)).repeat(sizes), np.arange(len(line))
+        slots = slotted(*(x[known] for x in (key, rows, place, length, own, reach)))
+        key, rows, own = (np.concatenate([x, y[~known]]) for x, y in zip(slots, (key, rows, own)))
+        order = np.argsort(key, kind="stable")
+        key, rows, own = key[order], rows[order], own[order]
+        line, length, place, mark = line[rows], length[rows], place[rows], mark[rows]
+        starts, sizes = several(key, line)
         few = sizes <= FEW
-        pairs = list(paired(line, own, length, place, starts[few], sizes[few]))
-        if few.all():
+        pairs = list(paired(line, own, length, place, [mark], starts[few], sizes[few]))
+        order, sizes = _places(starts[~few], sizes[~few]), sizes[~few]
+        if not len(order):
             return pairs, []
-        order = np.flatnonzero(~few.repeat(sizes))
-        sizes = sizes[~few]
         return pairs, [tied(line[order], own[order], np.cumsum(sizes) - sizes, sizes)]
 
+    def several(key, line) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the runs of equal keys that have more than one line."""
+        starts = np.flatnonzero(~_repeats(key))
+        if not len(starts):
+            return starts, starts
+        sizes = np.diff(np.append(starts, len(key)))
+        more = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
+        return starts[more], sizes[more]
+
     def once(tie: bool, pairs: list) -> Iterator[pa.RecordBatch]:
         if pairs:
             a, b = (np.concatenate(side).view(np.int64) for side in zip(*pairs))
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             at = np.flatnonzero(~_repeats(a, b))
-            ties = np.diff(np.append(at, len(a))) * tie
-            yield pa.RecordBatch.from_arrays([pa.array(ties), pa.array(a[at]), pa.array(b[at])], ["ties", "a", "b"])
+            ties = pa.array(np.diff(np.append(at, len(a)))) if tie else pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([ties, pa.array(a[at]), pa.array(b[at])], ["ties", "a", "b"])
 
     def opened(entries: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key = _number(entries, 0)
-        order = np.argsort(key)
-        again = np.concatenate([[False], key[order[1:]] == key[order[:-1]], [False]])
-        entries = entries[order[again[:-1] | again[1:]]]
-        if not len(entries):
-            return
-        key, name = _number(entries, 0), _number(entries, 5)
-        length, place = (np.ascontiguousarray(entries[:, k:k + 2]).view(np.uint16)[:, 0].astype(np.int64) for k in (10, 12))
-        order = np.lexsort((place, name, key))
-        key, name, length, place = key[order], name[order], length[order], place[order]
+        # Most keys come once; a count by their last bits tells of nearly all of these.
+        last = (entries[:, 0] >> np.uint64(32) & np.uint64((1 << min(22, len(entries).bit_length() + 1)) - 1)).astype(np.int64)
+        entries = entries[np.bincount(last)[last] > 1]
+        entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
         # Lines that several tasks met give equal entries.
-        new = ~_repeats(key, name, place)
-        key, name, length, place = key[new], name[new], length[new], place[new]
-        line, own = name >> np.uint64(1), (name & np.uint64(1)).astype(bool)
-        starts = np.flatnonzero(~_repeats(key))
-        sizes = np.diff(np.append(starts, len(key)))
-        # Entries come by line, so a key of one line has the same first and last one.
-        several = line[starts] != line[starts + sizes - 1]
-        starts, sizes = starts[several], sizes[several]
+        entries = entries[~_repeats(entries[:, 0], entries[:, 1])]
+        key, line = entries[:, 0] >> np.uint64(32), entries[:, 1] >> np.uint64(2 * MARK + 1)
+        own = (entries[:, 1] >> np.uint64(2 * MARK) & np.uint64(1)).astype(bool)
+        length, place = ((entries[:, 0] >> np.uint64(k) & np.uint64(MOST)).astype(np.int64) for k in (16, 0))
+        marks = [(entries[:, 1] >> np.uint64(k) & np.uint64((1 << MARK) - 1)).astype(np.int64) for k in (MARK, 0)]
+        starts, sizes = several(key, line)
         few = sizes <= FEW
-        pairs, ties, held = list(paired(line, own, length, place, starts[few], sizes[few])), [], 0
-        for start, size in zip(starts[~few].tolist(), sizes[~few].tolist()):
-            here = slice(start, start + size)
-            more, hubs = crowded(key[here], line[here], own[here], length[here], place[here])
-            pairs += more
-            ties += hubs
-            held += sum(len(a) for a, _ in more + hubs)
-            if held > MADE:
-                yield from once(False, pairs)
-                yield from once(True, ties)
-                pairs, ties, held = [], [], 0
+        pairs, ties, held = list(paired(line, own, length, place, marks, starts[few], sizes[few])), [], 0
+        # Keys of many lines are told apart by each mark.
+        crowd = _places(starts[~few], sizes[~few])
+        for mark in marks:
+            some = crowd[mark[crowd] > 0]
+            some = some[np.lexsort((mark[some], key[some]))]
+            starts, sizes = several(key[some] << np.uint64(MARK) | mark[some].view(np.uint64), line[some])
+            few = sizes <= FEW
+            rest = [x[some] for x in (line, own, length, place)]
+            pairs += paired(*rest, [mark[some]], starts[few], sizes[few])
+            starts, sizes = starts[~few], sizes[~few]
+            for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(np.cumsum(sizes) // CROWDED)) + 1) if len(starts) else []:
+                here = _places(starts[part], sizes[part])
+                more, hubs = crowded(*(x[here] for x in rest), mark[some[here]], sizes[part])
+                pairs += more
+                ties += hubs
+                held += sum(len(a) for a, _ in more + hubs)
+                if held > MADE:
+                    yield from once(False, pairs)
+                    yield from once(True, ties)
+                    pairs, ties, held = [], [], 0
         yield from once(False, pairs)
         yield from once(True, ties)
 
@@ -641,20 +692,33 @@ def _candidates(edits: int | Growing):
                     held = []
                 if row[1] is not None:
                     block = row[0]
-                    held.append(np.frombuffer(row[1].as_buffer(), np.uint8).reshape(-1, WIDTH))
+                    held.append(np.frombuffer(row[1].as_buffer(), "<u8").reshape(-1, 2))
     return run
 
 
-def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, line) of the lines whose numbers are asked for. Columns: text, numbers."""
-    for batch in batches:
-        hashes, found = [], []
-        for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            every = text.split("\n")
-            for p in places:
-                found.append(every[p].strip(BLANK))
-                hashes.append(_hashes(found[-1])[0])
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.string())], ["h", "line"])
+def _bit_set(table: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of some hashes are set in a table of `_bits_of`."""
+    bit = hashes & (BITS - 1)
+    return (np.frombuffer(table, np.uint8)[bit >> 3] >> (bit & 7) & 1).astype(bool)
+
+
+def _some_lines(wanted, least: int):
+    """(h, line) of the lines whose bit is set, most of them once; wanted: the broadcast bit table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
+        for lines in _new_lines(batches, least):
+            hashes = np.array([h for h, _ in lines], np.int64)
+            here = np.flatnonzero(_bit_set(wanted.value, hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[here]), pa.array([lines[i][1] for i in here.tolist()], pa.string())], ["h", "line"])
+    return run
+
+
+def _rows_with(wanted, bit: bool):
+    """The rows of lines whose bit is set, or of those whose bit is not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_bit_set(wanted.value, batch.column(3).to_numpy()) == bit))
+    return run
 
 
 PAIRS = "a long, b long"
@@ -753,29 +817,33 @@ def _name(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << NAME) - 1).cast("long"))
 
 
-def _line_texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """n, h, line of the lines whose names are wanted, from the first place of each."""
-    places = rows.where("pos >= 0").withColumn("n", _name(F.col("h"))).join(wanted, "n", "left_semi").groupBy("h").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")).alias("p"))
-    places = places.groupBy("p.doc_id", "p.text_key").agg(F.collect_list("p.pos").alias("places"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    asked = keyed.alias("d").join(stored(places, "line-places").alias("p"), same("d", "p", "doc_id", "text_key"))
-    texts = asked.select("d.text", "p.places").mapInArrow(_some_lines, "h long, line string")
-    return stored(texts.groupBy("h").agg(F.first("line").alias("line")).withColumn("n", _name(F.col("h"))), "line-texts")
+def _bits_of(hashes: DataFrame, name: str):
+    """The bit table of some hashes of lines, or of their names, sent to all tasks: it proves that a line is not among them."""
+    return hashes.sparkSession.sparkContext.broadcast(bit_table(hashes, F.col(name).bitwiseAND(F.lit(BITS - 1).cast("long")).cast("int")))
+
+
+def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """n, h, line of the lines whose names are wanted; a few others may be among them.
+
+    Documents stay where they are: the lines of each whose bit is set are sent.
+    """
+    texts = docs.select("text").mapInArrow(_some_lines(_bits_of(wanted, "n"), least), "h long, line string")
+    # A task sends a line once mostly, so nothing is gained by sorting its lines before they are dealt.
+    texts = texts.repartition("h").groupBy("h").agg(F.first("line").alias("line"))
+    return stored(texts.withColumn("n", _name(F.col("h"))), "line-texts")
 
 
-def near_lines(docs: DataFrame, rows: DataFrame, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
+def near_lines(docs: DataFrame, characters: int, edits: int | Growing = EDITS, least: int = LEAST) -> DataFrame:
     """Classes of different lines that are near: node, root (hashes of lines).
 
-    docs: doc_id, text; rows: their lines as of `repeated_lines`. The number of
-    blocks of keys follows the characters of the texts.
+    docs: text (further columns are not read). The number of blocks of keys
+    follows the characters of the texts.
     """
-    characters = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = min(1 << 24, max(64, -(-characters // CHARACTERS)))
     packed = docs.select("text").mapInArrow(_packed(edits, least, blocks), "block int, entries binary")
     found = packed.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(edits), CANDIDATES)
     found = stored(found, "line-candidates")
-    pairs = found.groupBy("a", "b").agg(F.sum("ties").alias("ties"), (F.min("ties") == 0).alias("plain"))
+    pairs = found.groupBy("a", "b").agg(F.sum("ties").alias("ties"), F.max(F.isnull("ties")).alias("plain"))
     pairs = stored(pairs, "line-pairs")
     forget(found)
     asked, ties = pairs.where("plain").select("a", "b"), pairs.where("ties > 0").select(F.col("a").alias("hub"), F.col("b").alias("n"), "ties")
@@ -784,13 +852,17 @@ def near_lines(docs: DataFrame, rows: DataFrame, edits: int | Growing = EDITS, l
         hubs = ties.groupBy("hub").agg(F.max("ties").alias("ties")).select("hub", F.col("hub").alias("n"), "ties")
         crowds = stored(ties.unionByName(hubs), "line-crowds")
         asked = asked.unionByName(_tied(crowds)).distinct()
+    asked = stored(asked, "line-asked")
+    forget(pairs)
     wanted = asked.select(F.col("a").alias("n")).unionByName(asked.select(F.col("b").alias("n")))
-    lines = _line_texts(docs, rows, wanted.distinct())
-    near = stored(_checked(asked, lines, edits), "line-links")
+    lines = _line_texts(docs, wanted, least)
+    near = components(stored(_checked(asked, lines, edits), "line-links"))
+    forget(asked)
     if crowds is not None:
-        near = near.unionByName(_near_in_crowds(crowds, lines, near, edits))
-    near = components(near)
-    forget(pairs, lines)
+        near = stored(near, "line-comp")
+        more = _near_in_crowds(crowds, lines, near, edits)
+        near = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    forget(lines)
     return near
 
 
@@ -810,13 +882,12 @@ def _checked(pairs: DataFrame, lines: DataFrame, edits: int | Growing) -> DataFr
     return both.select("ha", "hb", "x", "y").mapInArrow(_verified(edits), PAIRS)
 
 
-def _near_in_crowds(crowds: DataFrame, lines: DataFrame, near: DataFrame, edits: int | Growing) -> DataFrame:
+def _near_in_crowds(crowds: DataFrame, lines: DataFrame, comp: DataFrame, edits: int | Growing) -> DataFrame:
     """Further near pairs of lines that share a key with many others.
 
-    crowds: hub, n (names); near: the near pairs found so far. Lines of a hub
+    crowds: hub, n (names); comp: the classes found so far (node, root). Lines of a hub
     that are still in different classes are compared with each other, block by block.
     """
-    comp = stored(components(near), "line-comp")
     named = lines.join(comp.withColumnRenamed("node", "h"), "h", "left").select(
         "n", "h", F.coalesce("root", "h").alias("comp"), F.length("line").alias("size"))
     placed = stored(crowds.join(named, "n").select("hub", "h", "comp", "size"), "line-placed")
@@ -826,7 +897,7 @@ def _near_in_crowds(crowds: DataFrame, lines: DataFrame, near: DataFrame, edits:
     split = stored(split.where("low != high").select("hub", n_blocks.alias("n_blocks")), "line-open")
     still = stored(placed.join(split, "hub").select("hub", "h", "comp", "n_blocks"), "line-still")
     every = still.groupBy("h").agg(F.collect_set("hub").alias("hubs"))
-    rows = still.join(every.join(lines.select("h", "line"), "h"), "h")
+    rows = still.join(every, "h").join(lines.select("h", "line"), "h")
     block = F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
@@ -859,11 +930,15 @@ def repeated_lines(docs: DataFrame, edits: int | Growing = EDITS, least: int = L
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_lines(least), LINES), "lines")
-    near = stored(near_lines(docs, rows, edits, least), "line-classes")
-    named = rows.where("pos >= 0").join(near.withColumnRenamed("node", "h"), "h", "left").select(
-        "doc_id", "text_key", "pos", F.coalesce("root", "h").alias("c"),
-        F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g"), _place().alias("place"))
-    named = stored(named, "lines-named")
+    characters = rows.where("pos < 0").agg(F.sum("h")).first()[0] or 0
+    near = stored(near_lines(docs, characters, edits, least), "line-classes")
+    # Most lines are near no other one; only the others are joined.
+    bits, own = _bits_of(near, "node"), rows.where("pos >= 0")
+    joined = own.mapInArrow(_rows_with(bits, True), LINES).join(near.withColumnRenamed("node", "h"), "h", "left")
+    every = joined.select("doc_id", "text_key", "pos", F.coalesce("root", "h").alias("c"),
+                          F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("g")).unionByName(
+        own.mapInArrow(_rows_with(bits, False), LINES).select("doc_id", "text_key", "pos", F.col("h").alias("c"), "g"))
+    named = stored(every.withColumn("place", _place()), "lines-named")
     firsts = named.groupBy("c", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = stored(firsts.where("n > 1").drop("n"), "line-firsts")
     again = named.join(firsts, ["c", "g"]).where("place > first")

@@ -207,3 +207,45 @@ def test_classes_within_many_copies(spark, monkeypatch):
     monkeypatch.setattr(lines, "FEW", 3)
     monkeypatch.setattr(lines, "BLOCK", 8)
     assert got(lines.repeated_lines(frame(spark, rows))) == want
+
+
+def candidates(texts, blocks=4):
+    """Rows (ties, a, b) of the candidates among some lines."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    by: dict = {}
+    for made in lines._packed(lines.EDITS, 30, blocks)(iter([batch])):
+        for block, entries in zip(made.column(0).to_pylist(), made.column(1).to_pylist()):
+            by.setdefault(block, []).append(entries)
+    rows = [pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.int32()), pa.array(v, pa.binary())], ["block", "entries"])
+            for k, v in sorted(by.items())]
+    return [row for b in lines._candidates(lines.EDITS)(iter(rows)) for row in zip(*(c.to_pylist() for c in b.columns))]
+
+
+@pytest.mark.parametrize("count", [12, 40])
+def test_a_gram_alone_makes_no_candidates(count):
+    """Lines that share a gram in one place, but no longer run, are told apart before their texts are read."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    grams = [some(lines.GRAM) for _ in range(40)]
+    texts = [some(100) + g + some(100) for g in grams for _ in range(count)]
+    assert candidates(texts) == []
+    assert len({(a, b) for _, a, b in candidates([*texts, texts[0][:-1] + "z"])}) == 1
+
+
+def test_only_lines_of_the_bit_table_are_read(spark):
+    texts = [f"line {k} " + "abcdefghij" * 4 for k in range(300)]
+    names = spark.createDataFrame([(lines._hashes(t)[0] & (1 << lines.NAME) - 1,) for t in texts[:20]], "n long")
+    docs = spark.createDataFrame([("\n".join(texts[k:k + 30]),) for k in range(0, 300, 10)], "text string")
+    found = lines._line_texts(docs, names, 30).collect()
+    assert {r.line for r in found} >= set(texts[:20]) and len(found) < 40
+    assert all(r.h == lines._hashes(r.line)[0] and r.n == r.h & (1 << lines.NAME) - 1 for r in found)
+
+
+def test_pairs_of_several_bounds_share_a_band():
+    rng, pairs = random.Random(8), []
+    for n in (60, 90, 130, 200, 700, 1300, 1700):
+        for _ in range(15):
+            a = "".join(rng.choice("abcé ") for _ in range(n))
+            pairs.append((a, edited(rng, a, rng.randint(0, n // 20))))
+    want = [distance(a, b) <= lines.allowed(min(len(a), len(b)), lines.EDITS) for a, b in pairs]
+    assert list(lines.within(*zip(*pairs), lines.EDITS)) == want and 20 < sum(want) < 90
